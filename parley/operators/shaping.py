@@ -120,7 +120,7 @@ def renumber_strangers(segments: DataFrame, unnamed: Column | None = None, prefi
 def render_transcript(segments: DataFrame) -> DataFrame:
     """One text per meeting: a heading with the time whenever the label changes."""
     step = ordered.scan(segments, M, "idx", prev={"_p": F.struct("label")})
-    head = F.concat(F.lit("\n**"), F.col("label"), F.lit("** ["), F.format_string("%.1f", F.round("start", 1)), F.lit("s]\n"))
+    head = F.concat(F.lit("\n**"), F.col("label"), F.lit("** ["), F.format_string("%.1f", times.exact_round("start", 1)), F.lit("s]\n"))
     piece = F.concat(F.when(F.col("_p.label").eqNullSafe(F.col("label")), F.lit(" ")).otherwise(head), F.col("text"))
     return (step.select("meeting", "idx", piece.alias("piece")).groupBy("meeting")
             .agg(text.strip(ordered_join("piece", "idx", "")).alias("transcript")))

@@ -119,7 +119,9 @@ def split_long_text(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int =
 
 def parse_answers(answers: DataFrame) -> DataFrame:
     """Answer text of every part (doc_id, part, answer) to a typed struct; bad JSON gives null."""
-    return answers.withColumn("data", F.from_json(text.unfence_json("answer"), ANSWER_SCHEMA))
+    data = F.from_json(text.unfence_json("answer"), ANSWER_SCHEMA + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
+    rows = answers.withColumn("data", data)
+    return rows.withColumn("data", F.when(F.col("data._bad").isNull(), F.col("data").dropFields("_bad")))
 
 
 def answer_items(parsed: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import ordered
 from ..functions import labels, text
+from ..functions.times import exact_round
 
 CHUNK = ("meeting", "chunk")
 FRAME_MS = 30
@@ -28,19 +29,31 @@ LOOK_AHEAD = 64
 # End of fixed values.
 
 
-def timeline_verdicts(segments: DataFrame, durations: DataFrame, source: str = "model") -> DataFrame:
-    """One row per chunk: is its start-only clock usable?"""
-    step = ordered.scan(segments.select(*CHUNK, "idx", "start", "timestamp_source"), CHUNK, "idx",
-                        prev={"before": F.col("start")})
+def _looked_around(segments: DataFrame) -> DataFrame:
+    """Turns with the start before them and the next ``LOOK_AHEAD`` starts of their chunk."""
+    near = ordered.neighbourhood(segments, CHUNK, "idx", width=ordered.SLICE_ROWS, before=1, after=LOOK_AHEAD)
+    order = W.partitionBy(*CHUNK, "_slice").orderBy("idx")
+    return (near.withColumn("_before", F.lag("start").over(order))
+            .withColumn("_ahead", F.collect_list(F.struct("idx", "start")).over(order.rowsBetween(1, LOOK_AHEAD)))
+            .where("not _copy").drop("_copy", "_slice"))
+
+
+def _verdicts(around: DataFrame, source: str) -> DataFrame:
     bad = ((F.col("start") < 0) | (F.col("start") > F.greatest(F.lit(0.0), F.col("duration")) + 1.0)
-           | (F.col("start") + MAX_BACK_STEP < F.col("before"))
+           | (F.col("start") + MAX_BACK_STEP < F.col("_before"))
            | ~F.col("timestamp_source").eqNullSafe(source))
     few = (F.col("n") >= 4) & (F.col("marks") < F.greatest(F.lit(2), F.floor(F.col("n") / 5)))
-    per_mark = (step.join(durations, list(CHUNK)).groupBy(*CHUNK, F.round("start", 1).alias("mark"))
-                .agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(bad, F.lit(False))).alias("bad")))
+    per_mark = around.groupBy(*CHUNK, F.round("start", 1).alias("mark")).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(bad, F.lit(False))).alias("bad"), F.max("idx").alias("last"))
     return (per_mark.groupBy(*CHUNK)
-            .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("marks"), F.bool_or("bad").alias("bad"))
-            .select(*CHUNK, (~F.col("bad") & ~few).alias("usable")))
+            .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("marks"), F.bool_or("bad").alias("bad"), F.max("last").alias("_last"))
+            .select(*CHUNK, (~F.col("bad") & ~few).alias("usable"), "_last"))
+
+
+def timeline_verdicts(segments: DataFrame, durations: DataFrame, source: str = "model") -> DataFrame:
+    """One row per chunk: is its start-only clock usable?"""
+    rows = segments.select(*CHUNK, "idx", "start", "timestamp_source").join(durations, list(CHUNK))
+    return _verdicts(_looked_around(rows), source).select(*CHUNK, "usable")
 
 
 def complete_starts(segments: DataFrame, durations: DataFrame, source: str = "model") -> DataFrame:
@@ -48,31 +61,28 @@ def complete_starts(segments: DataFrame, durations: DataFrame, source: str = "mo
 
     Chunks with an unusable clock are left out; see ``timeline_verdicts``.
     """
-    ok = timeline_verdicts(segments, durations, source).where("usable").select(*CHUNK)
-    rows = segments.join(ok, list(CHUNK)).join(durations, list(CHUNK))
-    cut = rows.withColumn("_slice", F.floor(F.col("idx") / ordered.SLICE_ROWS))
-    ahead = W.partitionBy(*CHUNK, "_slice").orderBy("idx").rowsBetween(1, LOOK_AHEAD)
-    near = cut.withColumn("_ahead", F.collect_list(F.struct("idx", "start")).over(ahead))
+    keep = [c for c in segments.columns if c not in ("start", "end", "timestamp_overlap")]
     distinct = F.col("start") + SAME_START
-    near = (near.withColumn("_next", F.get(F.filter("_ahead", lambda x: x["start"] > distinct), F.lit(0))["start"])
+    around = _looked_around(segments.select(*keep, "start").join(durations, list(CHUNK)))
+    rows = (around.join(_verdicts(around, source).where("usable").drop("usable"), list(CHUNK))
+            .withColumn("_next", F.get(F.filter("_ahead", lambda x: x["start"] > distinct), F.lit(0))["start"])
             .withColumn("_seen", F.coalesce(F.array_max(F.transform("_ahead", lambda x: x["idx"])), F.col("idx"))))
-    last_idx = rows.groupBy(*CHUNK).agg(F.max("idx").alias("_last"))
-    near = near.join(last_idx, list(CHUNK))
-    # Only a turn followed by more than LOOK_AHEAD equal starts, or one at a slice border, is looked up by join.
-    far = near.where(F.col("_next").isNull() & (F.col("_seen") < F.col("_last"))).select(*CHUNK, "idx", "start", "_seen")
-    later = rows.select(*CHUNK, F.col("idx").alias("_i"), F.col("start").alias("_s"))
+    # Only a turn followed by more than LOOK_AHEAD equal starts is looked up by join.
+    far = rows.where(F.col("_next").isNull() & (F.col("_seen") < F.col("_last"))).select(*CHUNK, "idx", "start", "_seen")
+    later = segments.select(*CHUNK, F.col("idx").alias("_i"), F.col("start").alias("_s"))
     found = (far.join(later, list(CHUNK)).where((F.col("_i") > F.col("_seen")) & (F.col("_s") > distinct))
              .groupBy(*CHUNK, "idx").agg(F.min_by("_s", "_i").alias("_far")))
-    timed = near.join(found, [*CHUNK, "idx"], "left")
-    timed = ordered.scan(timed, CHUNK, "start", ties=("idx",), prev={"_left": F.col("start")},
-                         following={"_right": F.col("start")}, width=600.0)
+    timed = rows.drop("_ahead", "_seen", "_last", "_before").join(found, [*CHUNK, "idx"], "left")
+    # Simultaneous turns sit next to each other in start order.
+    close = ordered.neighbourhood(timed, CHUNK, "start", width=60.0, before=2 * SAME_START, after=2 * SAME_START)
+    order = W.partitionBy(*CHUNK, "_slice").orderBy("start", "idx")
+    timed = close.withColumn("_left", F.lag("start").over(order)).withColumn("_right", F.lead("start").over(order)).where("not _copy")
     limit = F.greatest(F.lit(0.0), F.col("duration"))
     end = F.greatest(F.col("start"), F.coalesce("_next", "_far", limit))
     overlap = ((F.abs(F.col("start") - F.col("_left")) <= SAME_START)
                | (F.abs(F.col("_right") - F.col("start")) <= SAME_START))
-    keep = [c for c in segments.columns if c not in ("start", "end", "timestamp_overlap")]
-    return timed.select(*keep, F.round(F.least(limit, F.greatest(F.lit(0.0), F.col("start"))), 2).alias("start"),
-                        F.round(F.least(limit, end), 2).alias("end"),
+    return timed.select(*keep, exact_round(F.least(limit, F.greatest(F.lit(0.0), F.col("start")))).alias("start"),
+                        exact_round(F.least(limit, end)).alias("end"),
                         F.coalesce(overlap, F.lit(False)).alias("timestamp_overlap"))
 
 
@@ -142,7 +152,7 @@ def retime_by_speech(segments: DataFrame, speech: DataFrame) -> DataFrame:
     talk = talk.select(*CHUNK, "ord", "start", "_clock", (F.col("_clock") - F.col("_len")).alias("_from"))
     placed = ordered.next_match(clocks, talk, CHUNK, "at", "_clock", ["start", "_from"], tie="ord", name="hit")
     when = F.coalesce(F.col("hit.start") + (F.col("at") - F.col("hit._from")), F.col("_final"))
-    times = (placed.withColumn("t", F.round(when, 2)).groupBy(*CHUNK, "idx")
+    times = (placed.withColumn("t", exact_round(when)).groupBy(*CHUNK, "idx")
              .agg(F.max(F.when(F.col("side") == "start", F.col("t"))).alias("_start"),
                   F.max(F.when(F.col("side") == "end", F.col("t"))).alias("_end")))
     keep = [c for c in segments.columns if c not in ("start", "end")]
@@ -159,8 +169,8 @@ def segments_to_words(segments: DataFrame) -> DataFrame:
                          F.when(F.col("_n") > 0, (F.col("end") - F.col("start")) / F.col("_n")).alias("_step"),
                          F.posexplode("_words").alias("word_idx", "text"))
             .select("meeting", "chunk", "idx", "word_idx",
-                    F.round(F.col("start") + F.col("word_idx") * F.col("_step"), 2).alias("start"),
-                    F.round(F.col("start") + (F.col("word_idx") + 1) * F.col("_step"), 2).alias("end"),
+                    exact_round(F.col("start") + F.col("word_idx") * F.col("_step")).alias("start"),
+                    exact_round(F.col("start") + (F.col("word_idx") + 1) * F.col("_step")).alias("end"),
                     "speaker_id", "text"))
 
 
@@ -199,7 +209,7 @@ def map_chunk_times(rows: DataFrame, maps: DataFrame, offsets: DataFrame, column
     mapped = (F.when(F.col("_lo").isNull(), t + F.coalesce("offset_sec", F.lit(0.0)))
               .when(F.col("m.dense_start") <= t, F.col("m.orig_start") + (t - F.col("m.dense_start")))
               .when(t < F.col("_lo_at"), F.col("_lo")).otherwise(F.col("_hi")))
-    wide = hit.withColumn("t", F.round(mapped, 2)).groupBy(*CHUNK, *key).agg(
+    wide = hit.withColumn("t", exact_round(mapped)).groupBy(*CHUNK, *key).agg(
         *[F.max(F.when(F.col("c") == c, F.col("t"))).alias(c) for c in columns])
     return rows.drop(*columns).join(wide, [*CHUNK, *key])
 
@@ -306,8 +316,8 @@ def turn_windows(segments: DataFrame, speech: DataFrame | None = None, source: s
     length = F.least(F.lit(max_sec), F.col("b") - F.col("a"))
     first = F.greatest(F.col("a"), (F.col("a") + F.col("b")) / 2.0 - length / 2.0)
     last = F.least(F.col("b"), first + length)
-    return best.select("meeting", "idx", "speaker_id", F.round(F.greatest(F.col("a"), last - length), 2).alias("start"),
-                       F.round(last, 2).alias("end"))
+    return best.select("meeting", "idx", "speaker_id", exact_round(F.greatest(F.col("a"), last - length)).alias("start"),
+                       exact_round(last).alias("end"))
 
 
 def speech_windows(speech: DataFrame, window: float = 3.0, min_sec: float = 1.6, at_most: int = 240) -> DataFrame:
@@ -316,8 +326,8 @@ def speech_windows(speech: DataFrame, window: float = 3.0, min_sec: float = 1.6,
     each = (speech.where(F.col("start") + min_sec <= F.col("end"))
             .select("meeting", "ord", "start", "end", F.explode(F.sequence(F.lit(0), count)).alias("k"))
             .withColumn("a", F.col("start") + F.col("k") * window)
-            .select("meeting", "ord", "k", F.round("a", 2).alias("start"),
-                    F.round(F.least("end", F.col("a") + window), 2).alias("end")))
+            .select("meeting", "ord", "k", exact_round("a").alias("start"),
+                    exact_round(F.least("end", F.col("a") + window)).alias("end")))
     numbered = ordered.number_rows(each, ["meeting"], "ord", ties=("k",), name="r")
     size = each.groupBy("meeting").agg(F.count(F.lit(1)).alias("n"))
     step = F.col("n") / F.lit(float(at_most))

@@ -17,7 +17,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 50_000
-_SLICE = "_slice"
+_KEY, _SLICE, _ROW = "_key", "_slice", "_row"
+
+
+def _sliced(df: DataFrame, keys: Sequence[str], pos: str, width: float, inputs: Mapping[str, Column]) -> DataFrame:
+    """Rows shuffled once by (key, slice), with the row packed in one column.
+
+    Both readers of the result - the windows and the slice summaries - see the
+    same columns, so Spark runs one exchange and reuses it. Without the packing
+    each reader would prune its own columns and the input would be computed
+    twice per scan, four times after two scans, and so on.
+    """
+    key = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]) if keys else F.lit("")
+    at = F.coalesce(F.floor(F.col(pos) / F.lit(width)).cast("long"), F.lit(-(1 << 62)))
+    row = F.array(F.struct(*df.columns, *[e.alias(n) for n, e in inputs.items()]))
+    packed = df.select(F.coalesce(key, F.lit("")).alias(_KEY), at.alias(_SLICE), row.alias(_ROW))
+    shared = packed.repartition(_KEY, _SLICE)
+    names = [*df.columns, *inputs]
+    # element_at keeps the optimizer from pulling single fields below the exchange.
+    return shared.select(_KEY, _SLICE, *[F.element_at(_ROW, 1)[n].alias(n) for n in names], F.size(_ROW).alias(_ROW))
 
 
 def scan(df: DataFrame, keys: Sequence[str], pos: str, *, ties: Sequence[str] = (),
@@ -32,13 +50,12 @@ def scan(df: DataFrame, keys: Sequence[str], pos: str, *, ties: Sequence[str] =
     sums       running sum including the row
 
     ``width`` is the span of ``pos`` in one slice: a row count for dense
-    positions, seconds for times.
+    positions, seconds for times. Select the needed columns before calling.
     """
-    keys = list(keys)
     prev, last = dict(prev or {}), dict(last or {})
     following, sums = dict(following or {}), dict(sums or {})
     inputs = {f"_in_{n}": e for group in (prev, last, following, sums) for n, e in group.items()}
-    base = df.withColumn(_SLICE, F.floor(F.col(pos) / F.lit(width)).cast("long")).withColumns(inputs)
+    base = _sliced(df, keys, pos, width, inputs)
     at = F.struct(pos, *ties) if ties else F.col(pos)
 
     aggs = []
@@ -50,17 +67,17 @@ def scan(df: DataFrame, keys: Sequence[str], pos: str, *, ties: Sequence[str] =
         aggs.append(F.min_by(c, F.when(c.isNotNull(), at)).alias(f"_edge_{n}"))
     for n in sums:
         aggs.append(F.sum(f"_in_{n}").alias(f"_edge_{n}"))
-    edges = base.groupBy(*keys, _SLICE).agg(*aggs)
-    before = W.partitionBy(*keys).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy(*keys).orderBy(F.desc(_SLICE)).rowsBetween(W.unboundedPreceding, -1)
+    edges = base.groupBy(_KEY, _SLICE).agg(*aggs)
+    before = W.partitionBy(_KEY).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(_KEY).orderBy(F.desc(_SLICE)).rowsBetween(W.unboundedPreceding, -1)
     carried = edges.select(
-        *keys, _SLICE,
+        _KEY, _SLICE,
         *[F.last(f"_edge_{n}", ignorenulls=True).over(before).alias(f"_carry_{n}") for n in [*prev, *last]],
         *[F.last(f"_edge_{n}", ignorenulls=True).over(after).alias(f"_carry_{n}") for n in following],
         *[F.sum(f"_edge_{n}").over(before).alias(f"_carry_{n}") for n in sums])
 
-    order = W.partitionBy(*keys, _SLICE).orderBy(pos, *ties)
-    back = W.partitionBy(*keys, _SLICE).orderBy(F.desc(pos), *[F.desc(t) for t in ties])
+    order = W.partitionBy(_KEY, _SLICE).orderBy(pos, *ties)
+    back = W.partitionBy(_KEY, _SLICE).orderBy(F.desc(pos), *[F.desc(t) for t in ties])
     strict, upto = (W.unboundedPreceding, -1), (W.unboundedPreceding, 0)
     local = {}
     for n in prev:
@@ -71,28 +88,42 @@ def scan(df: DataFrame, keys: Sequence[str], pos: str, *, ties: Sequence[str] =
         local[f"_own_{n}"] = F.sum(f"_in_{n}").over(order.rowsBetween(*upto))
     for n in following:
         local[f"_own_{n}"] = F.last(f"_in_{n}", ignorenulls=True).over(back.rowsBetween(*strict))
-    out = base.withColumns(local).join(carried, [*keys, _SLICE], "left")
-    done = {n: F.coalesce(f"_own_{n}", f"_carry_{n}") for n in [*prev, *last, *following]}
+    out = base.withColumns(local).join(carried, [_KEY, _SLICE], "left")
+    values = {n: F.coalesce(f"_own_{n}", f"_carry_{n}") for n in [*prev, *last, *following]}
     for n in sums:
-        done[n] = F.coalesce(F.col(f"_own_{n}") + F.col(f"_carry_{n}"), f"_own_{n}", f"_carry_{n}")
-    keep = [c for c in df.columns if c not in done]
-    return out.select(*[F.col(c) for c in keep], *[e.alias(n) for n, e in done.items()])
+        values[n] = F.coalesce(F.col(f"_own_{n}") + F.col(f"_carry_{n}"), f"_own_{n}", f"_carry_{n}")
+    keep = [c for c in df.columns if c not in values]
+    return out.select(*keep, *[e.alias(n) for n, e in values.items()])
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], pos: str, *, ties: Sequence[str] = (), name: str = "idx",
                 start: int = 0, width: float = SLICE_ROWS) -> DataFrame:
     """Dense position within ``keys`` in the order ``pos, *ties``."""
-    keys = list(keys)
-    base = df.withColumn(_SLICE, F.floor(F.col(pos) / F.lit(width)).cast("long"))
-    before = W.partitionBy(*keys).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
-    carried = (base.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("_n"))
-               .select(*keys, _SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
-    order = W.partitionBy(*keys, _SLICE).orderBy(pos, *ties)
-    out = base.withColumn("_rn", F.row_number().over(order)).join(carried, [*keys, _SLICE])
+    base = _sliced(df, keys, pos, width, {})
+    before = W.partitionBy(_KEY).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
+    carried = (base.groupBy(_KEY, _SLICE).agg(F.sum(_ROW).alias("_n"))
+               .select(_KEY, _SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    order = W.partitionBy(_KEY, _SLICE).orderBy(pos, *ties)
+    out = base.withColumn("_rn", F.row_number().over(order)).join(carried, [_KEY, _SLICE])
     keep = [c for c in df.columns if c != name]
     return out.select(*keep, (F.col("_rn") + F.col("_offset") - 1 + start).cast("long").alias(name))
 
 
+def neighbourhood(df: DataFrame, keys: Sequence[str], pos: str, *, width: float, before: float = 0, after: float = 0) -> DataFrame:
+    """Rows by slice, each slice with copies of the rows just outside it.
+
+    Rows within ``before`` of a slice's end are copied to the next slice, rows
+    within ``after`` of its start to the one before. Windows over
+    ``(keys, _slice)`` can then look that far across the border; drop the
+    copies with ``where("not _copy")``.
+    """
+    own = F.floor(F.col(pos) / F.lit(width)).cast("long")
+    inside = F.col(pos) - own * F.lit(width)
+    targets = F.array_compact(F.array(own, F.when(inside >= F.lit(width - before), own + 1) if before else F.lit(None).cast("long"),
+                                      F.when(inside <= F.lit(after), own - 1) if after else F.lit(None).cast("long")))
+    return df.withColumn("_own", own).withColumn(_SLICE, F.explode(targets)).withColumn("_copy", F.col("_own") != F.col(_SLICE)).drop("_own")
+
+
 def islands(df: DataFrame, keys: Sequence[str], pos: str, starts: Column, *, ties: Sequence[str] = (),
             name: str = "island", width: float = SLICE_ROWS) -> DataFrame:
     """Mark each row with the position of the latest row where ``starts`` is true."""

@@ -1,0 +1,6 @@
+"""Named queries over the given tables."""
+
+from .registry import QUERIES, SQL
+from . import text_queries, timeline_queries
+
+__all__ = ["QUERIES", "SQL"]
