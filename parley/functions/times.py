@@ -63,19 +63,12 @@ def segment_duration(start: str | Column, end: str | Column) -> Column:
 def exact_round(c: str | Column, places: int = 2) -> Column:
     """Round half to even on the exact binary value, as C and Python do.
 
-    ``x * 10**places`` is summed from exact powers of two; near a half, the
-    exact rounding error of that sum tells on which side the value lies.
+    The float part and the rest of ``x`` are scaled separately, both without
+    error, so the sign of ``side`` tells exactly on which side of the half it is.
     """
-    x = col(c)
-    parts = {1: (8.0, 2.0), 2: (64.0, 32.0, 4.0)}[places]
-    total, error = x * F.lit(parts[0]), F.lit(0.0)
-    for p in parts[1:]:
-        b = x * F.lit(p)
-        s = total + b
-        bb = s - total
-        error = error + ((total - (s - bb)) + (b - bb))
-        total = s
-    low = F.floor(total).cast("double")
-    side = (total - (low + 0.5)) + error
-    up = F.when(side > 0, 1.0).when(side < 0, 0.0).otherwise(F.pmod(low, F.lit(2.0)))
-    return (low + up) / F.lit(10.0 ** places)
+    x, scale = col(c).cast("double"), 10.0 ** places
+    near = x.cast("float").cast("double")
+    low = F.floor(x * scale)
+    side = (near * scale - (low + 0.5)) + (x - near) * scale
+    up = F.when(side > 0, 1).when(side < 0, 0).otherwise(F.pmod(low, F.lit(2)))
+    return (low + up) / F.lit(scale)

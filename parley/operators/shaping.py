@@ -25,30 +25,38 @@ def spoken_join(value: Column, by: Column) -> Column:
     return F.coalesce(F.replace(glued, F.lit(_JOINT), F.lit(" ")), F.lit(""))
 
 
-def merge_turns(segments: DataFrame, max_gap: float = MERGE_GAP, meaningful: Column | None = None) -> DataFrame:
+def merge_turns(segments: DataFrame, max_gap: float = MERGE_GAP, meaningful: Column | None = None, pos: str = "idx",
+                ties: Sequence[str] = (), width: float = ordered.SLICE_ROWS) -> DataFrame:
     """Join neighbouring turns of one label and one raw id with at most ``max_gap`` between them.
 
     Turns without meaning are dropped and keep their neighbours apart. Needs
     ``label`` and ``speaker_id``; an ``embedding`` column is carried if present.
+    A merged turn keeps the place of its first part.
     """
-    rows = segments.withColumn("text", text.drop_ellipsis("text"))
+    carried = ["embedding"] if "embedding" in segments.columns else []
+    places = list(dict.fromkeys([pos, *ties]))
+    rows = segments.select("meeting", *places, *[c for c in ("start", "end") if c not in places], "label",
+                           F.coalesce("speaker_id", F.lit("")).alias("speaker_id"), text.drop_ellipsis("text").alias("text"), *carried)
     rows = rows.withColumn("_keep", text.is_meaningful("text") if meaningful is None else meaningful)
-    raw = F.coalesce("speaker_id", F.lit(""))
-    step = ordered.scan(rows, M, "idx", prev={"_p": F.struct("_keep", "label", raw.alias("raw"), "end")})
-    same = (F.col("_p._keep") & F.col("_p.label").eqNullSafe(F.col("label")) & (F.col("_p.raw") == raw)
-            & (F.col("start") - F.col("_p.end") <= max_gap))
-    kept = step.withColumn("_new", ~F.coalesce(same, F.lit(False))).where("_keep")
-    return _fold(ordered.islands(kept, M, "idx", F.col("_new")))
 
+    def breaks(before, row):
+        return ~(before["_keep"] & before["label"].eqNullSafe(row["label"]) & (before["speaker_id"] == row["speaker_id"])
+                 & (row["start"] - before["end"] <= max_gap))
 
-def _fold(marked: DataFrame) -> DataFrame:
-    aggs = [F.min_by("start", "idx").alias("start"), F.max_by("end", "idx").alias("end"), F.first("label").alias("label"),
-            F.first("speaker_id").alias("speaker_id"), ordered_join("text", "idx", " ").alias("text"),
+    marked = ordered.runs(rows, M, pos, ["_keep", "label", "speaker_id", "start", "end"], breaks, ties=ties, width=width)
+    return _fold(marked.where("_keep"), pos, ties)
+
+
+def _fold(marked: DataFrame, pos: str = "idx", ties: Sequence[str] = ()) -> DataFrame:
+    at = F.struct(pos, *ties) if ties else F.col(pos)
+    aggs = [F.min_by("start", at).alias("start"), F.max_by("end", at).alias("end"), F.first("label").alias("label"),
+            F.first("speaker_id").alias("speaker_id"), ordered_join("text", at, " ").alias("text"),
             F.count(F.lit(1)).alias("parts")]
     if "embedding" in marked.columns:
-        aggs.append(F.min_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("idx"))).alias("embedding"))
-    out = marked.groupBy("meeting", "island").agg(*aggs)
-    return ordered.number_rows(out, M, "island", name="idx").drop("island")
+        aggs.append(F.min_by("embedding", F.when(F.col("embedding").isNotNull(), at)).alias("embedding"))
+    out = marked.groupBy("meeting", "run").agg(*aggs)
+    place = [F.col(f"run.{c}").alias(c) for c in (pos, *ties) if c not in ("start", "end")] if ties else [F.col("run").alias(pos)]
+    return out.select("meeting", *place, *[c for c in out.columns if c not in ("meeting", "run")])
 
 
 def merge_same_label(segments: DataFrame, sources: Sequence[str] = ("source_speaker", "speaker_id", "source",
@@ -63,9 +71,7 @@ def merge_same_label(segments: DataFrame, sources: Sequence[str] = ("source_spea
     raw = F.coalesce(text.filled("raw_speaker") if "raw_speaker" in segments.columns else F.lit(None),
                      text.filled("speaker"), F.lit(""))
     rows = segments.withColumn("label", label).withColumn("_raw", raw)
-    step = ordered.scan(rows, M, "idx", prev={"_p": F.struct("label")})
-    new = (F.col("label") == "") | ~F.coalesce(F.col("_p.label") == F.col("label"), F.lit(False))
-    marked = ordered.islands(step, M, "idx", new)
+    marked = ordered.runs(rows, M, "idx", ["label"], lambda p, r: (r["label"] == "") | (p["label"] != r["label"]))
     aggs = [F.min_by("start", "idx").alias("start"), F.max_by("end", "idx").alias("end"), F.first("label").alias("label"),
             spoken_join(F.col("text"), F.col("idx")).alias("text"),
             (F.min("_raw") == F.max("_raw")).alias("_one_raw"), F.min("_raw").alias("_raw"),
@@ -77,10 +83,10 @@ def merge_same_label(segments: DataFrame, sources: Sequence[str] = ("source_spea
         length = times.segment_duration("start", "end")
         aggs.append(F.max_by("embedding", F.when(F.col("embedding").isNotNull(),
                                                  F.struct(length.alias("d"), (-F.col("idx")).alias("i")))).alias("embedding"))
-    out = marked.groupBy("meeting", "island").agg(*aggs)
+    out = marked.groupBy("meeting", "run").agg(*aggs)
     out = (out.withColumn("raw_speaker", F.when(F.col("_one_raw"), F.col("_raw")).otherwise(F.col("label")))
            .withColumn("speaker", F.when(F.col("_one_raw"), F.col("speaker")).otherwise(F.col("label"))))
-    return ordered.number_rows(out, M, "island", name="idx").drop("island", "_one_raw", "_raw")
+    return out.withColumnRenamed("run", "idx").drop("_one_raw", "_raw")
 
 
 def collapse_short_strangers(items: DataFrame, max_gap: float = MERGE_GAP) -> DataFrame:
@@ -101,10 +107,10 @@ def collapse_short_strangers(items: DataFrame, max_gap: float = MERGE_GAP) -> Da
     remap = (near.where(F.col("_short") & F.col("_to").isNotNull()).groupBy("meeting", "label")
              .agg(F.max_by("_to", "idx").alias("_to")))
     named = items.join(remap, ["meeting", "label"], "left").withColumn("label", F.coalesce("_to", "label")).drop("_to")
-    raw = F.coalesce("speaker_id", F.lit(""))
-    step = ordered.scan(named, M, "idx", prev={"_p": F.struct("label", raw.alias("raw"), "end")})
-    same = (F.col("_p.label") == F.col("label")) & (F.col("_p.raw") == raw) & (F.col("start") - F.col("_p.end") <= max_gap)
-    return _fold(ordered.islands(step, M, "idx", ~F.coalesce(same, F.lit(False))))
+    named = named.withColumn("speaker_id", F.coalesce("speaker_id", F.lit("")))
+    marked = ordered.runs(named, M, "idx", ["label", "speaker_id", "start", "end"], lambda p, r: ~(
+        (p["label"] == r["label"]) & (p["speaker_id"] == r["speaker_id"]) & (r["start"] - p["end"] <= max_gap)))
+    return _fold(marked)
 
 
 def renumber_strangers(segments: DataFrame, unnamed: Column | None = None, prefix: str = "👤 Speaker ") -> DataFrame:
@@ -262,16 +268,16 @@ def rebuild_from_chunks(segments: DataFrame, named: DataFrame) -> DataFrame:
     Speakers without a recovered name are numbered by first appearance.
     """
     # Segment order is by start across chunks; ties keep chunk order.
-    rows = segments.withColumn("_idx", F.col("idx")).withColumn("_at", F.coalesce("start", F.lit(0.0)))
-    rows = ordered.number_rows(rows, M, "_at", ties=("chunk", "_idx"), width=900.0).drop("_at", "_idx")
-    rows = rows.withColumn("speaker_id", text.strip(F.coalesce("speaker_id", F.lit(""))))
+    places = ("start", "chunk", "idx")
+    rows = segments.withColumn("start", F.coalesce("start", F.lit(0.0))).withColumn("speaker_id", text.strip(F.coalesce("speaker_id", F.lit(""))))
     names = named.select("meeting", "speaker_id", F.concat(F.lit(labels.ICON), F.col("name")).alias("_name"))
     rows = rows.join(names, ["meeting", "speaker_id"], "left")
-    strangers = rows.where(F.col("_name").isNull() & (F.col("speaker_id") != "")) \
-        .groupBy("meeting", "speaker_id").agg(F.min("idx").alias("_first"))
-    numbered = ordered.number_rows(strangers, M, "_first", name="_no", start=1).select("meeting", "speaker_id", "_no")
+    strangers = rows.where(F.col("_name").isNull() & (F.col("speaker_id") != "")).groupBy("meeting", "speaker_id").agg(
+        F.min(F.struct(*places)).alias("_p")).select("meeting", "speaker_id", "_p.*")
+    numbered = ordered.number_rows(strangers, M, "start", ties=("chunk", "idx"), name="_no", start=1, width=900.0).select("meeting", "speaker_id", "_no")
     rows = rows.join(numbered, ["meeting", "speaker_id"], "left")
     plain = F.coalesce(text.filled("speaker"), F.lit("Speaker"))
     label = F.coalesce("_name", F.concat(F.lit("👤 Speaker "), F.col("_no").cast("string")),
                        F.when(plain.startswith(labels.ICON), plain).otherwise(F.concat(F.lit(labels.ICON), plain)))
-    return merge_turns(rows.withColumn("label", label).drop("_name", "_no"))
+    # Slices of start times: a quarter of an hour holds a bounded number of turns.
+    return merge_turns(rows.withColumn("label", label), pos="start", ties=("chunk", "idx"), width=900.0)

@@ -30,12 +30,8 @@ LOOK_AHEAD = 64
 
 
 def _looked_around(segments: DataFrame) -> DataFrame:
-    """Turns with the start before them and the next ``LOOK_AHEAD`` starts of their chunk."""
-    near = ordered.neighbourhood(segments, CHUNK, "idx", width=ordered.SLICE_ROWS, before=1, after=LOOK_AHEAD)
-    order = W.partitionBy(*CHUNK, "_slice").orderBy("idx")
-    return (near.withColumn("_before", F.lag("start").over(order))
-            .withColumn("_ahead", F.collect_list(F.struct("idx", "start")).over(order.rowsBetween(1, LOOK_AHEAD)))
-            .where("not _copy").drop("_copy", "_slice"))
+    """Turns with the start before them in their chunk."""
+    return ordered.scan(segments, CHUNK, "idx", prev={"_before": F.col("start")})
 
 
 def _verdicts(around: DataFrame, source: str) -> DataFrame:
@@ -64,15 +60,18 @@ def complete_starts(segments: DataFrame, durations: DataFrame, source: str = "mo
     keep = [c for c in segments.columns if c not in ("start", "end", "timestamp_overlap")]
     distinct = F.col("start") + SAME_START
     around = _looked_around(segments.select(*keep, "start").join(durations, list(CHUNK)))
+    ahead = W.partitionBy(*CHUNK, "_cut").orderBy("idx").rowsBetween(1, LOOK_AHEAD)
     rows = (around.join(_verdicts(around, source).where("usable").drop("usable"), list(CHUNK))
+            .withColumn("_cut", F.floor(F.col("idx") / ordered.SLICE_ROWS))
+            .withColumn("_ahead", F.collect_list(F.struct("idx", "start")).over(ahead))
             .withColumn("_next", F.get(F.filter("_ahead", lambda x: x["start"] > distinct), F.lit(0))["start"])
             .withColumn("_seen", F.coalesce(F.array_max(F.transform("_ahead", lambda x: x["idx"])), F.col("idx"))))
-    # Only a turn followed by more than LOOK_AHEAD equal starts is looked up by join.
+    # Only a turn followed by more than LOOK_AHEAD equal starts, or by a slice border, is looked up by join.
     far = rows.where(F.col("_next").isNull() & (F.col("_seen") < F.col("_last"))).select(*CHUNK, "idx", "start", "_seen")
     later = segments.select(*CHUNK, F.col("idx").alias("_i"), F.col("start").alias("_s"))
     found = (far.join(later, list(CHUNK)).where((F.col("_i") > F.col("_seen")) & (F.col("_s") > distinct))
              .groupBy(*CHUNK, "idx").agg(F.min_by("_s", "_i").alias("_far")))
-    timed = rows.drop("_ahead", "_seen", "_last", "_before").join(found, [*CHUNK, "idx"], "left")
+    timed = rows.drop("_ahead", "_seen", "_last", "_before", "_cut").join(found, [*CHUNK, "idx"], "left")
     # Simultaneous turns sit next to each other in start order.
     close = ordered.neighbourhood(timed, CHUNK, "start", width=60.0, before=2 * SAME_START, after=2 * SAME_START)
     order = W.partitionBy(*CHUNK, "_slice").orderBy("start", "idx")
@@ -116,18 +115,14 @@ def speech_intervals(frames: DataFrame, durations: DataFrame, join_gap: float =
     at = F.col("frame_idx") * FRAME_MS / 1000.0
     speech = frames.where("is_speech").select("file", "frame_idx", at.alias("at"),
                                               ((F.col("frame_idx") + 1) * FRAME_MS / 1000.0).alias("until"))
-    step = ordered.scan(speech, ["file"], "frame_idx", prev={"before": F.col("until")})
-    new = F.col("before").isNull() | (F.col("at") - F.col("before") > join_gap)
-    runs = (ordered.islands(step, ["file"], "frame_idx", new).groupBy("file", "island")
-            .agg(F.max("frame_idx").alias("last"), F.max("until").alias("until")))
+    marked = ordered.runs(speech, ["file"], "frame_idx", ["at", "until"], lambda p, r: r["at"] - p["until"] > join_gap)
+    found = marked.groupBy("file", "run").agg(F.max("frame_idx").alias("last"), F.max("until").alias("until"))
     size = frames.groupBy("file").agg(F.max("frame_idx").alias("final"))
-    # A file is short of rows here (one per interval), but its intervals are still numbered by slices.
-    found = (size.join(durations, ["file"]).join(runs, ["file"], "left")
-             .select("file", F.coalesce(F.col("island") * FRAME_MS / 1000.0, F.lit(0.0)).alias("start"),
-                     F.when(F.col("last").isNull() | (F.col("last") == F.col("final")), F.col("duration"))
-                     .otherwise(F.col("until")).alias("end"))
-             .where((F.col("end") > 0)))
-    return ordered.number_rows(found, ["file"], "start", name="ord", width=3600.0).select("file", "ord", "start", "end")
+    end = F.when(F.col("last").isNull() | (F.col("last") == F.col("final")), F.col("duration")).otherwise(F.col("until"))
+    # Intervals are ordered by their first frame.
+    return (size.join(durations, ["file"]).join(found, ["file"], "left")
+            .select("file", F.coalesce("run", F.lit(0)).cast("long").alias("ord"), (F.coalesce("run", F.lit(0)) * FRAME_MS / 1000.0).alias("start"), end.alias("end"))
+            .where(F.col("end") > 0))
 
 
 def retime_by_speech(segments: DataFrame, speech: DataFrame) -> DataFrame:
@@ -179,20 +174,17 @@ def words_to_segments(words: DataFrame, keys: Sequence[str] = ("meeting",), pos:
     """Words to turns: a new one on a speaker change or a gap over ``max_gap`` (None: speaker change only)."""
     keys = list(keys)
     words = words.where(F.col("start").isNotNull() & F.col("end").isNotNull())
-    step = ordered.scan(words, keys, pos, ties=ties, prev={"_p": F.struct("speaker_id", "end")})
-    new = F.col("_p").isNull() | ~F.col("_p.speaker_id").eqNullSafe(F.col("speaker_id"))
-    if max_gap is not None:
-        new = new | (F.col("start") - F.col("_p.end") > max_gap)
+    def breaks(before, row):
+        other = ~before["speaker_id"].eqNullSafe(row["speaker_id"])
+        return other if max_gap is None else other | (row["start"] - before["end"] > max_gap)
+
     at = F.struct(pos, *ties)
-    out = (ordered.islands(step, keys, pos, new, ties=ties).groupBy(*keys, "island")
-           .agg(F.min_by("start", at).alias("start"), F.max_by("end", at).alias("end"),
-                F.min_by("speaker_id", at).alias("speaker_id"), ordered.ordered_join("text", at, " ").alias("text"),
-                F.count(F.lit(1)).alias("words")))
-    flat = out.withColumn("_pos", F.col(f"island.{pos}"))
-    for t in ties:
-        flat = flat.withColumn(f"_{t}", F.col(f"island.{t}"))
-    return ordered.number_rows(flat, keys, "_pos", ties=[f"_{t}" for t in ties], name="idx").select(
-        *keys, "idx", "start", "end", "speaker_id", "text", "words")
+    marked = ordered.runs(words, keys, pos, ["speaker_id", "start", "end"], breaks, ties=ties)
+    out = marked.groupBy(*keys, "run").agg(
+        F.min_by("start", at).alias("start"), F.max_by("end", at).alias("end"), F.min_by("speaker_id", at).alias("speaker_id"),
+        ordered.ordered_join("text", at, " ").alias("text"), F.count(F.lit(1)).alias("words"))
+    place = [F.col(f"run.{c}").alias(c) for c in (pos, *ties)] if ties else [F.col("run").alias(pos)]
+    return out.select(*keys, *place, "start", "end", "speaker_id", "text", "words")
 
 
 def map_chunk_times(rows: DataFrame, maps: DataFrame, offsets: DataFrame, columns: Sequence[str] = ("start", "end"),
@@ -262,11 +254,9 @@ def plan_chunks(frames: DataFrame, durations: DataFrame, target_sec: float = 300
     """
     ideal, cap, reach = int(target_sec * 1000), int(max(target_sec, max_sec) * 1000), int(search_sec * 1000)
     quiet = frames.where(~F.col("is_speech")).select("file", "frame_idx")
-    step = ordered.scan(quiet, ["file"], "frame_idx", prev={"before": F.col("frame_idx")})
-    new = F.col("before").isNull() | (F.col("before") + 1 < F.col("frame_idx"))
-    runs = (ordered.islands(step, ["file"], "frame_idx", new).groupBy("file", "island")
-            .agg((F.max("frame_idx") + 1).alias("until")))
-    gathered = runs.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(F.col("island").alias("a"), F.col("until").alias("b")))).alias("runs"))
+    marked = ordered.runs(quiet, ["file"], "frame_idx", ["frame_idx"], lambda p, r: p["frame_idx"] + 1 < r["frame_idx"])
+    runs = marked.groupBy("file", "run").agg((F.max("frame_idx") + 1).alias("until"))
+    gathered = runs.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(F.col("run").alias("a"), F.col("until").alias("b")))).alias("runs"))
     files = durations.select("file", F.round(F.col("duration") * 1000).cast("long").alias("total")).join(gathered, ["file"], "left")
 
     def cut(acc: Column, _step: Column) -> Column:

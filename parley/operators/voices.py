@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,7 +105,6 @@ def rank_names(probes: DataFrame, gallery: DataFrame, keys: Sequence[str], *, k:
         two = gallery.withColumn("_g", F.lit(0))
         found = blocks.cells(one, two, ["_g"], "_id", "name", cell, schema)
     # Ranks are per probe; a probe has at most one row per name.
-    from pyspark.sql import Window as W
     out = found.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "name")))
     if isinstance(k, int):
         out = out.where(F.col("rank") <= k)
@@ -116,7 +116,6 @@ def rank_names(probes: DataFrame, gallery: DataFrame, keys: Sequence[str], *, k:
 def rank_allowed(probes: DataFrame, gallery: DataFrame, allowed: DataFrame, keys: Sequence[str], *,
                  floor: float | None = None) -> DataFrame:
     """Rank only the names each meeting allows: an equi-join, so only asked-for pairs are scored."""
-    from pyspark.sql import Window as W
     listed = allowed.select("meeting", "name").distinct().join(gallery.select("name", vectors.unit("embedding").alias("_g")), "name")
     out = (probes.select(*keys, vectors.unit("embedding").alias("_v")).join(listed, "meeting")
            .select(*keys, "name", vectors.dot("_v", "_g").alias("score")))
@@ -274,7 +273,6 @@ def _medoids_large(rows: DataFrame, keys: list[str], block_rows: int, bins: int
     side = rows.select(*keys, "_id", "embedding")
     counted = blocks.cells(side, side, keys, "_id", "_id", count,
                            T.StructType(head + [T.StructField("bin", T.LongType()), T.StructField("c", T.LongType())]), block_rows)
-    from pyspark.sql import Window as W
     per = counted.groupBy(*keys, "_id", "bin").agg(F.sum("c").alias("c"))
     run = W.partitionBy(*keys, "_id").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     sizes = rows.select(*keys, "_id", "n")
@@ -332,11 +330,10 @@ def cleanest_run(windows: DataFrame, keys: Sequence[str] = ("meeting", "idx"), d
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(F.col("w_idx").alias("i"), F.col("_u").alias("u")),
                                             F.struct(F.round("_score", 12).alias("s"), (-F.col("w_idx")).alias("i"))).alias("_m"))
     kept = rows.join(best, keys).where((vectors.dot("_u", "_m.u") >= accept) | (F.col("w_idx") == F.col("_m.i")))
-    step = ordered.scan(kept, keys, "w_idx", prev={"_p": F.col("w_idx")}, sums={"_cum": F.col("_score")})
-    run = ordered.islands(step, keys, "w_idx", ~F.coalesce(F.col("_p") + 1 == F.col("w_idx"), F.lit(False)))
-    longest = run.groupBy(*keys, "island").agg(F.count(F.lit(1)).alias("len")).groupBy(*keys).agg(
-        F.max_by(F.struct("island", "len"), F.struct("len", (-F.col("island")).alias("i"))).alias("_r"))
-    chosen = run.join(longest, keys).where(F.col("island") == F.col("_r.island"))
+    run = ordered.runs(kept, keys, "w_idx", ["w_idx"], lambda p, r: p["w_idx"] + 1 != r["w_idx"])
+    longest = run.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("len")).groupBy(*keys).agg(
+        F.max_by("run", F.struct("len", (-F.col("run")).alias("i"))).alias("_r"))
+    chosen = ordered.scan(run.join(longest, keys).where(F.col("run") == F.col("_r")), keys, "w_idx", sums={"_cum": F.col("_score")})
     # Stretch starts: sums of max_windows scores by position arithmetic on the running sum.
     ends = chosen.select(*keys, (F.col("w_idx") - (max_windows - 1)).alias("w_idx"), F.col("_cum").alias("_end"))
     starts = (chosen.join(ends, [*keys, "w_idx"]).withColumn("_sum", F.round(F.col("_end") - F.col("_cum") + F.col("_score"), 12))
@@ -349,7 +346,8 @@ def cleanest_run(windows: DataFrame, keys: Sequence[str] = ("meeting", "idx"), d
     return span.join(centre, keys)
 
 
-def purify(segments: DataFrame, gallery: DataFrame, keys: Sequence[str] = ("meeting", "speaker_id"), dims: int = DIMS) -> DataFrame:
+def purify(segments: DataFrame, gallery: DataFrame, keys: Sequence[str] = ("meeting", "speaker_id"), dims: int = DIMS,
+           share: float = PURIFY_SHARE) -> DataFrame:
     """Segments of a speaker group without those that clearly belong to somebody else."""
     keys = list(keys)
     usable = segments.where((F.col("end") - F.col("start") >= PURIFY_MIN_SEC) & (F.size("embedding") == dims))
@@ -357,7 +355,7 @@ def purify(segments: DataFrame, gallery: DataFrame, keys: Sequence[str] = ("meet
     size = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     tally = names.groupBy(*keys, "_vote").agg(F.count(F.lit(1)).alias("_c"), F.min("idx").alias("_first"))
     major = (tally.groupBy(*keys).agg(F.max_by(F.struct("_vote", "_c"), F.struct("_c", (-F.col("_first")).alias("f"))).alias("_w"))
-             .join(size, keys).where((F.col("_n") >= PURIFY_MIN_SEGMENTS) & (F.col("_w._c") >= F.col("_n") * PURIFY_SHARE))
+             .join(size, keys).where((F.col("_n") >= PURIFY_MIN_SEGMENTS) & (F.col("_w._c") >= F.col("_n") * share))
              .select(*keys, F.col("_w._vote").alias("_major")))
     dissent = names.join(major, keys).where(F.col("_vote") != F.col("_major")).select(*keys, "idx")
     return segments.join(dissent, [*keys, "idx"], "left_anti")

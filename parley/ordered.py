@@ -10,7 +10,7 @@ no more than one extra summary row.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -124,11 +124,32 @@ def neighbourhood(df: DataFrame, keys: Sequence[str], pos: str, *, width: float,
     return df.withColumn("_own", own).withColumn(_SLICE, F.explode(targets)).withColumn("_copy", F.col("_own") != F.col(_SLICE)).drop("_own")
 
 
-def islands(df: DataFrame, keys: Sequence[str], pos: str, starts: Column, *, ties: Sequence[str] = (),
-            name: str = "island", width: float = SLICE_ROWS) -> DataFrame:
-    """Mark each row with the position of the latest row where ``starts`` is true."""
+def runs(df: DataFrame, keys: Sequence[str], pos: str, columns: Sequence[str], breaks: Callable[[Column, Column], Column], *,
+         ties: Sequence[str] = (), name: str = "run", width: float = SLICE_ROWS) -> DataFrame:
+    """Mark each row with the place (``pos``, or a struct with ``ties``) where its run of rows begins.
+
+    ``breaks(before, row)`` gets the previous and the current row as structs of
+    ``columns`` and says whether the row begins a new run. Runs are found per
+    slice; the summaries tell which slices go on with the run before them.
+    """
+    base = _sliced(df, keys, pos, width, {})
     at = F.struct(pos, *ties) if ties else F.col(pos)
-    return scan(df, keys, pos, ties=ties, last={name: F.when(starts, at)}, width=width)
+    order = W.partitionBy(_KEY, _SLICE).orderBy(pos, *ties)
+    new = lambda before, row: before.isNull() | F.coalesce(breaks(before, row), F.lit(True))
+    rows = base.withColumn("_cur", F.struct(*columns)).withColumn("_at", at)
+    rows = rows.withColumn("_before", F.lag("_cur").over(order))
+    rows = rows.withColumn("_begin", F.last(F.when(new(F.col("_before"), F.col("_cur")), F.col("_at")), ignorenulls=True).over(
+        order.rowsBetween(W.unboundedPreceding, 0)))
+    ends = rows.groupBy(_KEY, _SLICE).agg(F.min("_at").alias("_first_at"), F.max("_begin").alias("_last_begin"),
+                                          F.min_by("_cur", "_at").alias("_first"), F.max_by("_cur", "_at").alias("_final"))
+    chain = W.partitionBy(_KEY).orderBy(_SLICE)
+    ends = ends.withColumn("_goes_on", ~new(F.lag("_final").over(chain), F.col("_first")))
+    own = F.when(~F.col("_goes_on") | (F.col("_last_begin") > F.col("_first_at")), F.col("_last_begin"))
+    ends = ends.withColumn("_carried", F.last(own, ignorenulls=True).over(chain.rowsBetween(W.unboundedPreceding, -1)))
+    linked = ends.where("_goes_on").select(_KEY, _SLICE, "_first_at", "_carried")
+    out = rows.join(linked, [_KEY, _SLICE], "left")
+    begin = F.when(F.col("_begin") == F.col("_first_at"), F.col("_carried"))
+    return out.select(*[c for c in df.columns if c != name], F.coalesce(begin, "_begin").alias(name))
 
 
 def next_match(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str,

@@ -21,16 +21,25 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Sentences of every conversation as turns, timed by text length with gaps of 0 to 2 s."""
+    """Sentences of every conversation as turns, timed by their place in the text; one meeting in ten has a clock that jumps back.
+
+    A turn's place is its number times 1000 plus the number of the sentence, so
+    nothing has to be counted across rows.
+    """
     c = table(spark, sf, "conversations")
-    lines = c.select(F.col("conv_id").cast("string").alias("meeting"), "conv_id", "turn", "role",
-                     F.posexplode(F.split("text", r"\. ")).alias("pos", "text"))
-    rows = ordered.number_rows(lines, ["meeting"], "turn", ties=("pos",))
-    rows = rows.withColumn("text", F.when(F.col("idx") % 11 == 7, "... 12").otherwise(F.col("text")))
-    rows = rows.withColumn("dur_ms", (60 * F.length("text")).cast("long")).withColumn("gap_ms", 250 * ((F.col("idx") * 5 + F.col("conv_id")) % 9))
-    rows = ordered.scan(rows, ["meeting"], "idx", sums={"upto": F.col("dur_ms") + F.col("gap_ms")})
-    start_ms = F.col("upto") - F.col("dur_ms") - F.col("gap_ms")
-    chunk = F.floor(F.col("idx") / 6).cast("int")
+    lens = F.transform(F.split("text", r"\. "), lambda x: F.length(x))
+    parts = F.arrays_zip(F.split("text", r"\. ").alias("text"), lens.alias("len"))
+    rows = c.select(F.col("conv_id").cast("string").alias("meeting"), "conv_id", "turn", "role", lens.alias("lens"),
+                    F.posexplode(parts).alias("pos", "p"))
+    before = F.aggregate(F.slice("lens", F.lit(1), F.col("pos")), F.lit(0), lambda s, x: s + x)
+    idx = F.col("turn") * 1000 + F.col("pos")
+    rows = rows.select("meeting", "conv_id", "turn", "role", idx.alias("idx"), "pos",
+                       F.when((F.col("turn") + F.col("pos")) % 11 == 7, "... 12").otherwise(F.col("p.text")).alias("text"),
+                       (300000 * F.col("turn") + 70 * before + 250 * F.col("pos") + 1500 * F.floor(F.col("pos") / 5)
+                        - F.when((F.col("conv_id") % 10 == 3) & (F.col("turn") > 0), 3000 * (F.col("pos") % 2)).otherwise(0)).alias("start_ms"),
+                       (60 * F.col("p.len")).cast("long").alias("dur_ms"))
+    start_ms = F.col("start_ms")
+    chunk = F.col("turn").cast("int")
     who = F.when(F.col("role") == "user", "Speaker 1").when(F.col("role") == "assistant", "Speaker 2").otherwise("Speaker 3")
     sid = F.concat(F.lit("c"), chunk.cast("string"), F.lit("_"), F.lower(F.replace(who, F.lit(" "), F.lit("_"))))
     user, helper = F.col("role") == "user", F.col("role") == "assistant"
@@ -204,17 +213,15 @@ def unit_doubles(df: DataFrame) -> DataFrame:
 CTES = {
     "seg": """
 lines0 AS (
-  SELECT conv_id, turn, role, unnest(string_split(text, '. ')) AS text, generate_subscripts(string_split(text, '. '), 1) AS pos FROM conversations),
-lines1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS idx FROM lines0),
-lines2 AS (SELECT conv_id, turn, role, idx, CASE WHEN idx % 11 = 7 THEN '... 12' ELSE text END AS text FROM lines1),
-seg0 AS (
-  SELECT CAST(conv_id AS VARCHAR) AS meeting, idx, CAST(idx // 6 AS INTEGER) AS chunk, turn, role, text, conv_id,
-    CAST(60 * length(text) AS BIGINT) AS dur_ms, 250 * ((idx * 5 + conv_id) % 9) AS gap_ms,
-    CASE role WHEN 'user' THEN 'Speaker 1' WHEN 'assistant' THEN 'Speaker 2' ELSE 'Speaker 3' END AS speaker
-  FROM lines2),
+  SELECT conv_id, turn, role, p, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT *, string_split(text, '. ') AS p FROM conversations)),
 seg1 AS (
-  SELECT *, CAST(sum(dur_ms + gap_ms) OVER (PARTITION BY meeting ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT)
-    - dur_ms - gap_ms AS start_ms FROM seg0),
+  SELECT CAST(conv_id AS VARCHAR) AS meeting, turn * 1000 + pos AS idx, CAST(turn AS INTEGER) AS chunk, turn, role, conv_id,
+    CASE WHEN (turn + pos) % 11 = 7 THEN '... 12' ELSE part END AS text,
+    CASE role WHEN 'user' THEN 'Speaker 1' WHEN 'assistant' THEN 'Speaker 2' ELSE 'Speaker 3' END AS speaker,
+    CAST(300000 * turn + 70 * coalesce(list_sum(list_transform(p[1:pos], lambda x: length(x))), 0) + 250 * pos + 1500 * (pos // 5)
+      - CASE WHEN conv_id % 10 = 3 AND turn > 0 THEN 3000 * (pos % 2) ELSE 0 END AS BIGINT) AS start_ms,
+    CAST(60 * length(part) AS BIGINT) AS dur_ms
+  FROM lines0),
 seg AS (
   SELECT meeting, idx, chunk, turn, start_ms / 1000.0::DOUBLE AS start, (start_ms + dur_ms) / 1000.0::DOUBLE AS "end", speaker,
     'c' || chunk || '_' || lower(replace(speaker, ' ', '_')) AS speaker_id,

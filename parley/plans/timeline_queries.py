@@ -49,9 +49,9 @@ def _(spark, sf):
 @query("speech_intervals", with_ctes("frm") + """,
 s AS (SELECT *, lag((frame_idx + 1) * 30 / 1000.0::DOUBLE) OVER (PARTITION BY file ORDER BY frame_idx) AS before FROM frm WHERE is_speech),
 i AS (SELECT *, sum(CASE WHEN before IS NULL OR frame_idx * 30 / 1000.0::DOUBLE - before > 0.03::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY frame_idx) AS g FROM s),
-r AS (SELECT file, g, min(frame_idx) * 30 / 1000.0::DOUBLE AS start, max(frame_idx) AS last FROM i GROUP BY ALL)
-SELECT file, row_number() OVER (PARTITION BY file ORDER BY start) - 1 AS ord, start, "end" FROM (
-  SELECT frd.file, coalesce(start, 0) AS start, CASE WHEN last IS NULL OR last = final THEN duration ELSE (last + 1) * 30 / 1000.0::DOUBLE END AS "end"
+r AS (SELECT file, g, min(frame_idx) AS ord, min(frame_idx) * 30 / 1000.0::DOUBLE AS start, max(frame_idx) AS last FROM i GROUP BY ALL)
+SELECT file, ord, start, "end" FROM (
+  SELECT frd.file, coalesce(ord, 0) AS ord, coalesce(start, 0) AS start, CASE WHEN last IS NULL OR last = final THEN duration ELSE (last + 1) * 30 / 1000.0::DOUBLE END AS "end"
   FROM frd LEFT JOIN r USING (file))""")
 def _(spark, sf):
     fr = P.frames(spark, sf)
@@ -85,7 +85,7 @@ def words_sql(rule: str) -> str:
     return with_ctes("wrd") + f""",
 p AS (SELECT *, lag(speaker_id) OVER w AS ps, lag("end") OVER w AS pe FROM wrd WINDOW w AS (PARTITION BY meeting ORDER BY idx, word_idx)),
 i AS (SELECT *, sum(CASE WHEN {rule} THEN 1 ELSE 0 END) OVER (PARTITION BY meeting ORDER BY idx, word_idx) AS g FROM p)
-SELECT meeting, g - 1 AS idx, arg_min(start, (idx, word_idx)) AS start, arg_max("end", (idx, word_idx)) AS "end", any_value(speaker_id) AS speaker_id,
+SELECT meeting, min(idx) AS idx, arg_min(word_idx, (idx, word_idx)) AS word_idx, arg_min(start, (idx, word_idx)) AS start, arg_max("end", (idx, word_idx)) AS "end", any_value(speaker_id) AS speaker_id,
   string_agg(text, ' ' ORDER BY idx, word_idx) AS text, count(*) AS words FROM i GROUP BY meeting, g"""
 
 
