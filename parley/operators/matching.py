@@ -70,8 +70,7 @@ def prune_scores(scores: DataFrame, keys: Sequence[str], row: str, col: str) ->
     member's n best partners, so some best total uses only these.
     """
     keys = list(keys)
-    count = scores.groupBy(*keys, row).agg(F.lit(1).alias("x")).groupBy(*keys).agg(F.count("x").alias("_rows")).join(
-        scores.groupBy(*keys, col).agg(F.lit(1).alias("x")).groupBy(*keys).agg(F.count("x").alias("_cols")), keys)
+    count = scores.groupBy(*keys).agg(F.countDistinct(row).alias("_rows"), F.countDistinct(col).alias("_cols"))
     sized = scores.join(count, keys).withColumn("_small", F.when(F.col("_rows") <= F.col("_cols"), F.col(row)).otherwise(F.col(col)))
     order = W.partitionBy(*keys, "_small").orderBy(F.desc("score"), row, col)
     return (sized.withColumn("_r", F.row_number().over(order))
@@ -85,7 +84,7 @@ def assign_one_to_one(scores: DataFrame, keys: Sequence[str], row: str, col: str
     pruning; larger ones by auction rounds over all groups at once.
     """
     keys = list(keys)
-    pruned = prune_scores(scores, keys, row, col)
+    pruned = prune_scores(cut_lineage(scores), keys, row, col)
     small = pruned.where(F.least("_rows", "_cols") <= SMALL_SIDE).select(*keys, row, col, "score")
     schema = T.StructType([scores.schema[c] for c in [*keys, row, col]] + [T.StructField("score", T.DoubleType())])
 
@@ -288,8 +287,10 @@ def map_speakers(segments: DataFrame, clusters: DataFrame) -> DataFrame:
     total = talk.groupBy("meeting").agg(F.greatest(F.lit(1), F.sum("words")).alias("total"))
     talk = (talk.join(total, M).withColumn("share", F.col("words") / F.col("total")).where(F.col("share") >= MIN_WORD_SHARE)
             .withColumn("per_turn", F.col("words") / F.col("turns")))
+    talk = cut_lineage(talk)
+    clusters = cut_lineage(clusters.select("meeting", "cluster", "seconds", "first_start", "avg_turn"))
     seconds = clusters.groupBy("meeting").agg(F.sum("seconds").alias("total"))
-    found = clusters.select("meeting", "cluster", "seconds", "first_start", "avg_turn").join(seconds, M) \
+    found = clusters.join(seconds, M) \
         .withColumn("share", F.col("seconds") / F.coalesce(F.nullif("total", F.lit(0.0)), F.lit(1.0)))
 
     # Nearest share on either side, read from one ordered pass over both tables.
@@ -322,6 +323,7 @@ def map_speakers(segments: DataFrame, clusters: DataFrame) -> DataFrame:
 def name_clusters(clusters: DataFrame, gallery: DataFrame, dims: int = voices.DIMS, threshold: float = voices.ACCEPT) -> DataFrame:
     """Clusters to gallery names one-to-one; a cluster without an accepted name is ``Speaker n``."""
     pairs = assign_one_to_one(_scores(clusters, gallery, "cluster", dims), M, "cluster", "name")
+    pairs = cut_lineage(pairs)
     scored = clusters.select("meeting", "cluster").join(pairs, ["meeting", "cluster"], "left") \
         .withColumn("named", F.coalesce(F.col("score") >= threshold, F.lit(False)))
     odd = ordered.number_rows(scored.where(~F.col("named")), M, "cluster", name="_n", start=1).select("meeting", "cluster", "_n")
@@ -341,6 +343,7 @@ def _scores(rows: DataFrame, gallery: DataFrame, id: str, dims: int) -> DataFram
 
 def match_speakers(centroids: DataFrame, gallery: DataFrame, dims: int = voices.DIMS, threshold: float = voices.ACCEPT) -> DataFrame:
     """Speaker centroids to names one-to-one, accepted above the threshold; contaminated meetings are void."""
+    centroids = cut_lineage(centroids)
     void = voices.contaminated(centroids, dims=dims).select("meeting")
     clean = centroids.join(void, M, "left_anti")
     pairs = assign_one_to_one(_scores(clean, gallery, "speaker_id", dims), M, "speaker_id", "name")
@@ -358,9 +361,9 @@ def analyse_voices(segments: DataFrame, windows: DataFrame, dims: int = voices.D
     enough = windows.where(ok).groupBy("meeting").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2 * MIN_CLUSTER_WINDOWS)
     used = windows.where(ok).join(enough.select("meeting"), M, "left_semi")
     hints = segments.select("meeting", F.coalesce("speaker_id", "speaker").alias("s")).distinct().groupBy("meeting").agg(F.count("s").cast("int").alias("hint"))
-    members = cluster_windows(used, hints, dims)
-    facts = cluster_facts(used, members, dims)
-    return members, facts, map_speakers(segments, facts)
+    members = cut_lineage(cluster_windows(used, hints, dims))
+    facts = cut_lineage(cluster_facts(used, members, dims))
+    return members, facts, cut_lineage(map_speakers(segments, facts))
 
 
 def identify_by_clusters(segments: DataFrame, windows: DataFrame, gallery: DataFrame, dims: int = voices.DIMS) -> DataFrame:
@@ -381,7 +384,7 @@ def identify_with_fallback(speakers: DataFrame, by_clusters: DataFrame, by_centr
 
 def cluster_samples(windows: DataFrame, members: DataFrame, mapping: DataFrame, max_total: float = 25.0) -> DataFrame:
     """Sample parts per speaker id from its cluster's windows; short parts only where no longer one exists."""
-    rows = mapping.join(members, ["meeting", "cluster"]).join(windows, ["meeting", "w_idx"]).select(
+    rows = mapping.join(members, ["meeting", "cluster"]).join(windows.select("meeting", "w_idx", "start", "end"), ["meeting", "w_idx"]).select(
         "meeting", "speaker_id", F.col("w_idx").alias("idx"), "start", "end")
     key = ["meeting", "speaker_id"]
     good = choose_samples(rows, key, max_total, 1.5)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ordered
-from ..functions import labels, text, times
+from ..functions import labels, text, times, vectors
+from ..session import cut_lineage
 from . import matching, shaping, voices
 
 M = ["meeting"]
@@ -167,52 +168,54 @@ def spread_over_clusters(dominant: DataFrame, mapping: DataFrame) -> DataFrame:
     return both.groupBy("meeting", "speaker_id").agg(F.max_by("name", F.struct("first_idx", "name")).alias("name"))
 
 
-def samples_to_enrol(segments: DataFrame, mapping: DataFrame, gallery: DataFrame) -> DataFrame:
+def samples_to_enrol(segments: DataFrame, mapping: DataFrame, gallery: DataFrame,
+                     min_sec: float = MIN_SAMPLE_SEC) -> DataFrame:
     """Longest row of each mapped label and what to do with it: enrol, skipped (known voice) or too_short."""
     rows = mapping.select("meeting", "label", F.col("new_label").alias("name")).join(
         segments.select("meeting", "idx", "label", times.segment_duration("start", "end").alias("d")), ["meeting", "label"], "left")
     best = rows.groupBy("meeting", "label", "name").agg(F.max_by(F.struct("idx", "d"), F.struct("d", (-F.col("idx")).alias("i"))).alias("b"))
     known = gallery.where("embedding is not null").select(F.col("name")).distinct().withColumn("_known", F.lit(True))
-    short = F.coalesce(F.col("b.d"), F.lit(0.0)) < MIN_SAMPLE_SEC
+    short = F.coalesce(F.col("b.d"), F.lit(0.0)) < min_sec
     status = F.when(short, "too_short").when(F.col("_known"), "skipped").otherwise("enrol")
     return best.join(known, "name", "left").select("meeting", "label", "name", F.when(~short, F.col("b.idx")).alias("idx"), status.alias("status"))
 
 
-def match_segments(segments: DataFrame, gallery: DataFrame, aliases: DataFrame, dims: int = voices.DIMS) -> DataFrame:
+def match_segments(segments: DataFrame, gallery: DataFrame, aliases: DataFrame, dims: int = voices.DIMS,
+                   threshold: float = voices.ACCEPT) -> DataFrame:
     """Label every row whose own vector has an accepted match; ``matched`` marks them."""
-    hits = voices.top_match(segments, gallery, aliases, ["meeting", "idx"], dims=dims)
+    hits = voices.top_match(segments, gallery, aliases, ["meeting", "idx"], threshold=threshold, dims=dims)
     return (segments.join(hits.select("meeting", "idx", F.col("name").alias("_n")), ["meeting", "idx"], "left")
             .withColumn("matched", F.col("_n").isNotNull()).withColumn("label", F.coalesce("_n", "label")).drop("_n"))
 
 
-def rescan(segments: DataFrame, gallery: DataFrame, aliases: DataFrame, rules: DataFrame, dims: int = voices.DIMS) -> DataFrame:
+def rescan(segments: DataFrame, gallery: DataFrame, aliases: DataFrame, rules: DataFrame, dims: int = voices.DIMS,
+           threshold: float = voices.ACCEPT) -> DataFrame:
     """Reset labels, match every row, inherit by votes, then apply confirmed rules."""
-    return apply_rules(inherit_names(match_segments(reset_labels(segments), gallery, aliases, dims)), rules)
+    matched = cut_lineage(match_segments(reset_labels(segments), gallery, aliases, dims, threshold))
+    return apply_rules(inherit_names(matched), rules)
 
 
 def rescan_from_labels(segments: DataFrame, aliases: DataFrame, mapping: DataFrame) -> DataFrame:
     """Spread hand-set names: to their source, to ids of the same voice cluster, by votes and rules; then join turns."""
-    rules = rules_from_labels(segments, aliases)
-    names = longest_edited(segments, aliases)
-    dominant = dominant_ids(segments, aliases, names)
-    by_id = spread_over_clusters(dominant, mapping)
+    rules = cut_lineage(rules_from_labels(segments, aliases))
+    dominant = dominant_ids(segments, aliases, longest_edited(segments, aliases))
+    by_id = cut_lineage(spread_over_clusters(dominant, mapping))
     rows = reset_labels(segments.withColumn("previous_label", text.strip(F.coalesce("label", F.lit("")))))
     rows = apply_names(restore_known(rows), by_id)
-    return shaping.merge_same_label(apply_rules(inherit_names(rows), rules))
+    return shaping.merge_same_label(apply_rules(inherit_names(cut_lineage(rows)), rules))
 
 
 def sample_vectors(segments: DataFrame, aliases: DataFrame, mapping: DataFrame, clusters: DataFrame,
                    dims: int = voices.DIMS) -> DataFrame:
     """Voice of each hand-set name: its cluster's centroid, else its source's robust centroid, else its longest row's vector."""
-    names = longest_edited(segments, aliases)
-    dominant = dominant_ids(segments, aliases, names).select("meeting", "name", "speaker_id")
+    names = cut_lineage(longest_edited(segments, aliases))
+    dominant = cut_lineage(dominant_ids(segments, aliases, names).select("meeting", "name", "speaker_id"))
     by_cluster = (dominant.join(mapping, ["meeting", "speaker_id"]).join(clusters.select("meeting", "cluster", "centroid"), ["meeting", "cluster"])
                   .select("meeting", "name", F.col("centroid").alias("_v1")))
     said = segments.join(dominant.select("meeting", "speaker_id").distinct(), ["meeting", "speaker_id"], "left_semi")
     centre = voices.robust_centroid(said, ["meeting", "speaker_id"], dims=dims)
     by_source = dominant.join(centre, ["meeting", "speaker_id"]).select("meeting", "name", F.col("embedding").alias("_v2"))
     long = segments.where((F.col("end") - F.col("start") >= MIN_SAMPLE_SEC) & F.col("embedding").isNotNull())
-    from ..functions import vectors
     by_row = names.join(long, ["meeting", "idx"]).select("meeting", "name", vectors.unit("embedding").alias("_v3"))
     key = ["meeting", "name"]
     return (names.select(*key).join(by_cluster, key, "left").join(by_source, key, "left").join(by_row, key, "left")

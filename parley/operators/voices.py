@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from .. import blocks, ordered
 from ..functions import labels, text, vectors
+from ..session import cut_lineage
 
 # Thresholds that decide results.
 DIMS = 192
@@ -161,6 +162,7 @@ def top_match(probes: DataFrame, gallery: DataFrame, aliases: DataFrame, keys: S
 def second_pass(first: DataFrame, probes: DataFrame, gallery: DataFrame, aliases: DataFrame, keys: Sequence[str], *,
                 threshold: float = ACCEPT, dims: int = DIMS) -> DataFrame:
     """Probes left unnamed by ``first`` are tried once more against the whole gallery."""
+    first = cut_lineage(first)
     rest = probes.join(first.select(*keys), list(keys), "left_anti")
     again = top_match(rest, gallery, aliases, keys, threshold=threshold, dims=dims)
     named = first.select(*keys, "name", "score").unionByName(again)
@@ -216,9 +218,10 @@ def robust_centroid(rows: DataFrame, keys: Sequence[str], id: str = "idx", dims:
     rows = rows.where(F.size("embedding") == dims).select(*keys, F.col(id).alias("_id"), "embedding")
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     rows = rows.join(sizes, keys)
-    small = _medoids_small(rows.where(F.col("n") <= block_rows), keys)
-    large = _medoids_large(rows.where(F.col("n") > block_rows), keys, block_rows)
-    medoid = small.unionByName(large)
+    medoid = _medoids_small(rows.where(F.col("n") <= block_rows), keys)
+    if sizes.where(F.col("n") > block_rows).limit(1).count():
+        medoid = medoid.unionByName(_medoids_large(rows.where(F.col("n") > block_rows), keys, block_rows))
+    medoid = cut_lineage(medoid)
     near = (rows.join(medoid.join(rows.select(*keys, F.col("_id").alias("_m"), vectors.unit("embedding").alias("_mv")), [*keys, "_m"]), keys)
             .withColumn("_u", vectors.unit("embedding")).withColumn("_s", vectors.dot("_u", "_mv")))
     cut = _order_statistic(near.select(*keys, "_id", "_s", "n"), keys, CENTROID_PERCENTILE).withColumnRenamed("value", "_q")
@@ -330,20 +333,23 @@ def cleanest_run(windows: DataFrame, keys: Sequence[str] = ("meeting", "idx"), d
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(F.col("w_idx").alias("i"), F.col("_u").alias("u")),
                                             F.struct(F.round("_score", 12).alias("s"), (-F.col("w_idx")).alias("i"))).alias("_m"))
     kept = rows.join(best, keys).where((vectors.dot("_u", "_m.u") >= accept) | (F.col("w_idx") == F.col("_m.i")))
+    # The choice of the run works on scores alone; vectors come back at the end.
+    kept = cut_lineage(kept.select(*keys, "w_idx", "start", "end", "n", "_score", F.col("_m.i").alias("_mid")))
     run = ordered.runs(kept, keys, "w_idx", ["w_idx"], lambda p, r: p["w_idx"] + 1 != r["w_idx"])
     longest = run.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("len")).groupBy(*keys).agg(
         F.max_by("run", F.struct("len", (-F.col("run")).alias("i"))).alias("_r"))
-    chosen = ordered.scan(run.join(longest, keys).where(F.col("run") == F.col("_r")), keys, "w_idx", sums={"_cum": F.col("_score")})
+    chosen = run.join(longest, keys).where(F.col("run") == F.col("_r"))
+    chosen = cut_lineage(ordered.scan(chosen, keys, "w_idx", sums={"_cum": F.col("_score")}))
     # Stretch starts: sums of max_windows scores by position arithmetic on the running sum.
     ends = chosen.select(*keys, (F.col("w_idx") - (max_windows - 1)).alias("w_idx"), F.col("_cum").alias("_end"))
     starts = (chosen.join(ends, [*keys, "w_idx"]).withColumn("_sum", F.round(F.col("_end") - F.col("_cum") + F.col("_score"), 12))
-              .withColumn("_holds", F.col("_m.i").between(F.col("w_idx"), F.col("w_idx") + max_windows - 1))
+              .withColumn("_holds", F.col("_mid").between(F.col("w_idx"), F.col("w_idx") + max_windows - 1))
               .groupBy(*keys).agg(F.max_by("w_idx", F.struct("_holds", "_sum", (-F.col("w_idx")).alias("i"))).alias("_from")))
     cut = chosen.join(starts, keys, "left").where(
         F.col("_from").isNull() | F.col("w_idx").between(F.col("_from"), F.col("_from") + max_windows - 1))
     span = cut.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("n").alias("windows"))
-    centre = mean_vector(cut.select(*keys, "_u"), keys, dims, "_u").withColumnRenamed("n", "kept")
-    return span.join(centre, keys)
+    used = rows.select(*keys, "w_idx", "_u").join(cut.select(*keys, "w_idx"), [*keys, "w_idx"])
+    return span.join(mean_vector(used, keys, dims, "_u").withColumnRenamed("n", "kept"), keys)
 
 
 def purify(segments: DataFrame, gallery: DataFrame, keys: Sequence[str] = ("meeting", "speaker_id"), dims: int = DIMS,

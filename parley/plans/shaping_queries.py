@@ -133,10 +133,10 @@ def _(spark, sf):
     return M.attendance(P.segments(spark, sf), roles, staff)
 
 
-@query("rename_labels", with_ctes("seg") + " SELECT meeting, idx, CASE WHEN label = '👤 Speaker 1' AND conv_id % 2 = 0 THEN 'Lê Chi' ELSE label END AS label FROM seg")
+@query("rename_labels", with_ctes("seg") + " SELECT meeting, idx, CASE WHEN label = '👤 Speaker 1' THEN 'Lê Chi' ELSE label END AS label FROM seg")
 def _(spark, sf):
     seg = P.segments(spark, sf)
-    new = seg.where(F.col("conv_id") % 2 == 0).select("meeting", F.lit("👤 Speaker 1").alias("label"), F.lit(" Lê Chi ").alias("new_label")).distinct()
+    new = seg.select("meeting", F.lit("👤 Speaker 1").alias("label"), F.lit(" Lê Chi ").alias("new_label")).distinct()
     return M.rename_labels(seg, new).select("meeting", "idx", "label")
 
 
@@ -188,12 +188,12 @@ def _(spark, sf):
 
 
 @query("rebuild_from_chunks", with_ctes("seg") + """,
-nn AS (SELECT meeting, speaker_id, row_number() OVER (PARTITION BY meeting ORDER BY min((start, idx))) AS no FROM seg WHERE NOT (speaker = 'Speaker 1' AND conv_id % 2 = 0) GROUP BY meeting, speaker_id),
-seg_ AS (SELECT seg.* EXCLUDE (label), CASE WHEN speaker = 'Speaker 1' AND conv_id % 2 = 0 THEN '👤 Lê Chi' ELSE '👤 Speaker ' || no END AS label FROM seg LEFT JOIN nn USING (meeting, speaker_id)),""" +
+nn AS (SELECT meeting, speaker_id, row_number() OVER (PARTITION BY meeting ORDER BY min((start, idx))) AS no FROM seg WHERE speaker <> 'Speaker 1' GROUP BY meeting, speaker_id),
+seg_ AS (SELECT seg.* EXCLUDE (label), CASE WHEN speaker = 'Speaker 1' THEN '👤 Lê Chi' ELSE '👤 Speaker ' || no END AS label FROM seg LEFT JOIN nn USING (meeting, speaker_id)),""" +
        BY_START.replace("FROM seg)", "FROM seg_)") + ' SELECT * FROM mt')
 def _(spark, sf):
     seg = P.segments(spark, sf)
-    named = seg.where((F.col("speaker") == "Speaker 1") & (F.col("conv_id") % 2 == 0)).select("meeting", "speaker_id", F.lit("Lê Chi").alias("name")).distinct()
+    named = seg.where("speaker = 'Speaker 1'").select("meeting", "speaker_id", F.lit("Lê Chi").alias("name")).distinct()
     return M.rebuild_from_chunks(seg.drop("label"), named).select("meeting", "idx", "start", "end", "label", "speaker_id", "text", "parts")
 
 

@@ -100,13 +100,13 @@ def _(spark, sf):
 
 
 @query("map_chunk_times", with_ctes("loc", "chunk_t") + f""",
-m AS (SELECT meeting, chunk, 0.0::DOUBLE AS d0, max("end") * 0.5::DOUBLE AS d1, 100.0::DOUBLE AS o0 FROM loc WHERE chunk % 3 <> 2 GROUP BY ALL),
+m AS (SELECT meeting, chunk, 0.0::DOUBLE AS d0, max("end") * 0.5::DOUBLE AS d1, 100.0::DOUBLE AS o0 FROM loc GROUP BY ALL HAVING max("end") > 20),
 x AS (SELECT l.*, offset_sec, d0, d1, o0 FROM loc l JOIN chunk_t c ON c.meeting = l.meeting AND c.chunk_index = l.chunk LEFT JOIN m ON m.meeting = l.meeting AND m.chunk = l.chunk)
 SELECT meeting, idx, chunk, {d2('CASE WHEN d0 IS NULL THEN start + offset_sec WHEN start < d0 THEN o0 WHEN start <= d1 THEN o0 + (start - d0) ELSE o0 + (d1 - d0) END')} AS start,
   {d2('CASE WHEN d0 IS NULL THEN "end" + offset_sec WHEN "end" < d0 THEN o0 WHEN "end" <= d1 THEN o0 + ("end" - d0) ELSE o0 + (d1 - d0) END')} AS "end" FROM x""")
 def _(spark, sf):
     seg = P.local_segments(P.segments(spark, sf))
-    maps = P.durations(seg).where(F.col("chunk") % 3 != 2).select(
+    maps = P.durations(seg).where("duration > 20").select(
         "meeting", "chunk", F.lit(0.0).alias("dense_start"), (F.col("duration") * 0.5).alias("dense_end"), F.lit(100.0).alias("orig_start"),
         (F.lit(100.0) + F.col("duration") * 0.5).alias("orig_end"))
     offsets = P.chunks(spark, sf).withColumnRenamed("chunk_index", "chunk")
@@ -120,13 +120,13 @@ def _(spark, sf):
 
 
 @query("merge_transcription_runs", with_ctes("seg") + """,
-kept AS (SELECT *, 1 AS src FROM seg WHERE (conv_id + chunk) % 4 = 0), done AS (SELECT DISTINCT meeting, chunk FROM kept),
+kept AS (SELECT *, 1 AS src FROM seg WHERE speaker = 'Speaker 3'), done AS (SELECT DISTINCT meeting, chunk FROM kept),
 alls AS (SELECT meeting, chunk, idx, start, text, 0 AS src FROM seg WHERE (meeting, chunk) NOT IN (SELECT (meeting, chunk) FROM done)
   UNION ALL SELECT meeting, chunk, idx, start, 'kept' AS text, 1 FROM kept)
 SELECT meeting, row_number() OVER (PARTITION BY meeting ORDER BY start, src, chunk, idx) - 1 AS idx, chunk, start, text FROM alls""")
 def _(spark, sf):
     seg = P.segments(spark, sf)
-    kept = seg.where((F.col("conv_id") + F.col("chunk")) % 4 == 0).withColumn("text", F.lit("kept"))
+    kept = seg.where("speaker = 'Speaker 3'").withColumn("text", F.lit("kept"))
     return L.merge_runs(seg, kept).select("meeting", "idx", "chunk", "start", "text")
 
 

@@ -20,17 +20,17 @@ def _(spark, sf):
     return U.meeting_detail(P.meetings(spark, sf), "12").select("meeting", "title", "status", "meeting_summary")
 
 
-@query("reuse_by_content", with_ctes("meet") + """,
-k AS (SELECT md5(role_of) AS hash, meeting, status, creation, CASE WHEN status IN ('Completed', 'Analyzed', 'Synced') THEN 0 WHEN status IN ('Processing', 'Pending') THEN 1 ELSE 2 END AS kind
-  FROM (SELECT *, substring(content, 1, 2) AS role_of FROM meet)),
-b AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY kind, creation DESC, meeting) AS r FROM k)
-SELECT doc_id AS upload, md5(substring(text, 1, 2)) AS hash, meeting, CASE kind WHEN 0 THEN 'reuse' WHEN 1 THEN 'wait' WHEN 2 THEN 'retry' ELSE 'new' END AS action
-FROM documents LEFT JOIN b ON b.hash = md5(substring(text, 1, 2)) AND r = 1""")
+@query("reuse_by_content", """
+WITH k AS (SELECT md5(text) AS hash, CAST(doc_id AS VARCHAR) AS meeting, doc_id, CASE doc_id % 6 WHEN 0 THEN 'Completed' WHEN 1 THEN 'Analyzed' WHEN 2 THEN 'Processing' WHEN 3 THEN 'Error' WHEN 4 THEN 'Partial Error' ELSE 'Draft' END AS status FROM documents),
+r AS (SELECT *, CASE WHEN status IN ('Completed', 'Analyzed') THEN 0 WHEN status = 'Processing' THEN 1 WHEN status = 'Draft' THEN NULL ELSE 2 END AS kind FROM k),
+b AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY kind, doc_id DESC) AS n FROM r WHERE kind IS NOT NULL)
+SELECT d.doc_id AS upload, md5(text) AS hash, meeting, CASE kind WHEN 0 THEN 'reuse' WHEN 1 THEN 'wait' WHEN 2 THEN 'retry' ELSE 'new' END AS action FROM documents d LEFT JOIN b ON b.hash = md5(text) AND n = 1""")
 def _(spark, sf):
-    # The content compared is a short code of each text, so that uploads repeat.
-    code = lambda c: F.substring(c, 1, 2)
-    docs = P.table(spark, sf, "documents").select(F.col("doc_id").alias("upload"), code("text").alias("content"))
-    return U.reuse_by_content(docs, P.meetings(spark, sf).withColumn("content", code("content")))
+    d = P.table(spark, sf, "documents")
+    k = F.col("doc_id") % 6
+    status = F.when(k == 0, "Completed").when(k == 1, "Analyzed").when(k == 2, "Processing").when(k == 3, "Error").when(k == 4, "Partial Error").otherwise("Draft")
+    known = d.select(F.col("doc_id").cast("string").alias("meeting"), F.col("text").alias("content"), status.alias("status"), F.timestamp_seconds("doc_id").alias("creation"))
+    return U.reuse_by_content(d.select(F.col("doc_id").alias("upload"), F.col("text").alias("content")), known)
 
 
 @query("meeting_status", with_ctes("chunk_t") + """,
@@ -43,12 +43,12 @@ def _(spark, sf):
 
 
 @query("meeting_usage", with_ctes("chunk_t", "meet") + """,
-s AS (SELECT meeting, sum(stt_prompt_tokens) AS p, sum(stt_completion_tokens) AS c, sum(stt_total_tokens) AS t, sum(stt_cost_usd) AS d FROM chunk_t WHERE conv_id % 3 <> 0 GROUP BY meeting)
+s AS (SELECT meeting, sum(stt_prompt_tokens) AS p, sum(stt_completion_tokens) AS c, sum(stt_total_tokens) AS t, sum(stt_cost_usd) AS d FROM chunk_t WHERE status = 'Completed' GROUP BY meeting)
 SELECT meeting, CAST(coalesce(p, fallback_prompt) AS BIGINT) AS prompt_tokens, CAST(coalesce(c, fallback_completion) AS BIGINT) AS completion_tokens,
   CAST(coalesce(t, fallback_prompt + fallback_completion) AS BIGINT) AS total_tokens,
   round(coalesce(d, fallback_prompt * (0.75::DOUBLE / 1000000) + fallback_completion * (3.75::DOUBLE / 1000000)), 9) AS cost_usd FROM meet LEFT JOIN s USING (meeting)""")
 def _(spark, sf):
-    c = P.chunks(spark, sf).where(F.col("conv_id") % 3 != 0)
+    c = P.chunks(spark, sf).where("status = 'Completed'")
     return U.meeting_usage(P.meetings(spark, sf), c).withColumn("cost_usd", F.round("cost_usd", 9))
 
 
@@ -101,17 +101,17 @@ def _(spark, sf):
     return U.progress(P.chunks(spark, sf))
 
 
-@query("chunks_to_run", with_ctes("chunk_t") + " SELECT meeting, chunk_index, status FROM chunk_t WHERE status <> 'Completed' AND NOT (conv_id % 2 = 0 AND chunk_index % 2 = 0)")
+@query("chunks_to_run", with_ctes("chunk_t") + " SELECT meeting, chunk_index, status FROM chunk_t WHERE status <> 'Completed' AND (meeting, chunk_index) NOT IN (SELECT (meeting, chunk) FROM seg WHERE speaker = 'Speaker 2')")
 def _(spark, sf):
-    done = P.segments(spark, sf).where((F.col("conv_id") % 2 == 0) & (F.col("chunk") % 2 == 0))
+    done = P.segments(spark, sf).where("speaker = 'Speaker 2'")
     return U.chunks_to_run(P.chunks(spark, sf), done).select("meeting", "chunk_index", "status")
 
 
 @query("patch_meetings", with_ctes("meet") + """
-SELECT meeting, CASE WHEN conv_id % 2 = 0 THEN 'mới' ELSE title END AS title, conclusion AS conclusion, CASE WHEN conv_id % 2 = 0 THEN owner || '!' ELSE meeting_summary END AS meeting_summary FROM meet""")
+SELECT meeting, CASE WHEN status = 'Completed' THEN 'mới' ELSE title END AS title, conclusion AS conclusion, CASE WHEN status = 'Completed' THEN owner || '!' ELSE meeting_summary END AS meeting_summary FROM meet""")
 def _(spark, sf):
     m = P.meetings(spark, sf)
-    patch = m.where(F.col("conv_id") % 2 == 0).select("meeting", F.lit(" mới ").alias("title"), F.lit(None).cast("string").alias("conclusion"), F.concat("owner", F.lit("!")).alias("meeting_summary"))
+    patch = m.where("status = 'Completed'").select("meeting", F.lit(" mới ").alias("title"), F.lit(None).cast("string").alias("conclusion"), F.concat("owner", F.lit("!")).alias("meeting_summary"))
     return U.patch_rows(m, patch, ["title", "conclusion", "meeting_summary"]).select("meeting", "title", "conclusion", "meeting_summary")
 
 

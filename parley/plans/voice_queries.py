@@ -139,7 +139,7 @@ WITH u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lam
 p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.label = b.label),
 m AS (SELECT label, a, median(s) AS med FROM p GROUP BY ALL), md AS (SELECT label, arg_max(a, (round(med, 12), -a)) AS m FROM m GROUP BY label),
 n AS (SELECT p.label, b, s, greatest(0.45::DOUBLE, quantile_cont(s, 0.25) OVER (PARTITION BY p.label)) AS cut FROM p JOIN md ON md.label = p.label AND md.m = p.a),
-k AS (SELECT n.label, n.b FROM n WHERE s >= cut), x AS (SELECT k.label, d, avg(x) AS x, count(*) AS kept FROM (SELECT k.label, unnest(u.v) AS x, generate_subscripts(u.v, 1) AS d FROM k JOIN u ON u.vec_id = k.b) k GROUP BY ALL),
+k AS (SELECT label, b FROM (SELECT *, count(*) FILTER (s >= cut) OVER (PARTITION BY label) AS kc FROM n) WHERE s >= cut OR kc < 2), x AS (SELECT k.label, d, avg(x) AS x, count(*) AS kept FROM (SELECT k.label, unnest(u.v) AS x, generate_subscripts(u.v, 1) AS d FROM k JOIN u ON u.vec_id = k.b) k GROUP BY ALL),
 c AS (SELECT label, any_value(kept) AS kept, list(x ORDER BY d) AS m FROM x GROUP BY label), e AS (SELECT label, kept, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS e FROM c)
 SELECT label, kept, """ + SUMMARY + " FROM e")
 def _(spark, sf):
