@@ -71,7 +71,7 @@ def prune_scores(scores: DataFrame, keys: Sequence[str], row: str, col: str) ->
     """
     keys = list(keys)
     count = scores.groupBy(*keys).agg(F.countDistinct(row).alias("_rows"), F.countDistinct(col).alias("_cols"))
-    sized = scores.join(count, keys).withColumn("_small", F.when(F.col("_rows") <= F.col("_cols"), F.col(row)).otherwise(F.col(col)))
+    sized = scores.join(count, keys).withColumn("_small", F.when(F.col("_rows") <= F.col("_cols"), F.col(row).cast("string")).otherwise(F.col(col).cast("string")))
     order = W.partitionBy(*keys, "_small").orderBy(F.desc("score"), row, col)
     return (sized.withColumn("_r", F.row_number().over(order))
             .where(F.col("_r") <= F.least("_rows", "_cols")).drop("_r", "_small"))

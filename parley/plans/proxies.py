@@ -99,7 +99,10 @@ def meetings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+    return calls_from(table(spark, sf, "events"))
+
+
+def calls_from(e: DataFrame) -> DataFrame:
     whole = lambda x: F.floor(F.col("value") * x).cast("long")
     return e.select(F.col("user_id").cast("string").alias("session"), F.concat(F.lit("a"), F.floor(F.col("event_id") / 3).cast("string")).alias("action"),
                     F.lit("stt").alias("call_type"), F.col("event_type").alias("ai_model"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"),

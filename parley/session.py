@@ -29,14 +29,11 @@ def build_session(app: str = "parley", master: str | None = None, shuffle_partit
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder and start a new plan.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the one the session names in ``spark.checkpoint.dir``.
 
-    Files in a shared folder outlive the executors that wrote them. The folder
-    is the one the session names in ``spark.checkpoint.dir``; a temporary one is
-    taken only where none is set and the master is local.
+    A temporary folder is taken only where none is named and the master is local.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -45,4 +42,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative operators")
             named = tempfile.mkdtemp(prefix="parley-ckpt-")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and start a new plan.
+
+    Files there outlive the executors that wrote them.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

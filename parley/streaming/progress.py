@@ -7,15 +7,20 @@ the query brings the state back.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..session import shared_folder
 
 CHUNK_EVENTS = "meeting STRING, chunk_index INT, status STRING, ts TIMESTAMP"
 CALL_EVENTS = "session STRING, ai_model STRING, prompt_tokens BIGINT, completion_tokens BIGINT, chars_used BIGINT, ts TIMESTAMP"
 
 
-def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: str | StructType, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
@@ -41,11 +46,21 @@ def session_counters(calls: DataFrame) -> DataFrame:
         F.max("ts").alias("last_active_at"))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "complete") -> StreamingQuery:
-    """Run a stream over everything that is there into an in-memory table and stop."""
-    w = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
-    q = w.start()
+def run_to_table(stream: DataFrame, keys: Sequence[str], folder: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and return its latest row per key.
+
+    Every micro-batch writes its updated rows under its own number, so a batch
+    that is run again after a failure replaces itself. Nothing passes the driver.
+    """
+    spark = stream.sparkSession
+    folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    q = (stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return q
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
