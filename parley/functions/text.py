@@ -52,8 +52,12 @@ def clean_segment_text(c: str | Column) -> Column:
     t = F.regexp_replace(t, r"(?U)\s+", " ")
     t = F.regexp_replace(t, r"(?U)\s+([,.!?;:])", "$1")
     only = t.rlike(r"(?iU)^\s*(?:" + "|".join(FILLER_ONLY) + r")[\s,.!?;:]*\z")
+    # Phrases go one after the other, since one removal can bring the parts of another together;
+    # a turn without any of them skips them all.
+    u = t
     for phrase in FILLER_PHRASES:
-        t = F.regexp_replace(t, r"(?iU)(?<!\w)" + phrase + r"(?!\w)[\s,]*", "")
+        u = F.regexp_replace(u, r"(?iU)(?<!\w)" + phrase + r"(?!\w)[\s,]*", "")
+    t = F.when(t.rlike(r"(?iU)(?<!\w)(?:" + "|".join(FILLER_PHRASES) + r")(?!\w)"), u).otherwise(t)
     t = F.regexp_replace(t, r"(?iU)(?<!\w)(\w+)(?:\s+\1(?!\w))+", "$1")
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), "^[ ,]+|[ ,]+$", "")
     t = F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 2**31 - 1))

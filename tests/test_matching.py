@@ -154,7 +154,7 @@ def test_group_strangers(spark):
 
 
 def test_identification_end_to_end(spark):
-    """Two voices, three speaker ids; clusters name them, one voice is unknown to the gallery."""
+    """Two voices named by clusters and by centroids; a voice the gallery lacks gets a number."""
     base = np.eye(D)
     rnd = np.random.default_rng(3)
     noisy = lambda v: unit(v + 0.05 * rnd.normal(size=D)).tolist()
@@ -162,15 +162,18 @@ def test_identification_end_to_end(spark):
     plan = [0] * 8 + [1] * 16
     rows = [("m", i, i, f"s{w}", f"S{w}", 3.0 * i, 3.0 * i + 3.0, "một hai ba bốn" if w else "một hai", noisy(base[w])) for i, w in enumerate(plan)]
     df = spark.createDataFrame(rows, "meeting string, idx long, w_idx long, speaker_id string, speaker string, start double, end double, text string, embedding array<double>")
-    by_clusters = G.identify_by_clusters(df, df, gallery, D)
+    # two windows of noise take the two spare clusters
+    noise = spark.createDataFrame([("m", 24 + i, 72.0 + 3 * i, 75.0 + 3 * i, base[2 + i].tolist()) for i in range(2)], "meeting string, w_idx long, start double, end double, embedding array<double>")
+    windows = df.select("meeting", "w_idx", "start", "end", "embedding").unionByName(noise)
+    by_clusters = G.identify_by_clusters(df, windows, gallery, D)
     by_centroids = G.identify_by_centroids(df, gallery, D)
     assert {r.speaker_id: r.name for r in by_centroids.collect()} == {"s0": "An", "s1": "Bình"}
     full = G.identify_with_fallback(df, by_clusters, by_centroids).collect()
     assert {r.speaker_id: r.name for r in full} == {"s0": "An", "s1": "Bình"}
     none = G.identify_with_fallback(df, by_clusters.where("false"), by_centroids.where("false")).collect()
     assert {(r.name, r.source) for r in none} == {("Speaker", "none")}
-    members, facts, mapping = G.analyse_voices(df, df, D)
-    assert {r.speaker_id for r in G.cluster_samples(df, members, mapping).collect()} == {"s0", "s1"}
+    members, facts, mapping = G.analyse_voices(df, windows, D)
+    assert {r.speaker_id for r in G.cluster_samples(windows, members, mapping).collect()} == {"s0", "s1"}
     named = G.name_clusters(facts, gallery.where("name = 'An'"), D)
     assert sorted(r.name for r in named.collect()) == ["An", "Speaker 1"]
     assert V.identify(df, gallery, ["meeting", "idx"], dims=D).where("name = 'An'").count() == 8
