@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,13 +17,19 @@ DATETIME_FORMATS = [
 ]
 
 
+def _shape(layout: str) -> str:
+    return "^" + re.sub(r"[dMHms]", r"\\d{1,2}", layout.replace("yyyy", "####")).replace("####", r"\d{4}") + "$"
+
+
 def parse_seconds(c: str | Column) -> Column:
     """Seconds from a number, M:SS or H:M:SS; 0 for anything else."""
     t = strip(col(c).cast("string"))
     p = F.split(t, ":")
     n = [F.get(p, F.lit(i)).try_cast("double") for i in range(3)]
     clock = F.when(F.size(p) == 2, n[0] * 60 + n[1]).when(F.size(p) == 3, n[0] * 3600 + n[1] * 60 + n[2])
-    return F.coalesce(t.try_cast("double"), clock, F.lit(0.0))
+    # A failed cast costs an exception, so clock texts do not try it.
+    number = F.when(~F.contains(t, F.lit(":")), t.try_cast("double"))
+    return F.coalesce(number, clock, F.lit(0.0))
 
 
 def parse_user_datetime(c: str | Column) -> Column:
@@ -30,7 +38,8 @@ def parse_user_datetime(c: str | Column) -> Column:
     zoned = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*(Z|[+-]\d{2}(:?\d{2})?)$"),
                    t.try_cast("timestamp").cast("timestamp_ntz"))
     plain = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"), t.try_cast("timestamp_ntz"))
-    rest = [F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in DATETIME_FORMATS]
+    # A failed parse costs an exception, so each layout first looks at the shape of the text.
+    rest = [F.when(t.rlike(_shape(f)), F.try_to_timestamp(t, F.lit(f))).cast("timestamp_ntz") for f in DATETIME_FORMATS]
     return F.coalesce(zoned, plain, *rest)
 
 

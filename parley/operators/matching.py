@@ -350,9 +350,10 @@ def match_speakers(centroids: DataFrame, gallery: DataFrame, dims: int = voices.
     return pairs.where(F.col("score") >= threshold)
 
 
-def identify_by_centroids(windows: DataFrame, gallery: DataFrame, dims: int = voices.DIMS) -> DataFrame:
+def identify_by_centroids(windows: DataFrame, gallery: DataFrame, dims: int = voices.DIMS,
+                          threshold: float = voices.ACCEPT) -> DataFrame:
     """Turn windows with vectors → robust centroid per speaker → names."""
-    return match_speakers(voices.robust_centroid(windows, ["meeting", "speaker_id"], dims=dims), gallery, dims)
+    return match_speakers(voices.robust_centroid(windows, ["meeting", "speaker_id"], dims=dims), gallery, dims, threshold)
 
 
 def analyse_voices(segments: DataFrame, windows: DataFrame, dims: int = voices.DIMS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -366,10 +367,11 @@ def analyse_voices(segments: DataFrame, windows: DataFrame, dims: int = voices.D
     return members, facts, cut_lineage(map_speakers(segments, facts))
 
 
-def identify_by_clusters(segments: DataFrame, windows: DataFrame, gallery: DataFrame, dims: int = voices.DIMS) -> DataFrame:
+def identify_by_clusters(segments: DataFrame, windows: DataFrame, gallery: DataFrame, dims: int = voices.DIMS,
+                         threshold: float = voices.ACCEPT) -> DataFrame:
     """Names by voice clusters, independent of turn times."""
     _, facts, mapping = analyse_voices(segments, windows, dims)
-    return mapping.join(name_clusters(facts, gallery, dims), ["meeting", "cluster"]).select("meeting", "speaker_id", "name", "score")
+    return mapping.join(name_clusters(facts, gallery, dims, threshold), ["meeting", "cluster"]).select("meeting", "speaker_id", "name", "score")
 
 
 def identify_with_fallback(speakers: DataFrame, by_clusters: DataFrame, by_centroids: DataFrame) -> DataFrame:

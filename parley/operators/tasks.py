@@ -120,7 +120,8 @@ def split_long_text(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int =
 def parse_answers(answers: DataFrame) -> DataFrame:
     """Answer text of every part (doc_id, part, answer) to a typed struct; bad JSON gives null."""
     data = F.from_json(text.unfence_json("answer"), ANSWER_SCHEMA + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
-    rows = answers.withColumn("data", data)
+    # explode of one element keeps the parse from being repeated per field read from it
+    rows = answers.select(*[c for c in answers.columns if c != "data"], F.explode(F.array(data)).alias("data"))
     return rows.withColumn("data", F.when(F.col("data._bad").isNull(), F.col("data").dropFields("_bad")))
 
 

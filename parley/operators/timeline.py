@@ -273,9 +273,8 @@ def plan_chunks(frames: DataFrame, durations: DataFrame, target_sec: float = 300
         end = F.when(target >= total, total).otherwise(chosen)
         end = F.least(end, begin + cap, total)
         end = F.when(end <= begin, F.least(total, begin + ideal)).otherwise(end)
-        done = begin >= total
-        return F.struct(F.when(done, begin).otherwise(end).cast("long").alias("at"),
-                        F.when(done, acc["cuts"]).otherwise(F.concat(acc["cuts"], F.array(end.cast("long")))).alias("cuts"))
+        onward = F.transform(F.array(end.cast("long")), lambda e: F.struct(e.alias("at"), F.concat(acc["cuts"], F.array(e)).alias("cuts")))
+        return F.when(begin >= total, acc).otherwise(F.get(onward, F.lit(0)))
 
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("total") / max(1, ideal // 2)).cast("int") + 1))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("cuts"))
@@ -312,10 +311,11 @@ def turn_windows(segments: DataFrame, speech: DataFrame | None = None, source: s
 
 def speech_windows(speech: DataFrame, window: float = 3.0, min_sec: float = 1.6, at_most: int = 240) -> DataFrame:
     """Tumbling windows inside speech, sampled evenly down to ``at_most`` per meeting."""
-    count = F.floor((F.col("end") - min_sec - F.col("start")) / window).cast("int")
+    count = F.floor((F.col("end") - F.col("start")) / window).cast("int")
+    fits = (F.col("a") + min_sec <= F.col("end")) & (F.least("end", F.col("a") + window) - F.col("a") >= min_sec)
     each = (speech.where(F.col("start") + min_sec <= F.col("end"))
             .select("meeting", "ord", "start", "end", F.explode(F.sequence(F.lit(0), count)).alias("k"))
-            .withColumn("a", F.col("start") + F.col("k") * window)
+            .withColumn("a", F.col("start") + F.col("k") * window).where(fits)
             .select("meeting", "ord", "k", exact_round("a").alias("start"),
                     exact_round(F.least("end", F.col("a") + window)).alias("end")))
     numbered = ordered.number_rows(each, ["meeting"], "ord", ties=("k",), name="r")
@@ -341,12 +341,13 @@ def enrol_windows(samples: DataFrame, window: float = 3.0, min_sec: float = 1.0)
 
 def sliding_windows(segments: DataFrame, window: float = 2.0, step: float = 1.0, min_sec: float = 1.5) -> DataFrame:
     """Overlapping windows over a turn, used to find its cleanest stretch."""
-    count = F.floor((F.col("end") - min_sec - F.col("start")) / step).cast("int")
-    return (segments.where(F.col("start") + min_sec <= F.col("end"))
+    count = F.floor((F.col("end") - F.col("start")) / step).cast("int")
+    each = (segments.where(F.col("start") + min_sec <= F.col("end"))
             .select("meeting", "idx", F.col("start").alias("s"), F.col("end").alias("e"),
                     F.explode(F.sequence(F.lit(0), count)).alias("w_idx"))
-            .select("meeting", "idx", F.col("w_idx").cast("long"), (F.col("s") + F.col("w_idx") * step).alias("start"),
-                    F.least("e", F.col("s") + F.col("w_idx") * step + window).alias("end")))
+            .select("meeting", "idx", F.col("w_idx").cast("long"), (F.col("s") + F.col("w_idx") * step).alias("start"), "e"))
+    fits = (F.col("start") + min_sec <= F.col("e")) & (F.least("e", F.col("start") + window) - F.col("start") >= min_sec)
+    return each.where(fits).select("meeting", "idx", "w_idx", "start", F.least("e", F.col("start") + window).alias("end"))
 
 
 def choose_samples(segments: DataFrame, keys: Sequence[str] = ("meeting", "speaker_id"), max_total: float = 25.0,

@@ -161,7 +161,7 @@ def _(spark, sf):
 
 @query("rescan_meetings", with_ctes("voice", "gal") + """,
 sim AS (SELECT v.meeting, v.idx, g.name, list_cosine_similarity(v.embedding, g.embedding) AS score FROM voice v, gal g),
-hit AS (SELECT meeting, idx, arg_max(name, score) AS name FROM sim GROUP BY ALL HAVING max(score) >= 0.45),
+hit AS (SELECT meeting, idx, arg_max(name, score) AS name FROM sim GROUP BY ALL HAVING max(score) >= 0.3),
 mx AS (SELECT v.*, 'source:' || v.speaker_id AS sk, h.name IS NOT NULL AS matched, coalesce(h.name, v.speaker) AS l FROM voice v LEFT JOIN hit h USING (meeting, idx)),
 v1 AS (SELECT meeting, sk, l, count(*) AS n, min(idx) AS f FROM mx WHERE matched GROUP BY ALL), w1 AS (SELECT meeting, sk, arg_max(l, (n, -f)) AS w FROM v1 GROUP BY ALL),
 v2 AS (SELECT meeting, chunk, l, count(*) AS n, min(idx) AS f FROM mx WHERE matched GROUP BY ALL), w2 AS (SELECT meeting, chunk, arg_max(l, (n, -f)) AS w FROM v2 GROUP BY ALL)
@@ -171,7 +171,7 @@ def _(spark, sf):
     v = probe_vec(spark, sf)
     g = P.gallery(spark, sf)
     rules = v.where("voice = 0").select("meeting", F.concat(F.lit("source:"), "speaker_id").alias("key"), F.lit("Lê Chi").alias("name")).distinct()
-    return L.rescan(v, g, V.alias_table(g), rules, DIMS, threshold=0.45).select("meeting", "idx", "label", "matched")
+    return L.rescan(v, g, V.alias_table(g), rules, DIMS, threshold=0.3).select("meeting", "idx", "label", "matched")
 
 
 @query("rescan_from_labels")

@@ -161,7 +161,8 @@ def _(spark, sf):
 
 
 @query("speech_windows", with_ctes("spk") + f""",
-e AS (SELECT meeting, ord, k, start + k * 3.0::DOUBLE AS a, "end" FROM (SELECT *, unnest(range(0, CAST(floor(("end" - 1.6::DOUBLE - start) / 3.0::DOUBLE) AS BIGINT) + 1)) AS k FROM spk WHERE start + 1.6::DOUBLE <= "end")),
+e AS (SELECT meeting, ord, k, start + k * 3.0::DOUBLE AS a, "end" FROM (SELECT *, unnest(range(0, CAST(floor(("end" - start) / 3.0::DOUBLE) AS BIGINT) + 1)) AS k FROM spk)
+  WHERE start + k * 3.0::DOUBLE + 1.6::DOUBLE <= "end" AND least("end", start + k * 3.0::DOUBLE + 3.0) - (start + k * 3.0::DOUBLE) >= 1.6::DOUBLE),
 r AS (SELECT *, row_number() OVER (PARTITION BY meeting ORDER BY ord, k) - 1 AS r, count(*) OVER (PARTITION BY meeting) AS n FROM e),
 s AS (SELECT meeting, n, unnest(range(0, least(n, 40))) AS i FROM (SELECT DISTINCT meeting, n FROM r))
 SELECT s.meeting, s.i AS w_idx, {d2('a')} AS start, {d2('least("end", a + 3.0::DOUBLE)')} AS "end"
@@ -181,7 +182,8 @@ def _(spark, sf):
 
 @query("sliding_windows", with_ctes("seg") + """
 SELECT meeting, idx, k AS w_idx, start + k * 1.0::DOUBLE AS start, least("end", start + k * 1.0::DOUBLE + 2.0::DOUBLE) AS "end" FROM (
-  SELECT *, unnest(range(0, CAST(floor(("end" - 1.5::DOUBLE - start) / 1.0::DOUBLE) AS BIGINT) + 1)) AS k FROM seg WHERE start + 1.5::DOUBLE <= "end")""")
+  SELECT *, unnest(range(0, CAST(floor("end" - start) AS BIGINT) + 1)) AS k FROM seg)
+WHERE start + k * 1.0::DOUBLE + 1.5::DOUBLE <= "end" AND least("end", start + k * 1.0::DOUBLE + 2.0) - (start + k * 1.0::DOUBLE) >= 1.5""")
 def _(spark, sf):
     return L.sliding_windows(P.segments(spark, sf))
 

@@ -1,4 +1,7 @@
-"""Voice vectors over the embedding table."""
+"""Voice vectors over the embedding table.
+
+Its vectors lie far apart, so acceptance thresholds are set lower than usual.
+"""
 
 from pyspark.sql import functions as F
 
@@ -37,14 +40,14 @@ def _(spark, sf):
     return V.rank_names(probe_vec(spark, sf), P.gallery(spark, sf), ["vec_id"], dims=DIMS).withColumn("score", F.round("score", 6))
 
 
-@query("identify_voice", with_ctes("voice", "gal") + "," + SIM + " SELECT vec_id, CASE WHEN score >= 0.8 THEN name ELSE 'Speaker' END AS name, round(score, 6) AS score FROM rk WHERE rank = 1")
+@query("identify_voice", with_ctes("voice", "gal") + "," + SIM + " SELECT vec_id, CASE WHEN score >= 0.35 THEN name ELSE 'Speaker' END AS name, round(score, 6) AS score FROM rk WHERE rank = 1")
 def _(spark, sf):
-    return V.identify(probe_vec(spark, sf), P.gallery(spark, sf), ["vec_id"], threshold=0.8, dims=DIMS).withColumn("score", F.round("score", 6))
+    return V.identify(probe_vec(spark, sf), P.gallery(spark, sf), ["vec_id"], threshold=0.35, dims=DIMS).withColumn("score", F.round("score", 6))
 
 
-@query("identify_ranked", with_ctes("voice", "gal") + "," + SIM + " SELECT vec_id, name, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE score >= 0.5")
+@query("identify_ranked", with_ctes("voice", "gal") + "," + SIM + " SELECT vec_id, name, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE score >= 0.3")
 def _(spark, sf):
-    return V.identify_ranked(probe_vec(spark, sf), P.gallery(spark, sf), ["vec_id"], dims=DIMS).withColumn("score", F.round("score", 6))
+    return V.identify_ranked(probe_vec(spark, sf), P.gallery(spark, sf), ["vec_id"], threshold=0.3, dims=DIMS).withColumn("score", F.round("score", 6))
 
 
 def with_doubles(g):
@@ -53,10 +56,10 @@ def with_doubles(g):
     return twice, V.alias_table(twice)
 
 
-@query("top_match", with_ctes("voice", "gal") + "," + SIM + " SELECT vec_id, name, round(score, 6) AS score FROM rk WHERE rank = 1 AND score >= 0.5")
+@query("top_match", with_ctes("voice", "gal") + "," + SIM + " SELECT vec_id, name, round(score, 6) AS score FROM rk WHERE rank = 1 AND score >= 0.3")
 def _(spark, sf):
     g, aliases = with_doubles(P.gallery(spark, sf))
-    return V.top_match(probe_vec(spark, sf), g, aliases, ["vec_id"], dims=DIMS).withColumn("score", F.round("score", 6))
+    return V.top_match(probe_vec(spark, sf), g, aliases, ["vec_id"], threshold=0.3, dims=DIMS).withColumn("score", F.round("score", 6))
 
 
 ALLOWED = """
@@ -72,15 +75,15 @@ def _(spark, sf):
 
 
 @query("second_pass_match", with_ctes("voice", "gal") + "," + SIM + "," + ALLOWED + """,
-f AS (SELECT vec_id, name, score FROM ra WHERE r = 1 AND score >= 0.5 UNION ALL SELECT vec_id, name, score FROM rk WHERE rank = 1 AND score >= 0.5 AND meeting NOT IN (SELECT meeting FROM al)),
-s AS (SELECT vec_id, name, score FROM rk WHERE rank = 1 AND score >= 0.5 AND vec_id NOT IN (SELECT vec_id FROM f))
+f AS (SELECT vec_id, name, score FROM ra WHERE r = 1 AND score >= 0.3 UNION ALL SELECT vec_id, name, score FROM rk WHERE rank = 1 AND score >= 0.3 AND meeting NOT IN (SELECT meeting FROM al)),
+s AS (SELECT vec_id, name, score FROM rk WHERE rank = 1 AND score >= 0.3 AND vec_id NOT IN (SELECT vec_id FROM f))
 SELECT vec_id, meeting, coalesce(n.name, 'Speaker') AS name, round(coalesce(n.score, 0), 6) AS score FROM voice LEFT JOIN (SELECT * FROM f UNION ALL SELECT * FROM s) n USING (vec_id)""")
 def _(spark, sf):
     v = probe_vec(spark, sf)
     g, aliases = with_doubles(P.gallery(spark, sf))
     allowed = v.where("voice < 5").select("meeting", F.concat(F.lit("👤 voice_"), F.col("voice").cast("string"), F.lit("_0 - Voice Speaker")).alias("name")).distinct()
-    first = V.top_match(v, g, aliases, ["meeting", "vec_id"], allowed=allowed, dims=DIMS)
-    return V.second_pass(first, v, g, aliases, ["meeting", "vec_id"], dims=DIMS).withColumn("score", F.round("score", 6))
+    first = V.top_match(v, g, aliases, ["meeting", "vec_id"], allowed=allowed, threshold=0.3, dims=DIMS)
+    return V.second_pass(first, v, g, aliases, ["meeting", "vec_id"], threshold=0.3, dims=DIMS).withColumn("score", F.round("score", 6))
 
 
 @query("alias_table", with_ctes("gal") + """
@@ -197,7 +200,7 @@ def _(spark, sf):
 
 
 @query("greedy_best_names", with_ctes("voice", "gal") + "," + SIM + """,
-b AS (SELECT meeting, speaker_id, name, max(score) AS score FROM sim WHERE score >= 0.5 GROUP BY ALL)
+b AS (SELECT meeting, speaker_id, name, max(score) AS score FROM sim WHERE score >= 0.3 GROUP BY ALL)
 SELECT meeting, speaker_id, arg_min(name, (-score, name)) AS name, round(max(score), 6) AS score FROM b GROUP BY ALL""")
 def _(spark, sf):
     return G.greedy_best(candidates(spark, sf)).withColumn("score", F.round("score", 6))
@@ -205,7 +208,7 @@ def _(spark, sf):
 
 def candidates(spark, sf):
     """Names each speaker id of a meeting could take: the best score of its vectors per name."""
-    r = V.identify_ranked(probe_vec(spark, sf), P.gallery(spark, sf), ["meeting", "speaker_id", "vec_id"], dims=DIMS)
+    r = V.identify_ranked(probe_vec(spark, sf), P.gallery(spark, sf), ["meeting", "speaker_id", "vec_id"], threshold=0.3, dims=DIMS)
     return r.groupBy("meeting", "speaker_id", "name").agg(F.max("score").alias("score"))
 
 
@@ -256,24 +259,24 @@ def _(spark, sf):
 def _(spark, sf):
     v = probe_vec(spark, sf)
     f = G.cluster_facts(v, v.select("meeting", "w_idx", F.col("voice").cast("long").alias("cluster")), DIMS, min_windows=3)
-    return G.name_clusters(f, P.gallery(spark, sf), DIMS).withColumn("score", F.round("score", 6))
+    return G.name_clusters(f, P.gallery(spark, sf), DIMS, 0.2).withColumn("score", F.round("score", 6))
 
 
 @query("identify_by_centroids")
 def _(spark, sf):
-    return G.identify_by_centroids(by_voice(probe_vec(spark, sf)), P.gallery(spark, sf), DIMS).withColumn("score", F.round("score", 6))
+    return G.identify_by_centroids(by_voice(probe_vec(spark, sf)), P.gallery(spark, sf), DIMS, 0.2).withColumn("score", F.round("score", 6))
 
 
 @query("identify_by_clusters")
 def _(spark, sf):
     v = by_voice(probe_vec(spark, sf))
-    return G.identify_by_clusters(v, v, P.gallery(spark, sf), DIMS).withColumn("score", F.round("score", 6))
+    return G.identify_by_clusters(v, v, P.gallery(spark, sf), DIMS, 0.2).withColumn("score", F.round("score", 6))
 
 
 @query("identify_with_fallback")
 def _(spark, sf):
     v, g = by_voice(probe_vec(spark, sf)), P.gallery(spark, sf)
-    return G.identify_with_fallback(v, G.identify_by_clusters(v, v, g, DIMS), G.identify_by_centroids(v, g, DIMS)).withColumn("score", F.round("score", 6))
+    return G.identify_with_fallback(v, G.identify_by_clusters(v, v, g, DIMS, 0.2), G.identify_by_centroids(v, g, DIMS, 0.2)).withColumn("score", F.round("score", 6))
 
 
 @query("cluster_voice_samples")
