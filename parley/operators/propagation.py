@@ -183,7 +183,9 @@ def samples_to_enrol(segments: DataFrame, mapping: DataFrame, gallery: DataFrame
 def match_segments(segments: DataFrame, gallery: DataFrame, aliases: DataFrame, dims: int = voices.DIMS,
                    threshold: float = voices.ACCEPT) -> DataFrame:
     """Label every row whose own vector has an accepted match; ``matched`` marks them."""
-    hits = voices.top_match(segments, gallery, aliases, ["meeting", "idx"], threshold=threshold, dims=dims)
+    # Matching is the costly step and its result is small, so that is what is kept.
+    hits = cut_lineage(voices.top_match(segments.select("meeting", "idx", "embedding"), gallery, aliases, ["meeting", "idx"],
+                                        threshold=threshold, dims=dims))
     return (segments.join(hits.select("meeting", "idx", F.col("name").alias("_n")), ["meeting", "idx"], "left")
             .withColumn("matched", F.col("_n").isNotNull()).withColumn("label", F.coalesce("_n", "label")).drop("_n"))
 
@@ -191,8 +193,7 @@ def match_segments(segments: DataFrame, gallery: DataFrame, aliases: DataFrame,
 def rescan(segments: DataFrame, gallery: DataFrame, aliases: DataFrame, rules: DataFrame, dims: int = voices.DIMS,
            threshold: float = voices.ACCEPT) -> DataFrame:
     """Reset labels, match every row, inherit by votes, then apply confirmed rules."""
-    matched = cut_lineage(match_segments(reset_labels(segments), gallery, aliases, dims, threshold))
-    return apply_rules(inherit_names(matched), rules)
+    return apply_rules(inherit_names(match_segments(reset_labels(segments), gallery, aliases, dims, threshold)), rules)
 
 
 def rescan_from_labels(segments: DataFrame, aliases: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -238,8 +238,9 @@ def repeated_phrases(segments: DataFrame, window_words: int = 24, times: int = 3
     spread = each.select(*CHUNK, "p", "word", F.explode(F.sequence(first, F.floor(F.col("p") / stride))).alias("k"))
     phrases = (spread.groupBy(*CHUNK, "k").agg(F.count(F.lit(1)).alias("n"), ordered.ordered_join("word", "p", " ").alias("phrase"))
                .where(F.col("n") == window_words))
-    seen = (phrases.groupBy(*CHUNK, "phrase").agg(F.array_sort(F.collect_list("k")).alias("at"))
-            .where(F.size("at") >= times).withColumn("hit", F.get("at", F.lit(times - 1))))
+    # The limit on the row number is applied in every task before the shuffle, so a phrase that loops stays small.
+    order = W.partitionBy(*CHUNK, "phrase").orderBy("k")
+    seen = phrases.withColumn("r", F.row_number().over(order)).where(F.col("r") <= times).where(F.col("r") == times).withColumnRenamed("k", "hit")
     return (seen.groupBy(*CHUNK).agg(F.min("hit").alias("k"), F.min_by("phrase", "hit").alias("phrase"))
             .select(*CHUNK, (F.col("k") * stride).alias("at_word"),
                     F.array_join(F.slice(F.split("phrase", " "), 1, preview_words), " ").alias("preview")))

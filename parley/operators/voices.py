@@ -31,7 +31,7 @@ CENTROID_FLOOR, CENTROID_PERCENTILE = 0.45, 0.25
 
 def _ranked(batch, keys: list[str], left: np.ndarray, names: np.ndarray, right: np.ndarray, k, floor) -> pa.RecordBatch:
     """Best ``k`` names of every row as a record batch; ``k`` is None or one number per row."""
-    rows, cols, scores = [], [], []
+    rows, cols, scores, ranks = [], [], [], []
     for at, sims in blocks.strips(left, right):
         for r, s in enumerate(sims):
             limit = len(s) if k is None else int(k[at + r])
@@ -49,13 +49,15 @@ def _ranked(batch, keys: list[str], left: np.ndarray, names: np.ndarray, right:
             rows.append(np.full(len(order), at + r))
             cols.append(order)
             scores.append(s[order])
+            ranks.append(np.arange(1, len(order) + 1))
     at = pa.array(np.concatenate(rows) if rows else np.array([], dtype=np.int64))
     pick = np.concatenate(cols) if cols else np.array([], dtype=np.int64)
     data = [batch.column(c).take(at) for c in keys]
     data += [pa.array(names[pick].tolist(), pa.string()),
-             pa.array(np.concatenate(scores) if scores else np.array([]), pa.float64())]
+             pa.array(np.concatenate(scores) if scores else np.array([]), pa.float64()),
+             pa.array(np.concatenate(ranks) if ranks else np.array([], dtype=np.int64)).cast(pa.int32())]
     return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in data],
-                                      names=[*keys, "name", "score"])
+                                      names=[*keys, "name", "score", "rank"])
 
 
 def rank_names(probes: DataFrame, gallery: DataFrame, keys: Sequence[str], *, k: int | str | None = None,
@@ -72,7 +74,8 @@ def rank_names(probes: DataFrame, gallery: DataFrame, keys: Sequence[str], *, k:
     probes = probes.where(ok).select(*keys, *kcol, "embedding")
     gallery = gallery.where(ok).select("name", "embedding")
     fields = [probes.schema[c] for c in keys]
-    schema = T.StructType(fields + [T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType(fields + [T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType()),
+                                    T.StructField("rank", T.IntegerType())])
 
     def limits(batch):
         if k is None:
@@ -92,7 +95,8 @@ def rank_names(probes: DataFrame, gallery: DataFrame, keys: Sequence[str], *, k:
                 if b.num_rows and len(names):
                     yield _ranked(b, keys, blocks.matrix(b), names, right, limits(b), floor)
 
-        found = probes.mapInArrow(run, schema)
+        # A probe meets the whole gallery in one place, so its ranks are final there.
+        return probes.mapInArrow(run, schema)
     else:
         def cell(lt, rt):
             if not lt.num_rows or not rt.num_rows:
@@ -105,7 +109,7 @@ def rank_names(probes: DataFrame, gallery: DataFrame, keys: Sequence[str], *, k:
         one = probes.withColumn("_g", F.lit(0)).withColumn("_id", F.xxhash64(*keys))
         two = gallery.withColumn("_g", F.lit(0))
         found = blocks.cells(one, two, ["_g"], "_id", "name", cell, schema)
-    # Ranks are per probe; a probe has at most one row per name.
+    # Each block gave its own winners; a probe has at most one row per name.
     out = found.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "name")))
     if isinstance(k, int):
         out = out.where(F.col("rank") <= k)

@@ -105,7 +105,11 @@ def write_task_sheet(tasks: DataFrame, path: str) -> None:
 def append_log(logs: DataFrame, lines: DataFrame, max_chars: int = LOG_CHARS) -> DataFrame:
     """Log text of each record with new stamped lines at the end, cut to its last characters."""
     stamped = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), text.strip("line"))
-    new = lines.where(text.filled("line").isNotNull()).groupBy("doc").agg(ordered.ordered_join(stamped, "seq", "\n").alias("_new"))
+    said = lines.where(text.filled("line").isNotNull()).select("doc", stamped.alias("line"), (-F.col("seq")).alias("_back"))
+    # Only lines that reach into the last characters are gathered, however long the log is.
+    said = ordered.scan(said, ["doc"], "_back", sums={"_after": F.length("line") + 1})
+    said = said.where(F.col("_after") - F.length("line") - 1 < max_chars)
+    new = said.groupBy("doc").agg(ordered.ordered_join("line", -F.col("_back"), "\n").alias("_new"))
     old = F.nullif(F.regexp_replace(F.coalesce("log", F.lit("")), r"(?U)\s+\z", ""), F.lit(""))
     joined = F.concat_ws("\n", old, F.col("_new"))
     return logs.join(new, "doc", "full").select("doc", F.right(text.strip(joined), F.lit(max_chars)).alias("log"))
