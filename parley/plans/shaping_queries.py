@@ -64,7 +64,19 @@ def _(spark, sf):
     return M.merge_same_label(P.segments(spark, sf)).select("meeting", "idx", "start", "end", "label", "parts", "text", "raw_speaker", "speaker_id", "chunk")
 
 
-@query("collapse_short_strangers")
+@query("collapse_short_strangers", with_ctes("seg") + """,
+it AS (SELECT meeting, idx, start, "end", CASE WHEN idx % 5 = 3 THEN '👤 Speaker ' || idx ELSE label END AS label, speaker_id, text FROM seg),
+tt AS (SELECT meeting, label, sum(greatest(0, "end" - start)) AS d, count(*) AS n FROM it GROUP BY ALL),
+rw AS (SELECT it.*, label LIKE '👤 Speaker%' AND (d <= 3.0 OR (d <= 8.0 AND n <= 3)) AS short FROM it JOIN tt USING (meeting, label)),
+nb AS (SELECT *, last_value(CASE WHEN NOT short THEN {'l': label, 's': start, 'e': "end"} END IGNORE NULLS) OVER (PARTITION BY meeting ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lf,
+  first_value(CASE WHEN NOT short THEN {'l': label, 's': start, 'e': "end"} END IGNORE NULLS) OVER (PARTITION BY meeting ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rt FROM rw),
+ch AS (SELECT *, CASE WHEN lf IS NOT NULL AND (rt IS NULL OR abs(start - coalesce(nullif(lf.e, 0), lf.s)) <= abs(rt.s - coalesce(nullif("end", 0), start))) THEN lf.l ELSE rt.l END AS dest FROM nb),
+mp AS (SELECT meeting, label, arg_max(dest, idx) AS dest FROM ch WHERE short AND dest IS NOT NULL GROUP BY ALL),
+nw AS (SELECT it.meeting, idx, start, "end", coalesce(mp.dest, it.label) AS label, speaker_id, text FROM it LEFT JOIN mp USING (meeting, label)),
+lg AS (SELECT *, lag(label) OVER w AS pl, lag(speaker_id) OVER w AS ps, lag("end") OVER w AS pe FROM nw WINDOW w AS (PARTITION BY meeting ORDER BY idx)),
+gr AS (SELECT *, sum(CASE WHEN pl = label AND ps = speaker_id AND start - pe <= 1.5 THEN 0 ELSE 1 END) OVER (PARTITION BY meeting ORDER BY idx) AS g FROM lg)
+SELECT meeting, min(idx) AS idx, arg_min(start, idx) AS start, arg_max("end", idx) AS "end", any_value(label) AS label, any_value(speaker_id) AS speaker_id,
+  string_agg(text, ' ' ORDER BY idx) AS text, count(*) AS parts FROM gr GROUP BY meeting, g""")
 def _(spark, sf):
     seg = P.segments(spark, sf).withColumn("label", F.when(F.col("idx") % 5 == 3, F.concat(F.lit("👤 Speaker "), F.col("idx").cast("string"))).otherwise(F.col("label")))
     return M.collapse_short_strangers(seg).select("meeting", "idx", "start", "end", "label", "speaker_id", "text", "parts")

@@ -12,7 +12,34 @@ WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
 
-@query("clean_segment_text")
+WC = r"\p{L}\p{N}\p{M}_"
+
+
+def clean_sql() -> str:
+    """The cleaning steps without look-around or back-references: fillers by repeated passes, repeats on a token list."""
+    t = "trim(text, E' \\t\\n\\r')"
+    for old, new in text.DOMAIN_REPLACEMENTS.items():
+        t = f"replace({t}, '{old}', '{new}')"
+    t = f"regexp_replace(regexp_replace({t}, '\\s+', ' ', 'g'), '\\s+([,.!?;:])', '\\1', 'g')"
+    steps = [f"c0 AS (SELECT meeting, idx, {t} AS t FROM seg)",
+             "c1 AS (SELECT *, regexp_full_match(lower(t), '\\s*(" + "|".join(text.FILLER_ONLY) + ")[\\s,.!?;:]*') AS is_filler, t AS f FROM c0)"]
+    n = 1
+    for phrase in text.FILLER_PHRASES:
+        for _ in range(3):
+            steps.append(f"c{n + 1} AS (SELECT meeting, idx, is_filler, regexp_replace(f, '(^|[^{WC}])(?i:{phrase})(?:[\\s,]+|$|([^{WC}\\s,]))', '\\1\\2', 'g') AS f FROM c{n})")
+            n += 1
+    steps += [f"k0 AS (SELECT *, regexp_extract_all(f, '[{WC}]+|[^{WC}]+') AS ks FROM c{n})",
+              "k1 AS (SELECT meeting, idx, unnest(ks) AS k, generate_subscripts(ks, 1) AS i FROM k0)",
+              "k2 AS (SELECT *, lag(k) OVER w AS k1, lag(k, 2) OVER w AS k2, lead(k) OVER w AS n1, lag(k) OVER w AS p1 FROM k1 WINDOW w AS (PARTITION BY meeting, idx ORDER BY i))",
+              f"k3 AS (SELECT *, regexp_full_match(k, '[{WC}]+') AS isw FROM k2)",
+              "k4 AS (SELECT meeting, idx, i, k FROM k3 WHERE NOT (isw AND k2 IS NOT NULL AND lower(k) = lower(k2) AND regexp_full_match(k1, '\\s+')) "
+              "AND NOT (NOT isw AND p1 IS NOT NULL AND n1 IS NOT NULL AND lower(p1) = lower(n1) AND regexp_full_match(k, '\\s+')))",
+              "k5 AS (SELECT meeting, idx, trim(regexp_replace(string_agg(k, '' ORDER BY i), '\\s+', ' ', 'g'), ' ,') AS t FROM k4 GROUP BY ALL)"]
+    return with_ctes("seg") + ",\n" + ",\n".join(steps) + """
+SELECT k0.meeting, k0.idx, CASE WHEN is_filler OR t IS NULL THEN '' ELSE upper(substring(t, 1, 1)) || substring(t, 2) END AS clean FROM k0 LEFT JOIN k5 USING (meeting, idx)"""
+
+
+@query("clean_segment_text", clean_sql())
 def _(spark, sf):
     return P.segments(spark, sf).select("meeting", "idx", text.clean_segment_text("text").alias("clean"))
 
