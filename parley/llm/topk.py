@@ -88,7 +88,7 @@ def search_tree(tree: dict[str, np.ndarray], q_ids: np.ndarray, queries: np.ndar
     n, nodes = len(q), len(tree["leaf"])
     q_norm = (qf ** 2).sum(axis=1)
     none = np.iinfo(np.int64).max
-    worst = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
+    worst = -np.inf if kind is np.float64 else np.iinfo(np.int64).min + 1
     top, top_ids = np.full((n, k), worst, dtype=kind), np.full((n, k), none, dtype=np.int64)
     bound = np.full((n, nodes), -np.inf)
     dist = np.full((n, nodes), np.nan)
