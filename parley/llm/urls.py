@@ -39,7 +39,7 @@ SITE_RULES = (
 )
 #: verdicts where no site rule fits
 GLOB_RULES = tuple(Rule("block", g, g) for g in (
-    "**/login*", "**/signin*", "**/cart/**", "**/checkout/**", "**/wp-admin/**", "**/cgi-bin/**", "**/tag/**", "**/feed/",
+    "**/login**", "**/signin**", "**/cart/**", "**/checkout/**", "**/wp-admin/**", "**/cgi-bin/**", "**/tag/**", "**/feed/",
     "*.ads.*/**", "*.track*.*/**", "**.exe", "**.zip", "**.jpg", "**.png", "**.gif", "**.css", "**.js",
 ))
 DEFAULT = "allow"
