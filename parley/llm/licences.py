@@ -144,7 +144,7 @@ def scan(text: str | None, automaton: ahocorasick.Automaton) -> dict:
             miss *= 1 - weight
             labels.add(label)
             if kind == "base":
-                place = norm.count(" ", 0, end - length)
+                place = norm.count(" ", 0, end - length - 1)  # blanks before the one that leads the match
                 n_base += 1
                 base.add(label)
                 first = place if first is None else min(first, place)
