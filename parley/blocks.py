@@ -45,17 +45,23 @@ def cells(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str,
 
     Both sides are shuffled by (group, left block, right block). The number of
     blocks follows the counted size of the group, so no cell outgrows a task.
+    Without keys all rows are one group, counted beforehand: nothing is joined.
     """
     def blocks_of(df, name):
         return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
 
     # Fresh column identities, since both sides often come from one table.
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)
-    grid = blocks_of(left, "_nl").join(blocks_of(right, "_nr"), list(keys))
+    if keys:
+        grid = blocks_of(left, "_nl").join(blocks_of(right, "_nr"), list(keys))
+        left, right = left.join(grid, list(keys)), right.join(grid, list(keys))
+    else:
+        nl, nr = (F.lit(max(1, -(-df.count() // block_rows))) for df in (left, right))
+        left, right = (df.withColumn("_nl", nl).withColumn("_nr", nr) for df in (left, right))
     at = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     zero_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lt = left.join(grid, list(keys)).withColumn("_i", at(left_id, "_nl")).withColumn("_j", zero_to("_nr")).drop("_nl", "_nr")
-    rt = right.join(grid, list(keys)).withColumn("_j", at(right_id, "_nr")).withColumn("_i", zero_to("_nl")).drop("_nl", "_nr")
+    lt = left.withColumn("_i", at(left_id, "_nl")).withColumn("_j", zero_to("_nr")).drop("_nl", "_nr")
+    rt = right.withColumn("_j", at(right_id, "_nr")).withColumn("_i", zero_to("_nl")).drop("_nl", "_nr")
     lt, rt = lt.toDF(*lt.columns), rt.toDF(*rt.columns)
     cell = [*keys, "_i", "_j"]
     return lt.groupBy(*cell).cogroup(rt.groupBy(*cell)).applyInArrow(kernel, schema)

@@ -168,7 +168,7 @@ def drop_empty_json(*fields: Column) -> Column:
 
 
 def minute_file_name(department: str | Column, subject: str | Column, when: str | Column,
-                     fallback: str | Column) -> Column:
+                     fallback: str | Column, max_chars: int | None = None) -> Column:
     def safe(c):
         t = squish(F.regexp_replace(F.coalesce(col(c), F.lit("")), r'[\\/:*?"<>|]+', " "))
         return F.nullif(F.regexp_replace(t, "^[ -]+|[ -]+$", ""), F.lit(""))
@@ -177,8 +177,9 @@ def minute_file_name(department: str | Column, subject: str | Column, when: str
     dept, subj = safe(department), safe(subject)
     name = F.when(F.coalesce(dept, subj, day).isNotNull(), F.concat_ws(" - ", dept, F.lit("BBH"), subj, day)) \
         .otherwise(F.concat(col(fallback), F.lit(" - BBH")))
-    cut = F.when(F.length(name) > 180, F.regexp_replace(F.substring(name, 1, 180), "[ -]+$", "")).otherwise(name)
-    return F.concat(cut, F.lit(".docx"))
+    if max_chars is not None:
+        name = F.when(F.length(name) > max_chars, F.regexp_replace(F.substring(name, 1, max_chars), "[ -]+$", "")).otherwise(name)
+    return F.concat(name, F.lit(".docx"))
 
 
 def spelling_variants(name: str | Column) -> Column:

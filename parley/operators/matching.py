@@ -26,6 +26,7 @@ MIN_VOTES = 2
 # End of fixed values.
 SMALL_SIDE = 256
 SMALL_GROUP = 1024
+SCORE_STEPS = 1_000_000
 
 
 # -- one-to-one assignment -------------------------------------------------------------------------
@@ -77,11 +78,15 @@ def prune_scores(scores: DataFrame, keys: Sequence[str], row: str, col: str) ->
             .where(F.col("_r") <= F.least("_rows", "_cols")).drop("_r", "_small"))
 
 
-def assign_one_to_one(scores: DataFrame, keys: Sequence[str], row: str, col: str) -> DataFrame:
-    """Best one-to-one pairs of every group by total score; pairs not listed score 0.
+def assign_one_to_one(scores: DataFrame, keys: Sequence[str], row: str, col: str, sparse: bool = False) -> DataFrame:
+    """Best one-to-one pairs of every group by total score, in whole steps of 1/SCORE_STEPS.
 
-    Groups whose smaller side is moderate are solved in one task each after
-    pruning; larger ones by auction rounds over all groups at once.
+    ``scores`` lists every pair of a group, or at least every row's best
+    partners, as many as the smaller side has members; each member of the
+    smaller side gets a partner, if only at a negative score. ``sparse`` means
+    that pairs not listed score 0, as votes do. Groups whose smaller side is
+    moderate are solved in one task each after pruning; larger ones by auction
+    rounds over all groups at once.
     """
     keys = list(keys)
     pruned = prune_scores(cut_lineage(scores), keys, row, col)
@@ -92,10 +97,14 @@ def assign_one_to_one(scores: DataFrame, keys: Sequence[str], row: str, col: str
         r, c = table.column(row).to_pylist(), table.column(col).to_pylist()
         rows, cols = sorted(set(r)), sorted(set(c))
         ri, ci = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
-        s = np.zeros((len(rows), len(cols)))
+        score = np.array(table.column("score").to_pylist(), dtype=float)
+        whole = np.rint(score * SCORE_STEPS)
+        # A pruned pair must never beat a listed one, not even a negative one.
+        never = 0.0 if sparse else whole.min() - (np.ptp(whole) + 1) * (min(len(rows), len(cols)) + 1)
+        s, exact = np.full((len(rows), len(cols)), never), np.zeros((len(rows), len(cols)))
         listed = np.zeros(s.shape, dtype=bool)
-        for a, b, x in zip(r, c, table.column("score").to_pylist()):
-            s[ri[a], ci[b]], listed[ri[a], ci[b]] = x, True
+        for a, b, w, x in zip(r, c, whole, score):
+            s[ri[a], ci[b]], exact[ri[a], ci[b]], listed[ri[a], ci[b]] = w, x, True
         flip = len(rows) > len(cols)
         pick = _best_pairs(s.T if flip else s)
         pairs = [(b, a) if flip else (a, b) for a, b in enumerate(pick)]
@@ -103,7 +112,7 @@ def assign_one_to_one(scores: DataFrame, keys: Sequence[str], row: str, col: str
         data = {k: pa.array([v.as_py()] * len(pairs), v.type) for k, v in zip(keys, key)}
         data[row] = pa.array([rows[a] for a, _ in pairs], table.schema.field(row).type)
         data[col] = pa.array([cols[b] for _, b in pairs], table.schema.field(col).type)
-        data["score"] = pa.array([float(s[a, b]) for a, b in pairs], pa.float64())
+        data["score"] = pa.array([float(exact[a, b]) for a, b in pairs], pa.float64())
         return pa.table(data)
 
     solved = small.groupBy(*keys).applyInArrow(solve, schema)
@@ -113,21 +122,21 @@ def assign_one_to_one(scores: DataFrame, keys: Sequence[str], row: str, col: str
     return solved.unionByName(auction(large, keys, row, col))
 
 
-def auction(scores: DataFrame, keys: Sequence[str], row: str, col: str, scale: int = 1_000_000) -> DataFrame:
+def auction(scores: DataFrame, keys: Sequence[str], row: str, col: str, scale: int | None = None) -> DataFrame:
     """One-to-one assignment by auction rounds (Bertsekas, 1988), exact to 1/scale.
 
     The smaller side bids. Scores are whole numbers times (side size + 1) with a
     price step of 1, which makes the final total optimal. Every round is two
     joins and two aggregates over all groups; nothing is gathered.
     """
-    keys = list(keys)
+    keys, scale = list(keys), scale or SCORE_STEPS
     sizes = scores.groupBy(*keys).agg(F.countDistinct(row).alias("_a"), F.countDistinct(col).alias("_b"))
     edges = scores.drop("_rows", "_cols").join(sizes, keys)
     flip = F.col("_a") > F.col("_b")
     edges = cut_lineage(edges.select(
         *keys, F.when(flip, F.col(col).cast("string")).otherwise(F.col(row).cast("string")).alias("bidder"),
         F.when(flip, F.col(row).cast("string")).otherwise(F.col(col).cast("string")).alias("item"),
-        F.round(F.col("score") * scale).cast("long").alias("whole"), F.least("_a", "_b").alias("n"), row, col, "score")
+        F.rint(F.col("score") * scale).cast("long").alias("whole"), F.least("_a", "_b").alias("n"), row, col, "score")
         .withColumn("worth", F.col("whole") * (F.col("n") + 1)))
     # A bidder with fewer listed items than bidders may also stay alone, which is worth 0.
     few = edges.groupBy(*keys, "bidder").agg(F.count(F.lit(1)).alias("_d"), F.first("n").alias("n")).where("_d < n")
@@ -177,14 +186,14 @@ def cluster_windows(windows: DataFrame, hints: DataFrame, dims: int = voices.DIM
         ids, m = ids[order], blocks.matrix(table)[order]
         k, n = int(table.column("k")[0].as_py()), len(ids)
         sums, size, label = m.copy(), np.ones(n), np.arange(n)
-        sim = m @ m.T
+        sim = np.round(m @ m.T, 12)  # the same ties as in cluster_by_rounds
         np.fill_diagonal(sim, -np.inf)
         for _ in range(n - min(k, n)):
             a, b = sorted(divmod(int(np.argmax(sim)), n))
             sums[a] += sums[b]
             size[a] += size[b]
             label[label == b] = a
-            row = (sums @ sums[a]) / (size * size[a])
+            row = np.round((sums @ sums[a]) / (size * size[a]), 12)
             row[np.isneginf(sim).all(axis=1)] = -np.inf
             sim[b, :] = sim[:, b] = -np.inf
             row[b] = row[a] = -np.inf
@@ -315,7 +324,7 @@ def map_speakers(segments: DataFrame, clusters: DataFrame) -> DataFrame:
         ranked(found, "avg_turn", -1, ("cluster",), 10.0).select("meeting", "_rank", "cluster"), ["meeting", "_rank"])
     votes = vote1.unionByName(vote2.drop("_rank")).unionByName(vote3.drop("_rank")).groupBy("meeting", "sid", "cluster") \
         .agg(F.count(F.lit(1)).cast("double").alias("score"))
-    pairs = assign_one_to_one(votes, M, "sid", "cluster")
+    pairs = assign_one_to_one(votes, M, "sid", "cluster", sparse=True)
     return pairs.where(F.col("score") >= MIN_VOTES).select("meeting", F.col("sid").alias("speaker_id"), "cluster",
                                                             F.col("score").cast("int").alias("votes"))
 

@@ -103,8 +103,8 @@ def collapse_short_strangers(items: DataFrame, max_gap: float = MERGE_GAP) -> Da
     ahead = F.abs(F.col("_r.start") - F.coalesce(F.nullif("end", F.lit(0.0)), "start"))
     closer = F.when(F.col("_l").isNotNull() & (F.col("_r").isNull() | (back <= ahead)), F.col("_l.label")).otherwise(F.col("_r.label"))
     near = near.withColumn("_to", closer)
-    # The last turn of a stranger that has a neighbour decides for all of its turns.
-    remap = (near.where(F.col("_short") & F.col("_to").isNotNull()).groupBy("meeting", "label")
+    # The last turn of a stranger that has a labelled neighbour decides for all of its turns.
+    remap = (near.where(F.col("_short") & (F.col("_to") != "")).groupBy("meeting", "label")
              .agg(F.max_by("_to", "idx").alias("_to")))
     named = items.join(remap, ["meeting", "label"], "left").withColumn("label", F.coalesce("_to", "label")).drop("_to")
     named = named.withColumn("speaker_id", F.coalesce("speaker_id", F.lit("")))

@@ -13,7 +13,7 @@ from ..functions import labels, text, times
 
 # Limits and weights that decide results.
 NAME_THRESHOLD, TITLE_BONUS, DEPARTMENT_BONUS, CLOSE_MARGIN = 0.6, 0.3, 0.2, 0.1
-MAX_CHARS, OVERLAP_LINES, SEEN_TITLES = 24000, 3, 40
+MAX_CHARS, OVERLAP_LINES = 24000, 3
 OPEN_STATUSES = ["Open", "Working"]
 ANSWER_SCHEMA = """ten_cuoc_hop STRING, ngay_hop STRING, tom_tat_cuoc_hop STRING, ket_luan_cuoc_hop STRING,
     items ARRAY<STRUCT<id INT, noi_dung STRING, nguoi_thuc_hien STRING, chuc_danh STRING, phong_ban STRING,
@@ -134,33 +134,38 @@ def answer_items(parsed: DataFrame) -> DataFrame:
 
 
 def merge_answers(parsed: DataFrame) -> DataFrame:
-    """One record per document: first title and day, numbered summaries, last conclusion, token sums."""
+    """One record per document: first title and day, numbered summaries, last conclusion, token sums.
+
+    Texts are joined as they are; only empty ones don't count. Without a column ``tokens_used`` it is the sum of the other two.
+    """
     part = F.col("part")
     ok = parsed.where("data is not null")
-    first = lambda c: F.coalesce(F.min_by(text.filled(c), F.when(text.filled(c).isNotNull(), part)), F.lit(""))
-    summary = text.filled("data.tom_tat_cuoc_hop")
+    there = lambda c: F.nullif(F.col(c), F.lit(""))
+    first = lambda c: F.coalesce(F.min_by(there(c), F.when(there(c).isNotNull(), part)), F.lit(""))
+    summary = there("data.tom_tat_cuoc_hop")
+    used = F.col("tokens_used") if "tokens_used" in parsed.columns else F.col("prompt_tokens") + F.col("completion_tokens")
     # Summaries are numbered among the parts that have one.
     numbered = ordered.number_rows(ok.where(summary.isNotNull()).select("doc_id", "part", summary.alias("s")), ["doc_id"], "part", name="no", start=1)
     head = F.concat(F.lit("── Phần "), F.col("no").cast("string"), F.lit(" ──\n"), F.col("s"))
     sums = numbered.groupBy("doc_id").agg(F.when(F.count(F.lit(1)) == 1, F.first("s")).otherwise(ordered.ordered_join(head, "part", "\n\n")).alias("summary"))
-    last = text.filled("data.ket_luan_cuoc_hop")
+    last = there("data.ket_luan_cuoc_hop")
     rest = ok.groupBy("doc_id").agg(
         first("data.ten_cuoc_hop").alias("title"), first("data.ngay_hop").alias("day"),
         F.coalesce(F.max_by(last, F.when(last.isNotNull(), part)), F.lit("")).alias("conclusion"),
         F.coalesce(F.sum(F.size("data.items")), F.lit(0)).alias("items"), F.sum("prompt_tokens").alias("prompt_tokens"),
-        F.sum("completion_tokens").alias("completion_tokens"))
+        F.sum("completion_tokens").alias("completion_tokens"), F.sum(used).alias("tokens_used"))
     return rest.join(sums, "doc_id", "left").withColumn("summary", F.coalesce("summary", F.lit("")))
 
 
-def titles_before(items: DataFrame, parts: DataFrame, at_most: int = SEEN_TITLES) -> DataFrame:
-    """Titles found in earlier parts of the same document, the latest ``at_most``, per part."""
+def titles_before(items: DataFrame, parts: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Titles found in earlier parts of the same document, all or the latest ``at_most``, per part."""
     named = items.where(text.filled("title").isNotNull())
     placed = ordered.number_rows(named.select("doc_id", "item_id", "part", "title"), ["doc_id"], "item_id", name="p")
     counts = placed.groupBy("doc_id", "part").agg(F.count(F.lit(1)).alias("n"))
     upto = ordered.scan(parts.select("doc_id", "part").join(counts, ["doc_id", "part"], "left").withColumn("n", F.coalesce("n", F.lit(0))),
                         ["doc_id"], "part", sums={"c": F.col("n")})
     wanted = upto.withColumn("c", F.col("c") - F.col("n")).where("c > 0").select(
-        "doc_id", "part", F.explode(F.sequence(F.greatest(F.lit(0), F.col("c") - at_most), F.col("c") - 1)).alias("p"))
+        "doc_id", "part", F.explode(F.sequence(F.lit(0) if at_most is None else F.greatest(F.lit(0), F.col("c") - at_most), F.col("c") - 1)).alias("p"))
     got = wanted.join(placed.select("doc_id", "p", "title"), ["doc_id", "p"])
     return got.groupBy("doc_id", "part").agg(ordered.ordered_join("title", "p", "\n").alias("titles"), F.count(F.lit(1)).alias("n"))
 
@@ -209,11 +214,17 @@ def task_payload(tasks: DataFrame, keys: Sequence[str]) -> DataFrame:
     return tasks.select(*keys, text.drop_empty_json(*fields).alias("payload"))
 
 
-def batch_report(tasks: DataFrame, batch: str = "batch") -> DataFrame:
-    """Created and failed tasks per batch and the first error."""
-    message = F.concat(F.lit("'"), F.substring("title", 1, 40), F.lit("': Đã tồn tại (Trùng lặp)"))
-    return tasks.groupBy(batch).agg(F.count_if("created").alias("created"), F.count_if("duplicate").alias("failed"),
-                                    F.min_by(message, F.when(F.col("duplicate"), F.col("seq"))).alias("error"))
+def batch_report(tasks: DataFrame, batch: str = "batch", title_chars: int | None = None) -> DataFrame:
+    """Created tasks per batch, the error it stopped at, and whether tasks made before the error were taken back.
+
+    A batch goes in the order of ``seq`` and stops at its first duplicate, so it has one error at most.
+    """
+    title = F.col("title") if title_chars is None else F.substring("title", 1, title_chars)
+    message = F.concat(F.lit("'"), title, F.lit("': Đã tồn tại (Trùng lặp)"))
+    stopped = F.min(F.when(F.col("duplicate"), F.col("seq")))
+    return tasks.groupBy(batch).agg(F.count_if("created").alias("created"), F.when(stopped.isNull(), 0).otherwise(1).alias("failed"),
+                                    F.min_by(message, F.when(F.col("duplicate"), F.col("seq"))).alias("error"),
+                                    F.coalesce(F.min("seq") < stopped, F.lit(False)).alias("rolled_back"))
 
 
 def speaker_roles(speakers: DataFrame, employees: DataFrame) -> DataFrame:

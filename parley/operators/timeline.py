@@ -39,7 +39,7 @@ def _verdicts(around: DataFrame, source: str) -> DataFrame:
            | (F.col("start") + MAX_BACK_STEP < F.col("_before"))
            | ~F.col("timestamp_source").eqNullSafe(source))
     few = (F.col("n") >= 4) & (F.col("marks") < F.greatest(F.lit(2), F.floor(F.col("n") / 5)))
-    per_mark = around.groupBy(*CHUNK, F.round("start", 1).alias("mark")).agg(
+    per_mark = around.groupBy(*CHUNK, exact_round("start", 1).alias("mark")).agg(
         F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(bad, F.lit(False))).alias("bad"), F.max("idx").alias("last"))
     return (per_mark.groupBy(*CHUNK)
             .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("marks"), F.bool_or("bad").alias("bad"), F.max("last").alias("_last"))
@@ -310,8 +310,8 @@ def turn_windows(segments: DataFrame, speech: DataFrame | None = None, source: s
                        exact_round(last).alias("end"))
 
 
-def speech_windows(speech: DataFrame, window: float = 3.0, min_sec: float = 1.6, at_most: int = 240) -> DataFrame:
-    """Tumbling windows inside speech, sampled evenly down to ``at_most`` per meeting."""
+def speech_windows(speech: DataFrame, window: float = 3.0, min_sec: float = 1.6, at_most: int | None = None) -> DataFrame:
+    """Tumbling windows inside speech, all or sampled evenly down to ``at_most`` per meeting."""
     count = F.floor((F.col("end") - F.col("start")) / window).cast("int")
     fits = (F.col("a") + min_sec <= F.col("end")) & (F.least("end", F.col("a") + window) - F.col("a") >= min_sec)
     each = (speech.where(F.col("start") + min_sec <= F.col("end"))
@@ -320,6 +320,8 @@ def speech_windows(speech: DataFrame, window: float = 3.0, min_sec: float = 1.6,
             .select("meeting", "ord", "k", exact_round("a").alias("start"),
                     exact_round(F.least("end", F.col("a") + window)).alias("end")))
     numbered = ordered.number_rows(each, ["meeting"], "ord", ties=("k",), name="r")
+    if at_most is None:
+        return numbered.select("meeting", F.col("r").alias("w_idx"), "start", "end")
     size = each.groupBy("meeting").agg(F.count(F.lit(1)).alias("n"))
     step = F.col("n") / F.lit(float(at_most))
     near = F.floor(F.col("r") / step)

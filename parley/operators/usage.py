@@ -109,25 +109,29 @@ def token_breakdown(calls: DataFrame) -> DataFrame:
     return model_tokens(calls).groupBy("session").agg(F.map_from_entries(F.array_sort(entries)).alias("token_breakdown"))
 
 
-def action_rows(events: DataFrame) -> DataFrame:
-    """Start and finish events of an action to one row; later events win."""
+def _cut(c: Column, chars: int | None) -> Column:
+    return c if chars is None else F.substring(c, 1, chars)
+
+
+def action_rows(events: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Start and finish events of an action to one row; later events win, of equally late ones that which sorts last."""
     done = F.col("kind") == "finish"
-    at = F.when(done, F.col("ts"))
+    at = F.when(done, F.struct("ts", "status", "summary", "prompt_tokens", "completion_tokens", "duration_seconds"))
     last = lambda c: F.max_by(c, at)
     out = events.groupBy("action").agg(
         F.min("session").alias("session"), F.min(F.when(~done, F.col("ts"))).alias("started_at"),
-        F.coalesce(last("status"), F.lit("running")).alias("status"), F.substring(F.coalesce(last("summary"), F.lit("")), 1, 500).alias("summary"),
+        F.coalesce(last("status"), F.lit("running")).alias("status"), _cut(F.coalesce(last("summary"), F.lit("")), max_chars).alias("summary"),
         F.coalesce(last("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(last("completion_tokens"), F.lit(0)).alias("completion_tokens"),
         F.round(F.coalesce(last("duration_seconds"), F.lit(0.0)), 3).alias("duration_seconds"))
     return out.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
 
 
-def call_rows(calls: DataFrame) -> DataFrame:
-    """Fact rows of model calls: totals, cut messages, rounded time; calls outside a session are left out."""
+def call_rows(calls: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Fact rows of model calls: totals, messages, rounded time; calls outside a session are left out."""
     return calls.where(F.coalesce(F.col("session").cast("string"), F.lit("")) != "").select(
         "session", "action", "call_type", "ai_model", "status", "ts", "prompt_tokens", "completion_tokens",
         (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"), F.round("duration_seconds", 3).alias("duration_seconds"),
-        F.substring(F.coalesce("error_message", F.lit("")), 1, 500).alias("error_message"))
+        _cut(F.coalesce("error_message", F.lit("")), max_chars).alias("error_message"))
 
 
 def session_lifecycle(events: DataFrame) -> DataFrame:
@@ -167,10 +171,12 @@ def lookup_sessions(ids: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def transcription_totals(segments: DataFrame, usage: DataFrame) -> DataFrame:
-    """Segments, distinct speakers, tokens and cost of each meeting."""
+    """Segments, distinct speakers, tokens and cost of each meeting; ``usage`` has its prompt and completion tokens."""
     per_id = segments.groupBy("meeting", "speaker_id").agg(F.count(F.lit(1)).alias("n"))
     counts = per_id.groupBy("meeting").agg(F.sum("n").alias("segments"), F.count_if(F.coalesce("speaker_id", F.lit("")) != "").alias("speakers"))
-    return counts.join(usage, "meeting", "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return counts.join(usage, "meeting", "left").select(
+        "meeting", "segments", "speakers", (z("prompt_tokens") + z("completion_tokens")).alias("tokens"), token_cost("prompt_tokens", "completion_tokens").alias("cost_usd"))
 
 
 def character_quota(accounts: DataFrame) -> DataFrame:

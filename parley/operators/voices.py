@@ -62,12 +62,15 @@ def _ranked(batch, keys: list[str], left: np.ndarray, names: np.ndarray, right:
 
 def rank_names(probes: DataFrame, gallery: DataFrame, keys: Sequence[str], *, k: int | str | None = None,
                floor: float | None = None, dims: int = DIMS) -> DataFrame:
-    """The best ``k`` gallery names per probe (None: all), with ``rank`` by score and name.
+    """The best ``k`` gallery names per probe row, or all with a score of at least ``floor``, with ``rank`` by score and name.
 
-    ``k`` may name an integer column of the probes. A gallery counted as small
-    is shipped to every task and the probes are never shuffled; a larger one is
-    multiplied block by block and the partial winners are merged per probe.
+    ``k`` may name an integer column of the probes; one of both limits must be
+    given. A gallery counted as small is shipped to every task and the probes
+    are never shuffled; a larger one is multiplied block by block and the
+    partial winners are merged per probe row.
     """
+    if k is None and floor is None:
+        raise ValueError("give k or floor: all names of all probes are as many rows as their product")
     keys = list(keys)
     ok = F.size("embedding") == dims
     kcol = [F.col(k).cast("int").alias("_k")] if isinstance(k, str) else []
@@ -98,29 +101,32 @@ def rank_names(probes: DataFrame, gallery: DataFrame, keys: Sequence[str], *, k:
         # A probe meets the whole gallery in one place, so its ranks are final there.
         return probes.mapInArrow(run, schema)
     else:
-        def cell(lt, rt):
+        def cell(key, lt, rt):
             if not lt.num_rows or not rt.num_rows:
                 return schema_arrow.empty_table()
             names = np.array(rt.column("name").to_pylist(), dtype=object)
-            return pa.Table.from_batches([_ranked(lt, keys, blocks.matrix(lt), names, blocks.matrix(rt), limits(lt), floor)])
+            return pa.Table.from_batches([_ranked(lt, [*keys, "_row"], blocks.matrix(lt), names, blocks.matrix(rt), limits(lt), floor)])
 
         from pyspark.sql.pandas.types import to_arrow_schema
+        schema = T.StructType([*fields, T.StructField("_row", T.LongType()), *schema.fields[len(fields):]])
         schema_arrow = to_arrow_schema(schema)
-        one = probes.withColumn("_g", F.lit(0)).withColumn("_id", F.xxhash64(*keys))
-        two = gallery.withColumn("_g", F.lit(0))
-        found = blocks.cells(one, two, ["_g"], "_id", "name", cell, schema)
+        # A probe row is known by its number, so rows that repeat a key are ranked apart, as above.
+        one = cut_lineage(probes.withColumn("_row", F.monotonically_increasing_id()))
+        found = blocks.cells(one, gallery, [], "_row", "name", cell, schema)
     # Each block gave its own winners; a probe has at most one row per name.
-    out = found.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "name")))
+    out = found.withColumn("rank", F.row_number().over(W.partitionBy("_row").orderBy(F.desc("score"), "name")))
     if isinstance(k, int):
         out = out.where(F.col("rank") <= k)
     elif isinstance(k, str):
-        out = out.join(probes.select(*keys, "_k"), keys).where(F.col("rank") <= F.col("_k")).drop("_k")
-    return out
+        out = out.join(one.select("_row", "_k"), "_row").where(F.col("rank") <= F.col("_k")).drop("_k")
+    return out.drop("_row")
 
 
 def rank_allowed(probes: DataFrame, gallery: DataFrame, allowed: DataFrame, keys: Sequence[str], *,
-                 floor: float | None = None) -> DataFrame:
+                 floor: float | None = None, dims: int = DIMS) -> DataFrame:
     """Rank only the names each meeting allows: an equi-join, so only asked-for pairs are scored."""
+    ok = F.size("embedding") == dims
+    probes, gallery = probes.where(ok), gallery.where(ok)
     listed = allowed.select("meeting", "name").distinct().join(gallery.select("name", vectors.unit("embedding").alias("_g")), "name")
     out = (probes.select(*keys, vectors.unit("embedding").alias("_v")).join(listed, "meeting")
            .select(*keys, "name", vectors.dot("_v", "_g").alias("score")))
@@ -158,7 +164,7 @@ def top_match(probes: DataFrame, gallery: DataFrame, aliases: DataFrame, keys: S
     else:
         named = normalize_names(allowed, "name", aliases).select("meeting", F.col("canonical").alias("name"))
         open_meetings = probes.join(named.select("meeting").distinct(), "meeting", "left_anti")
-        best = (rank_allowed(probes, g, named, keys).where("rank = 1")
+        best = (rank_allowed(probes, g, named, keys, dims=dims).where("rank = 1")
                 .unionByName(rank_names(open_meetings, g, keys, k=1, dims=dims)))
     return best.where(F.col("score") >= threshold).select(*keys, "name", "score")
 
@@ -200,32 +206,80 @@ def normalize_names(rows: DataFrame, column: str, aliases: DataFrame) -> DataFra
 
 def mean_vector(rows: DataFrame, keys: Sequence[str], dims: int = DIMS, column: str = "embedding",
                 normalize: bool = True) -> DataFrame:
-    """Mean of each group's vectors, as a unit vector, with the group size.
+    """Mean of each group's vectors of ``dims`` entries, as a unit vector, with the group size.
 
-    One aggregate per entry keeps the work map-side: a group leaves each task as one row.
+    A group leaves each batch of rows as one vector sum, and few of those meet in a task.
     """
-    v = F.col(column)
-    means = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.get(v, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dims)])
-    out = F.array(*[F.col(f"_{i}") for i in range(dims)])
-    return means.select(*keys, "n", out.alias("embedding")) if not normalize else \
-        means.select(*keys, "n", out.alias("_v")).select(*keys, "n", vectors.unit("_v").alias("embedding"))
+    keys = list(keys)
+    rows = rows.where(F.size(column) == dims).select(*keys, F.col(column).cast("array<double>").alias("_v"))
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("n", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def listed(m):
+        return pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), dims).cast(pa.list_(pa.float64()))
+
+    def add_up(batches):
+        for b in batches:
+            groups: dict[tuple, int] = {}
+            code = np.fromiter((groups.setdefault(k, len(groups)) for k in zip(*(b.column(c).to_pylist() for c in keys))), dtype=np.int64, count=b.num_rows)
+            first = np.unique(code, return_index=True)[1]
+            order = np.argsort(code, kind="stable")
+            m = np.nan_to_num(np.asarray(b.column("_v").flatten(), dtype=np.float64).reshape(-1, dims))
+            sums = np.add.reduceat(m[order], np.searchsorted(code[order], np.arange(len(groups)))) if len(groups) else np.zeros((0, dims))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(first)) for c in keys), pa.array(np.bincount(code, minlength=len(groups))), listed(sums)],
+                                             names=[*keys, "n", "embedding"])
+
+    def finish(key, table):
+        n = int(np.asarray(table.column("n")).sum())
+        mean = np.asarray(table.column("embedding").combine_chunks().flatten()).reshape(-1, dims).sum(axis=0) / n
+        size = np.sqrt((mean * mean).sum())
+        out = mean / size if normalize and size > 0 else mean
+        return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key)}, "n": pa.array([n]), "embedding": listed(out)})
+
+    return rows.mapInArrow(add_up, schema).groupBy(*keys).applyInArrow(finish, schema)
 
 
 def robust_centroid(rows: DataFrame, keys: Sequence[str], id: str = "idx", dims: int = DIMS,
                     block_rows: int = 2048) -> DataFrame:
     """Centroid of a group after dropping vectors far from its medoid.
 
-    The medoid has the highest median similarity to its group; vectors below
-    max(0.45, lower quartile) of similarity to it are dropped.
+    The medoid has the highest median similarity to its group (of equals the
+    smallest id); vectors below max(0.45, lower quartile) of similarity to it
+    are dropped. A group of at most ``block_rows`` vectors is worked out in one
+    step; larger ones in blocks, with the same result.
     """
     keys = list(keys)
     rows = rows.where(F.size("embedding") == dims).select(*keys, F.col(id).alias("_id"), "embedding")
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    large = sizes.where(F.col("n") > block_rows)
+    if large.isEmpty():
+        return _centroids_small(rows, keys)
+    small = _centroids_small(rows.join(large.select(*keys), keys, "left_anti"), keys)
+    return small.unionByName(_centroids_large(rows, large, keys, dims, block_rows))
+
+
+def _centroids_small(rows: DataFrame, keys: list[str]) -> DataFrame:
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("kept", T.LongType()),
+                                                            T.StructField("n", T.LongType())])
+
+    def kernel(key, table):
+        ids, m = table.column("_id").to_pylist(), blocks.matrix(table)
+        medians = np.round(np.concatenate([np.median(s, axis=1) for _, s in blocks.strips(m, m)]), 12)
+        medoid = min(np.flatnonzero(medians == medians.max()), key=lambda i: ids[i])
+        near = m @ m[medoid]
+        ok = near >= max(CENTROID_FLOOR, np.quantile(near, CENTROID_PERCENTILE))
+        if ok.sum() < min(2, len(m)):
+            ok[:] = True
+        mean = m[ok].mean(axis=0)
+        size = np.sqrt((mean * mean).sum())
+        return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key)},
+                         "embedding": pa.array([mean / size if size > 0 else mean], pa.list_(pa.float64())), "kept": pa.array([int(ok.sum())]), "n": pa.array([len(m)])})
+
+    return rows.groupBy(*keys).applyInArrow(kernel, schema)
+
+
+def _centroids_large(rows: DataFrame, sizes: DataFrame, keys: list[str], dims: int, block_rows: int) -> DataFrame:
     rows = rows.join(sizes, keys)
-    medoid = _medoids_small(rows.where(F.col("n") <= block_rows), keys)
-    if sizes.where(F.col("n") > block_rows).limit(1).count():
-        medoid = medoid.unionByName(_medoids_large(rows.where(F.col("n") > block_rows), keys, block_rows))
-    medoid = cut_lineage(medoid)
+    medoid = cut_lineage(_medoids_large(rows, keys, block_rows))
     near = (rows.join(medoid.join(rows.select(*keys, F.col("_id").alias("_m"), vectors.unit("embedding").alias("_mv")), [*keys, "_m"]), keys)
             .withColumn("_u", vectors.unit("embedding")).withColumn("_s", vectors.dot("_u", "_mv")))
     cut = _order_statistic(near.select(*keys, "_id", "_s", "n"), keys, CENTROID_PERCENTILE).withColumnRenamed("value", "_q")
@@ -236,23 +290,6 @@ def robust_centroid(rows: DataFrame, keys: Sequence[str], id: str = "idx", dims:
     return centre.join(sizes, keys).select(*keys, "embedding", "kept", "n")
 
 
-def _medoids_small(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Medoid id of each group that fits one block."""
-    id_type = rows.schema["_id"].dataType
-    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("_m", id_type)])
-
-    def kernel(key, table):
-        ids = table.column("_id").to_pylist()
-        m = blocks.matrix(table)
-        medians = np.concatenate([np.median(s, axis=1) for _, s in blocks.strips(m, m)])
-        best = np.flatnonzero(np.round(medians, 12) == np.round(medians.max(), 12))
-        chosen = min(ids[i] for i in best)
-        return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key)},
-                         "_m": pa.array([chosen], table.schema.field("_id").type)})
-
-    return rows.select(*keys, "_id", "embedding").groupBy(*keys).applyInArrow(kernel, schema)
-
-
 def _medoids_large(rows: DataFrame, keys: list[str], block_rows: int, bins: int = 4096) -> DataFrame:
     """Medoid id of each group of many blocks: exact medians from two passes over the cells.
 
@@ -307,7 +344,7 @@ def _medoids_large(rows: DataFrame, keys: list[str], block_rows: int, bins: int
     placed = (values.withColumn("r", F.row_number().over(order)).join(want.select(*keys, "_id", "below"), [*keys, "_id"])
               .join(sizes, [*keys, "_id"]).withColumn("r", F.col("r") + F.col("below")))
     median = (placed.where((F.col("r") == lo_rank) | (F.col("r") == hi_rank)).groupBy(*keys, "_id").agg(F.avg("v").alias("med")))
-    return median.groupBy(*keys).agg(F.max_by("_id", F.struct(F.round("med", 12), (-F.col("_id")).alias("i"))).alias("_m"))
+    return median.groupBy(*keys).agg(F.min(F.struct((-F.round("med", 12)).alias("m"), "_id")).alias("b")).select(*keys, F.col("b._id").alias("_m"))
 
 
 def _order_statistic(rows: DataFrame, keys: list[str], q: float) -> DataFrame:

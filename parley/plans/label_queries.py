@@ -7,7 +7,8 @@ from ..operators import voices as V
 from . import proxies as P
 from .proxies import DIMS, with_ctes
 from .registry import query
-from .voice_queries import by_voice, probe_vec
+from .shaping_queries import SAME
+from .voice_queries import ROBUST, SUMMARY, UNIT, by_voice, probe_vec, summary
 
 
 def turns(spark, sf):
@@ -174,14 +175,34 @@ def _(spark, sf):
     return L.rescan(v, g, V.alias_table(g), rules, DIMS, threshold=0.3).select("meeting", "idx", "label", "matched")
 
 
-@query("rescan_from_labels")
+UNNAMED = "(l = '' OR l LIKE '%Speaker%')"
+
+
+@query("rescan_from_labels", with_ctes("seg") + "," + TURNS + "," + NAMED + "," + LONGEST + "," + DOMINANT + f""",
+ru AS (SELECT meeting, sk, arg_max(name, idx) AS name FROM nm WHERE name IS NOT NULL GROUP BY meeting, sk),
+do_ AS (SELECT dm.* FROM dm SEMI JOIN lo USING (meeting, name)),
+cs AS (SELECT DISTINCT meeting, speaker_id, CASE WHEN speaker_id LIKE '%1' THEN 1 ELSE 2 END AS cluster FROM tn),
+sp AS (SELECT meeting, speaker_id, name, first_idx FROM do_
+  UNION ALL SELECT b.meeting, b.speaker_id, name, first_idx FROM do_ JOIN cs a USING (meeting, speaker_id) JOIN cs b ON b.meeting = a.meeting AND b.cluster = a.cluster),
+ids AS (SELECT meeting, speaker_id, arg_max(name, (first_idx, name)) AS name FROM sp GROUP BY ALL),
+mx AS (SELECT tn.* EXCLUDE (label), ids.name IS NOT NULL AS matched, coalesce(ids.name, CASE WHEN label = '' OR label LIKE '%Speaker%' THEN raw_label ELSE label END) AS l FROM tn LEFT JOIN ids USING (meeting, speaker_id)),
+w1 AS (SELECT meeting, sk, arg_max(l, (n, -f)) AS w FROM (SELECT meeting, sk, l, count(*) AS n, min(idx) AS f FROM mx WHERE matched AND NOT {UNNAMED} GROUP BY ALL) GROUP BY ALL),
+w2 AS (SELECT meeting, chunk, arg_max(l, (n, -f)) AS w FROM (SELECT meeting, chunk, l, count(*) AS n, min(idx) AS f FROM mx WHERE matched AND NOT {UNNAMED} GROUP BY ALL) GROUP BY ALL),
+ih AS (SELECT mx.*, CASE WHEN NOT matched AND {UNNAMED} THEN coalesce(w1.w, w2.w, l) ELSE l END AS l2 FROM mx
+  LEFT JOIN w1 ON w1.meeting = mx.meeting AND w1.sk = mx.sk LEFT JOIN w2 ON w2.meeting = mx.meeting AND w2.chunk = mx.chunk),
+fin AS (SELECT ih.* EXCLUDE (l, l2), coalesce(ru.name, l2) AS label FROM ih LEFT JOIN ru ON ru.meeting = ih.meeting AND ru.sk = ih.sk),""" + SAME.replace("FROM seg)", "FROM fin)")
+       + ' SELECT meeting, idx, start, "end", label, text, parts FROM sg')
 def _(spark, sf):
     seg = turns(spark, sf)
     clusters = seg.select("meeting", "speaker_id", F.when(F.col("speaker_id").endswith("1"), 1).otherwise(2).alias("cluster")).distinct()
     return L.rescan_from_labels(seg, aliases(spark, sf), clusters).select("meeting", "idx", "start", "end", "label", "text", "parts")
 
 
-@query("sample_vectors_for_names")
+@query("sample_vectors_for_names", with_ctes("voice") + "," + ROBUST.replace("cs AS (", "unused AS (") + """,
+v0 AS (SELECT meeting, voice, arg_min(embedding, idx) AS v, 'cluster' AS origin FROM voice WHERE voice < 3 GROUP BY meeting, voice
+  UNION ALL SELECT meeting, CAST(substr(id, 9) AS INTEGER), """ + UNIT.format("e") + """, 'source' FROM c0 WHERE CAST(substr(id, 9) AS INTEGER) >= 3),
+v1 AS (SELECT meeting, 'người ' || voice AS name, origin, v AS e FROM v0)
+SELECT meeting, name, origin, """ + SUMMARY + " FROM v1")
 def _(spark, sf):
     v = by_voice(probe_vec(spark, sf))
     name = F.concat(F.lit("người "), F.col("voice").cast("string"))
@@ -189,4 +210,4 @@ def _(spark, sf):
     clusters = v.where("voice < 3").groupBy("meeting", F.col("voice").cast("long").alias("cluster")).agg(F.min_by("embedding", "idx").alias("centroid"))
     known = v.where("voice < 3").select("meeting", "speaker_id", F.col("voice").cast("long").alias("cluster")).distinct()
     out = L.sample_vectors(v, V.alias_table(P.gallery(spark, sf)), known, clusters, DIMS)
-    return out.select("meeting", "name", "origin", F.size("embedding").alias("dims"))
+    return summary(out, "meeting", "name", "origin")

@@ -328,11 +328,11 @@ ans AS (
 NEEDS = {"loc": ["seg"], "chunk_t": ["seg"], "spk": ["seg"], "wrd": ["seg"]}
 
 
-def with_ctes(*names: str) -> str:
+def with_ctes(*names: str, recursive: bool = False) -> str:
     """``WITH`` clause of the named tables and those they read."""
     order: list[str] = []
     for n in names:
         for m in [*NEEDS.get(n, []), n]:
             if m not in order:
                 order.append(m)
-    return "WITH " + ",".join(CTES[n] for n in order)
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",".join(CTES[n] for n in order)

@@ -71,7 +71,7 @@ rw AS (SELECT it.*, label LIKE '👤 Speaker%' AND (d <= 3.0 OR (d <= 8.0 AND n
 nb AS (SELECT *, last_value(CASE WHEN NOT short THEN {'l': label, 's': start, 'e': "end"} END IGNORE NULLS) OVER (PARTITION BY meeting ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lf,
   first_value(CASE WHEN NOT short THEN {'l': label, 's': start, 'e': "end"} END IGNORE NULLS) OVER (PARTITION BY meeting ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rt FROM rw),
 ch AS (SELECT *, CASE WHEN lf IS NOT NULL AND (rt IS NULL OR abs(start - coalesce(nullif(lf.e, 0), lf.s)) <= abs(rt.s - coalesce(nullif("end", 0), start))) THEN lf.l ELSE rt.l END AS dest FROM nb),
-mp AS (SELECT meeting, label, arg_max(dest, idx) AS dest FROM ch WHERE short AND dest IS NOT NULL GROUP BY ALL),
+mp AS (SELECT meeting, label, arg_max(dest, idx) AS dest FROM ch WHERE short AND dest <> '' GROUP BY ALL),
 nw AS (SELECT it.meeting, idx, start, "end", coalesce(mp.dest, it.label) AS label, speaker_id, text FROM it LEFT JOIN mp USING (meeting, label)),
 lg AS (SELECT *, lag(label) OVER w AS pl, lag(speaker_id) OVER w AS ps, lag("end") OVER w AS pe FROM nw WINDOW w AS (PARTITION BY meeting ORDER BY idx)),
 gr AS (SELECT *, sum(CASE WHEN pl = label AND ps = speaker_id AND start - pe <= 1.5 THEN 0 ELSE 1 END) OVER (PARTITION BY meeting ORDER BY idx) AS g FROM lg)
@@ -236,13 +236,18 @@ def _(spark, sf):
     return S.read_mixed_rows(seg.groupBy("meeting").agg(body.alias("raw_results")))
 
 
-@query("pack_segments", with_ctes("seg") + """ SELECT meeting, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, arg_max(speaker_id, idx) AS last_id FROM seg GROUP BY meeting""")
+@query("pack_segments", with_ctes("seg") + """ SELECT meeting, idx, start, "end", label, text, speaker_id, round(start + "end", 6) AS vector_sum FROM seg""")
 def _(spark, sf):
-    packed = S.pack_segments(P.segments(spark, sf))
+    seg = P.segments(spark, sf).where("idx is not null").withColumn("embedding", F.array("start", "end"))
+    first = seg.groupBy("meeting").agg(F.min("idx").alias("from"))
+    packed = S.pack_segments(seg).join(first, "meeting")
     shown = F.from_json("raw_results", "array<array<string>>")
-    orig = F.from_json("original_raw_results", "array<struct<start:double,end:double,speaker:string,text:string,speaker_id:string>>")
-    return packed.select("meeting", F.size(shown).cast("long").alias("n"), F.aggregate(shown, F.lit(0).cast("long"), lambda s, x: s + F.length(F.get(x, F.lit(3)))).alias("chars"),
-                         F.element_at(orig, -1)["speaker_id"].alias("last_id"))
+    orig = F.from_json("original_raw_results", "array<struct<start:double,end:double,speaker:string,text:string,embedding:array<double>,speaker_id:string>>")
+    both = packed.select("meeting", "from", F.posexplode(F.arrays_zip(shown.alias("s"), orig.alias("o"))).alias("i", "z"))
+    # the display row gives times, label and text, the original row the id and the vector
+    return both.select("meeting", (F.col("from") + F.col("i")).alias("idx"), F.get("z.s", F.lit(0)).cast("double").alias("start"), F.get("z.s", F.lit(1)).cast("double").alias("end"),
+                       F.get("z.s", F.lit(2)).alias("label"), F.get("z.s", F.lit(3)).alias("text"), "z.o.speaker_id",
+                       F.round(F.get("z.o.embedding", F.lit(0)) + F.get("z.o.embedding", F.lit(1)), 6).alias("vector_sum"))
 
 
 @query("append_log", with_ctes("meet") + """,

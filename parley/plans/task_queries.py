@@ -57,17 +57,27 @@ def _(spark, sf):
     return K.employee_projects(P.employees(spark, sf), K.user_projects(P.projects(spark, sf), P.members(spark, sf)))
 
 
-@query("split_long_text")
+@query("split_long_text", r"""
+WITH RECURSIVE l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, lines, 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS n, NULL::BIGINT AS pa, NULL::BIGINT AS pb FROM l WHERE length(text) > 2000
+  UNION ALL
+  SELECT doc_id, lines, i + 1, CASE WHEN cut THEN b ELSE a END, CASE WHEN cut THEN list_sum(list_transform(lines[b + 1:i], lambda x: length(x) + 1)) ELSE n END + size,
+    CASE WHEN cut THEN a END, CASE WHEN cut THEN i END
+  FROM (SELECT *, length(lines[i + 1]) + 1 AS size, a < i AND n + length(lines[i + 1]) + 1 > 2000 AS cut, greatest(a, i - 3) AS b FROM w WHERE i < len(lines))),
+p AS (SELECT doc_id, lines, pa, pb FROM w WHERE pa IS NOT NULL UNION ALL SELECT doc_id, lines, a, len(lines) FROM w WHERE i = len(lines))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pb, pa) - 1 AS INTEGER) AS part, array_to_string(lines[pa + 1:pb], chr(10)) AS text FROM p
+UNION ALL SELECT doc_id, 0, text FROM l WHERE length(text) <= 2000""")
 def _(spark, sf):
     return K.split_long_text(P.table(spark, sf, "documents"), max_chars=2000)
 
 
 @query("merge_answers", with_ctes("ans") + """,
 o AS (SELECT * FROM ans WHERE NOT broken),
-s AS (SELECT doc_id, part, trim(tom, E' \\n\\t\\r') AS s, row_number() OVER (PARTITION BY doc_id ORDER BY part) AS no, count(*) OVER (PARTITION BY doc_id) AS k FROM o WHERE trim(tom, E' \\n\\t\\r') <> ''),
+s AS (SELECT doc_id, part, tom AS s, row_number() OVER (PARTITION BY doc_id ORDER BY part) AS no, count(*) OVER (PARTITION BY doc_id) AS k FROM o WHERE tom <> ''),
 a AS (SELECT doc_id, CASE WHEN any_value(k) = 1 THEN any_value(s) ELSE string_agg('── Phần ' || no || E' ──\\n' || s, E'\\n\\n' ORDER BY part) END AS summary FROM s GROUP BY doc_id)
-SELECT o.doc_id, coalesce(arg_min(ten, part) FILTER (ten <> ''), '') AS title, '01/02/2024' AS day, coalesce(arg_max(trim(ket, E' \\n\\t\\r'), part) FILTER (ket <> ''), '') AS conclusion,
-  count(*) * 2 AS items, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, coalesce(any_value(a.summary), '') AS summary
+SELECT o.doc_id, coalesce(arg_min(ten, part) FILTER (ten <> ''), '') AS title, '01/02/2024' AS day, coalesce(arg_max(ket, part) FILTER (ket <> ''), '') AS conclusion,
+  count(*) * 2 AS items, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
+  CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens_used, coalesce(any_value(a.summary), '') AS summary
 FROM o LEFT JOIN a USING (doc_id) GROUP BY o.doc_id""")
 def _(spark, sf):
     return K.merge_answers(K.parse_answers(P.answers(spark, sf)))
@@ -131,20 +141,21 @@ def _(spark, sf):
 
 @query("batch_report", with_ctes("task_t") + """,
 g AS (SELECT *, NOT bool_or(duplicate) OVER (PARTITION BY batch) AS created FROM dup)
-SELECT batch, count(*) FILTER (created) AS created, count(*) FILTER (duplicate) AS failed, '''' || arg_min(title, seq) FILTER (duplicate) || ''': Đã tồn tại (Trùng lặp)' AS error FROM g GROUP BY batch""")
+SELECT batch, count(*) FILTER (created) AS created, CAST(bool_or(duplicate) AS INTEGER) AS failed, '''' || arg_min(title[:40], seq) FILTER (duplicate) || ''': Đã tồn tại (Trùng lặp)' AS error,
+  coalesce(min(seq) < min(seq) FILTER (duplicate), FALSE) AS rolled_back FROM g GROUP BY batch""")
 def _(spark, sf):
-    return K.batch_report(K.gate_batches(K.duplicate_tasks(P.tasks(spark, sf), P.erp_tasks(spark, sf))))
+    return K.batch_report(K.gate_batches(K.duplicate_tasks(P.tasks(spark, sf), P.erp_tasks(spark, sf))), title_chars=40)
 
 
 @query("speaker_roles", with_ctes("gal", "emp") + """,
 st AS (SELECT employee_name AS n, designation, name FROM emp),
-a AS (SELECT 'voice_' || name AS k, designation AS role, 0 AS prio, '' AS code FROM emp WHERE name IN (SELECT regexp_extract(email, '^voice_(\\d+)_1@', 1) FROM gal)),
+g AS (SELECT name, regexp_extract(name, '^voice_(\\d+)_', 1) AS number FROM gal),
+a AS (SELECT g.name AS k, emp.designation AS role, 0 AS prio, '' AS code FROM g JOIN emp ON emp.name = g.number),
 b AS (SELECT DISTINCT unnest([n, lower(n)]) AS k, designation AS role, 1 AS prio, name AS code FROM st)
 SELECT k AS key, arg_max(role, (prio, code)) AS role FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY k""")
 def _(spark, sf):
-    g = P.gallery(spark, sf).where(F.col("email").endswith("_1@x.vn"))
-    number = F.regexp_extract("email", r"^voice_(\d+)_1@", 1)
-    speakers = g.select(F.concat(F.lit("voice_"), number).alias("name"), F.concat(F.lit("e"), number).alias("email"))
+    number = F.regexp_extract("name", r"^voice_(\d+)_", 1)
+    speakers = P.gallery(spark, sf).select("name", F.concat(F.lit("e"), number).alias("email"))
     staff = P.employees(spark, sf).withColumn("user_id", F.regexp_replace("user_id", "@.*", ""))
     return K.speaker_roles(speakers, staff)
 

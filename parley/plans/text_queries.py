@@ -159,10 +159,10 @@ def _(spark, sf):
 
 @query("minute_file_names", with_ctes("meet") + r""",
 t AS (SELECT meeting, trim(trim(regexp_replace(regexp_replace(title, '[\\/:*?"<>|]+', ' ', 'g'), '\s+', ' ', 'g')), ' -') AS subj, creation FROM meet),
-n AS (SELECT meeting, 'PAI - BBH - ' || subj || CASE WHEN subj = '' THEN '' ELSE ' - ' END || day(creation) || '.' || month(creation) || '.' || year(creation) AS name FROM t)
+n AS (SELECT meeting, 'Office - BBH - ' || subj || CASE WHEN subj = '' THEN '' ELSE ' - ' END || day(creation) || '.' || month(creation) || '.' || year(creation) AS name FROM t)
 SELECT meeting, CASE WHEN length(name) > 180 THEN rtrim(substring(name, 1, 180), ' -') ELSE name END || '.docx' AS file FROM n""")
 def _(spark, sf):
-    return P.meetings(spark, sf).select("meeting", text.minute_file_name(F.lit("PAI"), "title", "creation", "meeting").alias("file"))
+    return P.meetings(spark, sf).select("meeting", text.minute_file_name(F.lit("Office"), "title", "creation", "meeting", max_chars=180).alias("file"))
 
 
 @query("task_types", "SELECT event_id, CASE WHEN lower(event_type) LIKE '%noti%' OR event_type LIKE '%thông báo%' THEN 'noti' ELSE 'task' END AS kind FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Noti ' ELSE '' END || event_type AS event_type FROM events)")

@@ -19,7 +19,7 @@ def d2(x: str) -> str:
 d AS (SELECT meeting, chunk, max("end") AS duration FROM loc GROUP BY ALL),
 m AS (SELECT *, lag(start) OVER (PARTITION BY meeting, chunk ORDER BY idx) AS before FROM loc JOIN d USING (meeting, chunk)),
 ok AS (SELECT meeting, chunk FROM m GROUP BY ALL HAVING NOT bool_or(start < 0 OR start > duration + 1 OR coalesce(start + 0.15::DOUBLE < before, FALSE))
-  AND NOT (count(*) >= 4 AND count(DISTINCT round(CAST(start AS DECIMAL(18, 6)), 1)) < greatest(2, count(*) // 5))),
+  AND NOT (count(*) >= 4 AND count(DISTINCT printf('%.1f', start)) < greatest(2, count(*) // 5))),
 nx AS (SELECT a.meeting, a.chunk, a.idx, arg_min(b.start, b.idx) AS nxt FROM loc a JOIN loc b ON a.meeting = b.meeting AND a.chunk = b.chunk AND b.idx > a.idx
   AND b.start > a.start + 0.05::DOUBLE GROUP BY ALL),
 ov AS (SELECT DISTINCT a.meeting, a.idx FROM loc a JOIN loc b ON a.meeting = b.meeting AND a.chunk = b.chunk AND a.idx <> b.idx AND abs(a.start - b.start) <= 0.05::DOUBLE)
@@ -142,7 +142,18 @@ def _(spark, sf):
     return L.repeated_phrases(P.segments(spark, sf), window_words=2, times=3, stride=1)
 
 
-@query("plan_chunks")
+@query("plan_chunks", with_ctes("frm", recursive=True) + """,
+q AS (SELECT file, frame_idx, frame_idx - row_number() OVER (PARTITION BY file ORDER BY frame_idx) AS g FROM frm WHERE NOT is_speech),
+r AS (SELECT file, list({'a': a, 'b': b} ORDER BY a) AS runs FROM (SELECT file, min(frame_idx) AS a, max(frame_idx) + 1 AS b FROM q GROUP BY file, g) GROUP BY file),
+f AS (SELECT file, CAST(round(duration * 1000) AS BIGINT) AS total, coalesce(runs, []) AS runs FROM frd LEFT JOIN r USING (file)),
+w AS (SELECT file, total, runs, 0::BIGINT AS begin, 0::BIGINT AS pos, -1::BIGINT AS chunk FROM f
+  UNION ALL
+  SELECT file, total, runs, pos, CASE WHEN stop <= pos THEN least(total, pos + 1500) ELSE stop END, chunk + 1
+  FROM (SELECT *, least(CASE WHEN pos + 1500 >= total THEN total WHEN best.n >= 2 THEN (best.b - best.n // 2) * 30 ELSE pos + 1500 END, pos + 3000, total) AS stop
+    FROM (SELECT *, list_max(list_transform(list_filter(runs, lambda x: x.b > lo AND x.a < hi), lambda x: {'n': least(x.b, hi) - greatest(x.a, lo), 'first': -x.a, 'b': least(x.b, hi)})) AS best
+      FROM (SELECT *, greatest(pos + 750, pos + 900) // 30 AS lo, least(total, pos + 3000, pos + 2100) // 30 AS hi FROM w WHERE pos < total))))
+SELECT file, CAST(chunk AS INTEGER) AS chunk, begin / 1000.0::DOUBLE AS orig_start, pos / 1000.0::DOUBLE AS orig_end, 0.0::DOUBLE AS dense_start,
+  pos / 1000.0::DOUBLE - begin / 1000.0::DOUBLE AS dense_end FROM w WHERE chunk >= 0""")
 def _(spark, sf):
     fr = P.frames(spark, sf)
     return L.plan_chunks(fr, P.frame_durations(fr), target_sec=1.5, max_sec=3.0, search_sec=0.6, min_silence_frames=2)

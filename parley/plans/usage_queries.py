@@ -43,12 +43,18 @@ def _(spark, sf):
 
 
 @query("meeting_usage", with_ctes("chunk_t", "meet") + """,
-s AS (SELECT meeting, sum(stt_prompt_tokens) AS p, sum(stt_completion_tokens) AS c, sum(stt_total_tokens) AS t, sum(stt_cost_usd) AS d FROM chunk_t WHERE status = 'Completed' GROUP BY meeting)
-SELECT meeting, CAST(coalesce(p, fallback_prompt) AS BIGINT) AS prompt_tokens, CAST(coalesce(c, fallback_completion) AS BIGINT) AS completion_tokens,
-  CAST(coalesce(t, fallback_prompt + fallback_completion) AS BIGINT) AS total_tokens,
-  round(coalesce(d, fallback_prompt * (0.75::DOUBLE / 1000000) + fallback_completion * (3.75::DOUBLE / 1000000)), 9) AS cost_usd FROM meet LEFT JOIN s USING (meeting)""")
-def _(spark, sf):
-    c = P.chunks(spark, sf).where("status = 'Completed'")
+s AS (SELECT meeting, sum(stt_prompt_tokens) AS p, sum(stt_completion_tokens) AS c, sum(stt_total_tokens) AS t, sum(stt_cost_usd) AS d FROM (SELECT * REPLACE (CASE WHEN conv_id % 4 = 1 THEN 0 ELSE stt_prompt_tokens END AS stt_prompt_tokens,
+  CASE WHEN conv_id % 4 = 1 THEN 0 ELSE stt_completion_tokens END AS stt_completion_tokens, CASE WHEN conv_id % 4 = 1 THEN 0 ELSE stt_total_tokens END AS stt_total_tokens,
+  CASE WHEN conv_id % 4 = 1 THEN 0 ELSE stt_cost_usd END AS stt_cost_usd) FROM chunk_t) GROUP BY meeting),
+k AS (SELECT *, coalesce(t, 0) = 0 AND (coalesce(fallback_prompt, 0) <> 0 OR coalesce(fallback_completion, 0) <> 0) AS empty FROM meet LEFT JOIN s USING (meeting))
+SELECT meeting, CAST(CASE WHEN empty THEN fallback_prompt ELSE coalesce(p, 0) END AS BIGINT) AS prompt_tokens, CAST(CASE WHEN empty THEN fallback_completion ELSE coalesce(c, 0) END AS BIGINT) AS completion_tokens,
+  CAST(CASE WHEN empty THEN fallback_prompt + fallback_completion ELSE coalesce(t, 0) END AS BIGINT) AS total_tokens,
+  round(CASE WHEN NOT empty THEN coalesce(d, 0) ELSE (fallback_prompt * (0.75::DOUBLE / 1000000) + fallback_completion * (3.75::DOUBLE / 1000000)) END, 9) AS cost_usd FROM k""")
+def _(spark, sf):
+    # the chunks of every fourth meeting came without counts
+    c = P.chunks(spark, sf)
+    for name in ("stt_prompt_tokens", "stt_completion_tokens", "stt_total_tokens", "stt_cost_usd"):
+        c = c.withColumn(name, F.when(F.col("conv_id") % 4 == 1, 0).otherwise(F.col(name)))
     return U.meeting_usage(P.meetings(spark, sf), c).withColumn("cost_usd", F.round("cost_usd", 9))
 
 
@@ -82,12 +88,12 @@ SELECT action, min(session) AS session, min(ts) FILTER (event_id % 3 = 0) AS sta
 FROM call_t GROUP BY action""")
 def _(spark, sf):
     c = P.calls(spark, sf).withColumn("kind", F.when(F.col("event_id") % 3 == 0, "start").otherwise("finish")).withColumn("summary", F.col("error_message"))
-    return U.action_rows(c)
+    return U.action_rows(c, max_chars=500)
 
 
 @query("call_rows", with_ctes("call_t") + " SELECT session, action, 'stt' AS call_type, ai_model, status, ts, prompt_tokens, completion_tokens, prompt_tokens + completion_tokens AS total_tokens, round(duration_seconds, 3) AS duration_seconds, error_message FROM call_t")
 def _(spark, sf):
-    return U.call_rows(P.calls(spark, sf))
+    return U.call_rows(P.calls(spark, sf), max_chars=500)
 
 
 @query("session_lifecycle", "SELECT CAST(user_id AS VARCHAR) AS session, min(ts) AS started_at, max(ts) AS last_active_at, CASE WHEN bool_or(event_type = 'purchase') THEN 'completed' ELSE 'active' END AS status FROM events GROUP BY user_id")
@@ -125,11 +131,12 @@ def _(spark, sf):
 
 
 @query("transcription_totals", with_ctes("chunk_t") + """,
-u AS (SELECT meeting, CAST(sum(stt_total_tokens) AS BIGINT) AS tokens FROM chunk_t GROUP BY meeting)
-SELECT meeting, count(*) AS segments, count(DISTINCT speaker_id) AS speakers, any_value(tokens) AS tokens FROM seg JOIN u USING (meeting) GROUP BY meeting""")
+u AS (SELECT meeting, CAST(sum(stt_prompt_tokens) AS BIGINT) AS p, CAST(sum(stt_completion_tokens) AS BIGINT) AS c FROM chunk_t GROUP BY meeting)
+SELECT meeting, count(*) AS segments, count(DISTINCT speaker_id) AS speakers, any_value(p + c) AS tokens,
+  round(any_value(p * (0.75::DOUBLE / 1000000) + c * (3.75::DOUBLE / 1000000)), 9) AS cost_usd FROM seg JOIN u USING (meeting) GROUP BY meeting""")
 def _(spark, sf):
-    u = P.chunks(spark, sf).groupBy("meeting").agg(F.sum("stt_total_tokens").alias("tokens"))
-    return U.transcription_totals(P.segments(spark, sf), u)
+    u = P.chunks(spark, sf).groupBy("meeting").agg(F.sum("stt_prompt_tokens").alias("prompt_tokens"), F.sum("stt_completion_tokens").alias("completion_tokens"))
+    return U.transcription_totals(P.segments(spark, sf), u).withColumn("cost_usd", F.round("cost_usd", 9))
 
 
 @query("character_quota", """

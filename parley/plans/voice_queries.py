@@ -32,12 +32,32 @@ def summary(df, *keys):
     return df.select(*keys, F.round(F.get(v, F.lit(0)), 6).alias("first"), F.round(F.element_at(v, -1), 6).alias("last"), F.round(weighted, 5).alias("weighted"))
 
 
+UNIT = "list_transform({0}, lambda x: x / sqrt(list_dot_product({0}, {0})))"
+# Mean vector of each speaker of a meeting.
+SPEAKERS = """
+cs0 AS (SELECT meeting, voice, d, avg(x) AS x FROM (SELECT meeting, voice, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM voice) GROUP BY ALL),
+cs AS (SELECT meeting, 'speaker_' || voice AS id, list(x ORDER BY d) AS e FROM cs0 GROUP BY meeting, voice)"""
+# Best one-to-one names of the rows of ``cs`` (meeting, id, e): name by name, the best total for each set of ids served so far.
+ASSIGN = """
+ids AS (SELECT meeting, id, e, row_number() OVER (PARTITION BY meeting ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY meeting) AS n FROM cs),
+nms AS (SELECT name, embedding, row_number() OVER (ORDER BY name) AS j FROM gal),
+opt AS (SELECT meeting, j, k, id, name, list_cosine_similarity(e, embedding) AS s FROM ids, nms
+  UNION ALL SELECT DISTINCT meeting, j, -1, NULL, NULL, 0 FROM ids, nms),
+st AS (SELECT DISTINCT meeting, 0::BIGINT AS j, 0::BIGINT AS mask, 0::DOUBLE AS total, []::STRUCT(id VARCHAR, name VARCHAR, s DOUBLE)[] AS picks FROM ids
+  UNION ALL
+  SELECT st.meeting, st.j + 1, CASE WHEN k < 0 THEN mask ELSE mask | (1::BIGINT << k) END AS after, max(total + s),
+    arg_max(CASE WHEN k < 0 THEN picks ELSE list_append(picks, {'id': id, 'name': name, 's': s}) END, total + s)
+  FROM st JOIN opt ON opt.meeting = st.meeting AND opt.j = st.j + 1 AND (k < 0 OR (mask >> greatest(k, 0)) & 1 = 0) GROUP BY 1, 2, 3),
+one AS (SELECT meeting, unnest(picks, recursive := true) FROM st JOIN (SELECT DISTINCT meeting, n FROM ids) USING (meeting)
+  WHERE j = (SELECT max(j) FROM nms) AND mask = (1::BIGINT << n) - 1)"""
+
+
 SUMMARY = "round(e[1], 6) AS first, round(e[64], 6) AS last, round(list_sum(list_transform(e, lambda x, i: x * i)), 5) AS weighted"
 
 
 @query("rank_all_names", with_ctes("voice", "gal") + "," + SIM + " SELECT vec_id, name, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk")
 def _(spark, sf):
-    return V.rank_names(probe_vec(spark, sf), P.gallery(spark, sf), ["vec_id"], dims=DIMS).withColumn("score", F.round("score", 6))
+    return V.rank_names(probe_vec(spark, sf), P.gallery(spark, sf), ["vec_id"], floor=-2.0, dims=DIMS).withColumn("score", F.round("score", 6))
 
 
 @query("identify_voice", with_ctes("voice", "gal") + "," + SIM + " SELECT vec_id, CASE WHEN score >= 0.35 THEN name ELSE 'Speaker' END AS name, round(score, 6) AS score FROM rk WHERE rank = 1")
@@ -150,7 +170,21 @@ def _(spark, sf):
     return summary(V.robust_centroid(e, ["label"], dims=DIMS), "label", "kept")
 
 
-@query("cleanest_runs")
+@query("cleanest_runs", with_ctes("voice") + """,
+u AS (SELECT meeting, w_idx, """ + UNIT.format("embedding") + """ AS u, count(*) OVER (PARTITION BY meeting) AS n FROM voice),
+s AS (SELECT a.meeting, a.w_idx, any_value(a.n) AS n, (sum(list_dot_product(a.u, b.u)) - any_value(list_dot_product(a.u, a.u))) / greatest(1, any_value(a.n) - 1) AS score FROM u a JOIN u b USING (meeting) GROUP BY a.meeting, a.w_idx),
+md AS (SELECT meeting, arg_max(w_idx, (round(score, 12), -w_idx)) AS mid FROM s GROUP BY meeting),
+k AS (SELECT s.*, md.mid, s.w_idx - row_number() OVER (PARTITION BY s.meeting ORDER BY s.w_idx) AS r FROM s JOIN md USING (meeting) JOIN u x ON x.meeting = s.meeting AND x.w_idx = s.w_idx
+  JOIN u y ON y.meeting = s.meeting AND y.w_idx = md.mid WHERE list_dot_product(x.u, y.u) >= 0 OR s.w_idx = md.mid),
+lr AS (SELECT meeting, arg_max(r, (len, -first)) AS r FROM (SELECT meeting, r, count(*) AS len, min(w_idx) AS first FROM k GROUP BY ALL) GROUP BY meeting),
+c AS (SELECT k.* FROM k JOIN lr USING (meeting, r)),
+t AS (SELECT a.meeting, a.w_idx, round(sum(b.score), 12) AS total, any_value(a.mid) BETWEEN a.w_idx AND a.w_idx + 10 AS holds FROM c a JOIN c b ON a.meeting = b.meeting AND b.w_idx BETWEEN a.w_idx AND a.w_idx + 10 GROUP BY a.meeting, a.w_idx HAVING count(*) = 11),
+f AS (SELECT meeting, arg_max(w_idx, (holds, total, -w_idx)) AS f FROM t GROUP BY meeting),
+z AS (SELECT c.* FROM c LEFT JOIN f USING (meeting) WHERE f IS NULL OR w_idx BETWEEN f AND f + 10),
+x AS (SELECT meeting, d, avg(x) AS x FROM (SELECT z.meeting, unnest(u.u) AS x, generate_subscripts(u.u, 1) AS d FROM z JOIN u USING (meeting, w_idx)) GROUP BY ALL),
+v AS (SELECT meeting, list(x ORDER BY d) AS v FROM x GROUP BY meeting), e AS (SELECT meeting, """ + UNIT.format("v") + """ AS e FROM v)
+SELECT meeting, min(z.w_idx) * 1.0::DOUBLE AS start, max(z.w_idx) + 2.0::DOUBLE AS "end", max(n) AS windows, count(*) AS kept, any_value(first) AS first, any_value(last) AS last, any_value(weighted) AS weighted
+FROM z JOIN (SELECT meeting, """ + SUMMARY + """ FROM e) USING (meeting) GROUP BY meeting""")
 def _(spark, sf):
     return summary(V.cleanest_run(probe_vec(spark, sf).withColumn("start", F.col("w_idx") * 1.0).withColumn("end", F.col("w_idx") + 2.0), ["meeting"], DIMS, accept=0.0),
                    "meeting", "start", "end", "windows", "kept")
@@ -212,7 +246,12 @@ def candidates(spark, sf):
     return r.groupBy("meeting", "speaker_id", "name").agg(F.max("score").alias("score"))
 
 
-@query("greedy_names_once_per_chunk")
+@query("greedy_names_once_per_chunk", with_ctes("voice", "gal", recursive=True) + "," + SIM + """,
+b AS (SELECT meeting, chunk, speaker_id, name, max(score) AS score FROM sim WHERE score >= 0.3 GROUP BY ALL),
+e AS (SELECT meeting, chunk, list({'s': score, 'i': speaker_id, 'n': name} ORDER BY score DESC) AS r FROM b GROUP BY meeting, chunk),
+g AS (SELECT meeting, chunk, r[1] AS h, list_filter(r, lambda x: x.i <> r[1].i AND x.n <> r[1].n) AS r FROM e
+  UNION ALL SELECT meeting, chunk, r[1], list_filter(r, lambda x: x.i <> r[1].i AND x.n <> r[1].n) FROM g WHERE len(r) > 0)
+SELECT meeting, h.i AS speaker_id, h.n AS name, round(h.s, 6) AS score FROM g""")
 def _(spark, sf):
     return G.greedy_once_per_chunk(candidates(spark, sf)).withColumn("score", F.round("score", 6))
 
@@ -220,18 +259,33 @@ def _(spark, sf):
 @query("cluster_facts", with_ctes("voice") + """,
 s AS (SELECT *, lag("end") OVER (PARTITION BY meeting, voice ORDER BY start, w_idx) AS pe FROM voice)
 SELECT meeting, CAST(voice AS BIGINT) AS cluster, count(*) AS windows, round(sum("end" - start), 6) AS seconds, min(start) AS first_start,
-  round(sum("end" - start) / count(*) FILTER (pe IS NULL OR start - pe > 3.0), 6) AS avg_turn FROM s GROUP BY meeting, voice HAVING count(*) >= 3""")
+  round(sum("end" - start) / count(*) FILTER (pe IS NULL OR start - pe > 3.0), 6) AS avg_turn, any_value(first) AS first, any_value(last) AS last, any_value(weighted) AS weighted
+FROM s JOIN (SELECT meeting, voice, """ + SUMMARY + " FROM (SELECT meeting, voice, " + UNIT.format("m") + """ AS e FROM (SELECT meeting, voice, list(x ORDER BY d) AS m FROM (
+  SELECT meeting, voice, d, avg(x) AS x FROM (SELECT meeting, voice, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM voice) GROUP BY ALL) GROUP BY meeting, voice))) USING (meeting, voice)
+GROUP BY meeting, voice HAVING count(*) >= 3""")
 def _(spark, sf):
     v = probe_vec(spark, sf)
     f = G.cluster_facts(v.drop("label"), v.select("meeting", "w_idx", F.col("voice").cast("long").alias("cluster")), DIMS, min_windows=3)
-    return f.drop("centroid").withColumn("seconds", F.round("seconds", 6)).withColumn("avg_turn", F.round("avg_turn", 6))
+    return summary(f.withColumnRenamed("centroid", "embedding"), "meeting", "cluster", "windows", "seconds", "first_start", "avg_turn").withColumn("seconds", F.round("seconds", 6)).withColumn("avg_turn", F.round("avg_turn", 6))
 
 
 def hints(v):
     return v.select("meeting", "voice").distinct().groupBy("meeting").agg(F.count(F.lit(1)).cast("int").alias("hint"))
 
 
-@query("cluster_windows")
+# Merging the pair of highest mean similarity, on windows cut to clusters as (smallest window, members, vector sum).
+LINKED = """
+un AS (SELECT meeting, w_idx, voice, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS u FROM voice),
+cl AS (SELECT meeting, greatest(2, least(count(*) - 1, count(DISTINCT voice) + 2)) AS k, list({'c': w_idx, 'm': [w_idx], 'u': u} ORDER BY w_idx) AS g FROM un GROUP BY meeting
+  UNION ALL
+  SELECT meeting, k, list_sort(list_append(list_filter(g, lambda x: x.c <> -p.a AND x.c <> -p.b), (SELECT {'c': -p.a, 'm': list_concat(list_filter(g, lambda x: x.c = -p.a)[1].m, list_filter(g, lambda x: x.c = -p.b)[1].m),
+      'u': list_transform(list_zip(list_filter(g, lambda x: x.c = -p.a)[1].u, list_filter(g, lambda x: x.c = -p.b)[1].u), lambda z: z[1] + z[2])}))) AS g
+  FROM (SELECT meeting, k, g, list_max(flatten(list_transform(g, lambda x: list_transform(list_filter(g, lambda y: y.c > x.c),
+      lambda y: {'s': round(list_dot_product(x.u, y.u) / (len(x.m) * len(y.m)), 12), 'a': -x.c, 'b': -y.c})))) AS p FROM cl WHERE len(g) > k)),
+mem AS (SELECT meeting, c.c AS cluster, unnest(c.m) AS w_idx FROM (SELECT meeting, unnest(g) AS c FROM cl WHERE len(g) <= k))"""
+
+
+@query("cluster_windows", with_ctes("voice", recursive=True) + "," + LINKED + " SELECT meeting, w_idx, cluster FROM mem")
 def _(spark, sf):
     v = probe_vec(spark, sf)
     return G.cluster_windows(v, hints(v), DIMS)
@@ -248,21 +302,37 @@ def by_voice(v):
     return v.withColumn("speaker_id", F.concat(F.lit("speaker_"), F.col("voice").cast("string")))
 
 
-@query("assign_names_one_to_one")
+@query("assign_names_one_to_one", with_ctes("voice", "gal", recursive=True) + "," + SPEAKERS + "," + ASSIGN + " SELECT meeting, id AS speaker_id, name, round(s, 6) AS score FROM one")
 def _(spark, sf):
     v = probe_vec(spark, sf)
     c = V.mean_vector(by_voice(v), ["meeting", "speaker_id"], DIMS)
     return G.assign_one_to_one(G._scores(c, P.gallery(spark, sf), "speaker_id", DIMS), ["meeting"], "speaker_id", "name").withColumn("score", F.round("score", 6))
 
 
-@query("name_clusters")
+@query("name_clusters", with_ctes("voice", "gal", recursive=True) + """,
+cs0 AS (SELECT meeting, voice, d, avg(x) AS x, count(*) AS n FROM (SELECT meeting, voice, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM voice) GROUP BY ALL),
+cs AS (SELECT meeting, CAST(voice AS VARCHAR) AS id, list(x ORDER BY d) AS e FROM cs0 WHERE n >= 3 GROUP BY meeting, voice),""" + ASSIGN + """,
+nd AS (SELECT meeting, CAST(id AS BIGINT) AS cluster, name, s, s >= 0.2 AS named FROM one)
+SELECT meeting, cluster, CASE WHEN named THEN name ELSE 'Speaker ' || row_number() OVER (PARTITION BY meeting, named ORDER BY cluster) END AS name, round(s, 6) AS score FROM nd""")
 def _(spark, sf):
     v = probe_vec(spark, sf)
     f = G.cluster_facts(v, v.select("meeting", "w_idx", F.col("voice").cast("long").alias("cluster")), DIMS, min_windows=3)
     return G.name_clusters(f, P.gallery(spark, sf), DIMS, 0.2).withColumn("score", F.round("score", 6))
 
 
-@query("identify_by_centroids")
+# Robust centroid of each speaker of a meeting; meetings with two speakers too much alike are left out.
+ROBUST = """
+u AS (SELECT w_idx, meeting || '|' || voice AS g, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS v FROM voice),
+p AS (SELECT a.g, a.w_idx AS a, b.w_idx AS b, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.g = b.g),
+md AS (SELECT g, arg_max(a, (round(med, 12), -a)) AS m FROM (SELECT g, a, median(s) AS med FROM p GROUP BY ALL) GROUP BY g),
+n AS (SELECT p.g, b, s, greatest(0.45::DOUBLE, quantile_cont(s, 0.25) OVER (PARTITION BY p.g)) AS cut, count(*) OVER (PARTITION BY p.g) AS size FROM p JOIN md ON md.g = p.g AND md.m = p.a),
+kp AS (SELECT g, b FROM (SELECT *, count(*) FILTER (s >= cut) OVER (PARTITION BY g) AS kc FROM n) WHERE s >= cut OR kc < least(2, size)),
+x AS (SELECT g, d, avg(x) AS x FROM (SELECT kp.g, unnest(u.v) AS x, generate_subscripts(u.v, 1) AS d FROM kp JOIN u ON u.g = kp.g AND u.w_idx = kp.b) GROUP BY ALL),
+c0 AS (SELECT split_part(g, '|', 1) AS meeting, 'speaker_' || split_part(g, '|', 2) AS id, list(x ORDER BY d) AS e FROM x GROUP BY g),
+cs AS (SELECT * FROM c0 WHERE meeting NOT IN (SELECT a.meeting FROM c0 a JOIN c0 b ON a.meeting = b.meeting AND a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.92))"""
+
+
+@query("identify_by_centroids", with_ctes("voice", "gal", recursive=True) + "," + ROBUST + "," + ASSIGN + " SELECT meeting, id AS speaker_id, name, round(s, 6) AS score FROM one WHERE s >= 0.2")
 def _(spark, sf):
     return G.identify_by_centroids(by_voice(probe_vec(spark, sf)), P.gallery(spark, sf), DIMS, 0.2).withColumn("score", F.round("score", 6))
 
@@ -286,7 +356,19 @@ def _(spark, sf):
     return G.cluster_samples(v, members, mapping)
 
 
-@query("group_strangers")
+@query("group_strangers", with_ctes("voice", recursive=True) + """,
+m0 AS (SELECT meeting, speaker_id, chunk, d, avg(x) AS x FROM (SELECT meeting, speaker_id, chunk, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM voice) GROUP BY ALL),
+m1 AS (SELECT meeting, speaker_id, chunk, list(x ORDER BY d) AS e FROM m0 GROUP BY ALL),
+m2 AS (SELECT meeting, speaker_id, chunk, """ + UNIT.format("e") + """ AS e, row_number() OVER (PARTITION BY meeting ORDER BY speaker_id) AS i FROM m1),
+wk AS (SELECT DISTINCT meeting, 0::BIGINT AS i, NULL::VARCHAR AS speaker_id, 0::BIGINT AS pos, []::STRUCT(u DOUBLE[], c INTEGER[])[] AS g FROM m2
+  UNION ALL
+  SELECT meeting, i, speaker_id, CASE WHEN best >= 0.3 THEN pos ELSE len(g) + 1 END, CASE WHEN best >= 0.3
+    THEN list_transform(g, lambda x, n: CASE WHEN n = pos THEN {'u': list_transform(list_zip(x.u, e), lambda z: z[1] + z[2]), 'c': list_append(x.c, chunk)} ELSE x END)
+    ELSE list_append(g, {'u': e, 'c': [chunk]}) END
+  FROM (SELECT *, list_max(sims) AS best, list_position(sims, list_max(sims)) AS pos FROM (
+    SELECT m2.meeting, m2.i, m2.speaker_id, chunk, e, g, list_transform(g, lambda x: CASE WHEN list_contains(x.c, chunk) THEN -1::DOUBLE ELSE list_cosine_similarity(x.u, e) END) AS sims
+    FROM wk JOIN m2 ON m2.meeting = wk.meeting AND m2.i = wk.i + 1)))
+SELECT meeting, speaker_id, pos - 1 AS "group" FROM wk WHERE i > 0""")
 def _(spark, sf):
     v = V.mean_vector(probe_vec(spark, sf), ["meeting", "speaker_id"], DIMS)
     return G.group_strangers(v, DIMS, threshold=0.3)

@@ -20,7 +20,6 @@ SHEET_HEADINGS = {
 }
 HISTORY_COLUMNS = ["meeting", "title", "date", "status", "audio_file", "modified"]
 BLOCKED_EMAILS, BLOCKED_NAMES = ["guest@example.com", "admin@example.com"], ["Guest", "Administrator"]
-LOG_CHARS = 200_000
 # End of fixed values.
 
 
@@ -70,9 +69,10 @@ def read_mixed_rows(rows: DataFrame, column: str = "raw_results") -> DataFrame:
 
 
 def pack_segments(segments: DataFrame) -> DataFrame:
-    """Ordered JSON of each meeting: display rows and original rows."""
+    """Ordered JSON of each meeting: display rows and original rows, these with their vector where there is one."""
+    vector = ["embedding"] if "embedding" in segments.columns else []
     show = F.struct("idx", F.array(F.col("start").cast("string"), F.col("end").cast("string"), "label", "text").alias("r"))
-    orig = F.struct("idx", F.struct("start", "end", F.col("label").alias("speaker"), "text", "speaker_id").alias("r"))
+    orig = F.struct("idx", F.struct("start", "end", F.col("label").alias("speaker"), "text", *vector, "speaker_id").alias("r"))
     pick = lambda s: F.to_json(F.transform(F.array_sort(F.collect_list(s)), lambda x: x["r"]))
     return segments.groupBy("meeting").agg(pick(show).alias("raw_results"), pick(orig).alias("original_raw_results"))
 
@@ -86,10 +86,10 @@ def load_gallery(speakers: DataFrame, dims: int = 192) -> DataFrame:
 
 
 def upsert_voices(gallery: DataFrame, added: DataFrame) -> DataFrame:
-    """Gallery with new voices; the latest record of a name wins."""
+    """Gallery with new voices; the latest record of a name wins, of equally late ones that which sorts last."""
     rest = [c for c in gallery.columns if c != "name"]
     both = gallery.unionByName(added)
-    return both.groupBy("name").agg(F.max_by(F.struct(*rest), F.col("updated_at")).alias("r")).select("name", "r.*")
+    return both.groupBy("name").agg(F.max_by(F.struct(*rest), F.struct("updated_at", F.struct(*rest))).alias("r")).select("name", "r.*")
 
 
 def task_sheet(tasks: DataFrame) -> DataFrame:
@@ -102,17 +102,18 @@ def write_task_sheet(tasks: DataFrame, path: str) -> None:
     task_sheet(tasks).write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_log(logs: DataFrame, lines: DataFrame, max_chars: int = LOG_CHARS) -> DataFrame:
-    """Log text of each record with new stamped lines at the end, cut to its last characters."""
+def append_log(logs: DataFrame, lines: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Log text of each record with new stamped lines at the end, whole or cut to its last ``max_chars`` characters."""
     stamped = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), text.strip("line"))
     said = lines.where(text.filled("line").isNotNull()).select("doc", stamped.alias("line"), (-F.col("seq")).alias("_back"))
     # Only lines that reach into the last characters are gathered, however long the log is.
-    said = ordered.scan(said, ["doc"], "_back", sums={"_after": F.length("line") + 1})
-    said = said.where(F.col("_after") - F.length("line") - 1 < max_chars)
+    if max_chars is not None:
+        said = ordered.scan(said, ["doc"], "_back", sums={"_after": F.length("line") + 1})
+        said = said.where(F.col("_after") - F.length("line") - 1 < max_chars)
     new = said.groupBy("doc").agg(ordered.ordered_join("line", -F.col("_back"), "\n").alias("_new"))
     old = F.nullif(F.regexp_replace(F.coalesce("log", F.lit("")), r"(?U)\s+\z", ""), F.lit(""))
     joined = F.concat_ws("\n", old, F.col("_new"))
-    return logs.join(new, "doc", "full").select("doc", F.right(text.strip(joined), F.lit(max_chars)).alias("log"))
+    return logs.join(new, "doc", "full").select("doc", (text.strip(joined) if max_chars is None else F.right(text.strip(joined), F.lit(max_chars))).alias("log"))
 
 
 def names_from_log(logs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import shared_folder
+from ..session import cut_lineage, remove_folder, shared_folder
 
 CHUNK_EVENTS = "meeting STRING, chunk_index INT, status STRING, ts TIMESTAMP"
 CALL_EVENTS = "session STRING, ai_model STRING, prompt_tokens BIGINT, completion_tokens BIGINT, chars_used BIGINT, ts TIMESTAMP"
@@ -25,16 +25,16 @@ def file_stream(spark: SparkSession, path: str, schema: str | StructType, files_
 
 
 def chunk_status(updates: DataFrame) -> DataFrame:
-    """Latest status of each chunk; the later update wins."""
-    return updates.groupBy("meeting", "chunk_index").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("updated_at"))
+    """Latest status of each chunk; the later update wins, of equal times the status that sorts last."""
+    return updates.groupBy("meeting", "chunk_index").agg(F.max_by("status", F.struct("ts", "status")).alias("status"), F.max("ts").alias("updated_at"))
 
 
 def meeting_progress(results: DataFrame, planned: DataFrame) -> DataFrame:
     """Finished chunks per meeting against the planned number (a static table), in whole percent.
 
-    ``results`` carries one row per finished chunk, as the completion loop sends it.
+    A chunk that is reported more than once counts once; the state of a meeting is the set of its finished chunks.
     """
-    done = results.where(F.col("status").isin("Completed", "Error")).groupBy("meeting").agg(F.count(F.lit(1)).alias("done"))
+    done = results.where(F.col("status").isin("Completed", "Error")).groupBy("meeting").agg(F.size(F.collect_set("chunk_index")).cast("long").alias("done"))
     return done.join(planned, "meeting").select("meeting", "done", "total", F.floor(100 * F.col("done") / F.col("total")).alias("percent"))
 
 
@@ -51,8 +51,10 @@ def run_to_table(stream: DataFrame, keys: Sequence[str], folder: str | None = No
 
     Every micro-batch writes its updated rows under its own number, so a batch
     that is run again after a failure replaces itself. Nothing passes the driver.
+    A folder of its own, rows and state, is deleted once the result is kept;
+    a named one stays, and a later call goes on from its state.
     """
-    spark = stream.sparkSession
+    spark, named = stream.sparkSession, folder is not None
     folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -63,4 +65,9 @@ def run_to_table(stream: DataFrame, keys: Sequence[str], folder: str | None = No
     q.awaitTermination()
     rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
     values = [c for c in stream.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
+    if named:
+        return latest
+    latest = cut_lineage(latest)
+    remove_folder(spark, folder)
+    return latest

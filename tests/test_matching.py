@@ -17,9 +17,9 @@ def best_total(s):
     return max(sum(s[i, p[i]] for i in range(n)) for p in itertools.permutations(range(m), n))
 
 
-def score_table(spark, seed=0, groups=12):
+def score_table(spark, seed=0, groups=12, places=3):
     rnd = np.random.default_rng(seed)
-    mats = {f"m{i}": np.round(rnd.uniform(-0.3, 1, size=(rnd.integers(1, 5), rnd.integers(1, 6))), 3) for i in range(groups)}
+    mats = {f"m{i}": np.round(rnd.uniform(-1, 1, size=(rnd.integers(1, 5), rnd.integers(1, 6))), places) for i in range(groups)}
     data = [(k, f"r{i}", f"c{j}", float(s[i, j])) for k, s in mats.items() for i in range(s.shape[0]) for j in range(s.shape[1])]
     return mats, spark.createDataFrame(data, "meeting string, row string, col string, score double")
 
@@ -39,6 +39,23 @@ def test_assignment(spark):
     check_pairs(mats, G.assign_one_to_one(df, ["meeting"], "row", "col").collect())
 
 
+@pytest.mark.parametrize("places", [3, 1])
+def test_both_ways_agree_on_many_groups(spark, monkeypatch, places):
+    mats, df = score_table(spark, seed=11 + places, groups=200, places=places)
+    check_pairs(mats, G.assign_one_to_one(df, ["meeting"], "row", "col").collect())
+    monkeypatch.setattr(G, "SMALL_SIDE", 0)
+    monkeypatch.setattr(G, "SCORE_STEPS", 10 ** places)
+    check_pairs(mats, G.assign_one_to_one(df, ["meeting"], "row", "col").collect())
+
+
+@pytest.mark.parametrize("small", [256, 0])
+def test_negative_scores_and_pruned_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(G, "SMALL_SIDE", small)
+    data = [("m", "r1", "A", -0.1), ("m", "r1", "B", -0.9), ("m", "r1", "C", -0.95), ("m", "r2", "A", 0.6), ("m", "r2", "B", -0.5), ("m", "r2", "C", 0.55)]
+    df = spark.createDataFrame(data, "meeting string, row string, col string, score double")
+    assert {(r.row, r.col) for r in G.assign_one_to_one(df, ["meeting"], "row", "col").collect()} == {("r1", "A"), ("r2", "C")}
+
+
 def test_auction_finds_the_same_totals(spark):
     mats, df = score_table(spark, seed=4, groups=6)
     check_pairs(mats, G.auction(G.prune_scores(df, ["meeting"], "row", "col"), ["meeting"], "row", "col", scale=1000).collect())

@@ -104,3 +104,8 @@ def test_attendance_roles(spark):
 def test_numbering_is_dense(spark):
     df = make(spark, [(0.0, 1.0, "A", "x", "s", "t")] * 9).where("idx % 2 = 0")
     assert sorted(r.n for r in ordered.number_rows(df, ["meeting"], "idx", name="n", width=3).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_stranger_beside_an_empty_label_keeps_its_own(spark):
+    df = make(spark, [(0.0, 9.0, "", "s", "a", "x"), (9.0, 10.0, "👤 Speaker 1", "s", "b", "y")])
+    assert {r.label for r in M.collapse_short_strangers(df).collect()} == {"", "👤 Speaker 1"}

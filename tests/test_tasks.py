@@ -106,6 +106,8 @@ def test_titles_before_are_the_latest(spark):
     items = spark.createDataFrame([(1, i, i // 10, f"t{i}") for i in range(50)], "doc_id long, item_id long, part long, title string")
     out = {r.part: r for r in K.titles_before(items, items.select("doc_id", "part").distinct()).collect()}
     assert out[4].titles.split("\n") == [f"t{i}" for i in range(40)] and out[1].n == 10 and 0 not in out
+    last = {r.part: r for r in K.titles_before(items, items.select("doc_id", "part").distinct(), at_most=15).collect()}
+    assert last[4].titles.split("\n") == [f"t{i}" for i in range(25, 40)] and last[1].n == 10
 
 
 def test_page_of_meetings(spark):

@@ -29,7 +29,7 @@ def world(spark):
 
 
 @pytest.mark.parametrize("limit", [blocks.BROADCAST_BYTES, 0])
-@pytest.mark.parametrize("k, floor", [(None, None), (1, None), (2, None), (None, 0.5), (1, 0.5)])
+@pytest.mark.parametrize("k, floor", [(None, -2.0), (1, None), (2, None), (None, 0.5), (1, 0.5)])
 def test_rank_names(world, monkeypatch, limit, k, floor):
     g, p, gallery, probes = world
     monkeypatch.setattr(blocks, "fits_broadcast", lambda df, dims: limit > 0)
@@ -45,6 +45,20 @@ def test_rank_names(world, monkeypatch, limit, k, floor):
         assert sorted(out.get(i, [])) == want
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_probes_that_repeat_a_key_are_ranked_apart(world, monkeypatch, small):
+    _, _, gallery, probes = world
+    monkeypatch.setattr(blocks, "fits_broadcast", lambda df, dims: small)
+    out = V.rank_names(probes.unionByName(probes.where("idx < 3")), gallery, ["meeting", "idx"], k=2, dims=D)
+    n = {(r.idx, r["rank"]): r.n for r in out.groupBy("idx", "rank").agg(F.count("*").alias("n")).collect()}
+    assert n == {(i, r): 2 if i < 3 else 1 for i in range(40) for r in (1, 2)}
+
+
+def test_all_names_of_all_probes_are_refused(world):
+    with pytest.raises(ValueError):
+        V.rank_names(world[3], world[2], ["meeting", "idx"], dims=D)
+
+
 def test_k_from_a_column(world):
     _, _, gallery, probes = world
     out = V.rank_names(probes.withColumn("want", (F.col("idx") % 3 + 1).cast("int")), gallery, ["meeting", "idx"], k="want", dims=D)
