@@ -1,24 +1,26 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
-Counts, continuation counts and context sums are tables sharded by n-gram; probabilities come from joins of those
-tables, level by level, for the n-grams that documents have. Documents are packed into blocks first: a block counts its
+Counts, continuation counts and context sums are tables sharded by n-gram; probabilities come from a join of those
+tables for the n-grams that documents have. Documents go through it in blocks: a block counts its
 distinct n-grams, asks the tables for those only, and scores its documents with the answers, so neither single places
 nor whole tables travel. A document's perplexity is held against a quantile of its language.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, remove_folder, shared_folder
 from .registry import query, table
 
-ORDER = 5
+ORDER = 4
 BEGIN = "\x02"          # stands before a text
 BLOCK_CHARS = 16_000_000
 SLICE_CHARS = 2_000_000
@@ -26,6 +28,7 @@ HELD = 5                # every fifth trusted text sets the limits instead of tr
 QUANTILE = 0.99
 LEAST_HELD = 10         # a language with fewer has no limit
 SALTS = 64
+BROADCAST_IDS = 4_000_000  # trusted ids that may travel to every task, 32 MB
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,7 +40,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def _ipc(t: pa.Table) -> bytes:
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(out, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
         w.write_table(t)
     return out.getvalue().to_pybytes()
 
@@ -46,27 +49,28 @@ def _open(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Consecutive rows of a partition as numbered blocks of about BLOCK_CHARS characters, however they arrive."""
     part, count, held, chars = TaskContext.get().partitionId(), 0, [], 0
     for b in batches:
-        sizes = np.cumsum([len(t) for t in b.column("text").to_pylist()])
+        sizes = np.cumsum(np.asarray(pc.utf8_length(b.column("text"))))
         begin = 0
         while begin < b.num_rows:
-            done = sizes[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(sizes, done + BLOCK_CHARS - chars)))
-            end = min(end, b.num_rows)
+            done = int(sizes[begin - 1]) if begin else 0
+            end = min(b.num_rows, int(np.searchsorted(sizes, done + BLOCK_CHARS - chars)) + 1)
             held.append(b.slice(begin, end - begin))
-            chars += int(sizes[end - 1] - done)
+            chars += int(sizes[end - 1]) - done
             begin = end
             if chars >= BLOCK_CHARS:
-                yield _block(part << 32 | count, held)
+                yield part << 32 | count, pa.Table.from_batches(held)
                 count, held, chars = count + 1, [], 0
     if held:
-        yield _block(part << 32 | count, held)
+        yield part << 32 | count, pa.Table.from_batches(held)
 
 
-def _block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_ipc(pa.Table.from_batches(held))], pa.binary())], names=["block", "blob"])
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for number, t in _blocks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_ipc(t)], pa.binary())], names=["block", "blob"])
 
 
 def _codes(chars: np.ndarray) -> np.ndarray:
@@ -107,30 +111,27 @@ def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct n-grams of each block and language with their count in trusted texts that train."""
-    for b in batches:
-        for number, blob, good in zip(b.column("block").to_pylist(), b.column("blob"), b.column("good").to_pylist()):
-            t = _open(blob.as_py())
-            texts, keys, ids = t.column("text").to_pylist(), np.asarray(t.column("text_key")), t.column("doc_id").to_pylist()
-            good = set(good or ())
-            trains = np.array([i in good and k % HELD != 0 for i, k in zip(ids, keys)], dtype=bool)
-            for lang, rows in _by_language(t):
-                codes, counts, names = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, f"U{ORDER}")
-                for train in (True, False):
-                    some = rows[trains[rows] == train]
-                    for i, j in _slices(np.array([len(texts[r]) for r in some])):
-                        joined, all_codes, ends = _places([texts[r] for r in some[i:j]])
-                        c, first, n = np.unique(all_codes, return_index=True, return_counts=True)
-                        new = ~np.isin(c, codes, assume_unique=True)
-                        own = np.array([joined[p:p + ORDER] for p in ends[first[new]].tolist()], dtype=f"U{ORDER}") if new.any() else np.zeros(0, f"U{ORDER}")
-                        if train and len(codes):
-                            counts[np.searchsorted(codes, c[~new])] += n[~new]
-                        codes, counts, names = (np.concatenate(x) for x in ((codes, c[new]), (counts, n[new] * train), (names, own)))
-                        order = np.argsort(codes, kind="stable")
-                        codes, counts, names = codes[order], counts[order], names[order]
-                for at in range(0, len(codes), 100_000):
-                    n = names[at:at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(n), pa.int64()), pa.array([lang] * len(n)), pa.array(n.tolist(), pa.string()),
-                                                      pa.array(counts[at:at + 100_000])], names=["block", "lang", "gram", "n"])
+    for number, t in _blocks(batches):
+        texts, keys, good = t.column("text").to_pylist(), np.asarray(t.column("text_key")), np.asarray(t.column("good"))
+        trains = good & (keys % HELD != 0)
+        for lang, rows in _by_language(t):
+            codes, counts, names = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, f"U{ORDER}")
+            for train in (True, False):
+                some = rows[trains[rows] == train]
+                for i, j in _slices(np.array([len(texts[r]) for r in some])):
+                    joined, all_codes, ends = _places([texts[r] for r in some[i:j]])
+                    c, first, n = np.unique(all_codes, return_index=True, return_counts=True)
+                    new = ~np.isin(c, codes, assume_unique=True)
+                    own = np.array([joined[p:p + ORDER] for p in ends[first[new]].tolist()], dtype=f"U{ORDER}")
+                    if train and len(codes):
+                        counts[np.searchsorted(codes, c[~new])] += n[~new]
+                    codes, counts, names = (np.concatenate(x) for x in ((codes, c[new]), (counts, n[new] * train), (names, own)))
+                    order = np.argsort(codes, kind="stable")
+                    codes, counts, names = codes[order], counts[order], names[order]
+            for at in range(0, len(codes), 100_000):
+                n = names[at:at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(n), pa.int64()), pa.array([lang] * len(n)), pa.array(n.tolist(), pa.string()),
+                                                  pa.array(counts[at:at + 100_000])], names=["block", "lang", "gram", "n"])
 
 
 def _score(docs: pa.Table, grams: pa.Table) -> pa.Table:
@@ -152,7 +153,10 @@ def _score(docs: pa.Table, grams: pa.Table) -> pa.Table:
                 _, at, _ = _places([texts[r] for r in some])
                 if not len(at):
                     continue
-                each = known[np.searchsorted(codes, at)]
+                spot = np.searchsorted(codes, at)
+                if spot.max() >= len(codes) or (codes[spot] != at).any():
+                    raise RuntimeError("a block differs from the one whose n-grams were counted")
+                each = known[spot]
                 lengths = np.array([len(texts[r]) for r in some])
                 has = np.flatnonzero(lengths)
                 begins = np.concatenate([[0], np.cumsum(lengths[has])[:-1]])
@@ -162,70 +166,75 @@ def _score(docs: pa.Table, grams: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else pa.table({})
 
 
-def _discounts(level: DataFrame) -> DataFrame:
-    """Discounts for counts of 1, 2 and more, by language and salt."""
-    n = level.where("c > 0").groupBy("lang").agg(*(F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)), F.count("*").alias("seen"))
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+def _discounts(suffixes: DataFrame) -> DataFrame:
+    """Discounts for counts of 1, 2 and more, by language, length and salt, and how many suffixes were seen."""
+    n = suffixes.where("c > 0").groupBy("lang", "k").agg(*(F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)), F.count("*").alias("seen"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
     def d(i: int) -> Column:
         raw = F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0))
         return F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.coalesce(raw, F.lit(0.5 * i)))).alias(f"d{i}")
 
-    return n.select("lang", d(1), d(2), d(3), "seen", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return n.select("lang", "k", d(1), d(2), d(3), "seen", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
 
 
 def ngram_costs(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """``lang``, ``gram``, ``cost`` (-log of the probability of the last character after the others) for every row of ``counts`` (``lang``, ``gram``, ``c``).
 
-    All n-grams with c > 0 are the training counts; the others are only asked for. Lower orders count in how many
-    different n-grams of the next order they end. A language without training has the same cost everywhere.
+    All n-grams with c > 0 are the training counts; the others are only asked for. A suffix of k characters counts by
+    how many different ones of k + 1 characters end in it, the whole n-gram by its own count. At each length the
+    probability is ``own`` plus ``spare`` times that of the next shorter suffix; so an n-gram gathers both numbers of
+    its suffixes in one join and folds them. A language without training has the same cost everywhere.
     """
-    levels = {order: counts.select("lang", "gram", "c")}
-    for k in range(order - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count_if(F.col("c") > 0).alias("c"))
-    lower = None
-    for k in range(1, order + 1):
-        level = levels[k]
-        context = F.substring("gram", 1, k - 1) if k > 1 else F.lit("")
-        sums = (level.where("c > 0").groupBy("lang", context.alias("context"))
-                .agg(F.sum("c").alias("total"), F.count_if(F.col("c") == 1).alias("m1"), F.count_if(F.col("c") == 2).alias("m2"), F.count_if(F.col("c") > 2).alias("m3")))
-        salted = level.withColumn("context", context).withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(SALTS)).cast("int"))
-        joined = salted.join(_discounts(level), ["lang", "salt"], "left").join(sums, ["lang", "context"], "left")
-        if lower is None:
-            base = 1 / (F.coalesce("seen", F.lit(0)) + 1)
-        else:
-            joined = joined.withColumn("shorter", F.substring("gram", 2, k - 1)).join(lower.withColumnRenamed("gram", "shorter"), ["lang", "shorter"])
-            base = F.col("low")
-        off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = F.when(F.col("c") > 0, F.col("c") - off).otherwise(0.0)
-        spare = F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")
-        p = F.when(F.col("total").isNull(), base).otherwise(own / F.col("total") + spare / F.col("total") * base)
-        lower = joined.select("lang", "gram", p.alias("low"))
-    return lower.select("lang", "gram", (-F.log(F.greatest("low", F.lit(1e-300)))).alias("cost"))
+    k = F.col("k")
+    ends = (counts.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(order))))
+            .select("lang", "gram", "c", "k", F.substring("gram", order + 1 - k, k).alias("suffix"),
+                    F.when(k < order, F.substring("gram", order - k, F.lit(1))).otherwise("").alias("before")))
+    longer = ends.groupBy("lang", "k", "suffix", "before").agg(F.sum("c").alias("c"))
+    suffixes = longer.groupBy("lang", "k", "suffix").agg(F.sum(F.when(k == order, F.col("c")).otherwise((F.col("c") > 0).cast("long"))).alias("c"))
+    context = Window.partitionBy("lang", "k", "context")
+    salt = F.pmod(F.xxhash64("suffix"), F.lit(SALTS)).cast("int")
+    summed = (suffixes.withColumn("context", F.substring("suffix", F.lit(1), k - 1)).withColumn("salt", salt)
+              .select("lang", "k", "suffix", "c", "salt", F.sum("c").over(context).alias("total"),
+                      *(F.sum((F.col("c") == i).cast("long")).over(context).alias(f"m{i}") for i in (1, 2)), F.sum((F.col("c") > 2).cast("long")).over(context).alias("m3"))
+              .join(_discounts(suffixes), ["lang", "k", "salt"], "left"))
+    off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    own = F.when(F.col("c") > 0, (F.col("c") - off) / F.col("total")).otherwise(0.0)
+    spare = F.when(F.col("total") == 0, 1.0).otherwise((F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total"))
+    parts = summed.select("lang", "k", "suffix", own.alias("own"), spare.alias("spare"), (1 / (F.coalesce("seen", F.lit(0)) + 1)).alias("even"))
+    asked = ends.select("lang", "gram", "k", "suffix").join(parts, ["lang", "k", "suffix"]).groupBy("lang", "gram").agg(
+        F.sort_array(F.collect_list(F.struct("k", "own", "spare", "even"))).alias("parts"))
+    p = F.aggregate("parts", F.get("parts", F.lit(0))["even"], lambda low, x: x["own"] + x["spare"] * low)
+    return asked.select("lang", "gram", (-F.log(F.greatest(p, F.lit(1e-300)))).alias("cost"))
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """``doc_id``, ``text_key`` (xxhash64 of the text), ``lang`` (null: empty), ``perplexity`` of each row, from all trusted texts of ``docs``.
 
-    A null or empty text has a null perplexity. Repeated rows stay repeated; other columns are ignored.
+    A null or empty text has a null perplexity. Repeated rows stay repeated; other columns are ignored. ``docs`` is read
+    twice, to count and to score, and has to come in the same order both times, as tables do. What lies between
+    is written to the shared folder and deleted in the end.
     """
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/quality-{uuid.uuid4().hex}"
     kind = docs.schema["doc_id"].dataType.simpleString()
-    text = F.coalesce("text", F.lit(""))
-    plain = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("lang", F.lit("")).alias("lang"), text.alias("text"))
-    blocks = plain.mapInArrow(_pack, "block long, blob binary").repartition("block")
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for number, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                own = _open(blob.as_py()).column("doc_id").combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(own), pa.int64()), own], names=["block", "doc_id"])
-
-    good = blocks.mapInArrow(ids, f"block long, doc_id {kind}").join(trusted, "doc_id").groupBy("block").agg(F.collect_set("doc_id").alias("good"))
-    grams = blocks.join(good, "block", "left").mapInArrow(_count, "block long, lang string, gram string, n long").repartition("lang", "gram")
-    costs = ngram_costs(grams.groupBy("lang", "gram").agg(F.sum("n").alias("c")))
-    asked = grams.select("block", "lang", "gram").join(costs, ["lang", "gram"])
-    return (blocks.groupBy("block").cogroup(asked.groupBy("block"))
-            .applyInArrow(_score, f"doc_id {kind}, text_key long, lang string, perplexity double"))
+    plain = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    marks = trusted.withColumn("mark", F.lit(True))
+    if trusted.count() <= BROADCAST_IDS:
+        flagged = plain.join(F.broadcast(marks), "doc_id", "left")
+    else:
+        plain.join(marks, "doc_id", "left").write.parquet(f"{folder}/flagged")
+        flagged = spark.read.parquet(f"{folder}/flagged")
+    flagged = flagged.select("doc_id", "text_key", "lang", "text", F.coalesce("mark", F.lit(False)).alias("good"))
+    flagged.mapInArrow(_count, "block long, lang string, gram string, n long").write.parquet(f"{folder}/grams")
+    grams = spark.read.parquet(f"{folder}/grams")
+    counts = cut_lineage(grams.groupBy("lang", "gram").agg(F.sum("n").alias("c")))
+    asked = grams.select("block", "lang", "gram").join(ngram_costs(counts), ["lang", "gram"])
+    blocks = flagged.mapInArrow(_pack, "block long, blob binary")
+    scored = cut_lineage(blocks.groupBy("block").cogroup(asked.groupBy("block"))
+                         .applyInArrow(_score, f"doc_id {kind}, text_key long, lang string, perplexity double"))
+    remove_folder(spark, folder)
+    return scored
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -236,7 +245,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     language's limit is rejected; one without a perplexity or without a limit is kept. No documents give no rows.
     """
     trusted = trusted_ids(labels)
-    scored = cut_lineage(perplexities(docs, trusted))
+    scored = perplexities(docs, trusted)
+    # a share of the trusted texts that the model has not seen
     held = scored.where(F.pmod("text_key", F.lit(HELD)) == 0).join(trusted, "doc_id", "left_semi")
     limits = (held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("upper_limit"), F.count("perplexity").alias("n"))
               .where(F.col("n") >= LEAST_HELD).drop("n"))
