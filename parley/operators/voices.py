@@ -359,8 +359,8 @@ def _order_statistic(rows: DataFrame, keys: list[str], q: float) -> DataFrame:
 
 
 def cleanest_run(windows: DataFrame, keys: Sequence[str] = ("meeting", "idx"), dims: int = DIMS,
-                 accept: float = 0.50, max_windows: int = 11) -> DataFrame:
-    """Most self-consistent stretch of sliding windows of a turn, and its mean vector.
+                 accept: float = 0.50, max_windows: int | None = None) -> DataFrame:
+    """Most self-consistent stretch of sliding windows of a turn, whole or of ``max_windows`` windows, and its mean vector.
 
     The mean similarity of a window to the others follows from the group's
     vector sum, so the medoid needs no pairs.
@@ -381,16 +381,22 @@ def cleanest_run(windows: DataFrame, keys: Sequence[str] = ("meeting", "idx"), d
         F.max_by("run", F.struct("len", (-F.col("run")).alias("i"))).alias("_r"))
     chosen = run.join(longest, keys).where(F.col("run") == F.col("_r"))
     chosen = cut_lineage(ordered.scan(chosen, keys, "w_idx", sums={"_cum": F.col("_score")}))
+    cut = chosen
+    if max_windows is not None:
+        cut = _best_stretch(chosen, keys, max_windows)
+    span = cut.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("n").alias("windows"))
+    used = rows.select(*keys, "w_idx", "_u").join(cut.select(*keys, "w_idx"), [*keys, "w_idx"])
+    return span.join(mean_vector(used, keys, dims, "_u").withColumnRenamed("n", "kept"), keys)
+
+
+def _best_stretch(chosen: DataFrame, keys: list[str], max_windows: int) -> DataFrame:
     # Stretch starts: sums of max_windows scores by position arithmetic on the running sum.
     ends = chosen.select(*keys, (F.col("w_idx") - (max_windows - 1)).alias("w_idx"), F.col("_cum").alias("_end"))
     starts = (chosen.join(ends, [*keys, "w_idx"]).withColumn("_sum", F.round(F.col("_end") - F.col("_cum") + F.col("_score"), 12))
               .withColumn("_holds", F.col("_mid").between(F.col("w_idx"), F.col("w_idx") + max_windows - 1))
               .groupBy(*keys).agg(F.max_by("w_idx", F.struct("_holds", "_sum", (-F.col("w_idx")).alias("i"))).alias("_from")))
-    cut = chosen.join(starts, keys, "left").where(
+    return chosen.join(starts, keys, "left").where(
         F.col("_from").isNull() | F.col("w_idx").between(F.col("_from"), F.col("_from") + max_windows - 1))
-    span = cut.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("n").alias("windows"))
-    used = rows.select(*keys, "w_idx", "_u").join(cut.select(*keys, "w_idx"), [*keys, "w_idx"])
-    return span.join(mean_vector(used, keys, dims, "_u").withColumnRenamed("n", "kept"), keys)
 
 
 def purify(segments: DataFrame, gallery: DataFrame, keys: Sequence[str] = ("meeting", "speaker_id"), dims: int = DIMS,

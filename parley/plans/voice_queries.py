@@ -186,7 +186,7 @@ v AS (SELECT meeting, list(x ORDER BY d) AS v FROM x GROUP BY meeting), e AS (SE
 SELECT meeting, min(z.w_idx) * 1.0::DOUBLE AS start, max(z.w_idx) + 2.0::DOUBLE AS "end", max(n) AS windows, count(*) AS kept, any_value(first) AS first, any_value(last) AS last, any_value(weighted) AS weighted
 FROM z JOIN (SELECT meeting, """ + SUMMARY + """ FROM e) USING (meeting) GROUP BY meeting""")
 def _(spark, sf):
-    return summary(V.cleanest_run(probe_vec(spark, sf).withColumn("start", F.col("w_idx") * 1.0).withColumn("end", F.col("w_idx") + 2.0), ["meeting"], DIMS, accept=0.0),
+    return summary(V.cleanest_run(probe_vec(spark, sf).withColumn("start", F.col("w_idx") * 1.0).withColumn("end", F.col("w_idx") + 2.0), ["meeting"], DIMS, accept=0.0, max_windows=11),
                    "meeting", "start", "end", "windows", "kept")
 
 

@@ -110,7 +110,7 @@ def test_cleanest_run(spark):
     groups = {i: vecs(10 + i, n, centres=1, noise=noise) for i, (n, noise) in enumerate([(1, 0.3), (9, 0.5), (25, 0.2), (30, 0.55), (16, 1.0)])}
     df = spark.createDataFrame([("m", g, i, float(i), i + 2.0, v.tolist()) for g, vs in groups.items() for i, v in enumerate(vs)],
                                "meeting string, idx long, w_idx long, start double, end double, embedding array<double>")
-    out = {r.idx: r for r in V.cleanest_run(df, dims=D).collect()}
+    out = {r.idx: r for r in V.cleanest_run(df, dims=D, max_windows=11).collect()}
     for g, vs in groups.items():
         best, centre = run_reference(vs, 0.5, 11)
         assert (out[g].start, out[g].end, out[g].kept, out[g].windows) == (best[0], best[-1] + 2.0, len(best), len(vs))
@@ -148,3 +148,10 @@ def test_aliases(spark):
     assert [r.canonical for r in V.normalize_names(ask, "t", al).orderBy(F.length("t")).collect()] == ["", "An", "Ai đó", "An"]
     g = sp.withColumn("embedding", F.array(F.lit(1.0)))
     assert {r.name for r in V.canonical_gallery(g, al).collect()} == {"An", "Bình", " "}
+
+
+def test_centroids_take_text_ids_at_every_size(spark):
+    v = vecs(31, 20, noise=0.4) + vecs(31, 3, noise=0.4)[:1] * 3  # with ties
+    df = spark.createDataFrame([("g", f"id{i:02d}", x.tolist()) for i, x in enumerate(v)], "g string, idx string, embedding array<double>")
+    small, large = (V.robust_centroid(df, ["g"], dims=D, block_rows=b).first() for b in (2048, 5))
+    assert (small.kept, small.n) == (large.kept, large.n) and np.allclose(small.embedding, large.embedding)
