@@ -54,11 +54,15 @@ def templates(line: Column, tokens: Column) -> Column:
 
 
 def _lines(docs: DataFrame, *keep: Column) -> DataFrame:
-    """One row for each line of enough tokens: the kept columns, ``pos`` and ``line`` (masked), ``tokens``."""
-    line, blanks = masked(F.col("raw")), F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    split = docs.select(*keep, F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return (split.withColumn("line", line).drop("raw").withColumn("tokens", (blanks + 1).cast("int"))
-            .where(F.col("tokens") >= LEAST_TOKENS))
+    """One row for each line of enough tokens: the kept columns, ``pos`` and ``line`` (masked), ``tokens``.
+
+    What is kept is worked out for each document, before its text becomes lines; masking never changes the token count.
+    """
+    whole = docs.select("text", *keep)
+    names = whole.columns[1:]
+    blanks = F.length("raw") - F.length(F.replace("raw", F.lit(" "), F.lit("")))
+    split = whole.select(*names, F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("tokens", (blanks + 1).cast("int"))
+    return split.where(F.col("tokens") >= LEAST_TOKENS).select(*names, "pos", "tokens", masked(F.col("raw")).alias("line"))
 
 
 def recurring(docs: DataFrame, least_marks: int = LEAST_MARKS) -> DataFrame:
