@@ -236,16 +236,14 @@ def _(spark, sf):
     return S.read_mixed_rows(seg.groupBy("meeting").agg(body.alias("raw_results")))
 
 
-@query("pack_segments", with_ctes("seg") + """ SELECT meeting, idx, start, "end", label, text, speaker_id, round(start + "end", 6) AS vector_sum FROM seg""")
+@query("pack_segments", with_ctes("seg") + """ SELECT meeting, row_number() OVER (PARTITION BY meeting ORDER BY idx) - 1 AS place, start, "end", label, text, speaker_id, round(start + "end", 6) AS vector_sum FROM seg""")
 def _(spark, sf):
-    seg = P.segments(spark, sf).where("idx is not null").withColumn("embedding", F.array("start", "end"))
-    first = seg.groupBy("meeting").agg(F.min("idx").alias("from"))
-    packed = S.pack_segments(seg).join(first, "meeting")
+    packed = S.pack_segments(P.segments(spark, sf).withColumn("embedding", F.array("start", "end")))
     shown = F.from_json("raw_results", "array<array<string>>")
     orig = F.from_json("original_raw_results", "array<struct<start:double,end:double,speaker:string,text:string,embedding:array<double>,speaker_id:string>>")
-    both = packed.select("meeting", "from", F.posexplode(F.arrays_zip(shown.alias("s"), orig.alias("o"))).alias("i", "z"))
+    both = packed.select("meeting", F.posexplode(F.arrays_zip(shown.alias("s"), orig.alias("o"))).alias("i", "z"))
     # the display row gives times, label and text, the original row the id and the vector
-    return both.select("meeting", (F.col("from") + F.col("i")).alias("idx"), F.get("z.s", F.lit(0)).cast("double").alias("start"), F.get("z.s", F.lit(1)).cast("double").alias("end"),
+    return both.select("meeting", F.col("i").cast("long").alias("place"), F.get("z.s", F.lit(0)).cast("double").alias("start"), F.get("z.s", F.lit(1)).cast("double").alias("end"),
                        F.get("z.s", F.lit(2)).alias("label"), F.get("z.s", F.lit(3)).alias("text"), "z.o.speaker_id",
                        F.round(F.get("z.o.embedding", F.lit(0)) + F.get("z.o.embedding", F.lit(1)), 6).alias("vector_sum"))
 

@@ -91,7 +91,7 @@ ra AS (SELECT sim.*, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC,
 def _(spark, sf):
     v = probe_vec(spark, sf)
     allowed = v.where("voice < 5").select("meeting", F.concat(F.lit("voice_"), F.col("voice").cast("string"), F.lit("_0")).alias("name")).distinct()
-    return V.rank_allowed(v, P.gallery(spark, sf), allowed, ["meeting", "vec_id"]).withColumn("score", F.round("score", 6))
+    return V.rank_allowed(v, P.gallery(spark, sf), allowed, ["meeting", "vec_id"], dims=DIMS).withColumn("score", F.round("score", 6))
 
 
 @query("second_pass_match", with_ctes("voice", "gal") + "," + SIM + "," + ALLOWED + """,
@@ -261,7 +261,7 @@ s AS (SELECT *, lag("end") OVER (PARTITION BY meeting, voice ORDER BY start, w_i
 SELECT meeting, CAST(voice AS BIGINT) AS cluster, count(*) AS windows, round(sum("end" - start), 6) AS seconds, min(start) AS first_start,
   round(sum("end" - start) / count(*) FILTER (pe IS NULL OR start - pe > 3.0), 6) AS avg_turn, any_value(first) AS first, any_value(last) AS last, any_value(weighted) AS weighted
 FROM s JOIN (SELECT meeting, voice, """ + SUMMARY + " FROM (SELECT meeting, voice, " + UNIT.format("m") + """ AS e FROM (SELECT meeting, voice, list(x ORDER BY d) AS m FROM (
-  SELECT meeting, voice, d, avg(x) AS x FROM (SELECT meeting, voice, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM voice) GROUP BY ALL) GROUP BY meeting, voice))) USING (meeting, voice)
+  SELECT meeting, voice, d, avg(x) AS x FROM (SELECT meeting, voice, unnest(""" + UNIT.format("embedding") + """) AS x, generate_subscripts(embedding, 1) AS d FROM voice) GROUP BY ALL) GROUP BY meeting, voice))) USING (meeting, voice)
 GROUP BY meeting, voice HAVING count(*) >= 3""")
 def _(spark, sf):
     v = probe_vec(spark, sf)
