@@ -122,7 +122,8 @@ def fingerprint_components(docs: DataFrame, words: int = 3) -> DataFrame:
 CELLS, BEST, TRIPLE = 4, 2, 3
 BITS = CELLS * LENGTH
 APART = 24   # of BITS; pairs with 0.8 and more of their shingles in common differ in about 8
-HUBS = 4     # members of a full key that the others are compared with in one round
+FEW = 8      # members of a key that are compared with each other
+HUBS = 2     # members of a fuller key that the others are compared with in one round
 SHINGLE, SIMILARITY = 5, 0.8
 
 
@@ -201,9 +202,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_texts(texts: DataFrame) -> DataFrame:
     """Verified links (``a``, ``b``) among the distinct ``node`` values of (``node``, ``text``).
 
-    Members of a key with at most ``SMALL`` nodes are compared with each other. In a fuller key a few members are hubs that all
+    Members of a key with at most ``FEW`` nodes are compared with each other. In a fuller key a few members are hubs that all
     others are compared with; hubs and what they are similar to leave the key, the rest goes on to the next round until
-    no key has anyone left, so work is linear in a large group of copies.
+    no key has anyone left. Hubs are the smallest nodes of a key, so the many keys of a large group of copies mostly have
+    the same ones, and its work is linear.
     """
     sketched = cut_lineage(texts.mapInArrow(_sketches, "node long, cells array<int>, b1 long, b2 long").dropDuplicates(["node"]))
     todo = sketched.select("node", "b1", "b2", F.explode(_cell_keys()).alias("key")).distinct()
@@ -211,7 +213,7 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     while True:
         counts = todo.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         shared = cut_lineage(todo.join(counts, "key"))
-        few, full = shared.where(F.col("n") <= SMALL), shared.where(F.col("n") > SMALL)
+        few, full = shared.where(F.col("n") <= FEW), shared.where(F.col("n") > FEW)
         close = F.bit_count(F.col("b1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("c2"))) <= APART
         x, y = few.select("key", F.col("node").alias("a"), "b1", "b2"), few.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("b1").alias("c1"), F.col("b2").alias("c2"))
         within = x.join(y, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & close).select("a", "b")
