@@ -123,7 +123,6 @@ CELLS, BEST, TRIPLE = 4, 2, 3
 BITS = CELLS * LENGTH
 APART = 24   # of BITS; pairs with 0.8 and more of their shingles in common differ in about 8
 FEW = 8      # members of a key that are compared with each other
-HUBS = 2     # members of a fuller key that the others are compared with in one round
 SHINGLE, SIMILARITY = 5, 0.8
 
 
@@ -202,10 +201,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_texts(texts: DataFrame) -> DataFrame:
     """Verified links (``a``, ``b``) among the distinct ``node`` values of (``node``, ``text``).
 
-    Members of a key with at most ``FEW`` nodes are compared with each other. In a fuller key a few members are hubs that all
-    others are compared with; hubs and what they are similar to leave the key, the rest goes on to the next round until
-    no key has anyone left. Hubs are the smallest nodes of a key, so the many keys of a large group of copies mostly have
-    the same ones, and its work is linear.
+    Members of a key with at most ``FEW`` nodes are compared with each other. In a fuller key the
+    smallest node is the hub that all others are compared with. A node that is alike to a hub is represented by it and
+    leaves all fuller keys, and so does the hub; the rest goes on to the next round until no key has anyone left. The many
+    keys of a large group of copies mostly have the same hub, so a round is linear and few are needed.
     """
     sketched = cut_lineage(texts.mapInArrow(_sketches, "node long, cells array<int>, b1 long, b2 long").dropDuplicates(["node"]))
     todo = sketched.select("node", "b1", "b2", F.explode(_cell_keys()).alias("key")).distinct()
@@ -217,18 +216,17 @@ def similar_texts(texts: DataFrame) -> DataFrame:
         close = F.bit_count(F.col("b1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("c2"))) <= APART
         x, y = few.select("key", F.col("node").alias("a"), "b1", "b2"), few.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("b1").alias("c1"), F.col("b2").alias("c2"))
         within = x.join(y, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & close).select("a", "b")
-        hub = (full.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("h"))
+        hub = (full.groupBy("key")
                .agg(F.min(F.struct("node", "b1", "b2")).alias("s")).select("key", F.col("s.node").alias("b"), F.col("s.b1").alias("c1"), F.col("s.b2").alias("c2")))
         hub = cut_lineage(hub)
         to_hub = full.select("key", F.col("node").alias("a"), "b1", "b2").join(hub, "key").where((F.col("a") != F.col("b")) & close)
-        to_hub = to_hub.select("key", "a", "b")
-        found = _verified(within.union(to_hub.select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), texts)
+        found = _verified(within.union(to_hub.select("b", "a")).distinct(), texts)
         links = found if links is None else links.union(found)
         if hub.isEmpty():
             return links
-        both = found.union(found.select("b", "a"))
-        done = to_hub.join(both, ["a", "b"], "left_semi").select("key", F.col("a").alias("node")).union(hub.select("key", F.col("b").alias("node")))
-        todo = full.drop("n").join(done.distinct(), ["key", "node"], "left_anti")
+        hubs = hub.select("b").distinct()
+        done = found.join(hubs.withColumnRenamed("b", "a"), "a", "left_semi").select(F.col("b").alias("node")).union(hubs)
+        todo = full.drop("n").join(done.distinct(), "node", "left_anti")
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
