@@ -22,7 +22,7 @@ from .registry import query, table
 
 ORDER = 4
 BEGIN = "\x02"          # stands before a text
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 SLICE_CHARS = 2_000_000
 HELD = 5                # every fifth trusted text sets the limits instead of training
 QUANTILE = 0.99
