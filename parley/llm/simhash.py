@@ -122,7 +122,7 @@ def fingerprint_components(docs: DataFrame, words: int = 3) -> DataFrame:
 CELLS, BEST, TRIPLE = 4, 2, 3
 BITS = CELLS * LENGTH
 APART = 24   # of BITS; pairs with 0.8 and more of their shingles in common differ in about 8
-FEW = 8      # members of a key that are compared with each other
+FEW = 8      # members of a key that are compared with each other in the first round, SMALL in later ones
 SHINGLE, SIMILARITY = 5, 0.8
 
 
@@ -201,18 +201,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_texts(texts: DataFrame) -> DataFrame:
     """Verified links (``a``, ``b``) among the distinct ``node`` values of (``node``, ``text``).
 
-    Members of a key with at most ``FEW`` nodes are compared with each other. In a fuller key the
+    Members of a key with at most ``FEW`` nodes (``SMALL`` after the first round) are compared with each other. In a fuller key the
     smallest node is the hub that all others are compared with. A node that is alike to a hub is represented by it and
     leaves all fuller keys, and so does the hub; the rest goes on to the next round until no key has anyone left. The many
     keys of a large group of copies mostly have the same hub, so a round is linear and few are needed.
     """
     sketched = cut_lineage(texts.mapInArrow(_sketches, "node long, cells array<int>, b1 long, b2 long").dropDuplicates(["node"]))
     todo = sketched.select("node", "b1", "b2", F.explode(_cell_keys()).alias("key")).distinct()
-    links = None
+    links, limit = None, FEW
     while True:
         counts = todo.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         shared = cut_lineage(todo.join(counts, "key"))
-        few, full = shared.where(F.col("n") <= FEW), shared.where(F.col("n") > FEW)
+        few, full = shared.where(F.col("n") <= limit), shared.where(F.col("n") > limit)
         close = F.bit_count(F.col("b1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("c2"))) <= APART
         x, y = few.select("key", F.col("node").alias("a"), "b1", "b2"), few.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("b1").alias("c1"), F.col("b2").alias("c2"))
         within = x.join(y, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & close).select("a", "b")
@@ -224,6 +224,7 @@ def similar_texts(texts: DataFrame) -> DataFrame:
         links = found if links is None else links.union(found)
         if hub.isEmpty():
             return links
+        limit = SMALL  # most of a large group has left with its hub
         hubs = hub.select("b").distinct()
         done = found.join(hubs.withColumnRenamed("b", "a"), "a", "left_semi").select(F.col("b").alias("node")).union(hubs)
         todo = full.drop("n").join(done.distinct(), "node", "left_anti")

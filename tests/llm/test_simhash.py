@@ -153,6 +153,7 @@ def test_one_of_each_group_stays(spark):
 
 def test_full_keys_are_compared_with_hubs_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(simhash, "FEW", 2)
+    monkeypatch.setattr(simhash, "SMALL", 2)
     rng = random.Random(8)
     base = [f"w{rng.randrange(10_000)}" for _ in range(300)]
     texts = []
