@@ -122,7 +122,9 @@ def fingerprint_components(docs: DataFrame, words: int = 3) -> DataFrame:
 CELLS, BEST, TRIPLE = 4, 2, 3
 BITS = CELLS * LENGTH
 APART = 24   # of BITS; pairs with 0.8 and more of their shingles in common differ in about 8
-FEW = 8      # members of a key that are compared with each other in the first round, SMALL in later ones
+FEW = 8      # members of a key that are compared with each other at once
+CELL = 256   # members of a full key that are compared in one task
+SKETCH = "node long, cells array<int>, b1 long, b2 long"
 SHINGLE, SIMILARITY = 5, 0.8
 
 
@@ -160,6 +162,11 @@ def _cell_keys() -> Column:
     return F.array(*keys)
 
 
+def _close() -> Column:
+    """Whether the sketches of a pair, the second one's columns ending in ``_y``, are near enough for a comparison of shingles."""
+    return F.bit_count(F.col("b1").bitwiseXOR(F.col("b1_y"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("b2_y"))) <= APART
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, out = b.column(1).to_pylist(), []
@@ -198,36 +205,53 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"))
 
 
+def _pairs(x: DataFrame, y: DataFrame, on: list[str], extra: Column) -> DataFrame:
+    """Pairs (``a`` < ``b``) of a member of ``x`` and one of ``y`` that agree in ``on`` and whose sketches are close."""
+    y = y.select(*on, *(F.col(c).alias(f"{c}_y") for c in y.columns if c not in on))
+    return (x.join(y, on).where((F.col("node") != F.col("node_y")) & extra & _close())
+            .select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")))
+
+
 def similar_texts(texts: DataFrame) -> DataFrame:
     """Verified links (``a``, ``b``) among the distinct ``node`` values of (``node``, ``text``).
 
-    Members of a key with at most ``FEW`` nodes (``SMALL`` after the first round) are compared with each other. In a fuller key the
-    smallest node is the hub that all others are compared with. A node that is alike to a hub is represented by it and
-    leaves all fuller keys, and so does the hub; the rest goes on to the next round until no key has anyone left. The many
-    keys of a large group of copies mostly have the same hub, so a round is linear and few are needed.
+    Their components are those of all alike pairs that share a key. Members of a key with at most ``FEW`` nodes are compared
+    with each other. In a fuller key one member, the hub, is compared with all others, and then the components of all links
+    so far are worked out: a key whose members are in one component is done, since no further link can change it. The
+    others take another hub, as long as that settles half of the pairs of unlike components; all pairs of members in
+    different components that are left then are compared, so none is given up.
     """
-    sketched = cut_lineage(texts.mapInArrow(_sketches, "node long, cells array<int>, b1 long, b2 long").dropDuplicates(["node"]))
-    todo = sketched.select("node", "b1", "b2", F.explode(_cell_keys()).alias("key")).distinct()
-    links, limit = None, FEW
+    sketched = cut_lineage(texts.mapInArrow(_sketches, SKETCH).dropDuplicates(["node"]))
+    own = [c for c in sketched.columns if c not in ("node", "cells")]
+    todo = sketched.select("node", *own, F.explode(_cell_keys()).alias("key")).distinct()
+    counts = todo.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = cut_lineage(todo.join(counts, "key"))
+    few, full = shared.where(F.col("m") <= FEW), shared.where(F.col("m") > FEW)
+    few, full = few.drop("m"), full.drop("m").withColumn("root", F.col("node"))
+    fresh, links, last, turn = _pairs(few, few, ["key"], F.col("node") < F.col("node_y")), None, None, 0
     while True:
-        counts = todo.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = cut_lineage(todo.join(counts, "key"))
-        few, full = shared.where(F.col("n") <= limit), shared.where(F.col("n") > limit)
-        close = F.bit_count(F.col("b1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("c2"))) <= APART
-        x, y = few.select("key", F.col("node").alias("a"), "b1", "b2"), few.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("b1").alias("c1"), F.col("b2").alias("c2"))
-        within = x.join(y, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & close).select("a", "b")
-        hub = (full.groupBy("key")
-               .agg(F.min(F.struct("node", "b1", "b2")).alias("s")).select("key", F.col("s.node").alias("b"), F.col("s.b1").alias("c1"), F.col("s.b2").alias("c2")))
-        hub = cut_lineage(hub)
-        to_hub = full.select("key", F.col("node").alias("a"), "b1", "b2").join(hub, "key").where((F.col("a") != F.col("b")) & close)
-        found = _verified(within.union(to_hub.select("b", "a")).distinct(), texts)
-        links = found if links is None else links.union(found)
-        if hub.isEmpty():
+        hub = (full.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", *own, "root")).alias("s"))
+               .select("key", *(F.col(f"s.{c}").alias(c) for c in ("node", *own, "root"))))
+        to_hub = _pairs(full, cut_lineage(hub), ["key"], F.col("root") != F.col("root_y"))
+        found = _verified((fresh.union(to_hub) if fresh is not None else to_hub).distinct(), texts)
+        links, fresh, turn = found if links is None else links.union(found), None, turn + 1
+        tree = components(links)
+        rooted = cut_lineage(full.drop("root").join(tree, "node", "left").select("key", "node", *own, F.coalesce("root", "node").alias("root")))
+        sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
+        split = cut_lineage(sizes.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max_by("root", "c").alias("main"))
+                            .where("sq < m * m"))
+        left, members = split.agg(F.sum((F.col("m") * F.col("m") - F.col("sq")) / 2), F.sum("m")).first()
+        if not members:
             return links
-        limit = SMALL  # most of a large group has left with its hub
-        hubs = hub.select("b").distinct()
-        done = found.join(hubs.withColumnRenamed("b", "a"), "a", "left_semi").select(F.col("b").alias("node")).union(hubs)
-        todo = full.drop("n").join(done.distinct(), "node", "left_anti")
+        full = cut_lineage(rooted.join(split.drop("sq"), "key"))
+        if left <= FEW * members or (last is not None and left > last / 2):
+            break
+        full, last = full.drop("m", "main"), left
+    # each member stands in one cell of its key as a target; those outside the key's largest component go to all cells
+    cells = F.ceil(F.col("m") / CELL).cast("long")
+    targets = full.withColumn("cell", F.pmod(F.xxhash64("node"), cells)).drop("m", "main")
+    rest = full.where("root <> main").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1))).drop("m", "main")
+    return links.union(_verified(_pairs(rest, targets, ["key", "cell"], F.col("root") != F.col("root_y")).distinct(), texts))
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:

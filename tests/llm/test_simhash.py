@@ -164,6 +164,23 @@ def test_full_keys_are_compared_with_hubs_in_rounds(spark, monkeypatch):
     assert simhash.keep_one_of_each_group(documents(spark, texts)).count() == 1
 
 
+def test_chains_in_full_keys_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", 2)
+    monkeypatch.setattr(simhash, "SMALL", 2)
+    rng = random.Random(9)
+    texts = []
+    for g in range(6):
+        now = [f"g{g}w{rng.randrange(10_000)}" for _ in range(240)]
+        for _ in range(40):  # copies that drift: each is like the one before and soon unlike the first
+            texts.append(" ".join(now))
+            now[rng.randrange(240)] = f"x{rng.randrange(10_000)}"
+    rng.shuffle(texts)
+    links = [(i, j) for i, j in combinations(range(len(texts)), 2) if plain_similarity(texts[i], texts[j]) >= 0.8]
+    want = plain_roots(len(texts), links)
+    kept = sorted(r["doc_id"] for r in rows(simhash.keep_one_of_each_group(documents(spark, texts))))
+    assert kept == sorted(set(want))
+
+
 def test_stage_on_odd_rows(spark):
     df = odd(spark)
     kept = simhash.keep_one_of_each_group(df)
