@@ -26,7 +26,7 @@ BLOCK_CHARS = 32_000_000
 SLICE_CHARS = 2_000_000
 HELD = 5                # every fifth trusted text sets the limits instead of training
 QUANTILE = 0.99
-LEAST_HELD = 10         # a language with fewer has no limit
+LEAST_HELD = 10         # a language with fewer takes all its trusted texts in turn for its limit
 SALTS = 64
 BROADCAST_IDS = 4_000_000  # trusted ids that may travel to every task, 32 MB
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -112,8 +112,7 @@ def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct n-grams of each block and language with their count in trusted texts that train."""
     for number, t in _blocks(batches):
-        texts, keys, good = t.column("text").to_pylist(), np.asarray(t.column("text_key")), np.asarray(t.column("good"))
-        trains = good & (keys % HELD != 0)
+        texts, trains = t.column("text").to_pylist(), np.asarray(t.column("trains"))
         for lang, rows in _by_language(t):
             codes, counts, names = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, f"U{ORDER}")
             for train in (True, False):
@@ -215,17 +214,26 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     twice, to count and to score, and has to come in the same order both times, as tables do. What lies between
     is written to the shared folder and deleted in the end.
     """
-    spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/quality-{uuid.uuid4().hex}"
     kind = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     marks = trusted.withColumn("mark", F.lit(True))
-    if trusted.count() <= BROADCAST_IDS:
-        flagged = plain.join(F.broadcast(marks), "doc_id", "left")
-    else:
-        plain.join(marks, "doc_id", "left").write.parquet(f"{folder}/flagged")
+    wide = trusted.count() > BROADCAST_IDS
+    flagged = plain.join(marks if wide else F.broadcast(marks), "doc_id", "left")
+    trains = F.coalesce("mark", F.lit(False)) & (_fold() != 0)
+    return _scored(flagged.select("doc_id", "text_key", "lang", "text", trains.alias("trains")), kind, wide)
+
+
+def _fold() -> Column:
+    return F.pmod("text_key", F.lit(HELD))
+
+
+def _scored(flagged: DataFrame, kind: str, write: bool) -> DataFrame:
+    """``doc_id``, ``text_key``, ``lang``, ``perplexity`` of each row under the model of its language's rows that ``trains``; ``write``: keep the rows' order by a copy."""
+    spark = flagged.sparkSession
+    folder = f"{shared_folder(spark)}/quality-{uuid.uuid4().hex}"
+    if write:
+        flagged.write.parquet(f"{folder}/flagged")
         flagged = spark.read.parquet(f"{folder}/flagged")
-    flagged = flagged.select("doc_id", "text_key", "lang", "text", F.coalesce("mark", F.lit(False)).alias("good"))
     flagged.mapInArrow(_count, "block long, lang string, gram string, n long").write.parquet(f"{folder}/grams")
     grams = spark.read.parquet(f"{folder}/grams")
     counts = cut_lineage(grams.groupBy("lang", "gram").agg(F.sum("n").alias("c")))
@@ -237,19 +245,36 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return scored
 
 
+def _in_turn(docs: DataFrame, trusted: DataFrame, few: DataFrame) -> DataFrame:
+    """``lang`` and ``perplexity`` of all trusted texts of the languages ``few``, each fifth under a model of the other four."""
+    plain = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    own = cut_lineage(plain.join(trusted, "doc_id", "left_semi").join(F.broadcast(few), "lang", "left_semi"))
+    turns = own.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(HELD - 1))))
+    apart = F.concat("lang", F.lit(BEGIN), F.col("turn").cast("string"))
+    scored = _scored(turns.select("doc_id", "text_key", apart.alias("lang"), "text", (_fold() != F.col("turn")).alias("trains")), docs.schema["doc_id"].dataType.simpleString(), True)
+    turn = F.substring_index("lang", BEGIN, -1).cast("int")
+    return scored.where(_fold() == turn).select(F.expr(f"substr(lang, 1, length(lang) - {len(BEGIN) + 1})").alias("lang"), "perplexity")
+
+
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``doc_id``, ``text_key``, ``lang``, ``perplexity``, ``upper_limit`` and ``keep`` of each row.
 
     The model is trained on the texts of documents whose labels all say good and not toxic, but for every fifth of
-    them (by text hash, so copies go together). Those held back set the limit of their language: ``quantile`` of their perplexities. A document above its
-    language's limit is rejected; one without a perplexity or without a limit is kept. No documents give no rows.
+    them (by text hash, so copies go together). Those held back set the limit of their language: ``quantile`` of their perplexities.
+    Where they are fewer than ``LEAST_HELD``, all trusted texts of the language set it, each fifth in turn under a model of the
+    other four. A document above its language's limit is rejected; one without a perplexity is kept, and so is one of a
+    language whose trusted texts are none or all in one fifth, which leaves nothing unseen to hold it against. No documents give no rows.
     """
     trusted = trusted_ids(labels)
     scored = perplexities(docs, trusted)
     # a share of the trusted texts that the model has not seen
-    held = scored.where(F.pmod("text_key", F.lit(HELD)) == 0).join(trusted, "doc_id", "left_semi")
-    limits = (held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("upper_limit"), F.count("perplexity").alias("n"))
-              .where(F.col("n") >= LEAST_HELD).drop("n"))
+    good = scored.where("perplexity is not null").join(trusted, "doc_id", "left_semi")
+    per = cut_lineage(good.groupBy("lang").agg(F.count_if(_fold() == 0).alias("held"), F.count_distinct(_fold()).alias("folds")).where("folds > 1"))
+    few = per.where(F.col("held") < LEAST_HELD).select("lang")
+    unseen = good.where(_fold() == 0).join(per.where(F.col("held") >= LEAST_HELD), "lang", "left_semi").select("lang", "perplexity")
+    if not few.isEmpty():
+        unseen = unseen.union(_in_turn(docs, trusted, few))
+    limits = unseen.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("upper_limit"))
     return (scored.join(limits, "lang", "left")
             .withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("upper_limit"), F.lit(True)))
             .select("doc_id", "text_key", "lang", "perplexity", "upper_limit", "keep"))

@@ -121,3 +121,21 @@ def test_odd_rows(spark):
     assert all(r["keep"] and r["upper_limit"] is None for r in got if r["doc_id"] == 5000)
     assert rows(quality.judge(df.limit(0), labels)) == []
     assert all(r["keep"] for r in rows(quality.judge(df, labels.limit(0))))
+
+
+def test_languages_with_few_trusted_texts_have_a_limit(spark):
+    docs, labels, bad = corpus(spark)
+    few = docs.where("lang = 'en' or doc_id < 60")
+    got = {r["doc_id"]: r for r in rows(quality.judge(few, labels))}
+    german = {i: r for i, r in got.items() if r["lang"] == "de"}
+    trusted = {r["doc_id"] for r in rows(quality.trusted_ids(labels))} & set(german)
+    assert 5 < len(trusted) < 30 and sum(german[i]["text_key"] % quality.HELD == 0 for i in trusted) < quality.LEAST_HELD
+    assert all(not r["keep"] for i, r in german.items() if i in bad)
+    data = {r["doc_id"]: r["text"] for r in rows(docs)}
+    unseen = []
+    for i in trusted:
+        fold = german[i]["text_key"] % quality.HELD
+        train = [g for t in trusted if german[t]["text_key"] % quality.HELD != fold for g in grams(data[t])]
+        cost = plain_costs(train, grams(data[i]), quality.ORDER)
+        unseen.append(math.exp(sum(cost[g] for g in grams(data[i])) / len(data[i])))
+    assert all(math.isclose(r["upper_limit"], max(unseen), rel_tol=1e-9) for r in german.values())
