@@ -5,7 +5,7 @@ Nothing outside this package imports it. ``QUERIES`` and ``SQL`` hold the named
 
 from .registry import QUERIES, SQL
 from . import (  # noqa: F401
-    chat_format, decontaminate, line_templates, licences, packing, quality, secrets, simhash, topk, urls,
+    bpe, chat_format, decontaminate, fill_middle, line_templates, licences, packing, quality, secrets, simhash, topk, urls, vector_codes,
 )
 
 __all__ = ["QUERIES", "SQL"]
