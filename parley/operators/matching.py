@@ -32,9 +32,10 @@ SCORE_STEPS = 1_000_000
 # -- one-to-one assignment -------------------------------------------------------------------------
 
 def _best_pairs(s: np.ndarray) -> np.ndarray:
-    """Column of each row in a total-maximising one-to-one assignment; rows must not outnumber columns.
+    """Column of each row in a total-maximising one-to-one assignment of whole scores; rows must not outnumber columns.
 
-    Shortest augmenting paths with row and column prices (Jonker and Volgenant, 1987).
+    Of equally good ones the first: each row in turn has the first column that a best total allows. Shortest augmenting
+    paths with row and column prices (Jonker and Volgenant, 1987).
     """
     n, m = s.shape
     cost = -s
@@ -61,7 +62,45 @@ def _best_pairs(s: np.ndarray) -> np.ndarray:
     for j in range(1, m + 1):
         if owner[j]:
             out[owner[j] - 1] = j - 1
-    return out
+    return _first_of_best(cost - u[1:, None] - v[None, 1:] == 0, v[1:] == 0, out)
+
+
+def _first_of_best(tight: np.ndarray, spare: np.ndarray, match: np.ndarray) -> np.ndarray:
+    """The first of all best assignments, from one of them.
+
+    Best assignments are those that use ``tight`` pairs only (price-reduced cost 0) and leave only ``spare`` columns (price 0)
+    free. A row gets an earlier column if its owner can move on along tight pairs, and so forth, until one takes the
+    row's old column; a free column moves on to any spare one.
+    """
+    n, m = tight.shape
+    owner = np.full(m, -1)
+    owner[match] = np.arange(n)
+    open_ = np.ones(m, dtype=bool)  # columns that no earlier row holds
+    for row in range(n):
+        old = match[row]
+        for col in np.flatnonzero(tight[row] & open_):
+            if col == old:
+                break
+            seen, back, todo = ~open_, np.full(m, -1), [col]
+            seen[col] = True
+            while todo and not seen[old]:
+                c = todo.pop()
+                new = np.flatnonzero((tight[owner[c]] if owner[c] >= 0 else spare) & ~seen)
+                seen[new], back[new] = True, c
+                todo += new.tolist()
+            if not seen[old]:
+                continue
+            at = old
+            while at != col:
+                mover = owner[back[at]]
+                owner[at] = mover
+                if mover >= 0:
+                    match[mover] = at
+                at = back[at]
+            match[row], owner[col] = col, row
+            break
+        open_[match[row]] = False
+    return match
 
 
 def prune_scores(scores: DataFrame, keys: Sequence[str], row: str, col: str) -> DataFrame:
@@ -84,9 +123,11 @@ def assign_one_to_one(scores: DataFrame, keys: Sequence[str], row: str, col: str
     ``scores`` lists every pair of a group, or at least every row's best
     partners, as many as the smaller side has members; each member of the
     smaller side gets a partner, if only at a negative score. ``sparse`` means
-    that pairs not listed score 0, as votes do. Groups whose smaller side is
-    moderate are solved in one task each after pruning; larger ones by auction
-    rounds over all groups at once.
+    that pairs not listed score 0, as votes do, and a row may stay alone. Groups
+    whose smaller side is moderate are solved in one task each after pruning, and
+    of equal totals the first is taken: the smaller side (``sparse``: the rows) in order, each
+    with the first partner that a best total allows, alone last. Larger groups go through
+    auction rounds over all groups at once.
     """
     keys = list(keys)
     pruned = prune_scores(cut_lineage(scores), keys, row, col)
@@ -99,13 +140,17 @@ def assign_one_to_one(scores: DataFrame, keys: Sequence[str], row: str, col: str
         ri, ci = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
         score = np.array(table.column("score").to_pylist(), dtype=float)
         whole = np.rint(score * SCORE_STEPS)
-        # A pruned pair must never beat a listed one, not even a negative one.
-        never = 0.0 if sparse else whole.min() - (np.ptp(whole) + 1) * (min(len(rows), len(cols)) + 1)
-        s, exact = np.full((len(rows), len(cols)), never), np.zeros((len(rows), len(cols)))
+        # A pair that is not listed must never beat a listed one, not even a negative one.
+        size = len(rows) if sparse else min(len(rows), len(cols))
+        never = min(whole.min(), 0.0) - (max(whole.max(), 0.0) - min(whole.min(), 0.0) + 1) * (size + 1)
+        wide = len(cols) + (len(rows) if sparse else 0)  # sparse: a row may stay alone, in a column of its own at the end
+        s, exact = np.full((len(rows), wide), never), np.zeros((len(rows), wide))
         listed = np.zeros(s.shape, dtype=bool)
         for a, b, w, x in zip(r, c, whole, score):
             s[ri[a], ci[b]], exact[ri[a], ci[b]], listed[ri[a], ci[b]] = w, x, True
-        flip = len(rows) > len(cols)
+        if sparse:
+            s[np.arange(len(rows)), len(cols) + np.arange(len(rows))] = 0.0
+        flip = len(rows) > wide
         pick = _best_pairs(s.T if flip else s)
         pairs = [(b, a) if flip else (a, b) for a, b in enumerate(pick)]
         pairs = [(a, b) for a, b in pairs if listed[a, b]]
@@ -257,7 +302,7 @@ def cluster_by_rounds(rows: DataFrame) -> DataFrame:
 
 def _cut_tree(rows: DataFrame, tree: DataFrame, goal: DataFrame) -> DataFrame:
     """Cluster of every window from the n-k best merges."""
-    best_first = ordered.number_rows(tree.withColumn("_d", -F.col("sim")), M, "_d", ties=("id", "near"), name="_r", width=0.01)
+    best_first = ordered.place_rows(tree.withColumn("_d", -F.col("sim")), M, "_d", ties=("id", "near"), name="_r")
     kept = best_first.join(goal, M).where(F.col("_r") < F.col("n") - F.col("k")).select("meeting", "id", "near")
     links = cut_lineage(kept.select("meeting", F.col("near").alias("child"), F.col("id").alias("parent")))
     found = cut_lineage(rows.select("meeting", "w_idx", F.col("w_idx").alias("cluster")))

@@ -6,15 +6,21 @@ so neither a meeting nor a chunk has to fit one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import ordered
 from ..functions import labels, text
 from ..functions.times import exact_round
+from ..session import cut_lineage
 
 CHUNK = ("meeting", "chunk")
 FRAME_MS = 30
@@ -25,7 +31,6 @@ MAX_BACK_STEP = 0.15
 SPEECH_JOIN_GAP = 0.3
 TURN_GAP = 0.15
 MERGE_GAP = 1.5
-LOOK_AHEAD = 64
 # End of fixed values.
 
 
@@ -52,32 +57,125 @@ def timeline_verdicts(segments: DataFrame, durations: DataFrame, source: str = "
     return _verdicts(_looked_around(rows), source).select(*CHUNK, "usable")
 
 
+def _next_above(start: np.ndarray) -> np.ndarray:
+    """For each value the first later one that is more than SAME_START above it, else NaN.
+
+    Read from the end; of the values read only those matter that no nearer one reaches, a stack in falling order.
+    """
+    out = np.full(len(start), np.nan)
+    if len(start) < 2:
+        return out
+    out[:-1] = np.where(start[1:] > start[:-1] + SAME_START, start[1:], np.nan)
+    if not np.isnan(out[:-1]).any():
+        return out
+    stack: list[float] = []  # negated: rising, the nearest value last
+    for i, s in zip(range(len(start) - 1, -1, -1), start[::-1].tolist()):
+        if s != s:
+            continue
+        k = bisect_left(stack, -(s + SAME_START))
+        if k:
+            out[i] = -stack[k - 1]
+        while stack and stack[-1] >= -s:
+            stack.pop()
+        stack.append(-s)
+    return out
+
+
+def _with_next(rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """Add ``_next``, the next distinct start in the chunk; drops ``_cut``, the slice.
+
+    Slices are dealt over the tasks in order of ``idx``, and each is resolved by itself. What is left open at its end, a few
+    different starts, is looked up in the first later slice whose greatest start is high enough, which slice maxima tell; there,
+    running maxima are searched. So a chunk of any length and any number of equal starts is spread over its
+    slices, and nothing is compared with all that follows.
+    """
+    key = [*CHUNK, "_cut"]
+    plain = segments.select(*CHUNK, "idx", "start", F.floor(F.col("idx") / ordered.SLICE_ROWS).alias("_cut"))
+    tops = plain.groupBy(*key).agg(F.max("start").alias("top"))
+    several = cut_lineage(tops.groupBy(*CHUNK).agg(F.array_sort(F.collect_list(F.struct("_cut", "top"))).alias("slices")).where(F.size("slices") > 1))
+    long = plain.join(several.select(*CHUNK), list(CHUNK), "left_semi")
+    kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
+    head = ", ".join(f"{c} {kinds[c]}" for c in key)
+
+    def open_starts(keys, table):
+        start = np.asarray(table.sort_by("idx").column("start"), dtype=np.float64)
+        left = np.unique(start[np.isnan(_next_above(start)) & ~np.isnan(start)])
+        return pa.table({**{c: pa.array([k.as_py()] * len(left), k.type) for c, k in zip(key, keys)}, "start": pa.array(left)})
+
+    def answers(keys, asked, table):
+        start = np.asarray(table.sort_by("idx").column("start"), dtype=np.float64)
+        upto = np.maximum.accumulate(np.nan_to_num(start, nan=-np.inf))
+        at = np.searchsorted(upto, np.asarray(asked.column("start"), dtype=np.float64) + SAME_START, "right")
+        return pa.table({**{c: asked.column(c) for c in CHUNK}, "_cut": asked.column("own"), "start": asked.column("start"), "_far": pa.array(start[at])})
+
+    asks = long.groupBy(*key).applyInArrow(open_starts, f"{head}, start double").join(several, list(CHUNK))
+    enough = F.filter("slices", lambda x: (x["_cut"] > F.col("_cut")) & (x["top"] > F.col("start") + SAME_START))
+    asks = asks.select(*CHUNK, F.col("_cut").alias("own"), "start", F.get(enough, F.lit(0))["_cut"].alias("_cut")).where("_cut is not null")
+    there = long.join(asks.select(*key).distinct(), key, "left_semi")
+    far = asks.groupBy(*key).cogroup(there.groupBy(*key)).applyInArrow(answers, f"{head}, start double, _far double")
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last slice seen, which may go on
+        def done(t: pa.Table) -> list[pa.RecordBatch]:
+            start, told = np.asarray(t.column("start"), dtype=np.float64), np.asarray(t.column("_far").is_valid())
+            bounds = [0, *_changes(t).tolist(), t.num_rows]
+            out = [_next_above(start[i:j]) for i, j in zip(bounds, bounds[1:])]
+            if told.any():  # answers come first in their slice
+                far = np.asarray(t.column("_far"), dtype=np.float64)
+                for n, (i, j) in enumerate(zip(bounds, bounds[1:])):
+                    k = i + int(told[i:j].sum())
+                    out[n] = np.concatenate([far[i:k], _next_above(start[k:j])])
+                    if k > i:
+                        order = i + np.argsort(start[i:k])
+                        at = order[np.minimum(np.searchsorted(start[order], start[k:j]), k - i - 1)]
+                        out[n][k - i:] = np.where(np.isnan(out[n][k - i:]) & (start[at] == start[k:j]), far[at], out[n][k - i:])
+            values = np.concatenate(out)
+            t = t.drop_columns("_far").append_column("_next", pa.array(values, mask=np.isnan(values)))
+            return (t.filter(pa.array(~told)) if told.any() else t).to_batches()
+
+        def _changes(t: pa.Table) -> np.ndarray:
+            """Rows that begin another slice than the row before them."""
+            new = np.zeros(max(0, t.num_rows - 1), dtype=bool)
+            for c in key:
+                one = t.column(c).combine_chunks()
+                new |= np.asarray(pc.fill_null(pc.not_equal(one.slice(1), one.slice(0, t.num_rows - 1)), True), dtype=bool)
+            return np.flatnonzero(new) + 1
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, b])
+            last = _changes(t)
+            end = int(last[-1]) if len(last) else 0
+            if end:
+                yield from done(t.slice(0, end))
+            held = t.slice(end).to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    both = rows.withColumn("_far", F.lit(None).cast("double"))
+    if not several.isEmpty():  # else every chunk is one slice and nothing stays open
+        both = both.unionByName(far, allowMissingColumns=True)
+    dealt = both.repartition(*key).sortWithinPartitions(*key, F.col("_far").isNull(), "idx")
+    return dealt.mapInArrow(resolve, T.StructType([*both.schema.fields[:-1], T.StructField("_next", T.DoubleType())])).drop("_cut")
+
+
 def complete_starts(segments: DataFrame, durations: DataFrame, source: str = "model") -> DataFrame:
     """Turn ranges from starts: a turn ends at the next distinct start in its chunk.
 
     Chunks with an unusable clock are left out; see ``timeline_verdicts``.
     """
     keep = [c for c in segments.columns if c not in ("start", "end", "timestamp_overlap")]
-    distinct = F.col("start") + SAME_START
     around = _looked_around(segments.select(*keep, "start").join(durations, list(CHUNK)))
-    ahead = W.partitionBy(*CHUNK, "_cut").orderBy("idx").rowsBetween(1, LOOK_AHEAD)
-    rows = (around.join(_verdicts(around, source).where("usable").drop("usable"), list(CHUNK))
-            .withColumn("_cut", F.floor(F.col("idx") / ordered.SLICE_ROWS))
-            .withColumn("_ahead", F.collect_list(F.struct("idx", "start")).over(ahead))
-            .withColumn("_next", F.get(F.filter("_ahead", lambda x: x["start"] > distinct), F.lit(0))["start"])
-            .withColumn("_seen", F.coalesce(F.array_max(F.transform("_ahead", lambda x: x["idx"])), F.col("idx"))))
-    # Only a turn followed by more than LOOK_AHEAD equal starts, or by a slice border, is looked up by join.
-    far = rows.where(F.col("_next").isNull() & (F.col("_seen") < F.col("_last"))).select(*CHUNK, "idx", "start", "_seen")
-    later = segments.select(*CHUNK, F.col("idx").alias("_i"), F.col("start").alias("_s"))
-    found = (far.join(later, list(CHUNK)).where((F.col("_i") > F.col("_seen")) & (F.col("_s") > distinct))
-             .groupBy(*CHUNK, "idx").agg(F.min_by("_s", "_i").alias("_far")))
-    timed = rows.drop("_ahead", "_seen", "_last", "_before", "_cut").join(found, [*CHUNK, "idx"], "left")
+    rows = (around.join(_verdicts(around, source).where("usable").drop("usable", "_last"), list(CHUNK)).drop("_before")
+            .withColumn("_cut", F.floor(F.col("idx") / ordered.SLICE_ROWS)))
+    timed = _with_next(rows, segments)
     # Simultaneous turns sit next to each other in start order.
     close = ordered.neighbourhood(timed, CHUNK, "start", width=60.0, before=2 * SAME_START, after=2 * SAME_START)
     order = W.partitionBy(*CHUNK, "_slice").orderBy("start", "idx")
     timed = close.withColumn("_left", F.lag("start").over(order)).withColumn("_right", F.lead("start").over(order)).where("not _copy")
     limit = F.greatest(F.lit(0.0), F.col("duration"))
-    end = F.greatest(F.col("start"), F.coalesce("_next", "_far", limit))
+    end = F.greatest(F.col("start"), F.coalesce("_next", limit))
     overlap = ((F.abs(F.col("start") - F.col("_left")) <= SAME_START)
                | (F.abs(F.col("_right") - F.col("start")) <= SAME_START))
     return timed.select(*keep, exact_round(F.least(limit, F.greatest(F.lit(0.0), F.col("start")))).alias("start"),
@@ -367,7 +465,8 @@ def choose_samples(segments: DataFrame, keys: Sequence[str] = ("meeting", "speak
             .withColumn("_a", F.col("start") + F.least(F.lit(0.2), F.col("_d") * 0.2))
             .withColumn("_b", F.col("end") - F.least(F.lit(0.6), F.col("_d") * 0.4))
             .where(F.col("_b") > F.col("_a")))
-    run = ordered.scan(rows, keys, "_rank", ties=("_tie", "idx"), sums={"_upto": F.col("_b") - F.col("_a")}, width=0.05)
+    placed = ordered.place_rows(rows, keys, "_rank", ties=("_tie", "idx"), name="_place")
+    run = ordered.scan(placed, keys, "_place", sums={"_upto": F.col("_b") - F.col("_a")})
     before = F.col("_upto") - (F.col("_b") - F.col("_a"))
     take = F.least(F.col("_b") - F.col("_a"), max_total - before)
     return (run.withColumn("take", take).where(F.col("take") > 1e-9)

@@ -349,7 +349,7 @@ def _medoids_large(rows: DataFrame, keys: list[str], block_rows: int, bins: int
 
 def _order_statistic(rows: DataFrame, keys: list[str], q: float) -> DataFrame:
     """Exact linear quantile of ``_s`` per group, by position instead of by gathering the group."""
-    placed = ordered.number_rows(rows, keys, "_s", ties=("_id",), name="_r", width=0.002)
+    placed = ordered.place_rows(rows, keys, "_s", ties=("_id",), name="_r")
     at = F.lit(q) * (F.col("n") - 1)
     lo = F.floor(at)
     picked = placed.where((F.col("_r") == lo) | (F.col("_r") == lo + 1))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .session import cut_lineage
+
 SLICE_ROWS = 50_000
 _KEY, _SLICE, _ROW = "_key", "_slice", "_row"
 
@@ -109,6 +111,27 @@ def number_rows(df: DataFrame, keys: Sequence[str], pos: str, *, ties: Sequence[
     return out.select(*keep, (F.col("_rn") + F.col("_offset") - 1 + start).cast("long").alias(name))
 
 
+def place_rows(df: DataFrame, keys: Sequence[str], pos: str, *, ties: Sequence[str] = (), name: str = "idx", start: int = 0) -> DataFrame:
+    """As ``number_rows``, for values that may pile up: all slices hold about as many rows, whatever their values.
+
+    Rows are dealt by sampled ranges of (key, ``pos``, ``ties``), so those of one key and value are split by their ties,
+    and written down, as both readers have to see the same ranges. A row's number is its place in its part of the key and what
+    the earlier parts hold.
+    """
+    key = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]) if keys else F.lit("")
+    order = [_KEY, *[f"_o{i}" for i in range(1 + len(ties))]]
+    packed = df.select(F.coalesce(key, F.lit("")).alias(_KEY), *[F.col(c).alias(o) for c, o in zip((pos, *ties), order[1:])], F.struct(*df.columns).alias(_ROW))
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut_lineage(packed.repartitionByRange(ranges, *order).sortWithinPartitions(*order))
+    # the upper bits of the id are the range, the lower 33 the place in it
+    base = dealt.select(_KEY, _ROW, F.monotonically_increasing_id().alias("_at")).withColumn(_SLICE, F.shiftright("_at", 33))
+    before = W.partitionBy(_KEY).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
+    parts = (base.groupBy(_KEY, _SLICE).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+             .select(_KEY, _SLICE, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    number = (F.col("_at") - F.col("_first") + F.col("_offset") + start).cast("long").alias(name)
+    return base.join(parts, [_KEY, _SLICE]).select(*[F.col(_ROW)[c].alias(c) for c in df.columns if c != name], number)
+
+
 def neighbourhood(df: DataFrame, keys: Sequence[str], pos: str, *, width: float, before: float = 0, after: float = 0) -> DataFrame:
     """Rows by slice, each slice with copies of the rows just outside it.
 

@@ -291,7 +291,37 @@ def _(spark, sf):
     return G.cluster_windows(v, hints(v), DIMS)
 
 
-@query("map_speakers_to_clusters")
+# Facts of the clusters ``mem0`` (meeting, w_idx, cluster) of at least so many windows; votes of speakers for clusters; the first of the best one-to-one maps.
+# A speaker's choice is two digits, 99 for none; the text of all choices orders equally good maps.
+VOTED = """
+fw AS (SELECT meeting, cluster, v.start, v."end", lag(v."end") OVER (PARTITION BY meeting, cluster ORDER BY v.start, w_idx) AS pe FROM voice v JOIN mem0 USING (meeting, w_idx)),
+fd AS (SELECT *, seconds / sum(seconds) OVER (PARTITION BY meeting) AS share FROM (SELECT meeting, cluster, sum("end" - start) AS seconds, min(start) AS first_start,
+  sum("end" - start) / count(*) FILTER (pe IS NULL OR start - pe > 3.0) AS avg_turn FROM fw GROUP BY meeting, cluster HAVING count(*) >= {least})),
+tk AS (SELECT *, words / turns AS per_turn FROM (SELECT *, words / sum(words) OVER (PARTITION BY meeting) AS share FROM (
+  SELECT meeting, 'speaker_' || voice AS sid, sum(len(list_filter(string_split(text, ' '), lambda x: x <> '')))::DOUBLE AS words, count(*) AS turns, min(idx) AS first FROM voice GROUP BY ALL)) WHERE share >= 0.02::DOUBLE),
+vt AS (SELECT meeting, sid, cluster, count(*)::INTEGER AS votes FROM (
+  SELECT meeting, sid, arg_min(cluster, (abs(tk.share - fd.share), cluster)) AS cluster FROM tk JOIN fd USING (meeting) GROUP BY meeting, sid
+  UNION ALL SELECT meeting, sid, cluster FROM (SELECT meeting, sid, row_number() OVER (PARTITION BY meeting ORDER BY first, sid) AS r FROM tk)
+    JOIN (SELECT meeting, cluster, row_number() OVER (PARTITION BY meeting ORDER BY first_start, cluster) AS r FROM fd) USING (meeting, r)
+  UNION ALL SELECT meeting, sid, cluster FROM (SELECT meeting, sid, row_number() OVER (PARTITION BY meeting ORDER BY per_turn DESC, words DESC, first) AS r FROM tk)
+    JOIN (SELECT meeting, cluster, row_number() OVER (PARTITION BY meeting ORDER BY avg_turn DESC, cluster) AS r FROM fd) USING (meeting, r)) GROUP BY ALL),
+si AS (SELECT meeting, sid, row_number() OVER (PARTITION BY meeting ORDER BY sid) AS k FROM (SELECT DISTINCT meeting, sid FROM vt)),
+ci AS (SELECT meeting, cluster, row_number() OVER (PARTITION BY meeting ORDER BY cluster) - 1 AS j FROM (SELECT DISTINCT meeting, cluster FROM vt)),
+pick AS (SELECT meeting, k, j, votes FROM vt JOIN si USING (meeting, sid) JOIN ci USING (meeting, cluster) UNION ALL SELECT meeting, k, 99, 0 FROM si),
+way AS (SELECT DISTINCT meeting, 0::BIGINT AS k, 0::BIGINT AS mask, 0::BIGINT AS total, '' AS path FROM si
+  UNION ALL
+  SELECT way.meeting, way.k + 1, CASE WHEN j = 99 THEN mask ELSE mask | (1::BIGINT << least(j, 60)) END AS after, max(total + votes),
+    arg_min(path || printf('%02d', j), printf('%04d', 9999 - total - votes) || path || printf('%02d', j))
+  FROM way JOIN pick ON pick.meeting = way.meeting AND pick.k = way.k + 1 AND (j = 99 OR (mask >> least(j, 60)) & 1 = 0) GROUP BY 1, 2, 3),
+won AS (SELECT meeting, arg_min(path, printf('%04d', 9999 - total) || path) AS path FROM way JOIN (SELECT meeting, max(k) AS k FROM si GROUP BY meeting) USING (meeting, k) GROUP BY meeting),
+mp AS (SELECT meeting, sid AS speaker_id, cluster, votes FROM won JOIN si USING (meeting) JOIN vt USING (meeting, sid) JOIN ci USING (meeting, cluster)
+  WHERE j = CAST(substr(path, 2 * k - 1, 2) AS BIGINT) AND votes >= 2)"""
+# Clusters of the meetings with ten windows or more.
+LINKED_MANY = LINKED + ", mem0 AS (SELECT * FROM mem WHERE meeting IN (SELECT meeting FROM voice GROUP BY meeting HAVING count(*) >= 10))"
+
+
+@query("map_speakers_to_clusters", with_ctes("voice", recursive=True) + ", mem0 AS (SELECT meeting, w_idx, CAST(voice AS BIGINT) AS cluster FROM voice)," + VOTED.format(least=3)
+       + " SELECT meeting, speaker_id, cluster, votes FROM mp")
 def _(spark, sf):
     v = probe_vec(spark, sf)
     f = G.cluster_facts(v, v.select("meeting", "w_idx", F.col("voice").cast("long").alias("cluster")), DIMS, min_windows=3)
@@ -310,7 +340,7 @@ def _(spark, sf):
 
 
 @query("name_clusters", with_ctes("voice", "gal", recursive=True) + """,
-cs0 AS (SELECT meeting, voice, d, avg(x) AS x, count(*) AS n FROM (SELECT meeting, voice, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM voice) GROUP BY ALL),
+cs0 AS (SELECT meeting, voice, d, avg(x) AS x, count(*) AS n FROM (SELECT meeting, voice, unnest(""" + UNIT.format("embedding") + """) AS x, generate_subscripts(embedding, 1) AS d FROM voice) GROUP BY ALL),
 cs AS (SELECT meeting, CAST(voice AS VARCHAR) AS id, list(x ORDER BY d) AS e FROM cs0 WHERE n >= 3 GROUP BY meeting, voice),""" + ASSIGN + """,
 nd AS (SELECT meeting, CAST(id AS BIGINT) AS cluster, name, s, s >= 0.2 AS named FROM one)
 SELECT meeting, cluster, CASE WHEN named THEN name ELSE 'Speaker ' || row_number() OVER (PARTITION BY meeting, named ORDER BY cluster) END AS name, round(s, 6) AS score FROM nd""")
@@ -332,24 +362,47 @@ c0 AS (SELECT split_part(g, '|', 1) AS meeting, 'speaker_' || split_part(g, '|',
 cs AS (SELECT * FROM c0 WHERE meeting NOT IN (SELECT a.meeting FROM c0 a JOIN c0 b ON a.meeting = b.meeting AND a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.92))"""
 
 
-@query("identify_by_centroids", with_ctes("voice", "gal", recursive=True) + "," + ROBUST + "," + ASSIGN + " SELECT meeting, id AS speaker_id, name, round(s, 6) AS score FROM one WHERE s >= 0.2")
+BY_CENTROIDS = with_ctes("voice", "gal", recursive=True) + "," + ROBUST + "," + ASSIGN + " SELECT meeting, id AS speaker_id, name, round(s, 6) AS score FROM one WHERE s >= 0.2"
+# Clusters of windows, mapped to speakers by votes and to names one-to-one.
+BY_CLUSTERS = with_ctes("voice", "gal", recursive=True) + "," + LINKED_MANY + "," + VOTED.format(least=5) + """,
+cw AS (SELECT meeting, cluster, d, avg(x) AS x FROM (SELECT meeting, cluster, unnest(""" + UNIT.format("embedding") + """) AS x, generate_subscripts(embedding, 1) AS d FROM voice JOIN mem0 USING (meeting, w_idx)) GROUP BY ALL),
+cs AS (SELECT meeting, CAST(cluster AS VARCHAR) AS id, list(x ORDER BY d) AS e FROM cw JOIN (SELECT meeting, cluster FROM fd) USING (meeting, cluster) GROUP BY meeting, cluster),""" + ASSIGN + """,
+nd AS (SELECT meeting, CAST(id AS BIGINT) AS cluster, name, s, s >= 0.2 AS named FROM one),
+nn AS (SELECT meeting, cluster, CASE WHEN named THEN name ELSE 'Speaker ' || row_number() OVER (PARTITION BY meeting, named ORDER BY cluster) END AS name, s FROM nd)
+SELECT meeting, speaker_id, name, round(s, 6) AS score FROM mp JOIN nn USING (meeting, cluster)"""
+
+
+@query("identify_by_centroids", BY_CENTROIDS)
 def _(spark, sf):
     return G.identify_by_centroids(by_voice(probe_vec(spark, sf)), P.gallery(spark, sf), DIMS, 0.2).withColumn("score", F.round("score", 6))
 
 
-@query("identify_by_clusters")
+@query("identify_by_clusters", BY_CLUSTERS)
 def _(spark, sf):
     v = by_voice(probe_vec(spark, sf))
     return G.identify_by_clusters(v, v, P.gallery(spark, sf), DIMS, 0.2).withColumn("score", F.round("score", 6))
 
 
-@query("identify_with_fallback")
+@query("identify_with_fallback", "WITH bc AS (" + BY_CLUSTERS + "), ct AS (" + BY_CENTROIDS + """),
+fa AS (SELECT *, 'clusters' AS source FROM bc UNION ALL SELECT *, 'centroids' FROM ct WHERE meeting NOT IN (SELECT meeting FROM bc)),
+sp AS (SELECT DISTINCT CAST(vec_id // 25 AS VARCHAR) AS meeting, 'speaker_' || label AS speaker_id FROM embeddings)
+SELECT meeting, speaker_id, coalesce(name, 'Speaker') AS name, coalesce(score, 0) AS score, coalesce(source, 'none') AS source FROM sp LEFT JOIN fa USING (meeting, speaker_id)""")
 def _(spark, sf):
     v, g = by_voice(probe_vec(spark, sf)), P.gallery(spark, sf)
     return G.identify_with_fallback(v, G.identify_by_clusters(v, v, g, DIMS, 0.2), G.identify_by_centroids(v, g, DIMS, 0.2)).withColumn("score", F.round("score", 6))
 
 
-@query("cluster_voice_samples")
+def sample_sql(source, least):
+    """Parts of the rows of ``source`` (meeting, speaker_id, idx, start, end): medium turns first, up to 25 seconds."""
+    return f"""SELECT meeting, speaker_id, idx, round(a, 3) AS start, round(take, 3) AS take FROM (SELECT *, least(b - a, 25.0 - (sum(b - a) OVER o - (b - a))) AS take FROM (
+      SELECT *, start + least(0.2::DOUBLE, d * 0.2::DOUBLE) AS a, "end" - least(0.6::DOUBLE, d * 0.4::DOUBLE) AS b, CASE WHEN d BETWEEN 2 AND 15 THEN 0 WHEN d > 15 THEN 1 WHEN d >= {least} AND d < 2 THEN 2 END AS tier
+      FROM (SELECT *, "end" - start AS d FROM {source})) WHERE tier IS NOT NULL AND b > a
+      WINDOW o AS (PARTITION BY meeting, speaker_id ORDER BY tier, CASE WHEN tier = 0 THEN round(d, 3) ELSE -d END, CASE WHEN tier = 0 THEN round(start, 3) END, idx ROWS UNBOUNDED PRECEDING)) WHERE take > 1e-9"""
+
+
+@query("cluster_voice_samples", with_ctes("voice", recursive=True) + "," + LINKED_MANY + "," + VOTED.format(least=5) + """,
+ro AS (SELECT meeting, speaker_id, w_idx AS idx, voice.start, voice."end" FROM mp JOIN mem0 USING (meeting, cluster) JOIN (SELECT meeting, w_idx, start, "end" FROM voice) voice USING (meeting, w_idx)),
+go AS (""" + sample_sql("ro", 1.5) + "), re AS (SELECT * FROM ro WHERE (meeting, speaker_id) NOT IN (SELECT (meeting, speaker_id) FROM go)) SELECT * FROM go UNION ALL " + sample_sql("re", 0.0))
 def _(spark, sf):
     v = by_voice(probe_vec(spark, sf))
     members, _, mapping = G.analyse_voices(v, v, DIMS)

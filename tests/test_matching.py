@@ -34,6 +34,37 @@ def check_pairs(mats, out):
         assert sum(r.score for r in rs) == pytest.approx(best_total(s))
 
 
+def first_of_best(s):
+    """Of the assignments of rows to columns with the best total the first, rows in order."""
+    n, m = s.shape
+    return min(itertools.permutations(range(m), n), key=lambda p: (-sum(s[i, p[i]] for i in range(n)), p))
+
+
+def test_equal_totals_give_the_first_assignment():
+    rnd = np.random.default_rng(8)
+    for _ in range(600):
+        n = int(rnd.integers(1, 6))
+        s = rnd.integers(-1, 3, size=(n, n + int(rnd.integers(0, 3)))).astype(float)
+        assert tuple(G._best_pairs(s)) == first_of_best(s)
+    assert G._best_pairs(np.zeros((200, 210))).tolist() == list(range(200))
+
+
+def test_votes_leave_rows_alone(spark):
+    """Sparse scores: unlisted pairs are worth nothing, and of equal totals the first is taken."""
+    rnd = random.Random(6)
+    data = [(f"m{g}", f"r{i}", j, float(rnd.randint(1, 3))) for g in range(40) for i in range(4) for j in range(rnd.choice([2, 4])) if rnd.random() < 0.5]
+    got = {}
+    for r in G.assign_one_to_one(spark.createDataFrame(data, "meeting string, row string, col long, score double"), ["meeting"], "row", "col", sparse=True).collect():
+        got.setdefault(r.meeting, {})[r.row] = r.col
+    for g in {d[0] for d in data}:
+        own = {(r, c): s for m, r, c, s in data if m == g}
+        rows = sorted({r for r, _ in own})
+        ways = [w for w in itertools.product([0, 1, 2, 3, 9], repeat=len(rows)) if all(c == 9 or (r, c) in own for r, c in zip(rows, w))
+                and len({c for c in w if c != 9}) == sum(c != 9 for c in w)]
+        best = min(ways, key=lambda w: (-sum(own.get(p, 0) for p in zip(rows, w)), w))
+        assert got.get(g, {}) == {r: c for r, c in zip(rows, best) if c != 9}
+
+
 def test_assignment(spark):
     mats, df = score_table(spark)
     check_pairs(mats, G.assign_one_to_one(df, ["meeting"], "row", "col").collect())

@@ -84,3 +84,19 @@ def test_next_match_and_overlaps(spark):
     db = spark.createDataFrame(b, "m string, j long, r_start double, r_end double")
     pairs = [(x.i, x.j) for x in ordered.overlapping(da, db, ["m"], bucket=4.0).collect()]
     assert sorted(pairs) == sorted((x[1], y[1]) for x in a for y in b if max(x[2], y[2]) < min(x[3], y[3]))
+
+
+def test_equal_values_are_spread(spark):
+    """Numbers by (value, tie) where almost all rows share a key and a value; no range holds much more than its share."""
+    data = [("hot", 1.0 if i % 50 else float(i), i) for i in range(20_000)] + [(f"k{i % 30}", float(i % 3), i) for i in range(600)] + [(None, 2.0, 1), (None, 1.0, 2)]
+    df = spark.createDataFrame(data, "k string, v double, i long").repartition(5)
+    out = ordered.place_rows(df, ["k"], "v", ties=("i",), name="n", start=1)
+    want = {}
+    for k, v, i in sorted(data, key=lambda r: (r[0] or "", r[1], r[2])):
+        want[k, i] = want.get(("last", k), 0) + 1
+        want["last", k] = want[k, i]
+    got = out.collect()
+    assert len(got) == len(data) and all(r.n == want[r.k, r.i] for r in got)
+    ranges = df.repartitionByRange(4, "k", "v", "i").groupBy(F.spark_partition_id()).count().collect()
+    assert len(ranges) == 4 and max(r["count"] for r in ranges) < 0.5 * len(data)
+    assert ordered.place_rows(df.limit(0), ["k"], "v", ties=("i",)).count() == 0

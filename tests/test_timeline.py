@@ -1,7 +1,10 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from parley import ordered
 from parley.operators import timeline as L
 
 SEG = "meeting string, chunk int, idx long, start double, end double, text string"
@@ -135,3 +138,26 @@ def test_words_round_trip(spark):
     df = segs(spark, [(0, 2, "a b c"), (2.5, 3, "d"), (9, 10, "e f")]).withColumn("speaker", F.lit("Speaker 1"))
     out = sorted(L.words_to_segments(L.segments_to_words(df)).collect(), key=lambda r: r.idx)
     assert [(r.text, r.start, r.end) for r in out] == [("a b c d", 0.0, 3.0), ("e f", 9.0, 10.0)]
+
+
+@pytest.mark.parametrize("slice_rows", [7, 50_000])
+def test_turn_ends_across_slices(spark, monkeypatch, slice_rows):
+    """Most starts of a chunk are equal, others go back a little; slices cut it anywhere."""
+    monkeypatch.setattr(ordered, "SLICE_ROWS", slice_rows)
+    rnd = random.Random(4)
+    data, at = [], 0.0
+    for meeting, chunk, n in (("a", 0, 300), ("a", 1, 5), ("b", 0, 120)):
+        at = 0.0
+        for i in range(n):
+            at = at if rnd.random() < 0.6 else max(0.0, at + rnd.choice([0.5, 1.25, -0.1, 0.04]))
+            data.append((meeting, chunk, i, round(at, 2), "model"))
+    df = spark.createDataFrame(data, "meeting string, chunk int, idx int, start double, timestamp_source string")
+    durations = spark.createDataFrame([("a", 0, 500.0), ("a", 1, 50.0), ("b", 0, 500.0)], "meeting string, chunk int, duration double")
+    got = {(r.meeting, r.chunk, r.idx): r.end for r in L.complete_starts(df, durations).collect()}
+    usable = {(r.meeting, r.chunk) for r in L.timeline_verdicts(df, durations).where("usable").collect()}
+    assert ("a", 0) in usable and {k[:2] for k in got} == usable
+    limit = {("a", 0): 500.0, ("a", 1): 50.0, ("b", 0): 500.0}
+    for m, c, i, s, _ in data:
+        if (m, c) in usable:
+            later = [x[3] for x in data if x[:2] == (m, c) and x[2] > i and x[3] > s + 0.05]
+            assert got[m, c, i] == pytest.approx(round(later[0] if later else limit[m, c], 2))
