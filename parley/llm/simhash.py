@@ -14,6 +14,7 @@ differ. Every candidate is verified on the shingles themselves.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, remove_folder, shared_folder
 from .components import components
 from .golay import nearby
 from .registry import query, table
@@ -119,11 +120,12 @@ def fingerprint_components(docs: DataFrame, words: int = 3) -> DataFrame:
 # --- documents that are alike by their shingles ----------------------------------------------------------------------
 
 BANDS, BAND = 16, 4  # a pair with 0.8 of its shingles in common shares a key with probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998
-APART = 20           # of the 64 low bits of the minima; a pair at 0.8 differs in 6.4, in more than 20 once in a million
+APART = 28           # of the low four bits of the 64 minima; a pair at 0.8 differs in 12 of them, in more than 28 once in a million, one at 0.4 in 36
 FEW = 8              # members of a key that are compared with each other at once
 CELL = 256           # members of a full key that are compared in one task
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCH = "node long, size int, bits long, keys array<long>"
+BITS = ("b0", "b1", "b2", "b3")
+SKETCH = "node long, size int, b0 long, b1 long, b2 long, b3 long, keys array<long>"
 _TURNS = mix(np.arange(BANDS * BAND, dtype=np.uint64), 4) | np.uint64(1)
 
 
@@ -150,19 +152,28 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(own), 4096):
                 np.minimum(least[r], (own[at:at + 4096] * _TURNS[:, None]).min(axis=1), out=least[r])
         least = mix(least, 5)
-        bits = np.packbits((least & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel()
+        low = (least & np.uint64(15)).astype(np.uint8)
+        bits = (low[:, ::2] | low[:, 1::2] << 4).view(np.int64)  # 16 minima in each of four numbers
         keys = np.tile(np.arange(BANDS, dtype=np.uint64), (b.num_rows, 1))
         for k in range(BAND):
             keys = mix(keys + least[:, k::BAND], 6)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(size), pa.array(bits),
-             pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))], names=["node", "size", "bits", "keys"])
+            [b.column(0), pa.array(size), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(BITS))),
+             pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))], names=["node", "size", *BITS, "keys"])
 
 
 def _close() -> Column:
     """Whether a pair, the second one's columns ending in ``_y``, can be alike by its sizes and is near enough by its bits."""
     sizes = F.least("size", "size_y") >= SIMILARITY * F.greatest("size", "size_y")
-    return sizes & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_y"))) <= APART)
+    return sizes & (sum((_unlike(F.col(c), F.col(f"{c}_y")) for c in BITS), F.lit(0)) <= APART)
+
+
+def _unlike(x: Column, y: Column) -> Column:
+    """In how many of their sixteen groups of four bits two numbers differ."""
+    d = x.bitwiseXOR(y)
+    for k in (1, 2):
+        d = d.bitwiseOR(F.shiftrightunsigned(d, k))
+    return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,13 +196,22 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) of nodes that are alike; only texts that stand in a pair are read again."""
-    pairs = cut_lineage(pairs)
+    """The pairs (``a``, ``b``) of nodes that are alike; only texts that stand in a pair are read again.
+
+    Pairs and shingles are written to the shared folder and deleted in the end.
+    """
+    spark = pairs.sparkSession
+    folder = f"{shared_folder(spark)}/near-{uuid.uuid4().hex}"
+    pairs.write.parquet(f"{folder}/pairs")
+    pairs = spark.read.parquet(f"{folder}/pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = cut_lineage(texts.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-                       .mapInArrow(_shingle_sets, "node long, shingles binary"))
+    (texts.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+     .mapInArrow(_shingle_sets, "node long, shingles binary").write.parquet(f"{folder}/sets"))
+    sets = spark.read.parquet(f"{folder}/sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"))
+    found = cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"))
+    remove_folder(spark, folder)
+    return found
 
 
 def _pairs(x: DataFrame, y: DataFrame, on: list[str], extra: Column) -> DataFrame:
