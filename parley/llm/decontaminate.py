@@ -168,9 +168,14 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text overlaps an item."""
-    bad = find_overlaps(docs, items).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("d")) & (F.xxhash64(docs["text"]) == F.col("k")), "left_anti")
+    """``docs`` without the rows whose text overlaps an item.
+
+    Null and empty texts overlap nothing and stay, as do all rows where there are no items; of repeated rows all go or all stay. Columns may have any name.
+    """
+    bad = find_overlaps(docs, items).select("doc_id", "text_key").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("text_key"))
+    return rows.join(bad, same, "left_anti").select("row.*")
 
 
 @query("op9_spaced_seeds")

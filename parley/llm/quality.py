@@ -271,20 +271,26 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     good = scored.where("perplexity is not null").join(trusted, "doc_id", "left_semi")
     per = cut_lineage(good.groupBy("lang").agg(F.count_if(_fold() == 0).alias("held"), F.count_distinct(_fold()).alias("folds")).where("folds > 1"))
     few = per.where(F.col("held") < LEAST_HELD).select("lang")
-    unseen = good.where(_fold() == 0).join(per.where(F.col("held") >= LEAST_HELD), "lang", "left_semi").select("lang", "perplexity")
+    enough = per.where(F.col("held") >= LEAST_HELD).select(F.col("lang").alias("own"))  # one row a language, as below
+    unseen = good.where(_fold() == 0).join(F.broadcast(enough), F.col("lang") == F.col("own"), "left_semi").select("lang", "perplexity")
     if not few.isEmpty():
         unseen = unseen.union(_in_turn(docs, trusted, few))
     limits = unseen.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("upper_limit"))
-    return (scored.join(limits, "lang", "left")
+    return (scored.join(F.broadcast(limits), "lang", "left")
             .withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("upper_limit"), F.lit(True)))
             .select("doc_id", "text_key", "lang", "perplexity", "upper_limit", "keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rejected rows."""
-    bad = judge(docs, labels).where("not keep").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("lang").alias("l")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("d")) & (F.xxhash64(docs["text"]) == F.col("k")) & (F.coalesce(docs["lang"], F.lit("")) == F.col("l"))
-    return docs.join(bad, same, "left_anti")
+    """``docs`` without the rejected rows; what ``judge`` has no limit or perplexity for stays.
+
+    Of repeated rows all go or all stay; no rows give none. Columns may have any name.
+    """
+    bad = judge(docs, labels).where("not keep").select("doc_id", "text_key", "lang").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = (F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("text_key"))
+            & (F.coalesce("row.lang", F.lit("")) == F.col("lang")))
+    return rows.join(bad, same, "left_anti").select("row.*")
 
 
 @query("op1_kneser_ney")

@@ -8,7 +8,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def documents(spark, texts, lang="en", clash=True):
     rows = [(i, t, lang, "s", None if t is None else len(t)) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, SCHEMA)
-    for c in ("row", "key", "n", "node", "block", "piece", "length", "gram", "same", "lines", "label") if clash else ():
+    for c in ("row", "key", "n", "node", "block", "piece", "length", "gram", "same", "lines", "label", "d", "k", "l", "s", "text_key", "id") if clash else ():
         df = df.withColumn(c, F.lit("clash"))
     return df
 
