@@ -83,7 +83,7 @@ def parse_expression(text: str, at: int = 0) -> tuple[Expression | None, int]:
     out: list[str] = []
     ops: list[str] = []
     need, end = True, at
-    closed: tuple[list[str], list[str], int] | None = None  # the longest complete expression so far
+    closed: tuple[int, list[str], int] | None = None  # the longest complete expression so far: its part of ``out``, operators left, end
     while m := PIECE.match(text, at):
         x = m[1].lower()
         if x == "(":
@@ -110,10 +110,10 @@ def parse_expression(text: str, at: int = 0) -> tuple[Expression | None, int]:
             need = False
         at = end = m.end()
         if not need and "(" not in ops:
-            closed = (out[:], ops[::-1], end)
+            closed = (len(out), ops[::-1], end)
     if closed is None:
         return None, end
-    return _evaluate(closed[0] + closed[1]), closed[2]
+    return _evaluate(out[:closed[0]] + closed[1]), closed[2]
 
 
 def build_automaton(notices: dict[str, tuple[str, float]] = NOTICES) -> ahocorasick.Automaton:
@@ -136,6 +136,7 @@ def scan(text: str | None, automaton: ahocorasick.Automaton) -> dict:
     norm = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
     first = last = None
     n_base, base, labels, miss, tagged = 0, set(), set(), 1.0, False
+    counted, place = 0, 0  # blanks before this position
     for end, (length, what) in automaton.iter(norm):
         for kind, label, weight in what:
             if kind == "tag":
@@ -144,7 +145,9 @@ def scan(text: str | None, automaton: ahocorasick.Automaton) -> dict:
             miss *= 1 - weight
             labels.add(label)
             if kind == "base":
-                place = norm.count(" ", 0, end - length - 1)  # blanks before the one that leads the match
+                at = end - length - 1  # the blank that leads the match; a match can begin before the last one
+                place += norm.count(" ", counted, at) if at >= counted else -norm.count(" ", at, counted)
+                counted = at
                 n_base += 1
                 base.add(label)
                 first = place if first is None else min(first, place)

@@ -56,3 +56,16 @@ def test_query_on_odd_rows(spark, tmp_path):
     got = rows(licences.licence_scan(spark, str(tmp_path)))
     assert len(got) == df.count() and [r["labels"] for r in got if r["n_base"]] == ["mit"]
     assert rows(licences.find_licences(df.limit(0))) == []
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        text, automaton = "mit license " * n, licences.build_automaton()
+        begin = time.process_time()
+        found = licences.scan(text, automaton)
+        assert (found["n_base"], found["first_word"], found["last_word"]) == (n, 0, 2 * n - 2)
+        return time.process_time() - begin
+
+    assert seconds(160_000) < 30 * max(seconds(20_000), 0.02)
