@@ -3,12 +3,17 @@
 A seed is a fixed mask over consecutive words: the words under its ones are hashed, those under its zeros are ignored,
 so a replaced word spoils only the seeds that look at it. Hashes of the benchmark and of the documents are joined; around
 each hit document and item are laid side by side and the best aligned window is measured, replaced words allowed.
+
+What has to be equal is a window of ``need`` words: ``WINDOW``, or all words of a shorter item. Windows of ``WINDOW`` words and more have
+the four long masks at every place. Shorter ones have a family of masks that no allowed set of replaced words spoils as a whole: with at
+most r replaced words and the window cut into more than r blocks, some masks of the other blocks stay untouched.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +24,22 @@ from ..session import cut_lineage
 from .registry import query, table
 from .wordhash import mix, slices, word_hashes
 
-MASKS = ("111111", "11011011", "1100110011", "10101101011")
+
+
+def _family(sizes: tuple[int, ...], kept: int) -> tuple[str, ...]:
+    """A mask for each choice of ``kept`` blocks of the given sizes: untouched ones remain if ``len(sizes) - kept`` words are replaced."""
+    return tuple("".join(("1" if k in chosen else "0") * n for k, n in enumerate(sizes)) for chosen in combinations(range(len(sizes)), kept))
+
+
+LONG = ("111111", "11011011", "1100110011", "10101101011")
+EXACT = ("1", "11", "111")          # windows of 1, 2 and 3 words, none replaced
+ONE = _family((1, 1, 1, 1), 3)      # 4 to 7 words, one replaced
+TWO = _family((2, 2, 2, 2), 2)      # 8 to 11 words, two replaced; and 16 to 23 words, one half of which has at most two
+THREE = _family((3, 3, 2, 2, 2), 2)  # 12 to 15 words, three replaced
+MASKS = LONG + EXACT + ONE + TWO + THREE
 WINDOW = 24      # words that must lie side by side; an item with fewer counts as a whole
 SHARE = 0.75     # of them equal
+STRETCH = 2048   # words of a document between the hits of one place
 MARGIN = 40      # words kept around hits, beyond a window on either side
 LEAST_BITS, MOST_BITS = 16, 26
 
@@ -43,15 +61,31 @@ def _seeds(words: np.ndarray, bounds: np.ndarray, mask_no: int) -> tuple[np.ndar
     return mix(h[at], mask_no), at
 
 
-def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wanted(mask: str, need: np.ndarray, at: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether a mask is laid at word ``at`` of an item whose windows have ``need`` words and begin at words 0 to ``last``."""
+    if mask in LONG:
+        return need >= WINDOW
+    if mask in EXACT:
+        return (need == len(mask)) & (at <= last)
+    if mask in TWO:
+        second = at - need // 2
+        halves = (need >= 16) & (need < WINDOW) & ((at <= last) | (second >= 0) & (second <= last))
+        return (need >= 8) & (need < 12) & (at <= last) | halves
+    low = 4 if mask in ONE else 12
+    return (need >= low) & (need < low + 4) & (at <= last)
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column(1).to_pylist()
-        words, bounds = word_hashes(texts)
-        for m in range(len(MASKS)):
+        words, bounds = word_hashes(b.column(1).to_pylist())
+        for m, mask in enumerate(MASKS):
             h, at = _seeds(words, bounds, m)
             row = np.searchsorted(bounds, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(row)), pa.array((at - bounds[row]).astype(np.int32))],
-                                             names=["seed", "item_no", "item_at"])
+            own, size = at - bounds[row], np.diff(bounds)[row]
+            need = np.minimum(size, window)
+            keep = np.flatnonzero(_wanted(mask, need, own, size - need))
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(np.full(len(keep), m, dtype=np.int32)), b.column(0).take(pa.array(row[keep])),
+                                              pa.array(own[keep].astype(np.int32))], names=["seed", "mask", "item_no", "item_at"])
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,12 +95,11 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut, pa.binary())], names=["item_no", "item_words"])
 
 
-def _filter_bits(seeds: DataFrame) -> tuple[np.ndarray, int]:
+def _filter_bits(seeds: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """Two bits for each seed, by its high and by its low bits: at most 2**MOST_BITS bits, gathered as 64-bit words, whatever the benchmark's size.
 
     About one in a thousand other hashes passes as long as the table isn't at its bound.
     """
-    n = seeds.count()
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(64 * n + 1))))
     place = F.explode(F.array(F.shiftrightunsigned("seed", 64 - bits), F.col("seed").bitwiseAND(F.lit((1 << bits) - 1)))).alias("place")
     rows = (seeds.select(place).select(F.shiftright("place", 6).alias("w"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("b"))
@@ -82,16 +115,18 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 
     A pair counts if ``window`` words of the document lie beside ``window`` words of the item (all of a shorter item)
     and at least ``share`` of them are equal, words being as in a case-insensitive text without ASCII punctuation.
-    Items of fewer words than the shortest mask have no seed and are never found. Null and empty texts overlap
-    nothing. Repeated rows give one result; ties go to the first place; other columns are ignored; no documents or
-    no items give no rows.
+    With a ``share`` of 0.75 or more every such pair is found whose window has fewer than ``WINDOW`` words, from items of one word on;
+    of longer windows those are missed (about one in a hundred at the edge) whose replaced words spoil every seed. Null and empty texts
+    and items without words overlap nothing. Repeated rows give one result, items of equal text one each; ties go to the first place;
+    other columns are ignored; no documents or no items give no rows.
     """
     spark = docs.sparkSession
-    numbered = cut_lineage(items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
-                           .select(F.monotonically_increasing_id().alias("item_no"), "item_id", "text"))
+    numbered = cut_lineage(items.select(F.coalesce("text", F.lit("")).alias("text")).distinct().select(F.monotonically_increasing_id().alias("item_no"), "text"))
     plain = numbered.select("item_no", "text")
-    seeds = cut_lineage(plain.mapInArrow(_item_seeds, "seed long, item_no long, item_at int"))
-    table_bits, bits = _filter_bits(seeds)
+    seeds = cut_lineage(plain.mapInArrow(lambda batches: _item_seeds(batches, window), "seed long, mask int, item_no long, item_at int"))
+    by_mask = {r["mask"]: r["n"] for r in seeds.groupBy("mask").agg(F.count("*").alias("n")).collect()}  # at most one row a mask
+    seeds, masks = seeds.drop("mask"), sorted(by_mask)
+    table_bits, bits = _filter_bits(seeds, sum(by_mask.values()))
     shared = spark.sparkContext.broadcast(table_bits)  # at most 2**MOST_BITS bytes
     shift, low = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
 
@@ -103,19 +138,19 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
             for i, j in slices(texts):
                 words, bounds = word_hashes(texts[i:j])
                 places, found = [], []
-                for m in range(len(MASKS)):
+                for m in masks:
                     h, at = _seeds(words, bounds, m)
                     ok = np.flatnonzero(known[h >> shift])
                     ok = ok[known[h[ok] & low] != 0]
                     places.append(at[ok])
                     found.append(h[ok])
-                place, seed = np.concatenate(places), np.concatenate(found)
-                if not len(place):
+                if not any(map(len, places)):
                     continue
+                place, seed = np.concatenate(places), np.concatenate(found)
                 order = np.argsort(place, kind="stable")
                 place, seed = place[order], seed[order]
                 row = np.searchsorted(bounds, place, "right") - 1
-                cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(place) > MARGIN)) + 1
+                cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(place) > MARGIN) | (np.diff(place // STRETCH) != 0)) + 1
                 out = []
                 for group in np.split(np.arange(len(place)), cut):
                     r, lo = row[group[0]], max(bounds[row[group[0]]], place[group[0]] - window - MARGIN)
@@ -134,36 +169,40 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     kind = two.schema["doc_id"].dataType.simpleString()
     places = cut_lineage(two.mapInArrow(hits, f"place long, doc_id {kind}, text_key long, first int, words binary, ats array<int>, seeds array<long>"))
     looked = places.select("place", F.explode(F.arrays_zip("ats", "seeds")).alias("x")).select("place", "x.ats", F.col("x.seeds").alias("seed"))
-    lines = (looked.join(seeds, "seed").groupBy("place", "item_no", (F.col("ats") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("n")))
+    # a place's words are joined once for each item, not for each shift
+    lines = (looked.join(seeds, "seed").groupBy("place", "item_no").agg(F.array_sort(F.collect_set(F.col("ats") - F.col("item_at"))).alias("shifts")))
     beside = (lines.join(places.select("place", "doc_id", "text_key", "first", "words"), "place")
               .join(plain.mapInArrow(_item_words, "item_no long, item_words binary"), "item_no"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = b.to_pydict()
             rows = []
             for k in range(b.num_rows):
-                mine, theirs = np.frombuffer(d["words"][k], np.uint32), np.frombuffer(d["item_words"][k], np.uint32)
-                shift = d["shift"][k]
-                lo, hi = max(0, -shift), min(len(theirs), len(mine) - shift)
-                need = min(window, len(theirs))
-                if hi - lo < need:
-                    continue
-                same = np.concatenate([[0], np.cumsum(mine[lo + shift:hi + shift] == theirs[lo:hi])])
-                inside = same[need:] - same[:-need]
-                best = int(inside.argmax())
-                if inside[best] >= share * need:
-                    rows.append((k, d["first"][k] + lo + shift + best, need, int(inside[best])))
+                mine, theirs = (np.frombuffer(b.column(c)[k].as_buffer(), np.uint32) for c in ("words", "item_words"))
+                first, need = b.column("first")[k].as_py(), min(window, len(theirs))
+                best = None
+                for shift in b.column("shifts")[k].values.to_numpy():
+                    lo, hi = max(0, -shift), min(len(theirs), len(mine) - shift)
+                    if hi - lo < need:
+                        continue
+                    same = np.concatenate([[0], np.cumsum(mine[lo + shift:hi + shift] == theirs[lo:hi])])
+                    inside = same[need:] - same[:-need]
+                    at = int(inside.argmax())
+                    found = (int(inside[at]), -int(first + lo + shift + at))
+                    best = found if best is None else max(best, found)
+                if best and best[0] >= share * need:
+                    rows.append((k, -best[1], need, best[0]))
             c = list(zip(*rows)) or [()] * 4
             take = pa.array(c[0], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("text_key").take(take), b.column("item_no").take(take),
                                               *(pa.array(x, pa.int64()) for x in c[1:])],
                                              names=["doc_id", "text_key", "item_no", "first_word", "n_words", "n_equal"])
 
-    good = beside.select("doc_id", "text_key", "first", "words", "item_no", "item_words", "shift").mapInArrow(
+    good = beside.select("doc_id", "text_key", "first", "words", "item_no", "item_words", "shifts").mapInArrow(
         verify, f"doc_id {kind}, text_key long, item_no long, first_word long, n_words long, n_equal long")
     best = good.groupBy("doc_id", "text_key", "item_no").agg(F.max(F.struct("n_equal", (-F.col("first_word")).alias("back"), "n_words")).alias("b"))
-    return (best.join(numbered.select("item_no", "item_id"), "item_no")
+    ids = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().join(numbered, "text").select("item_no", "item_id")
+    return (best.join(ids, "item_no")
             .select("doc_id", "text_key", "item_id", (-F.col("b.back")).alias("first_word"), F.col("b.n_words").alias("n_words"), F.col("b.n_equal").alias("n_equal")))
 
 
