@@ -138,7 +138,7 @@ def _shingles(texts: list[str | None]) -> Iterator[np.ndarray]:
             n = len(w) - SHINGLE + 1
             h = np.zeros(max(n, min(len(w), 1)), dtype=np.uint64)
             for k in range(SHINGLE if n > 0 else len(w)):
-                h += (w[k:k + n] if n > 0 else w[k]) * np.uint64(2 * k * 0x51ED270B + 1)
+                h += (w[k:k + n] if n > 0 else w[k:k + 1]) * np.uint64(2 * k * 0x51ED270B + 1)
             yield np.unique(mix(h, 3))
 
 
