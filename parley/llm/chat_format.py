@@ -19,47 +19,82 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
 
 
+class JsonRecord:
+    """Reads a record that is a JSON text."""
+
+    def __init__(self, record: Column):
+        self.record = record
+
+    def text(self, path: str) -> Column:
+        return F.get_json_object(self.record, path)
+
+    def items(self, path: str, role: str, text: str) -> Column:
+        return F.from_json(F.get_json_object(self.record, path), f"array<struct<`{role}`:string,`{text}`:string>>")
+
+
+class TypedRecord:
+    """Reads a record that is a struct; what it doesn't have as a field is null in every row."""
+
+    def __init__(self, record: Column, kind: StructType):
+        self.record, self.paths = record, typed_paths(kind)
+
+    def has(self, path: str) -> Column:
+        """If the row has the path. A field of a list's first element is there if the element is, null or not."""
+        if path not in self.paths:
+            return F.lit(False)
+        name, _, below = path.removeprefix("$.").partition("[0]")
+        value = self.record.getField(name)
+        return (F.get(value, F.lit(0)) if below else value).isNotNull()
+
+    def text(self, path: str) -> Column:
+        return self.record.getField(path.removeprefix("$."))
+
+    def items(self, path: str, role: str, text: str) -> Column:
+        return self.record.getField(path.removeprefix("$."))
+
+
+Reader = JsonRecord | TypedRecord
+
+
 @dataclass(frozen=True)
 class Layout:
     """The paths that a record of this layout has, and its turns as an array of (role, text)."""
     name: str
     paths: tuple[str, ...]
-    turns: Callable[[Column], Column]
+    turns: Callable[[Reader], Column]
 
 
 #: other names of the canonical roles
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def _get(record: Column, path: str) -> Column:
-    return F.coalesce(F.get_json_object(record, path), F.lit(""))
+def _get(record: Reader, path: str) -> Column:
+    return F.coalesce(record.text(path), F.lit(""))
 
 
 def _turn(role: str, text: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), text.alias("text"))
 
 
-def _listed(path: str, role: str, text: str, rename: bool = False) -> Callable[[Column], Column]:
+def _listed(path: str, role: str, text: str, rename: bool = False) -> Callable[[Reader], Column]:
     """Turns that are a list of objects under one field."""
-    def build(record: Column) -> Column:
-        items = F.from_json(F.get_json_object(record, path), f"array<struct<`{role}`:string,`{text}`:string>>")
-
+    def build(record: Reader) -> Column:
         def one(x: Column) -> Column:
             r = F.coalesce(x[role], F.lit(""))
             for old, new in ROLES.items() if rename else ():
                 r = F.when(x[role] == old, new).otherwise(r)
             return F.struct(r.alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
 
-        return F.transform(items, one)
+        return F.transform(record.items(path, role, text), one)
     return build
 
 
-def _fields(*pairs: tuple[str, str]) -> Callable[[Column], Column]:
+def _fields(*pairs: tuple[str, str]) -> Callable[[Reader], Column]:
     return lambda record: F.array(*(_turn(role, _get(record, path)) for role, path in pairs))
 
 
-def _with_input(system: bool) -> Callable[[Column], Column]:
-    def build(record: Column) -> Column:
+def _with_input(system: bool) -> Callable[[Reader], Column]:
+    def build(record: Reader) -> Column:
         extra = _get(record, "$.input")
         ask = F.when(extra == "", _get(record, "$.instruction")).otherwise(F.concat(_get(record, "$.instruction"), F.lit("\n\n"), extra))
         first = [_turn("system", _get(record, "$.system"))] if system else []
@@ -111,11 +146,14 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -
     texts. Repeated rows stay repeated; other columns are ignored.
     """
     r = F.col("record")
-    base = records.select("conv_id", "record", fingerprint(r, layouts).alias("print"))
+    return _by_print(records.select("conv_id", "record", fingerprint(r, layouts).alias("print")), JsonRecord(r), layouts)
+
+
+def _by_print(base: DataFrame, record: Reader, layouts: tuple[Layout, ...]) -> DataFrame:
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for x in layouts:
         this = F.col("print") == F.xxhash64(F.lit("|".join(sorted(x.paths))))
-        layout, turns = F.when(this, x.name).otherwise(layout), F.when(this, x.turns(r)).otherwise(turns)
+        layout, turns = F.when(this, x.name).otherwise(layout), F.when(this, x.turns(record)).otherwise(turns)
     return base.select("conv_id", layout.alias("layout"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
 
 
@@ -179,16 +217,41 @@ def records_of(rows: DataFrame) -> DataFrame:
 
 
 def typed_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """``conv_id``, ``layout`` and ``turns`` for records ``conv_id``, ``messages`` (role, content), of any length: no text is built and parsed.
+    """As ``canonical_turns`` for records ``conv_id``, ``record``, the latter a struct, with texts of any length: no text is built and parsed.
+
+    Each row is hashed on its own, over the known paths that it has: a field that is null counts as not there. A null
+    record has a null layout and no turns.
+    """
+    kind = records.schema["record"].dataType
+    record = TypedRecord(F.col("record"), kind)
+    known = sorted({p for x in layouts for p in x.paths})
+    have = F.concat_ws("|", *(F.when(record.has(p), F.lit(p)) for p in known if p in record.paths))
+    printed = records.select("conv_id", "record", F.when(F.col("record").isNotNull(), F.xxhash64(have)).alias("print"))
+    return _by_print(printed, record, tuple(x for x in layouts if set(x.paths) <= record.paths))
+
+
+def unlike_records(rows: DataFrame) -> DataFrame:
+    """``conv_id`` and ``record``, a struct, for each ``conv_id`` of a table of turns: collections of chats come in unlike layouts, so these do.
 
-    The fingerprint is the one of the same record as JSON, of the field paths that its type has.
+    By the remainder of the id: 1 and 2 are lists of from and value or of role and text, unless a role is one that
+    those layouts rename; 3 is a prompt and response, with a system text or without, if those are its turns. All others, null ids
+    too, are lists of messages. Every record has the turns it was made from.
     """
-    known = {p for x in layouts for p in x.paths}
-    have = typed_paths(records.select("messages").schema) & known
-    name = next((x.name for x in layouts if set(x.paths) == have), None)
-    turns = F.transform("messages", lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["content"], F.lit("")).alias("text")))
-    return records.select("conv_id", F.lit(name).cast("string").alias("layout"),
-                          (turns if name == "messages" else F.array().cast(TURNS)).alias("turns"))
+    said = messages_of(rows)
+    roles, texts = F.transform("messages", lambda t: t["role"]), F.transform("messages", lambda t: t["content"])
+    rest = F.pmod(F.col("conv_id"), F.lit(4))
+    plain = ~F.arrays_overlap(roles, F.array(*map(F.lit, ROLES)))
+    two, three = (F.coalesce((rest == 3) & (roles == F.array(*map(F.lit, x))), F.lit(False)) for x in (("user", "assistant"), ("system", "user", "assistant")))
+    kind = (F.when((rest == 1) & plain, "from").when((rest == 2) & plain, "turns").when(two, "two").when(three, "three").otherwise("messages"))
+    at = lambda i: F.get("texts", F.lit(i))
+    pairs = lambda role, text: F.transform("messages", lambda t: F.struct(t["role"].alias(role), t["content"].alias(text)))
+    return said.select("conv_id", "messages", texts.alias("texts"), kind.alias("kind")).select("conv_id", F.struct(
+        F.when(F.col("kind") == "messages", F.col("messages")).alias("messages"),
+        F.when(F.col("kind") == "from", pairs("from", "value")).alias("conversations"),
+        F.when(F.col("kind") == "turns", pairs("role", "text")).alias("turns"),
+        F.when(F.col("kind") == "three", at(0)).alias("system"),
+        F.when(F.col("kind") == "two", at(0)).when(F.col("kind") == "three", at(1)).alias("prompt"),
+        F.when(F.col("kind") == "two", at(1)).when(F.col("kind") == "three", at(2)).alias("response")).alias("record"))
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -202,13 +265,18 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
     select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
            coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
            sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-           sum(length(r) + length(t) + {len(START) + 1 + len(END)})::bigint as formatted_chars, 'messages' as layout
+           sum(length(r) + length(t) + {len(START) + 1 + len(END)})::bigint as formatted_chars,
+           case when (conv_id % 4 + 4) % 4 in (1, 2) and not bool_or(role in ({", ".join(f"'{x}'" for x in ROLES)}))
+                     then case when (conv_id % 4 + 4) % 4 = 1 then 'from-value' else 'role-text' end
+                when (conv_id % 4 + 4) % 4 = 3 and string_agg(role, ',' order by turn, role, text) = 'user,assistant' and count(*) = 2 then 'prompt-response'
+                when (conv_id % 4 + 4) % 4 = 3 and string_agg(role, ',' order by turn, role, text) = 'system,user,assistant' and count(*) = 3 then 'system-prompt-response'
+                else 'messages' end as layout
     from e group by conv_id""")
 def chat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    formatted = format_turns(typed_turns(messages_of(rows.unionByName(probe))))
+    formatted = format_turns(typed_turns(unlike_records(rows.unionByName(probe))))
     back = read_back(formatted)
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),

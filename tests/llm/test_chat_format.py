@@ -76,13 +76,36 @@ def test_text_longer_than_a_json_string_can_be(spark, tmp_path):
     df = df.withColumn("text", F.coalesce("text", F.repeat(F.lit("y"), F.lit(21_000_000))))
     df.write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: r for r in rows(chat.chat_report(spark, str(tmp_path)))}
-    assert (got[1]["n_turns"], got[1]["loss_chars"], got[1]["layout"]) == (2, 21_000_000, "messages")
+    assert (got[1]["n_turns"], got[1]["loss_chars"], got[1]["layout"]) == (2, 21_000_000, "from-value")
     with pytest.raises(Exception, match="can't be read as JSON"):
         chat.canonical_turns(chat.records_of(spark.read.parquet(f"{tmp_path}/conversations.parquet"))).collect()
 
 
 def test_typed_records_have_the_turns_of_their_json(spark):
-    data = [(1, 1, "assistant", "b<|im_end|>"), (1, 0, "user", None), (2, 0, None, "\u0000\"\\\n\u20ac")]
-    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
-    order = lambda x: sorted(rows(x), key=lambda r: r["conv_id"])
-    assert order(chat.typed_turns(chat.messages_of(df))) == order(chat.canonical_turns(chat.records_of(df)))
+    data = [(1, 1, "assistant", "b<|im_end|>"), (1, 0, "user", None), (2, 0, None, "\u0000\"\\\n\u20ac"), (3, 0, "user", "a"), (3, 1, "assistant", "b"),
+            (5, 0, "bot", "renamed elsewhere"), (6, 0, "system", ""), (7, 0, "system", "s"), (7, 1, "user", None), (7, 2, "assistant", "r"), (11, 0, "user", "x"),
+            (None, 0, "user", "n"), (-1, 0, "user", "a"), (-2, 0, "x,y", "b"), (-3, 0, None, None)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("record", F.lit("clash"))
+    order = lambda x: sorted(rows(x), key=str)
+    records = chat.unlike_records(df)
+    typed = chat.typed_turns(records)
+    assert order(typed) == order(chat.canonical_turns(records.withColumn("record", F.to_json("record"))))
+    assert order(typed.drop("layout")) == order(chat.canonical_turns(chat.records_of(df)).drop("layout"))
+    layouts = {r["conv_id"]: r["layout"] for r in rows(typed)}
+    assert layouts == {1: "from-value", 2: "role-text", 3: "prompt-response", 5: "messages", 6: "role-text", 7: "system-prompt-response", 11: "messages",
+                       None: "messages", -1: "messages", -2: "role-text", -3: "from-value"}
+
+
+def test_typed_records_of_no_layout(spark):
+    df = spark.sql("""select 1 as conv_id, named_struct('prompt', 'p', 'answer', cast(null as string)) as record union all select 2, null
+                      union all select 3, named_struct('prompt', null, 'answer', null)""")
+    assert [(r["layout"], r["turns"]) for r in rows(chat.typed_turns(df))] == [(None, [])] * 3
+    empty = spark.sql("select 1 as conv_id, named_struct('messages', cast(array() as array<struct<role:string,content:string>>)) as record")
+    assert [(r["layout"], r["turns"]) for r in rows(chat.typed_turns(empty))] == [("no messages", [])]
+
+
+def test_query_picks_the_layout_by_the_hash_of_each_row(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    plan = chat.chat_report(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(" in plan and "Python" not in plan
