@@ -7,7 +7,9 @@ in one field share a template. A line goes if any of its templates recurs.
 
 Copies of a whole document share all their lines, and that is not recurrence: a template counts once for all documents
 with the same mark. The mark is the least md5 among a document's long tokens, which copies and near copies share and
-unrelated documents hardly ever do.
+unrelated documents hardly ever do. A recurring line must not bring the mark itself: each line takes the first of the
+document's ``MARKS`` least tokens whose places, from its first to its last, are not near the line, else one that is not in it. Documents that hold little
+but the line have the same mark for it and count once.
 """
 
 from __future__ import annotations
@@ -21,12 +23,32 @@ WIDE = 9
 LEADING = 3
 LONG_TOKEN = 12
 LEAST_MARKS = 5
+MARKS = 8          # least tokens of a document to choose a line's mark from
+AROUND = 4         # lines before and after a line that are near it
 
 
-def mark(text: Column) -> Column:
-    """Least md5 of the tokens of ``LONG_TOKEN`` characters and more; of the whole text where it has none."""
-    long_ones = F.regexp_extract_all(text, F.lit(f"[^ \\n]{{{LONG_TOKEN},}}"), 0)
-    return F.coalesce(F.array_min(F.transform(long_ones, F.md5)), F.md5(text))
+def least_tokens(text: Column) -> Column:
+    """The ``MARKS`` tokens of ``LONG_TOKEN`` characters and more with the least md5, as (md5, token)."""
+    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[^ \\n]{{{LONG_TOKEN},}}"), 0))
+    return F.slice(F.array_sort(F.transform(tokens, lambda t: F.struct(F.md5(t).alias("md5"), t.alias("token")))), 1, MARKS)
+
+
+def with_marks(docs: DataFrame) -> DataFrame:
+    """``text`` and ``marks``, a hash for each line of a text: of the first least token that is nowhere near, else not in the line, else the first, else the text.
+
+    Tokens are kept with their first and last line, so the work is bounded by ``MARKS`` times the text, however often a token comes.
+    """
+    lines = F.split("text", "\n")
+
+    def placed(x: Column) -> Column:
+        at = F.array_compact(F.transform(lines, lambda line, i: F.when(F.contains(line, x["token"]), i)))
+        return F.struct(x["md5"].alias("md5"), x["token"].alias("token"), F.array_min(at).alias("first"), F.array_max(at).alias("last"))
+
+    known = docs.select("text", F.md5("text").alias("whole"), F.transform(least_tokens(F.col("text")), placed).alias("least"))
+    return known.select("text", F.transform(lines, lambda line, i: F.xxhash64(F.coalesce(
+        F.get(F.filter("least", lambda x: (i < x["first"] - AROUND) | (i > x["last"] + AROUND)), F.lit(0))["md5"],
+        F.get(F.filter("least", lambda x: ~F.contains(line, x["token"])), F.lit(0))["md5"],
+        F.get("least", F.lit(0))["md5"], F.col("whole")))).alias("marks"))
 
 
 def masked(line: Column) -> Column:
@@ -56,13 +78,18 @@ def templates(line: Column, tokens: Column) -> Column:
 def _lines(docs: DataFrame, *keep: Column) -> DataFrame:
     """One row for each line of enough tokens: the kept columns, ``pos`` and ``line`` (masked), ``tokens``.
 
-    What is kept is worked out for each document, before its text becomes lines; masking never changes the token count.
+    What is kept is worked out for each document, before its text becomes lines; of ``marks`` each line keeps its own, as
+    ``mark``. Masking never changes the token count.
     """
     whole = docs.select("text", *keep)
-    names = whole.columns[1:]
+    names = [c for c in whole.columns[1:] if c != "marks"]
+    marked = "marks" in whole.columns
+    lines = F.split("text", "\n")
+    item = F.transform(lines, lambda x, i: F.struct(x.alias("raw"), F.get("marks", i).alias("mark"))) if marked else F.transform(lines, lambda x: F.struct(x.alias("raw")))
     blanks = F.length("raw") - F.length(F.replace("raw", F.lit(" "), F.lit("")))
-    split = whole.select(*names, F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("tokens", (blanks + 1).cast("int"))
-    return split.where(F.col("tokens") >= LEAST_TOKENS).select(*names, "pos", "tokens", masked(F.col("raw")).alias("line"))
+    split = whole.select(*names, F.posexplode(item).alias("pos", "item")).select(*names, "pos", "item.*").withColumn("tokens", (blanks + 1).cast("int"))
+    kept = [*names, "mark"] if marked else names
+    return split.where(F.col("tokens") >= LEAST_TOKENS).select(*kept, "pos", "tokens", masked(F.col("raw")).alias("line"))
 
 
 def recurring(docs: DataFrame, least_marks: int = LEAST_MARKS) -> DataFrame:
@@ -71,7 +98,7 @@ def recurring(docs: DataFrame, least_marks: int = LEAST_MARKS) -> DataFrame:
     Templates are counted in two steps, each with partial sums before its shuffle: first distinct (template, mark),
     then marks of a template, so a line that a third of the documents share gathers nowhere.
     """
-    lines = _lines(docs, F.xxhash64(mark(F.col("text"))).alias("mark"))
+    lines = _lines(with_marks(docs), F.col("marks"))
     pairs = lines.select("mark", F.explode(templates(F.col("line"), F.col("tokens"))).alias("template")).distinct()
     return pairs.groupBy("template").agg(F.count("*").alias("marks")).where(F.col("marks") >= least_marks).select("template")
 
@@ -102,9 +129,15 @@ def drop_recurring_lines(docs: DataFrame, least_marks: int = LEAST_MARKS) -> Dat
 
 
 @query("op10_log_templates", rf"""
-    with d as (select doc_id, text, coalesce(list_min(list_transform(regexp_extract_all(text, '[^ \n]{{{LONG_TOKEN},}}'), lambda x: md5(x))), md5(text)) as mark
+    with d as (select doc_id, text, string_split(text, chr(10)) as lines,
+                      list_sort(list_transform(list_distinct(regexp_extract_all(text, '[^ \n]{{{LONG_TOKEN},}}')), lambda x: {{'md5': md5(x), 'token': x}}))[1:{MARKS}] as least
                from documents),
-    s as (select doc_id, text, mark, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as raw from d),
+    e as (select doc_id, text, lines, generate_subscripts(lines, 1) as pos, unnest(lines) as raw,
+                 list_transform(least, lambda x: {{'md5': x.md5, 'token': x.token,
+                     'first': len(string_split(text[:strpos(text, x.token)], chr(10))),
+                     'last': len(lines) + 1 - len(string_split(reverse(text)[:strpos(reverse(text), reverse(x.token))], chr(10)))}}) as least from d),
+    s as (select doc_id, text, pos, raw, coalesce(list_filter(least, lambda x: pos < x.first - {AROUND} or pos > x.last + {AROUND})[1].md5,
+                      list_filter(least, lambda x: not contains(raw, x.token))[1].md5, least[1].md5, md5(text)) as mark from e),
     l as (select *, regexp_replace(raw, '[^ ]*[0-9][^ ]*', '<*>', 'g') as line from s),
     t as (select doc_id, text, mark, pos, line, string_split(line, ' ') as w from l),
     n as (select *, len(w) as n, len(w) // 3 as third from t where len(w) >= {LEAST_TOKENS}),

@@ -7,6 +7,10 @@ from parley.llm import line_templates as lines
 from .helpers import documents, odd, rows
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def plain(texts, least):
     seen = defaultdict(set)
 
@@ -20,13 +24,17 @@ def plain(texts, least):
             out += [("last", len(w), tuple(w[:len(w) - t])), ("middle", len(w), tuple(w[:t] + w[2 * t:])), ("first", len(w), tuple(w[:3] + w[t:]))]
         return out
 
+    def marks(text):
+        split, tokens = text.split("\n"), sorted(set(re.findall(r"[^ \n]{12,}", text)), key=md5)[:lines.MARKS]
+        for i, line in enumerate(split):
+            at = {x: [j for j, y in enumerate(split) if x in y] for x in tokens}
+            fit = [x for x in tokens if not at[x][0] - lines.AROUND <= i <= at[x][-1] + lines.AROUND] or [x for x in tokens if x not in line] or tokens or [text]
+            yield line, md5(fit[0])
+
     for t in texts:
-        if t is not None:
-            long_ones = re.findall(r"[^ \n]{12,}", t)
-            m = min((hashlib.md5(x.encode()).hexdigest() for x in long_ones), default=hashlib.md5(t.encode()).hexdigest())
-            for line in t.split("\n"):
-                for k in keys(line):
-                    seen[k].add(m)
+        for line, m in marks(t) if t is not None else ():
+            for k in keys(line):
+                seen[k].add(m)
     return [None if t is None else "\n".join(x for x in t.split("\n") if not any(len(seen[k]) >= least for k in keys(x))) for t in texts]
 
 
@@ -45,6 +53,23 @@ def test_against_plain_version(spark):
     assert got[0]["dropped_chars"] == len(texts[0]) - len(want[0])
 
 
+def test_line_that_holds_the_least_token(spark):
+    least = min((f"recurringtoken{i}" for i in range(5000)), key=md5)
+    other = [min((f"nexttoken{j}x{i}" for i in range(2000)), key=md5) for j in range(3)]
+    passage = "\n".join(["Read more about {} in our news today".format(least)] + [f"And a following line about {x} here" for x in other])
+    texts = [f"{'abcdefghij'[i % 10] * 6}ownword{i:06d} begins this text\n" + "\n".join(f"filling{i} line{j}" for j in range(8)) + f"\n{passage}" for i in range(40)]
+    texts += [f"A text that is nearly nothing else\n{x}" for x in ["Only this line with wordofthecopies in it"] * 20]
+    got = [r["row"]["text"] for r in sorted(rows(lines.drop_recurring_lines(documents(spark, texts))), key=lambda r: r["row"]["doc_id"])]
+    assert got == plain(texts, lines.LEAST_MARKS)
+    assert not any("Read more" in t or "following line" in t for t in got[:40]) and got[40:] == texts[40:]
+    assert all(t.startswith(x.split("\n")[0]) or "begins" not in x for t, x in zip(got[:40], texts))
+
+
+def test_long_text_of_one_repeated_line(spark):
+    texts = ["Every line holds the same longsinglewords here\n" * 60_000, "a" * 2_000_000 + "\nb" * 5_000]
+    assert [r["n_dropped"] for r in rows(lines.drop_recurring_lines(documents(spark, texts)))] == [0, 0]
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     out = lines.drop_recurring_lines(df).select("row.*")
