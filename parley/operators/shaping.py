@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .. import ordered
 from ..functions import labels, text, times
 from ..ordered import ordered_join
+from ..session import cut_lineage
+from ..sources import tables
 from .timeline import MERGE_GAP
 
 M = ["meeting"]
@@ -281,3 +283,23 @@ def rebuild_from_chunks(segments: DataFrame, named: DataFrame) -> DataFrame:
                        F.when(plain.startswith(labels.ICON), plain).otherwise(F.concat(F.lit(labels.ICON), plain)))
     # Slices of start times: a quarter of an hour holds a bounded number of turns.
     return merge_turns(rows.withColumn("label", label), pos="start", ties=("chunk", "idx"), width=900.0)
+
+
+def stored_turns(chunks: DataFrame, logs: DataFrame) -> DataFrame:
+    """Turns of stored chunks (``meeting``, ``chunk_index``, ``raw_segments``) under the names that the meeting's log (``meeting``, ``log``) gives.
+
+    ``idx`` is the place of a turn in its meeting, from 0. Chunks with bad or no JSON give nothing; a meeting without a
+    log has numbered strangers only.
+    """
+    turns = rebuild_from_chunks(tables.explode_segments(chunks, vectors=True), tables.names_from_log(logs))
+    placed = ordered.number_rows(turns, M, "start", ties=("chunk", "idx"), name="_place", width=900.0)
+    return placed.withColumn("idx", F.col("_place").cast("long")).drop("_place", "chunk")
+
+
+def rebuild_meetings(chunks: DataFrame, logs: DataFrame) -> DataFrame:
+    """What is stored for each meeting, made anew from its chunks: ``raw_results``, ``original_raw_results``, ``transcript``.
+
+    A meeting none of whose chunks holds a usable turn has no row. The turns are worked out once and read twice.
+    """
+    turns = cut_lineage(stored_turns(chunks, logs))
+    return tables.pack_segments(turns).join(plain_transcript(turns), M)

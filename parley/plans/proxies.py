@@ -85,6 +85,14 @@ def chunk_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return per.select("meeting", F.col("chunk").alias("chunk_index"), F.when(bad, F.lit("{broken")).otherwise(body).alias("raw_segments"))
 
 
+def speaker_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs in which every turn but each fourth names the first speaker of a chunk."""
+    c = table(spark, sf, "conversations")
+    said = F.concat(F.lit("[x] [Speaker] Greedy result (1 speakers): c"), (F.col("turn") % 3).cast("string"), F.lit("_speaker_1→'"), "role", F.col("turn").cast("string"), F.lit("'(0.9), c9_speaker_9→'Speaker'(0.1)"))
+    line = F.struct("turn", F.when(F.col("turn") % 4 == 2, "nothing c0_speaker_1→'x'").otherwise(said).alias("l"))
+    return c.groupBy(F.col("conv_id").cast("string").alias("meeting")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("log"))
+
+
 def meetings(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     m = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"), F.max_by("text", "turn").alias("content"), F.sum(F.length("text")).alias("fallback_prompt"))

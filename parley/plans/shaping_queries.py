@@ -209,6 +209,28 @@ def _(spark, sf):
     return M.rebuild_from_chunks(seg.drop("label"), named).select("meeting", "idx", "start", "end", "label", "speaker_id", "text", "parts")
 
 
+# Stored chunks, every ninth broken, and a log that names the first speaker of some chunks.
+STORED = with_ctes("seg") + """,
+ok AS (SELECT * FROM seg WHERE (conv_id + chunk) % 9 <> 4),
+lg_ AS (SELECT CAST(conv_id AS VARCHAR) AS meeting, 'c' || turn % 3 || '_speaker_1' AS speaker_id, arg_max(role || turn, turn) AS name FROM conversations WHERE turn % 4 <> 2 GROUP BY ALL),
+nn AS (SELECT meeting, speaker_id, row_number() OVER (PARTITION BY meeting ORDER BY min((start, idx))) AS no FROM ok ANTI JOIN lg_ USING (meeting, speaker_id) GROUP BY meeting, speaker_id),
+seg_ AS (SELECT ok.* EXCLUDE (label), '👤 ' || coalesce(lg_.name, 'Speaker ' || nn.no) AS label FROM ok LEFT JOIN lg_ USING (meeting, speaker_id) LEFT JOIN nn USING (meeting, speaker_id)),""" + BY_START.replace("FROM seg)", "FROM seg_)")
+
+
+@query("rebuild_stored_turns", STORED + ' SELECT meeting, row_number() OVER (PARTITION BY meeting ORDER BY start, idx) - 1 AS place, start, "end", label, speaker_id, text FROM mt')
+def _(spark, sf):
+    done = M.rebuild_meetings(P.chunk_payloads(spark, sf), P.speaker_logs(spark, sf))
+    kept = F.from_json("original_raw_results", "array<struct<start:double,end:double,speaker:string,text:string,speaker_id:string>>")
+    return done.select("meeting", F.posexplode(kept).alias("i", "t")).select(
+        "meeting", F.col("i").cast("long").alias("place"), "t.start", "t.end", F.col("t.speaker").alias("label"), "t.speaker_id", "t.text")
+
+
+@query("rebuild_stored_meetings", STORED + " SELECT meeting, count(*) AS turns, string_agg(trim(text), ' ' ORDER BY start, idx) AS transcript FROM mt GROUP BY meeting")
+def _(spark, sf):
+    done = M.rebuild_meetings(P.chunk_payloads(spark, sf), P.speaker_logs(spark, sf))
+    return done.select("meeting", F.size(F.from_json("raw_results", "array<array<string>>")).cast("long").alias("turns"), "transcript")
+
+
 # -- sources and sinks -----------------------------------------------------------------------------
 
 @query("explode_chunk_segments", with_ctes("seg") + ', x AS (SELECT *, (conv_id + chunk) % 9 = 4 AS broken, row_number() OVER (PARTITION BY meeting, chunk ORDER BY idx) - 1 AS i FROM seg) SELECT meeting, chunk, i AS idx, start, "end", speaker, speaker_id, text FROM x WHERE NOT broken')
@@ -261,11 +283,7 @@ def _(spark, sf):
 @query("names_from_log", """
 SELECT CAST(conv_id AS VARCHAR) AS meeting, 'c' || turn % 3 || '_speaker_1' AS speaker_id, arg_max(role || turn, turn) AS name FROM conversations WHERE turn % 4 <> 2 GROUP BY ALL""")
 def _(spark, sf):
-    c = P.table(spark, sf, "conversations")
-    said = F.concat(F.lit("[x] [Speaker] Greedy result (1 speakers): c"), (F.col("turn") % 3).cast("string"), F.lit("_speaker_1→'"), "role", F.col("turn").cast("string"), F.lit("'(0.9), c9_speaker_9→'Speaker'(0.1)"))
-    line = F.struct("turn", F.when(F.col("turn") % 4 == 2, "nothing c0_speaker_1→'x'").otherwise(said).alias("l"))
-    logs = c.groupBy(F.col("conv_id").cast("string").alias("meeting")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("log"))
-    return S.names_from_log(logs)
+    return S.names_from_log(P.speaker_logs(spark, sf))
 
 
 @query("parse_model_lines", with_ctes("seg") + r"""

@@ -25,13 +25,25 @@ def _(spark, sf):
     return S.run_to_table(S.chunk_status(updates), ["meeting", "chunk_index"])
 
 
-@query("stream_meeting_progress", """
+PROGRESS = """
 SELECT CAST(user_id AS VARCHAR) AS meeting, count(*) FILTER (event_type IN ('purchase', 'error')) AS done, count(*) AS total,
-  CAST(floor(100 * count(*) FILTER (event_type IN ('purchase', 'error')) / count(*)) AS BIGINT) AS percent FROM events GROUP BY user_id HAVING count(*) FILTER (event_type IN ('purchase', 'error')) > 0""")
-def _(spark, sf):
+  CAST(floor(100 * count(*) FILTER (event_type IN ('purchase', 'error')) / count(*)) AS BIGINT) AS percent FROM events GROUP BY user_id HAVING count(*) FILTER (event_type IN ('purchase', 'error')) > 0"""
+
+
+def reported(spark, sf):
     status = F.when(F.col("event_type") == "purchase", "Completed").when(F.col("event_type") == "error", "Error").otherwise("Processing")
     # every fifth result comes twice
     again = F.explode(F.when(F.col("event_id") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
-    results = arriving(spark, sf).select(F.col("user_id").cast("string").alias("meeting"), F.col("event_id").alias("chunk_index"), status.alias("status"), again.alias("time"))
+    results = arriving(spark, sf).select(F.col("user_id").cast("string").alias("meeting"), F.col("event_id").alias("chunk_index"), status.alias("status"), "ts", again.alias("time"))
     planned = P.table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("meeting")).agg(F.count(F.lit(1)).alias("total"))
-    return S.run_to_table(S.meeting_progress(results, planned), ["meeting"])
+    return results, planned
+
+
+@query("stream_meeting_progress", PROGRESS)
+def _(spark, sf):
+    return S.run_to_table(S.meeting_progress(*reported(spark, sf)), ["meeting"])
+
+
+@query("stream_expiring_progress", PROGRESS)
+def _(spark, sf):
+    return S.run_to_table(S.expiring_progress(*reported(spark, sf)), ["meeting"])

@@ -42,9 +42,10 @@ def chunks_of(chunks: DataFrame, meeting: str) -> DataFrame:
     return chunks.where(F.col("meeting") == meeting).orderBy("chunk_index")
 
 
-def explode_segments(chunks: DataFrame) -> DataFrame:
-    """One row per segment of every chunk's JSON; bad JSON gives no rows."""
-    data = F.from_json("raw_segments", CHUNK_SCHEMA)
+def explode_segments(chunks: DataFrame, vectors: bool = False) -> DataFrame:
+    """One row per segment of every chunk's JSON, with its voice vector if asked; bad JSON gives no rows."""
+    schema = CHUNK_SCHEMA.replace("text: STRING,", "text: STRING, embedding: ARRAY<DOUBLE>,", 1) if vectors else CHUNK_SCHEMA
+    data = F.from_json("raw_segments", schema)
     return chunks.select("meeting", F.col("chunk_index").alias("chunk"), F.posexplode(data["segments"]).alias("idx", "s")) \
         .select("meeting", "chunk", "idx", "s.*")
 

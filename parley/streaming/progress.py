@@ -1,8 +1,8 @@
 """Structured Streaming forms of progress and counters.
 
-All are plain streaming aggregates: state holds one row per meeting, chunk or
-session, updated in place, so any executor can be lost and the checkpoint of
-the query brings the state back.
+State holds one row per meeting, chunk or session, updated in place, so any
+executor can be lost and the checkpoint of the query brings the state back. All
+but ``expiring_progress`` are plain streaming aggregates that keep their rows for good.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -38,6 +39,33 @@ def meeting_progress(results: DataFrame, planned: DataFrame) -> DataFrame:
     return done.join(planned, "meeting").select("meeting", "done", "total", F.floor(100 * F.col("done") / F.col("total")).alias("percent"))
 
 
+def expiring_progress(results: DataFrame, planned: DataFrame, delay: str = "1 day") -> DataFrame:
+    """As ``meeting_progress``, by event time: what is kept of a meeting goes once the watermark has passed its last result by ``delay``.
+
+    The watermark runs ``delay`` behind the latest result, so a meeting is forgotten after two delays without one.
+    Results older than the watermark, or without a time, are not counted; choose a delay beyond the longest pause inside a meeting.
+    """
+    pause = int(pd.Timedelta(delay).total_seconds() * 1000)
+
+    def count(key, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        chunks, last = state.get if state.exists else ([], 0)
+        chunks = set(chunks)
+        for p in parts:
+            chunks.update(p["chunk"].tolist())
+            last = max(last, int(p["at"].max()))
+        state.update((sorted(chunks), last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + pause)
+        yield pd.DataFrame({"meeting": [key[0]], "done": [len(chunks)]})
+
+    told = results.withColumn("ts", F.col("ts").cast("timestamp")).where(F.col("status").isin("Completed", "Error") & F.col("ts").isNotNull() & F.col("meeting").isNotNull())
+    done = (told.withWatermark("ts", delay).select("meeting", F.coalesce(F.col("chunk_index").cast("long"), F.lit(-1)).alias("chunk"), F.unix_millis("ts").alias("at"), "ts")
+            .groupBy("meeting").applyInPandasWithState(count, "meeting string, done long", "chunks array<long>, last long", "update", "EventTimeTimeout"))
+    return done.join(planned, "meeting").select("meeting", "done", "total", F.floor(100 * F.col("done") / F.col("total")).alias("percent"))
+
+
 def session_counters(calls: DataFrame) -> DataFrame:
     """Running call, token and character counters per session."""
     return calls.groupBy("session").agg(

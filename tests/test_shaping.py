@@ -1,3 +1,4 @@
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -93,6 +94,29 @@ def test_edits(spark):
     assert [(r.idx, r.start, r.label, r.text) for r in out] == [(0, 0.0, "A", "t0"), (1, 0.0, M.NEW_SPEAKER, ""), (2, 2.0, "A", "mới"), (3, 3.0, "A", "t3"), (4, 0.0, M.NEW_SPEAKER, "")]
 
 
+def test_rebuild_meetings_from_stored_chunks(spark):
+    def seg(start, end, speaker_id, words, **more):
+        return {"start": start, "end": end, "speaker": more.pop("speaker", "S"), "speaker_id": speaker_id, "text": words, **more}
+
+    one = {"segments": [seg(1.0, 2.0, "c0_speaker_1", "xin  mời.."), seg(2.5, 3.0, " c0_speaker_1 ", "các bạn", embedding=[0.5, 1.0]), seg(3.0, 3.1, "c0_speaker_1", "..."),
+                        seg(3.2, 4.0, "c0_speaker_1", "tiếp theo"), seg(None, 0.5, "", "mở đầu", speaker=None)]}
+    two = {"segments": [seg(10.0, 11.0, "c1_speaker_2", "người hai"), seg(5.0, 6.0, "c1_speaker_3", "người ba")]}
+    chunks = spark.createDataFrame([("m", 2, json.dumps(two)), ("m", 0, json.dumps(one)), ("m", 1, "{broken"), ("m", 3, None), ("bad", 0, "[]"), ("n", 0, json.dumps(two))],
+                                   "meeting string, chunk_index int, raw_segments string")
+    log = "[Speaker] Greedy result: c0_speaker_1→'Lan'(0.9)\nother c1_speaker_2→'no'\nStranger DB rematch: c1_speaker_3 -> 'Minh', c1_speaker_2→'Speaker'"
+    logs = spark.createDataFrame([("m", log), ("gone", log)], "meeting string, log string")
+    got = {r.meeting: r for r in M.rebuild_meetings(chunks, logs).collect()}
+    assert set(got) == {"m", "n"}
+    turns = json.loads(got["m"].original_raw_results)
+    assert [(t["start"], t["end"], t["speaker"], t["text"], t["speaker_id"]) for t in turns] == [
+        (0.0, 0.5, "👤 Speaker", "mở đầu", ""), (1.0, 3.0, "👤 Lan", "xin mời các bạn", "c0_speaker_1"), (3.2, 4.0, "👤 Lan", "tiếp theo", "c0_speaker_1"),
+        (5.0, 6.0, "👤 Minh", "người ba", "c1_speaker_3"), (10.0, 11.0, "👤 Speaker 1", "người hai", "c1_speaker_2")]
+    assert turns[1]["embedding"] == [0.5, 1.0]
+    assert [x[2] for x in json.loads(got["m"].raw_results)] == [t["speaker"] for t in turns]
+    assert got["m"].transcript == "mở đầu xin mời các bạn tiếp theo người ba người hai"
+    assert [t["speaker"] for t in json.loads(got["n"].original_raw_results)] == ["👤 Speaker 1", "👤 Speaker 2"]
+
+
 def test_attendance_roles(spark):
     df = make(spark, [(0.0, 1.0, l, "x", "s", "t") for l in ("👤 An (a@x)", "Bình - b@x - Kế toán", "Người lạ 1", "👤 An", "Cúc - c@x - thành viên")])
     roles = spark.createDataFrame([("an", "Giám đốc")], "name string, role string")
