@@ -6,10 +6,11 @@ round, the next one with at most one error or else another such pair; words with
 a nearby codeword. So each fingerprint is filed under (whole segment, index of a codeword near the next segment), one to
 six keys for each of the three turns, and any two linked fingerprints meet under a key, where their distance is checked.
 
-``similar_texts`` finds documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more. So far apart, about 15 %
-of the bits of a shingle fingerprint differ, too many for nearby codewords. It takes the least shingle hashes under 64
-orders instead, in 16 bands of four: each pair at 0.8 shares a band with a probability of 0.9998, however the texts
-differ. Every candidate is verified on the shingles themselves.
+``similar_texts`` finds documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more. The same fingerprints,
+met under the same Golay keys, give its first candidates and with them most components. Near 0.8 about 15 % of the bits of a
+fingerprint differ, too many for nearby codewords, so texts that are not in one component yet are compared by the least shingle
+hashes under 64 orders as well, in 16 bands of four: each pair at 0.8 shares a band with a probability of 0.9998, however the
+texts differ. Every candidate is verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage, remove_folder, shared_folder
+from ..session import cut_lineage, remove_folder, shared_folder, short_lived_shuffles
 from .components import components
 from .golay import nearby
 from .registry import query, table
@@ -125,7 +126,7 @@ FEW = 8              # members of a key that are compared with each other at onc
 CELL = 256           # members of a full key that are compared in one task
 SHINGLE, SIMILARITY = 5, 0.8
 BITS = ("b0", "b1", "b2", "b3")
-SKETCH = "node long, size int, b0 long, b1 long, b2 long, b3 long, keys array<long>"
+SKETCH = "node long, size int, b0 long, b1 long, b2 long, b3 long, print long, keys array<long>"
 _TURNS = mix(np.arange(BANDS * BAND, dtype=np.uint64), 4) | np.uint64(1)
 
 
@@ -143,11 +144,13 @@ def _shingles(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text the number of its shingles, and from the least values of its shingles under ``BANDS`` x ``BAND`` orders the low bits and a key for each band."""
+    """Of each text its fingerprint, the number of its shingles, and from the least values of its shingles under ``BANDS`` x ``BAND`` orders the low bits and a key for each band."""
     for b in batches:
         least = np.full((b.num_rows, BANDS * BAND), np.iinfo(np.uint64).max, dtype=np.uint64)
         size = np.zeros(b.num_rows, dtype=np.int32)
-        for r, own in enumerate(_shingles(b.column(1).to_pylist())):
+        texts = b.column(1).to_pylist()
+        prints = np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=b.num_rows)
+        for r, own in enumerate(_shingles(texts)):
             size[r] = len(own)
             for at in range(0, len(own), 4096):
                 np.minimum(least[r], (own[at:at + 4096] * _TURNS[:, None]).min(axis=1), out=least[r])
@@ -158,8 +161,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(BAND):
             keys = mix(keys + least[:, k::BAND], 6)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(size), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(BITS))),
-             pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))], names=["node", "size", *BITS, "keys"])
+            [b.column(0), pa.array(size), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(BITS))), pa.array(prints.view(np.int64)),
+             pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))], names=["node", "size", *BITS, "print", "keys"])
 
 
 def _close() -> Column:
@@ -221,35 +224,46 @@ def _pairs(x: DataFrame, y: DataFrame, on: list[str], extra: Column) -> DataFram
             .select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")))
 
 
+def _print_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (``a`` < ``b``) of nodes of (``node``, ``print``): the nodes of each print with the least of them, and the least ones of linked prints."""
+    each = cut_lineage(prints.groupBy("print").agg(F.min("node").alias("first")))
+    x, y = each.select(F.col("print").alias("a"), F.col("first").alias("x")), each.select(F.col("print").alias("b"), F.col("first").alias("y"))
+    near = link_prints(each.select("print")).join(x, "a").join(y, "b").select("x", "y")
+    same = prints.join(each, "print").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    return same.union(near).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def similar_texts(texts: DataFrame) -> DataFrame:
-    """Verified links (``a``, ``b``) among the distinct ``node`` values of (``node``, ``text``).
+    """Links (``a``, ``b``) among the distinct ``node`` values of (``node``, ``text``).
 
-    Their components are those of all alike pairs that share a key. Members of a key with at most ``FEW`` nodes are compared
-    with each other. In a fuller key one member, the hub, is compared with all others, and then the components of all links
+    Their components are those of all alike pairs whose fingerprints link or that share a key, each pair verified.
+    Fingerprints go first; keys whose members they bring into one component are done. Members of a key with at most ``FEW``
+    nodes are compared with each other, unless they are in one component. In a fuller key one member, the hub, is compared with all others, and then the components of all links
     so far are worked out: a key whose members are in one component is done, since no further link can change it. The
     others take another hub, as long as that settles half of the pairs of unlike components; all pairs of members in
     different components that are left then are compared, so none is given up.
     """
     sketched = cut_lineage(texts.mapInArrow(_sketches, SKETCH).dropDuplicates(["node"]))
-    own = [c for c in sketched.columns if c not in ("node", "keys")]
-    todo = sketched.select("node", *own, F.explode("keys").alias("key"))
-    counts = todo.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    own = [c for c in sketched.columns if c not in ("node", "print", "keys")]
+    tree = components(_verified(_print_pairs(sketched.select("node", "print")), texts))
+    todo = sketched.join(tree, "node", "left").select("node", *own, F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
+    counts = todo.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "m")
     shared = cut_lineage(todo.join(counts, "key"))
-    few, full = shared.where(F.col("m") <= FEW), shared.where(F.col("m") > FEW)
-    few, full = few.drop("m"), full.drop("m").withColumn("root", F.col("node"))
-    fresh, links, last, turn = _pairs(few, few, ["key"], F.col("node") < F.col("node_y")), None, None, 0
+    few, full = shared.where(F.col("m") <= FEW).drop("m"), shared.where(F.col("m") > FEW).drop("m")
+    fresh, last, turn = _pairs(few, few, ["key"], (F.col("node") < F.col("node_y")) & (F.col("root") != F.col("root_y"))), None, 0
     while True:
         hub = (full.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", *own, "root")).alias("s"))
                .select("key", *(F.col(f"s.{c}").alias(c) for c in ("node", *own, "root"))))
         to_hub = _pairs(full, cut_lineage(hub), ["key"], F.col("root") != F.col("root_y"))
         found = _verified((fresh.union(to_hub) if fresh is not None else to_hub).distinct(), texts)
-        links, fresh, turn = found if links is None else links.union(found), None, turn + 1
-        tree = components(links)
+        tied = tree.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        fresh, turn, tree = None, turn + 1, components(tied.union(found))
         rooted = cut_lineage(full.drop("root").join(tree, "node", "left").select("key", "node", *own, F.coalesce("root", "node").alias("root")))
         sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
         split = cut_lineage(sizes.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max_by("root", "c").alias("main"))
                             .where("sq < m * m"))
         left, members = split.agg(F.sum((F.col("m") * F.col("m") - F.col("sq")) / 2), F.sum("m")).first()
+        links = tree.select(F.col("node").alias("a"), F.col("root").alias("b"))
         if not members:
             return links
         full = cut_lineage(rooted.join(split.drop("sq"), "key"))
@@ -273,7 +287,8 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     node = F.xxhash64(F.coalesce("row.text", F.lit("")))
     texts = rows.select(node.alias("node"), F.coalesce("row.text", F.lit("")).alias("text"))
-    tree = components(similar_texts(texts))
+    with short_lived_shuffles(docs.sparkSession):
+        tree = components(similar_texts(texts))
     ids = docs.schema["doc_id"].dataType.simpleString()
     own = rows.select(node.alias("node"), F.col("row.doc_id").alias("id"), F.xxhash64("row").alias("same"))
     rooted = own.join(tree, "node", "left").select(F.coalesce("root", "node").alias("root"), "id", "same")

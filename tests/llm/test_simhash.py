@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from parley.llm import golay, simhash
 from parley.llm.components import components
 
@@ -213,6 +214,27 @@ def test_recall_at_the_threshold_by_kind_of_edit(spark):
     assert all(n >= 98 for n in found.values()), found
 
 
+def test_stage_takes_candidates_from_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_close", lambda: simhash.F.lit(False))  # no candidates from the bands
+    rng = random.Random(12)
+    body = [[f"w{rng.randrange(10_000)}" for _ in range(600)] for _ in range(20)]
+    texts = [" ".join(b) for b in body] + [" ".join(["x", *b[1:]]) for b in body]
+    prints = [simhash.fingerprint(t) for t in texts]
+    near = [i for i in range(20) if 0 < bin(prints[i] ^ prints[20 + i]).count("1") <= 2]
+    assert len(near) > 3
+    kept = {r["doc_id"] for r in rows(corpus_pipeline.near_dedup_stage(spark, documents(spark, texts), ""))}
+    assert set(range(20)) <= kept and not any(20 + i in kept for i in near)
+
+
+def test_shuffle_files_go_with_their_execution(spark):
+    from parley.session import short_lived_shuffles
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with short_lived_shuffles(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before
+
+
 def test_stage_on_odd_rows(spark):
     df = odd(spark)
     kept = simhash.keep_one_of_each_group(df)
