@@ -26,6 +26,7 @@ STRANGER_MERGE = 0.45
 CONTAMINATION = 0.92
 PURIFY_MIN_SEGMENTS, PURIFY_MIN_SEC, PURIFY_SCORE, PURIFY_SHARE = 6, 1.5, 0.35, 0.5
 CENTROID_FLOOR, CENTROID_PERCENTILE = 0.45, 0.25
+SLACK = 1e-9  # more than medians differ by rounding and by the order of sums
 # End of fixed values.
 
 
@@ -278,11 +279,12 @@ def _centroids_small(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _centroids_large(rows: DataFrame, sizes: DataFrame, keys: list[str], dims: int, block_rows: int) -> DataFrame:
-    rows = rows.join(sizes, keys)
-    medoid = cut_lineage(_medoids_large(rows, keys, block_rows))
-    near = (rows.join(medoid.join(rows.select(*keys, F.col("_id").alias("_m"), vectors.unit("embedding").alias("_mv")), [*keys, "_m"]), keys)
+    # ids may repeat, so rows are told apart by a number
+    rows = cut_lineage(rows.join(sizes, keys).withColumn("_row", F.monotonically_increasing_id()))
+    medoid = cut_lineage(_medoids_large(rows, keys, dims, block_rows))
+    near = (rows.join(medoid.join(rows.select(F.col("_row").alias("_m"), vectors.unit("embedding").alias("_mv")), "_m"), keys)
             .withColumn("_u", vectors.unit("embedding")).withColumn("_s", vectors.dot("_u", "_mv")))
-    cut = _order_statistic(near.select(*keys, "_id", "_s", "n"), keys, CENTROID_PERCENTILE).withColumnRenamed("value", "_q")
+    cut = _order_statistic(near.select(*keys, "_row", "_s", "n"), keys, CENTROID_PERCENTILE).withColumnRenamed("value", "_q")
     judged = near.join(cut, keys).withColumn("_ok", F.col("_s") >= F.greatest(F.lit(CENTROID_FLOOR), F.col("_q")))
     enough = judged.groupBy(*keys).agg(F.count_if("_ok").alias("_kept"))
     kept = judged.join(enough, keys).where(F.col("_ok") | (F.col("_kept") < F.least(F.lit(2), F.col("n"))))
@@ -290,19 +292,48 @@ def _centroids_large(rows: DataFrame, sizes: DataFrame, keys: list[str], dims: i
     return centre.join(sizes, keys).select(*keys, "embedding", "kept", "n")
 
 
-def _medoids_large(rows: DataFrame, keys: list[str], block_rows: int, bins: int = 4096) -> DataFrame:
-    """Medoid id of each group of many blocks: exact medians from two passes over the cells.
+def _candidates(rows: DataFrame, keys: list[str], dims: int, block_rows: int) -> DataFrame:
+    """The rows of each group whose median similarity may be the highest one.
+
+    The median of one row, the nearest to the group's mean, is a bound. One pass over the cells counts for each row the similarities under
+    it, one number a cell; a row with more than half of them under it has a lower median and is left out. The bound decides how
+    many rows stay, never which is the medoid.
+    """
+    units = rows.select(*keys, "_row", "n", vectors.unit("embedding").alias("_u"))
+    centre = mean_vector(units, keys, dims, "_u").select(*keys, F.col("embedding").alias("_c"))
+    at = F.struct(vectors.dot("_u", "_c").alias("s"), "_row")
+    first = (units.join(centre, keys).withColumn("_at", at).where(F.col("_at.s").isNotNull() & ~F.isnan("_at.s"))
+             .groupBy(*keys).agg(F.max_by("_u", "_at").alias("_f")))
+    near = cut_lineage(units.join(first, keys).select(*keys, "_row", "n", vectors.dot("_u", "_f").alias("_s")))
+    bound = cut_lineage(_order_statistic(near, keys, 0.5).select(*keys, (F.col("value") - SLACK).alias("bound")))
+    asked = rows.select(*keys, "_row", "n", "embedding").join(bound, keys, "left")
+
+    def below(key, lt, rt):
+        m, r = blocks.matrix(lt), blocks.matrix(rt)
+        under = np.zeros(len(m), dtype=np.int64)
+        if len(m) and len(r):
+            bound = np.asarray(lt.column("bound"), dtype=np.float64)[:, None]
+            for off, sims in blocks.strips(m, r):
+                under[off:off + len(sims)] = len(r) - np.count_nonzero(sims >= bound[off:off + len(sims)], axis=1)
+        return pa.table({"_row": lt.column("_row"), "under": pa.array(under)})
+
+    counted = blocks.cells(asked, rows.select(*keys, "_row", "embedding"), keys, "_row", "_row", below, "_row long, under long", 4 * block_rows)
+    under = counted.groupBy("_row").agg(F.sum("under").alias("under"))
+    return asked.join(under, "_row").where((2 * F.col("under") <= F.col("n")) | F.col("bound").isNull() | F.isnan("bound")).drop("under", "bound")
+
+
+def _medoids_large(rows: DataFrame, keys: list[str], dims: int, block_rows: int, bins: int = 4096) -> DataFrame:
+    """Medoid row of each group of many blocks: exact medians of the candidates from two passes over the cells.
 
     Pass one counts similarities per bin and finds the bin of each median; pass
     two returns only the similarities inside that bin.
     """
-    id_type = rows.schema["_id"].dataType
-    head = [rows.schema[k] for k in keys] + [T.StructField("_id", id_type)]
+    head = [rows.schema[k] for k in keys] + [T.StructField("_row", T.LongType())]
     to_bin = lambda s: np.clip(((s + 1.0) * (bins / 2.0)).astype(np.int64), 0, bins - 1)
 
     def keyed(key, at, table, **cols):
         base = {k: pa.array([v.as_py()] * len(at), v.type) for k, v in zip(keys, key)}
-        return pa.table({**base, "_id": table.column("_id").take(pa.array(at)).combine_chunks(), **cols})
+        return pa.table({**base, "_row": table.column("_row").take(pa.array(at)).combine_chunks(), **cols})
 
     def count(key, lt, rt):
         at, bn, n = [], [], []
@@ -314,16 +345,17 @@ def _medoids_large(rows: DataFrame, keys: list[str], block_rows: int, bins: int
         cat = lambda x: np.concatenate(x) if x else np.array([], dtype=np.int64)
         return keyed(key, cat(at), lt, bin=pa.array(cat(bn), pa.int64()), c=pa.array(cat(n), pa.int64()))
 
-    side = rows.select(*keys, "_id", "embedding")
-    counted = blocks.cells(side, side, keys, "_id", "_id", count,
+    side = rows.select(*keys, "_row", "embedding")
+    asked = cut_lineage(_candidates(rows, keys, dims, block_rows))
+    counted = blocks.cells(asked.drop("n"), side, keys, "_row", "_row", count,
                            T.StructType(head + [T.StructField("bin", T.LongType()), T.StructField("c", T.LongType())]), block_rows)
-    per = counted.groupBy(*keys, "_id", "bin").agg(F.sum("c").alias("c"))
-    run = W.partitionBy(*keys, "_id").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    sizes = rows.select(*keys, "_id", "n")
-    spot = per.withColumn("upto", F.sum("c").over(run)).join(sizes, [*keys, "_id"])
+    per = counted.groupBy(*keys, "_row", "bin").agg(F.sum("c").alias("c"))
+    run = W.partitionBy(*keys, "_row").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    sizes = asked.select(*keys, "_row", "n")
+    spot = per.withColumn("upto", F.sum("c").over(run)).join(sizes, [*keys, "_row"])
     lo_rank, hi_rank = F.floor((F.col("n") - 1) / 2) + 1, F.floor(F.col("n") / 2) + 1
     holds = lambda r: (F.col("upto") >= r) & (F.col("upto") - F.col("c") < r)
-    want = (spot.where(holds(lo_rank) | holds(hi_rank)).groupBy(*keys, "_id")
+    want = (spot.where(holds(lo_rank) | holds(hi_rank)).groupBy(*keys, "_row")
             .agg(F.min("bin").alias("b_lo"), F.max("bin").alias("b_hi"), F.min(F.col("upto") - F.col("c")).alias("below")))
 
     def gather(key, lt, rt):
@@ -338,18 +370,19 @@ def _medoids_large(rows: DataFrame, keys: list[str], block_rows: int, bins: int
         cat = lambda x, t: np.concatenate(x) if x else np.array([], dtype=t)
         return keyed(key, cat(at, np.int64), lt, v=pa.array(cat(val, np.float64), pa.float64()))
 
-    target = side.join(want.select(*keys, "_id", "b_lo", "b_hi"), [*keys, "_id"])
-    values = blocks.cells(target, side, keys, "_id", "_id", gather, T.StructType(head + [T.StructField("v", T.DoubleType())]), block_rows)
-    order = W.partitionBy(*keys, "_id").orderBy("v")
-    placed = (values.withColumn("r", F.row_number().over(order)).join(want.select(*keys, "_id", "below"), [*keys, "_id"])
-              .join(sizes, [*keys, "_id"]).withColumn("r", F.col("r") + F.col("below")))
-    median = (placed.where((F.col("r") == lo_rank) | (F.col("r") == hi_rank)).groupBy(*keys, "_id").agg(F.avg("v").alias("med")))
-    return median.groupBy(*keys).agg(F.min(F.struct((-F.round("med", 12)).alias("m"), "_id")).alias("b")).select(*keys, F.col("b._id").alias("_m"))
+    target = asked.drop("n").join(want.select(*keys, "_row", "b_lo", "b_hi"), [*keys, "_row"])
+    values = blocks.cells(target, side, keys, "_row", "_row", gather, T.StructType(head + [T.StructField("v", T.DoubleType())]), block_rows)
+    order = W.partitionBy(*keys, "_row").orderBy("v")
+    placed = (values.withColumn("r", F.row_number().over(order)).join(want.select(*keys, "_row", "below"), [*keys, "_row"])
+              .join(sizes, [*keys, "_row"]).withColumn("r", F.col("r") + F.col("below")))
+    median = (placed.where((F.col("r") == lo_rank) | (F.col("r") == hi_rank)).groupBy(*keys, "_row").agg(F.avg("v").alias("med")))
+    best = F.min(F.struct((-F.round("med", 12)).alias("m"), "_id", "_row"))
+    return median.join(rows.select("_row", "_id"), "_row").groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b._row").alias("_m"))
 
 
 def _order_statistic(rows: DataFrame, keys: list[str], q: float) -> DataFrame:
     """Exact linear quantile of ``_s`` per group, by position instead of by gathering the group."""
-    placed = ordered.place_rows(rows, keys, "_s", ties=("_id",), name="_r")
+    placed = ordered.place_rows(rows, keys, "_s", ties=("_row",), name="_r")
     at = F.lit(q) * (F.col("n") - 1)
     lo = F.floor(at)
     picked = placed.where((F.col("_r") == lo) | (F.col("_r") == lo + 1))

@@ -155,3 +155,15 @@ def test_centroids_take_text_ids_at_every_size(spark):
     df = spark.createDataFrame([("g", f"id{i:02d}", x.tolist()) for i, x in enumerate(v)], "g string, idx string, embedding array<double>")
     small, large = (V.robust_centroid(df, ["g"], dims=D, block_rows=b).first() for b in (2048, 5))
     assert (small.kept, small.n) == (large.kept, large.n) and np.allclose(small.embedding, large.embedding)
+
+
+def test_large_groups_take_exact_medians_of_few_rows(spark):
+    v = vecs(41, 400, centres=1, noise=0.5)
+    df = spark.createDataFrame([("g", i // 2, x.tolist()) for i, x in enumerate(v)], "g string, idx long, embedding array<double>")
+    small, large = (V.robust_centroid(df, ["g"], dims=D, block_rows=b).first() for b in (2048, 50))
+    assert (small.kept, small.n) == (large.kept, large.n) and np.allclose(small.embedding, large.embedding)
+    rows = df.select("g", F.col("idx").alias("_id"), "embedding", F.lit(400).cast("long").alias("n"), F.monotonically_increasing_id().alias("_row")).localCheckpoint()
+    kept = V._candidates(rows, ["g"], D, 50).select("_row", "embedding").collect()
+    m = np.array(v)
+    medians = np.round(np.median(m @ m.T, axis=1), 12)
+    assert len(kept) < 100 and any(np.array_equal(r.embedding, m[medians.argmax()]) for r in kept)
