@@ -184,11 +184,14 @@ def complete_starts(segments: DataFrame, durations: DataFrame, source: str = "mo
 
 
 def timeline_errors(segments: DataFrame, durations: DataFrame, check_long: bool = True) -> DataFrame:
-    """Reasons a chunk's timeline is unsafe to cut: one row per reason, ``idx`` null for chunk-level ones."""
+    """Reasons a chunk's timeline is unsafe to cut: one row per reason, ``idx`` null for chunk-level ones.
+
+    ``segments`` have a ``text`` or, counted beforehand, its ``words``; texts are not shuffled.
+    """
     limit = F.greatest(F.lit(0.0), F.col("duration"))
-    rows = (segments.select(*CHUNK, "idx", "start", F.coalesce("end", "start").alias("end"), "text")
-            .join(durations.select(*CHUNK, limit.alias("duration")), list(CHUNK))
-            .withColumn("len", F.col("end") - F.col("start")).withColumn("words", text.word_count("text")))
+    words = F.col("words") if "words" in segments.columns else text.word_count("text")
+    rows = (segments.select(*CHUNK, "idx", "start", F.coalesce("end", "start").alias("end"), words.alias("words"))
+            .join(durations.select(*CHUNK, limit.alias("duration")), list(CHUNK)).withColumn("len", F.col("end") - F.col("start")))
     worded, length = F.col("words") > 0, F.col("len")
     reasons = [F.when((F.col("start") < -0.25) | (F.col("end") > F.col("duration") + 1.0), "out_of_chunk"),
                F.when(worded & (length <= 0), "no_time")]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import ordered
-from ..functions import labels
+from ..functions import labels, text
 from ..operators import timeline as L
 from . import proxies as P
 from .proxies import with_ctes
@@ -41,7 +41,8 @@ c AS (SELECT meeting, chunk, count(*) FILTER (duration > 0 AND "end" >= duration
     arg_max(duration > 0 AND "end" >= duration - 0.15::DOUBLE AND len <= 0.15 AND words >= 5, idx) AS squeezed FROM r GROUP BY ALL)
 SELECT meeting, chunk, idx, reason FROM e UNION ALL SELECT meeting, chunk, NULL, 'tail_pile' FROM c WHERE tail >= 2 UNION ALL SELECT meeting, chunk, NULL, 'empty_last' FROM c WHERE squeezed""")
 def _(spark, sf):
-    seg = P.local_segments(P.segments(spark, sf))
+    counted = P.segments(spark, sf).withColumn("words", text.word_count("text")).select("meeting", "chunk", "idx", "start", "end", "words")
+    seg = P.local_segments(counted)
     short = P.durations(seg).withColumn("duration", F.col("duration") * 0.9)
     return L.timeline_errors(seg, short)
 

@@ -161,3 +161,13 @@ def test_turn_ends_across_slices(spark, monkeypatch, slice_rows):
         if (m, c) in usable:
             later = [x[3] for x in data if x[:2] == (m, c) and x[2] > i and x[3] > s + 0.05]
             assert got[m, c, i] == pytest.approx(round(later[0] if later else limit[m, c], 2))
+
+
+def test_timeline_errors_shuffle_no_texts(spark):
+    df = spark.createDataFrame([("m", 0, i, float(i), i + 1.0, "a b") for i in range(9)], "meeting string, chunk int, idx long, start double, end double, text string")
+    out = L.timeline_errors(df, length(spark, 9.0))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above = [line for line in plan.splitlines()[:plan.splitlines().index(next(x for x in plan.splitlines() if "Join" in x)) + 1]]
+    assert not any("split(text" in line for line in above)
+    counted = df.selectExpr("meeting", "chunk", "idx", "start", "end", "size(split(text, ' ')) as words")
+    assert sorted(map(str, L.timeline_errors(counted, length(spark, 9.0)).collect())) == sorted(map(str, out.collect()))
