@@ -19,8 +19,8 @@ def norm(v: str | Column) -> Column:
 
 def unit(v: str | Column) -> Column:
     """Vector of length one; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(col(v), lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1.0)))
+    # as the one entry of an array the norm is worked out once a vector, not once an entry
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.transform(col(v), lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1.0)))), F.lit(0))
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
