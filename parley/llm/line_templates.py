@@ -30,21 +30,26 @@ AROUND = 4         # lines before and after a line that are near it
 def least_tokens(text: Column) -> Column:
     """The ``MARKS`` tokens of ``LONG_TOKEN`` characters and more with the least md5, as (md5, token)."""
     tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[^ \\n]{{{LONG_TOKEN},}}"), 0))
-    return F.slice(F.array_sort(F.transform(tokens, lambda t: F.struct(F.md5(t).alias("md5"), t.alias("token")))), 1, MARKS)
+    return F.slice(F.sort_array(F.transform(tokens, lambda t: F.struct(F.md5(t).alias("md5"), t.alias("token")))), 1, MARKS)
 
 
 def with_marks(docs: DataFrame) -> DataFrame:
     """``text`` and ``marks``, a hash for each line of a text: of the first least token that is nowhere near, else not in the line, else the first, else the text.
 
-    Tokens are kept with their first and last line, so the work is bounded by ``MARKS`` times the text, however often a token comes.
+    Tokens are kept with their first and last line, told by the line ends before and after them, so the work is bounded by
+    ``MARKS`` times the text, however often a token comes.
     """
     lines = F.split("text", "\n")
 
+    def ends(part: Column) -> Column:
+        return F.octet_length(part) - F.octet_length(F.replace(part, F.lit("\n"), F.lit("")))
+
     def placed(x: Column) -> Column:
-        at = F.array_compact(F.transform(lines, lambda line, i: F.when(F.contains(line, x["token"]), i)))
-        return F.struct(x["md5"].alias("md5"), x["token"].alias("token"), F.array_min(at).alias("first"), F.array_max(at).alias("last"))
+        before, after = (F.call_function("substring_index", F.col("text"), x["token"], F.lit(n)) for n in (1, -1))
+        return F.struct(x["md5"].alias("md5"), x["token"].alias("token"), ends(before).alias("first"), (F.col("ends") - ends(after)).alias("last"))
 
-    known = docs.select("text", F.md5("text").alias("whole"), F.transform(least_tokens(F.col("text")), placed).alias("least"))
+    counted = docs.select("text", ends(F.col("text")).alias("ends"))
+    known = counted.select("text", F.md5("text").alias("whole"), F.transform(least_tokens(F.col("text")), placed).alias("least"))
     return known.select("text", F.transform(lines, lambda line, i: F.xxhash64(F.coalesce(
         F.get(F.filter("least", lambda x: (i < x["first"] - AROUND) | (i > x["last"] + AROUND)), F.lit(0))["md5"],
         F.get(F.filter("least", lambda x: ~F.contains(line, x["token"])), F.lit(0))["md5"],
