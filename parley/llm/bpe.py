@@ -223,7 +223,7 @@ class Transducer:
         return out
 
 
-def _ranges(chars: list[str]) -> str:
+def _ranges(chars: set[str]) -> str:
     points = set(map(ord, chars))
     starts = sorted(p for p in points if p - 1 not in points)
     ends = sorted(p for p in points if p + 1 not in points)
@@ -233,42 +233,34 @@ def _ranges(chars: list[str]) -> str:
 class Splitter:
     """Matches of the vocabulary's pattern, as the library of the rank files finds them.
 
-    Its tables of letters and numbers can be of another Unicode version than those of ``regex``. Characters that the two class differently are
-    found by asking both, once; texts that hold one are split by the pattern with the classes corrected.
+    Its tables of letters, numbers and blanks can be of another Unicode version than Python's, so it is asked for them once, and the pattern is
+    written out with them. Ranges beyond 16 bits are tried one after the other, so they stand in a pattern of their own, for texts that need it.
     """
+    CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+
     def __init__(self, pattern: str):
-        import regex
         import tiktoken
 
         single = {bytes([b]): b for b in range(256)}
-        classes, odd = {}, []
-        for name in (r"\p{L}", r"\p{N}"):
-            library, own = tiktoken.Encoding("classes", pat_str=name, mergeable_ranks=single, special_tokens={}), regex.compile(name)
-            more, less = [], []
-            for at in range(0, 0x110000, 1 << 16):
-                chars = "".join(map(chr, (c for c in range(at, at + (1 << 16)) if not 0xD800 <= c < 0xE000)))
-                theirs, ours = set(library.decode(library.encode_ordinary(chars))), set(own.findall(chars))
-                more += ours - theirs
-                less += theirs - ours
-            odd += more + less
-            plus = f"||[{_ranges(less)}]" if less else ""
-            minus = f"--[{_ranges(more)}]" if more else ""
-            classes[name] = f"[{name}{plus}{minus}]"
-        self.plain = regex.compile(pattern)
-        self.odd = regex.compile(f"[{_ranges(odd)}]") if odd else None
-        corrected = pattern.replace(r"[^\s\p{L}\p{N}]", f"(?:(?!{classes[chr(92) + 'p{L}']}|{classes[chr(92) + 'p{N}']})\\S)")
-        for name, own in classes.items():
-            corrected = corrected.replace(f" ?{name}+", f" ?{own}+")
-        self.corrected = regex.compile(corrected, regex.V1)
-        ascii_only = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
-        self.ascii = self.plain if r"\p" in ascii_only else re.compile(ascii_only, re.ASCII)  # the same matches in ASCII texts, sooner
+        known: dict[str, set[str]] = {}
+        chars = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+        for name in self.CLASSES:
+            library = tiktoken.Encoding("classes", pat_str=name + "+", mergeable_ranks=single, special_tokens={})
+            known[name] = set(library.decode([t for at in range(0, len(chars), 1 << 16) for t in library.encode_ordinary(chars[at:at + (1 << 16)])]))
+        self.ascii, self.low, self.full = (re.compile(self._written(pattern, known, end)) for end in (0x80, 0x10000, 0x110000))
+        self.beyond = re.compile("[\U00010000-\U0010ffff]")
+
+    def _written(self, pattern: str, known: dict[str, set[str]], end: int) -> str:
+        """The pattern with the members of each class below ``end``."""
+        inside = {name: _ranges({c for c in chars if ord(c) < end}) for name, chars in known.items()}
+        out = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{''.join(inside.values())}]").replace(r"\S", f"[^{inside[r'\s']}]")
+        for name, members in inside.items():
+            out = out.replace(name, f"[{members}]")
+        return out
 
     def __call__(self, text: str) -> Iterator[str]:
         """The pieces of a text, one after the other if it is long."""
-        if text.isascii():
-            use = self.ascii
-        else:
-            use = self.corrected if self.odd is not None and self.odd.search(text) else self.plain
+        use = self.ascii if text.isascii() else self.full if self.beyond.search(text) else self.low
         return iter(use.findall(text)) if len(text) <= LONG_TEXT else (m.group() for m in use.finditer(text))
 
 
@@ -399,7 +391,7 @@ def read_ranks(name: str) -> dict[bytes, int]:
 
 
 _encoders: dict[str, Encoder] = {}
-_words: dict[str, list[bytes]] = {}
+_words: dict[str, Vocabulary] = {}
 
 
 def _encoder(name: str) -> Encoder:
@@ -409,23 +401,56 @@ def _encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
-def _vocabulary(name: str) -> list[bytes]:
-    """Bytes of each id; ids between that the vocabulary lacks become U+FFFD, as does the last entry, which stands for all others."""
-    if name not in _words:
-        ranks = read_ranks(name)
+class Vocabulary:
+    """Bytes of each id; ids between that the vocabulary lacks become U+FFFD, as does the last entry, which stands for all others.
+
+    ``whole`` marks the ids whose bytes take the UTF-8 machine from its start back to its start, all of them being characters.
+    """
+    def __init__(self, ranks: dict[bytes, int]):
         words = [REPLACEMENT] * (max(ranks.values()) + 2)
         for w, i in ranks.items():
             words[i] = w
-        _words[name] = words
+        stream, self.last = Utf8Stream(), len(words) - 1
+        self.words = pa.array(words, pa.binary())
+        self.whole = np.array([stream.feed(w) + stream.finish() == w for w in words])
+
+    def join(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids, and where each begins, with the end."""
+        _, ends, data = self.words.take(pa.array(ids)).buffers()
+        at = np.frombuffer(ends, np.int32)[:len(ids) + 1]
+        return data[:int(at[-1])].to_pybytes(), at
+
+
+def _vocabulary(name: str) -> Vocabulary:
+    if name not in _words:
+        _words[name] = Vocabulary(read_ranks(name))
     return _words[name]
 
 
-def _text_of(ids: np.ndarray, words: list[bytes]) -> bytes:
-    """The text of token ids as UTF-8, read in slices of bounded size."""
-    stream, parts, last = Utf8Stream(), [], len(words) - 1
-    for at in range(0, len(ids), SLICE):
-        some = ids[at:at + SLICE]
-        parts.append(stream.feed(b"".join([words[t] for t in np.where((some < 0) | (some > last), last, some).tolist()])))
+def _text_of(ids: np.ndarray, words: Vocabulary) -> bytes:
+    """The text of token ids as UTF-8, read in slices of bounded size.
+
+    Only runs of tokens that are not whole characters go through the machine byte by byte. A whole token behind such a run ends it: its first
+    byte begins a character, so what is still open cannot be finished.
+    """
+    stream, parts = Utf8Stream(), []
+    for lo in range(0, len(ids), SLICE):
+        some = ids[lo:lo + SLICE]
+        some = np.where((some < 0) | (some > words.last), words.last, some)
+        data, at = words.join(some)
+        broken = ~words.whole[some]
+        if not broken[0]:
+            parts.append(stream.finish())
+        if not broken.any():
+            parts.append(data)
+            continue
+        turns = np.flatnonzero(broken[1:] != broken[:-1]) + 1
+        begin, odd = 0, bool(broken[0])
+        for end in [*at[turns].tolist(), len(data)]:
+            parts.append(stream.feed(data[begin:end]) if odd else data[begin:end])
+            if odd and end < len(data):
+                parts.append(stream.finish())
+            begin, odd = end, not odd
     parts.append(stream.finish())
     return b"".join(parts)
 
@@ -442,7 +467,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, decoded: bool = False) -> DataFr
     With ``decoded`` also that column: the text that the ids give back, decoded in the same task.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, words = _encoder(ranks), _vocabulary(ranks) if decoded else []
+        code, words = _encoder(ranks), _vocabulary(ranks) if decoded else None
 
         def packed(b: pa.RecordBatch, lo: int, rows: list[bytes], texts: list[bytes]) -> pa.RecordBatch:
             ends = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows])))

@@ -157,3 +157,24 @@ def test_query(spark, library, tmp_path):
         tokens = library.encode_ordinary(t or "")
         assert got[i] == {"doc_id": i, "n_tokens": len(tokens), "ids_sha256": hashlib.sha256(",".join(map(str, tokens)).encode()).hexdigest(),
                           "decoded_sha256": hashlib.sha256((t or "").encode()).hexdigest()}
+
+
+def test_only_broken_runs_are_read_byte_by_byte(ranks, library, monkeypatch):
+    read, feed = [], bpe.Utf8Stream.feed
+    words = bpe.Vocabulary(ranks)
+    monkeypatch.setattr(bpe.Utf8Stream, "feed", lambda self, data: read.append(data) or feed(self, data))
+    text = "Une journée à l'étranger " * 200 + "🙂 and " + "x" * 50
+    assert bpe._text_of(np.array(library.encode_ordinary(text), np.int32), words).decode() == text
+    assert sum(map(len, read)) <= 8
+    rng, broken, last = random.Random(4), np.flatnonzero(~words.whole).tolist(), words.last
+    for size in (1, 2, 5, 1 << 16):
+        monkeypatch.setattr(bpe, "SLICE", size)
+        for _ in range(500):
+            ids = [rng.choice(broken) if rng.random() < 0.6 else rng.randrange(-2, last + 3) for _ in range(rng.randrange(12))]
+            plain = b"".join(words.words[t if 0 <= t <= last else last].as_py() for t in ids)
+            assert bpe._text_of(np.array(ids, np.int32), words).decode() == plain.decode(errors="replace")
+
+
+def test_texts_of_every_range_are_split_as_the_library_does(encoder, library):
+    for text in ("plain words 12", "née l’été  x  y ½ ²²", "𝒳𝒴 x 𐌰𐌱12 🙂🙂   𝟙𝟚", "a\x1c\x1f b\x85\x85c", "퟿ ï"):
+        assert ids(encoder, text) == library.encode_ordinary(text)
