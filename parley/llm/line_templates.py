@@ -23,21 +23,27 @@ WIDE = 9
 LEADING = 3
 LONG_TOKEN = 12
 LEAST_MARKS = 5
+MD5 = 32           # its hex digits
 MARKS = 8          # least tokens of a document to choose a line's mark from
 AROUND = 4         # lines before and after a line that are near it
 
 
-def least_tokens(text: Column) -> Column:
-    """The ``MARKS`` tokens of ``LONG_TOKEN`` characters and more with the least md5, as (md5, token)."""
-    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[^ \\n]{{{LONG_TOKEN},}}"), 0))
-    return F.slice(F.sort_array(F.transform(tokens, lambda t: F.struct(F.md5(t).alias("md5"), t.alias("token")))), 1, MARKS)
+#: a long token or a line end, or nothing at the end of the text; what is short before it is passed over, so each character is read about once
+PARTS = (f"(?:[^ \\n]{{0,{LONG_TOKEN - 1}}}+ )*+(?:[^ \\n]{{0,{LONG_TOKEN - 1}}}+(?=\\n|\\z))?+"
+         f"([^ \\n]{{{LONG_TOKEN},}}+|\\n|\\z)")
+
+
+def least_tokens(tokens: Column) -> Column:
+    """The ``MARKS`` tokens with the least md5, as md5 and token in one string."""
+    return F.slice(F.sort_array(F.transform(tokens, lambda t: F.concat(F.md5(t), t))), 1, MARKS)
 
 
 def with_marks(docs: DataFrame) -> DataFrame:
     """``text`` and ``marks``, a hash for each line of a text: of the first least token that is nowhere near, else not in the line, else the first, else the text.
 
-    Tokens are kept with their first and last line, told by the line ends before and after them, so the work is bounded by
-    ``MARKS`` times the text, however often a token comes.
+    Tokens are kept with their first and last line, told by the line ends before and after them. They are looked for among the long tokens and
+    line ends alone (``long``), where they stand as often as in the text and on the same lines. So the work is bounded by ``MARKS`` times that,
+    however often a token comes.
     """
     lines = F.split("text", "\n")
 
@@ -45,11 +51,14 @@ def with_marks(docs: DataFrame) -> DataFrame:
         return F.octet_length(part) - F.octet_length(F.replace(part, F.lit("\n"), F.lit("")))
 
     def placed(x: Column) -> Column:
-        before, after = (F.call_function("substring_index", F.col("text"), x["token"], F.lit(n)) for n in (1, -1))
-        return F.struct(x["md5"].alias("md5"), x["token"].alias("token"), ends(before).alias("first"), (F.col("ends") - ends(after)).alias("last"))
-
-    counted = docs.select("text", ends(F.col("text")).alias("ends"))
-    known = counted.select("text", F.md5("text").alias("whole"), F.transform(least_tokens(F.col("text")), placed).alias("least"))
+        token = F.substr(x, F.lit(MD5 + 1))
+        before, after = (F.call_function("substring_index", F.col("long"), token, F.lit(n)) for n in (1, -1))
+        return F.struct(F.substr(x, F.lit(1), F.lit(MD5)).alias("md5"), token.alias("token"), ends(before).alias("first"),
+                        (ends(F.col("long")) - ends(after)).alias("last"))
+
+    parts = docs.select("text", F.regexp_extract_all("text", F.lit(PARTS), 1).alias("parts"))
+    long = parts.select("text", F.array_distinct(F.array_remove(F.array_remove("parts", "\n"), "")).alias("tokens"), F.array_join("parts", " ").alias("long"))
+    known = long.select("text", F.md5("text").alias("whole"), F.transform(least_tokens(F.col("tokens")), placed).alias("least"))
     return known.select("text", F.transform(lines, lambda line, i: F.xxhash64(F.coalesce(
         F.get(F.filter("least", lambda x: (i < x["first"] - AROUND) | (i > x["last"] + AROUND)), F.lit(0))["md5"],
         F.get(F.filter("least", lambda x: ~F.contains(line, x["token"])), F.lit(0))["md5"],
@@ -91,7 +100,7 @@ def _lines(docs: DataFrame, *keep: Column) -> DataFrame:
     marked = "marks" in whole.columns
     lines = F.split("text", "\n")
     item = F.transform(lines, lambda x, i: F.struct(x.alias("raw"), F.get("marks", i).alias("mark"))) if marked else F.transform(lines, lambda x: F.struct(x.alias("raw")))
-    blanks = F.length("raw") - F.length(F.replace("raw", F.lit(" "), F.lit("")))
+    blanks = F.octet_length("raw") - F.octet_length(F.replace("raw", F.lit(" "), F.lit("")))
     split = whole.select(*names, F.posexplode(item).alias("pos", "item")).select(*names, "pos", "item.*").withColumn("tokens", (blanks + 1).cast("int"))
     kept = [*names, "mark"] if marked else names
     return split.where(F.col("tokens") >= LEAST_TOKENS).select(*kept, "pos", "tokens", masked(F.col("raw")).alias("line"))

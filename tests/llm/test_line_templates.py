@@ -82,3 +82,22 @@ def test_odd_rows(spark):
 def test_plan_is_native(spark):
     plan = lines.drop_recurring_lines(documents(spark, ["a"]))._jdf.queryExecution().toString()
     assert "Python" not in plan.replace("PythonRDD", "") and "Arrow" not in plan
+
+
+def test_places_of_long_tokens_without_the_rest_of_the_text(spark):
+    """Marks against a plain reading, and the text itself is looked through once, not once for each token."""
+    words = [min((f"{c}token{i}" for i in range(300)), key=md5) for c in ("abcdef", "xabcdef", "ñññññññ")]
+    texts = [None, "", "\n", "\n\n", " ", "short words only " * 9, "elevenchars\nelevenchars", "a" * 12, "\r\n" + "b" * 13 + " c\n", "🙂" * 11 + " " + "🙂" * 12 + "\n" + "🙂" * 11]
+    texts += ["\n".join([f"{words[0]}y one", *["filling line"] * n, f"two {words[1]} {words[2]}", *["and more"] * 12, f"{words[0]} three", "end " * n, ""]) for n in range(9)]
+    marked = lines.with_marks(documents(spark, texts))
+    got = {r["text"]: r["marks"] for r in rows(marked)}
+    pick = spark.createDataFrame([(m,) for m in map(md5, [x for t in texts if t is not None for x in [t, *t.replace("\n", " ").split(" ")]])], "m string").distinct()
+    hashed = {r["m"]: r["h"] for r in rows(pick.selectExpr("m", "xxhash64(m) h"))}
+    for t in texts[1:]:
+        split, tokens = t.split("\n"), sorted(set(re.findall(r"[^ \n]{12,}", t)), key=md5)[:lines.MARKS]
+        at = {x: [j for j, y in enumerate(split) if x in y] for x in tokens}
+        fit = [([x for x in tokens if not at[x][0] - lines.AROUND <= i <= at[x][-1] + lines.AROUND] or [x for x in tokens if x not in y] or tokens or [t])[0] for i, y in enumerate(split)]
+        assert got[t] == [hashed[md5(x)] for x in fit], t
+    assert got[None] is None
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "substring_index(text" not in plan
